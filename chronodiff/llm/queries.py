@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.llm import leaks, lines
+from chronodiff.llm import bpe, leaks, lines
 from chronodiff.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, those removed as repeats, and a digest of the text that stays."""
     found = lines.line_report(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def vocab_file() -> str:
+    """The byte-level vocabulary of the contract, as installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op4_bpe")
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; digests of ids and decoded text."""
+    found = bpe.encode(table(spark, sf_dir, "documents"), vocab_file(), decode=True)
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
