@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.llm import bpe, ftrl, leaks, lines, quality
+from chronodiff.llm import bpe, ftrl, leaks, lines, quality, toxicity
 from chronodiff.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bucket = table(spark, sf_dir, "documents"), ftrl.crc_bucket(F.col("doc_id"), 3)
     model = quality.train(docs, table(spark, sf_dir, "labels").where(bucket != 1), "quality")
     return _judged(quality.score(docs, model), bucket == 1)
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every text, learned from the labels outside the held-out fifth."""
+    docs, bucket = table(spark, sf_dir, "documents"), ftrl.crc_bucket(F.col("doc_id"), 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(bucket != 0))
+    return _judged(toxicity.score(docs, model), bucket == 0)
