@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     chosen = ftrl.bounded_sample(known, "id", "y", max_per_class)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    indptr, idx, val, y = ftrl.sample_features(rows.join(chosen, "id"), "text", "y", features)
+    indptr, idx, val, y = ftrl.sample_features(rows.join(F.broadcast(chosen), "id"), "text", "y", features)
     if len(set(y)) < 2:
         return Model(np.zeros(DIMS, np.float32), 0.0 if not y else (4.0 if y[0] else -4.0))
     y = np.array(y)
