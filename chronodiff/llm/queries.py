@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.llm import bpe, ftrl, leaks, lines, quality, toxicity
+from chronodiff.llm import bpe, ftrl, leaks, lines, near, quality, toxicity
 from chronodiff.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,27 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bucket = table(spark, sf_dir, "documents"), ftrl.crc_bucket(F.col("doc_id"), 5)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(bucket != 0))
     return _judged(toxicity.score(docs, model), bucket == 0)
+
+
+@query(
+    "op5_minhash_near_dedup",
+    r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) c USING (doc_id)
+""",
+)
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups over three-word shingles at 85 of 100."""
+    found = near.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
