@@ -1,31 +1,56 @@
-"""From raw documents to clean ones, stage by stage; each stage is written and read again."""
+"""From raw documents to clean token ids, stage by stage; each stage is written and read again."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronodiff.llm import leaks, lines
+from chronodiff.llm import bpe, ftrl, leaks, lines, near, toxicity
+from chronodiff.llm.queries import vocab_file
 from chronodiff.session import shared_folder, table
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; learned from the labels outside the held-out fifth."""
+    labels = table(spark, sf_dir, "labels").where(ftrl.crc_bucket(F.col("doc_id"), 5) != 0)
+    return toxicity.drop_toxic(docs, toxicity.train(docs, labels))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated passages are cut from the texts."""
     return lines.dedup_lines(docs)
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five words a shingle, similarity 0.8 or more."""
+    return near.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words in a row of a benchmark item, or a whole shorter item, go."""
     return leaks.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the texts that stay, their number, and digests of ids and of the text they decode to."""
+    coded = bpe.encode(docs, vocab_file(), decode=True)
+    return coded.select(
+        "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 STAGES = [
-    ("line dedup", line_dedup),
-    ("benchmark decontamination", decontamination),
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_stage),
+    ("benchmark decontamination", leak_stage),
+    ("BPE encoding and decoding", token_stage),
 ]
 
-#: Training a classifier is not SQL; the pipeline is tested against its stages' brute-force versions.
+#: Classifier and encoding are not SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
@@ -33,6 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; a stage's rows are a Parquet table in the shared folder."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name.replace(' ', '-')}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name.replace(' ', '-')}")
+        path = f"{folder}/{k}-{name.replace(' ', '-')}"
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
