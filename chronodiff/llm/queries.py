@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.llm import bpe, ftrl, leaks, lines, near, quality, toxicity
+from chronodiff.llm import bpe, ftrl, langid, leaks, lines, near, quality, toxicity
 from chronodiff.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups over three-word shingles at 85 of 100."""
     found = near.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents outside the held-out quarter."""
+    docs, bucket = table(spark, sf_dir, "documents"), ftrl.crc_bucket(F.col("doc_id"), 4)
+    found = langid.identify(docs, langid.train(docs.where(bucket != 2)))
+    return found.select("doc_id", (bucket == 2).alias("held_out"), "lang_pred", "score")
