@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.llm import bpe, ftrl, langid, leaks, lines, near, quality, toxicity
+from chronodiff.llm import bpe, ftrl, langid, leaks, lines, near, quality, toxicity, vectors
 from chronodiff.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,23 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bucket = table(spark, sf_dir, "documents"), ftrl.crc_bucket(F.col("doc_id"), 4)
     found = langid.identify(docs, langid.train(docs.where(bucket != 2)))
     return found.select("doc_id", (bucket == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op1_embedding_near_dedup",
+    """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id WHERE r.root < l.b)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
+FROM (SELECT vec_id, min(root) AS root FROM r GROUP BY vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)
+""",
+)
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at a cosine of 0.95; the smallest id of a group is kept."""
+    found = vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
