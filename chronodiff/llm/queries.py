@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.llm import bpe, ftrl, langid, leaks, lines, near, quality, toxicity, vectors
+from chronodiff.llm import bpe, ftrl, langid, leaks, lines, lm, near, quality, repeats, toxicity, vectors
 from chronodiff.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,16 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of all vectors at a cosine of 0.95; the smallest id of a group is kept."""
     found = vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-log-likelihood of every text under a network fitted to all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
+@query("op6_suffix_array_dedup")
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that 50-byte passages of earlier documents cover, and a digest of the rest."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
