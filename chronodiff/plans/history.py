@@ -1 +1,259 @@
-"""Queries; see the registry."""
+"""Queries on histories: customers are pages, nations folders, orders changes, events check runs, parts contents."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronodiff.operators import history as H
+from chronodiff.operators import retention
+from chronodiff.plans.registry import query
+from chronodiff.session import table
+
+SINCE = dt.datetime(1998, 1, 1)
+NOW = dt.datetime(2024, 1, 31)
+
+PAGES = """pages_t AS (SELECT c_custkey AS id, c_nationkey AS folder, c_name AS name, 'https://host' || c_nationkey || '.example.com/' || c_custkey AS url, c_acctbal AS balance,
+  CASE WHEN c_acctbal < 0 THEN 'error' ELSE 'ok' END AS status, c_acctbal > 5000 AS unread, c_mktsegment AS kind, c_custkey % 7 AS errors FROM customer)"""
+CHANGES = """changes_t AS (SELECT o_orderkey AS change, o_custkey AS page, o_orderdate AS moment, o_orderstatus = 'O' AS is_unread, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderdate END AS read_at, o_orderpriority AS hit FROM orders)"""
+RUNS = """runs_t AS (SELECT event_id AS run, user_id AS page, ts AS moment, event_type AS outcome, value AS seconds FROM events)"""
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    url = F.concat(F.lit("https://host"), F.col("c_nationkey").cast("string"), F.lit(".example.com/"), key.cast("string"))
+    return c.select(
+        key.alias("id"), F.col("c_nationkey").alias("folder"), F.col("c_name").alias("name"), url.alias("url"), F.col("c_acctbal").alias("balance"),
+        F.when(F.col("c_acctbal") < 0, "error").otherwise("ok").alias("status"), (F.col("c_acctbal") > 5000).alias("unread"), F.col("c_mktsegment").alias("kind"), (key % 7).alias("errors"),
+    )
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unread = F.col("o_orderstatus") == "O"
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("change"), F.col("o_custkey").alias("page"), F.col("o_orderdate").alias("at"), unread.alias("is_unread"),
+        F.when(~unread, F.col("o_orderdate")).alias("read_at"), F.col("o_orderpriority").alias("hit"),
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("run"), F.col("user_id").alias("page"), F.col("ts").alias("at"), F.col("event_type").alias("outcome"), F.col("value").alias("seconds"))
+
+
+def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.folder_tree(spark, table(spark, sf_dir, "region"), table(spark, sf_dir, "nation"))
+
+
+FOLDERS = """folders_t(id, parent, name) AS (SELECT 0, NULL, 'all' UNION ALL SELECT r_regionkey + 1, 0, r_name FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey + 1, n_name FROM nation)"""
+
+
+@query("e1_list_pages", f"WITH {PAGES}, {CHANGES} SELECT id, name FROM pages_t WHERE status = 'ok' AND unread AND contains(lower(name), '#00000') AND kind = 'BUILDING' AND errors >= 2 AND id IN (SELECT page FROM changes_t WHERE hit = '1-URGENT')")
+def e1_list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = H.list_filters(status="ok", unread=True, text="#00000", kind="BUILDING", min_errors=2)
+    return H.list_pages(pages(spark, sf_dir), filters, changes(spark, sf_dir).where("hit = '1-URGENT'")).select("id", "name")
+
+
+@query("e2_page_after", f"WITH {PAGES} SELECT id, name, balance FROM pages_t WHERE balance < 4000 OR (balance = 4000 AND id < 50) ORDER BY balance DESC, id DESC LIMIT 50")
+def e2_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of fifty after a cursor, by balance downwards."""
+    return H.page_after(pages(spark, sf_dir), "balance", True, (4000.0, 50), 50).select("id", "name", "balance")
+
+
+@query("e3_subtree", f"""WITH RECURSIVE {FOLDERS}, t(id, depth) AS (SELECT id, 0 FROM folders_t WHERE id = 2 UNION ALL SELECT f.id, t.depth + 1 FROM t JOIN folders_t f ON f.parent = t.id)
+SELECT c_custkey AS page, t.id AS folder, t.depth FROM t JOIN customer ON c_nationkey + 100 = t.id""")
+def e3_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages below one folder of the tree."""
+    t = H.subtree(folders(spark, sf_dir), 2)
+    c = table(spark, sf_dir, "customer")
+    return c.join(t, F.col("c_nationkey") + 100 == F.col("id")).select(F.col("c_custkey").alias("page"), F.col("id").alias("folder"), "depth")
+
+
+@query("e4_folder_paths", f"""WITH RECURSIVE {FOLDERS}, t(id, path) AS (SELECT id, name FROM folders_t WHERE parent IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name FROM t JOIN folders_t f ON f.parent = t.id)
+SELECT s_suppkey AS page, path FROM t JOIN supplier ON s_nationkey + 100 = id""")
+def e4_folder_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's folder names from the root."""
+    t = H.folder_paths(folders(spark, sf_dir))
+    return table(spark, sf_dir, "supplier").join(t, F.col("s_nationkey") + 100 == F.col("id")).select(F.col("s_suppkey").alias("page"), "path")
+
+
+@query("e5_narrow", f"WITH {PAGES} SELECT id FROM pages_t WHERE unread AND kind = 'MACHINERY' AND folder IN (1, 2, 3, 5, 8, 13, 21) AND errors >= 3")
+def e5_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved search and what is asked on top of it."""
+    return pages(spark, sf_dir).where(H.narrow(H.list_filters(unread=True, kind="MACHINERY"), H.list_filters(folders=[1, 2, 3, 5, 8, 13, 21], min_errors=3))).select("id")
+
+
+@query("e6_search_counts", f"""WITH {PAGES} SELECT 'errors' AS search, count(*) FILTER (status = 'error') AS total, count(*) FILTER (status = 'error' AND unread) AS unread FROM pages_t
+UNION ALL SELECT 'cars', count(*) FILTER (kind = 'AUTOMOBILE'), count(*) FILTER (kind = 'AUTOMOBILE' AND unread) FROM pages_t UNION ALL SELECT 'flaky', count(*) FILTER (errors >= 4), count(*) FILTER (errors >= 4 AND unread) FROM pages_t""")
+def e6_search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.search_counts(pages(spark, sf_dir), {"errors": H.list_filters(status="error"), "cars": H.list_filters(kind="AUTOMOBILE"), "flaky": H.list_filters(min_errors=4)})
+
+
+@query("e7_page_counts", f"WITH {PAGES} SELECT folder, count(*) AS total, count(*) FILTER (unread) AS unread FROM pages_t GROUP BY ROLLUP (folder)")
+def e7_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.page_counts(pages(spark, sf_dir))
+
+
+@query("e8_unread_hits", f"""WITH {CHANGES}, h AS (SELECT page, hit, max(moment) AS moment FROM changes_t WHERE is_unread GROUP BY ALL) SELECT page, string_agg(hit, ',' ORDER BY moment DESC, hit DESC) AS hits FROM h GROUP BY page""")
+def e8_unread_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = changes(spark, sf_dir).where("is_unread").withColumn("hits", F.array("hit"))
+    return H.unread_hits(rows, "page", "hits", "at").withColumn("hits", F.array_join("hits", ","))
+
+
+@query("e9_report_changed", f"WITH {PAGES}, {CHANGES} SELECT change, page, name, moment, (SELECT max(moment) FROM changes_t WHERE moment > TIMESTAMP '1998-01-01') AS next_marker FROM changes_t JOIN pages_t ON page = id WHERE moment > TIMESTAMP '1998-01-01'")
+def e9_report_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = H.report_changed(changes(spark, sf_dir), pages(spark, sf_dir), F.lit(SINCE))
+    return found.withColumn("moment", F.col("at").cast("timestamp_ntz")).drop("at").withColumn("next_marker", F.col("next_marker").cast("timestamp_ntz"))
+
+
+@query("e10_report_errors", f"""WITH {PAGES}, {RUNS}, l AS (SELECT page, max_by(seconds, run) AS reason FROM runs_t WHERE outcome = 'error' GROUP BY page)
+SELECT id, name, errors, reason FROM pages_t LEFT JOIN l ON page = id WHERE status = 'error' OR errors > 0""")
+def e10_report_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in error with the value of their last failing run."""
+    last = runs(spark, sf_dir).where("outcome = 'error'").groupBy("page").agg(F.max_by("seconds", "run").alias("reason"))
+    rows = pages(spark, sf_dir).where("status = 'error' or errors > 0")
+    return rows.join(last, rows["id"] == last["page"], "left").select("id", "name", "errors", "reason")
+
+
+@query("e11_problems", f"""WITH {PAGES}, {RUNS}, {CHANGES}, l AS (SELECT page, max_by(run, moment) AS run, max(moment) AS moment FROM runs_t WHERE outcome = 'error' GROUP BY page)
+SELECT * FROM (SELECT 'page' AS source, id, moment FROM pages_t JOIN l ON page = id WHERE errors > 2 UNION ALL SELECT 'action', change, moment FROM changes_t WHERE is_unread AND hit = '5-LOW') ORDER BY moment DESC, source DESC, id DESC LIMIT 100""")
+def e11_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failing pages with their last failing run, and failed actions of unread changes, newest first."""
+    last = runs(spark, sf_dir).where("outcome = 'error'").groupBy("page").agg(F.max("at").alias("at"))
+    rows = pages(spark, sf_dir).where("errors > 2")
+    a = rows.join(last, rows["id"] == last["page"]).select(F.lit("page").alias("source"), "id", "at")
+    b = changes(spark, sf_dir).where("is_unread and hit = '5-LOW'").select(F.lit("action").alias("source"), F.col("change").alias("id"), "at")
+    return a.unionByName(b).orderBy(F.desc("at"), F.desc("source"), F.desc("id")).limit(100).select("source", "id", F.col("at").cast("timestamp_ntz").alias("moment"))
+
+
+@query("e12_latest_failing_run", f"WITH {RUNS} SELECT page, max_by(seconds, run) AS seconds, max(run) AS run FROM runs_t WHERE outcome = 'error' GROUP BY page")
+def e12_latest_failing_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.latest_per(runs(spark, sf_dir).where("outcome = 'error'"), "page", "run", "seconds")
+
+
+@query("e13_newest_runs", f"WITH {RUNS} SELECT page, run, outcome, row_number() OVER (PARTITION BY page ORDER BY run DESC) AS nth FROM runs_t WHERE run < 9000 QUALIFY nth <= 5")
+def e13_newest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.newest(runs(spark, sf_dir), "page", "run", 5, 9000).select("page", "run", "outcome", F.col("nth").cast("long"))
+
+
+@query("e14_check_times", f"WITH {RUNS} SELECT CASE WHEN outcome IN ('click', 'view') THEN 'browser' ELSE 'http' END AS pool, count(*) AS n, round(avg(seconds), 6) AS mean_s FROM runs_t WHERE moment >= TIMESTAMP '2024-01-10' AND outcome <> 'signup' GROUP BY 1")
+def e14_check_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs(spark, sf_dir).where((F.col("at") >= F.lit(dt.datetime(2024, 1, 10))) & (F.col("outcome") != "signup"))
+    pool = F.when(F.col("outcome").isin("click", "view"), "browser").otherwise("http")
+    return rows.groupBy(pool.alias("pool")).agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 6).alias("mean_s"))
+
+
+@query("e19_error_streaks", f"""WITH {RUNS}, g AS (SELECT *, sum(CASE WHEN outcome = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY moment, run) AS island FROM runs_t),
+s AS (SELECT run, page, CASE WHEN outcome = 'error' THEN greatest(sum(CASE WHEN outcome = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY page, island ORDER BY moment, run) - 1, 0) ELSE 0 END AS streak FROM g)
+SELECT run, page, CAST(streak AS INTEGER) AS streak, CASE WHEN streak >= 3 THEN 'error' WHEN streak > 0 THEN 'warning' ELSE 'ok' END AS status FROM s""")
+def e19_error_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.error_streaks(runs(spark, sf_dir), "page", ["at", "run"], F.col("outcome") == "error").select("run", "page", "streak", "status")
+
+
+@query("e20_pointers", """WITH v AS (SELECT user_id AS page, event_id AS version, ts AS moment FROM events WHERE event_type IN ('view', 'purchase')),
+r AS (SELECT user_id AS page, max(ts) AS read_at FROM events WHERE event_type = 'click' GROUP BY 1), a AS (SELECT user_id AS page, max(ts) AS alert_at FROM events WHERE event_type = 'signup' GROUP BY 1)
+SELECT v.page, max_by(version, moment) AS latest, max_by(version, moment) FILTER (moment <= read_at) AS baseline, max_by(version, moment) FILTER (moment <= greatest(read_at, alert_at)) AS anchor
+FROM v LEFT JOIN r ON v.page = r.page LEFT JOIN a ON v.page = a.page GROUP BY v.page""")
+def e20_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = runs(spark, sf_dir)
+    return H.pointers(e.where("outcome in ('view', 'purchase')").select("page", "at", F.col("run").alias("version")), e.where("outcome = 'click'"), e.where("outcome = 'signup'"))
+
+
+@query("e21_mark_read", f"WITH {PAGES}, {CHANGES} SELECT change, CASE WHEN read_at IS NULL AND page IN (SELECT id FROM pages_t WHERE unread) THEN TIMESTAMP '2024-01-31' ELSE read_at END AS read_at FROM changes_t")
+def e21_mark_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pages(spark, sf_dir).where("unread").select(F.col("id").alias("page"))
+    return H.mark_read(changes(spark, sf_dir), ids, NOW).select("change", F.col("read_at").cast("timestamp_ntz").alias("read_at"))
+
+
+@query("e22_prune_versions", f"""WITH {CHANGES}, n AS (SELECT change AS version, page, row_number() OVER (PARTITION BY page ORDER BY moment DESC, change DESC) AS nth FROM changes_t)
+SELECT page, version FROM n WHERE nth > 5 AND version NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)""")
+def e22_prune_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders beyond the newest five of a customer, but for those that certain line items pin."""
+    versions = changes(spark, sf_dir).select("page", "at", F.col("change").alias("version"))
+    pinned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_orderkey").alias("version"))
+    return retention.prune_versions(versions, pinned, 5).select("page", "version")
+
+
+@query("e23_unreferenced", "SELECT p_partkey AS content FROM part WHERE p_size > 5 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
+def e23_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that no large line item and no supplier key refers to, older than the grace size."""
+    content = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("content"), (-F.col("p_size")).alias("stored_at"))
+    li = table(spark, sf_dir, "lineitem")
+    refs = [li.where("l_quantity > 40").select(F.col("l_partkey").alias("content")), li.select(F.col("l_suppkey").alias("content"))]
+    return retention.unreferenced(content, refs, -5).select("content")
+
+
+@query("e24_cap_candidates", """WITH v AS (SELECT o_orderkey AS version, o_custkey AS content, o_orderdate AS moment, CAST(o_totalprice AS BIGINT) % 1000 AS b FROM orders),
+f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY content ORDER BY moment, version) = 1 THEN b ELSE 0 END AS fresh FROM v),
+r AS (SELECT *, sum(fresh) OVER (ORDER BY moment, version ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM f)
+SELECT version, content, CAST(fresh AS BIGINT) AS fresh FROM r WHERE run - fresh < 200000""")
+def e24_cap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version"), F.col("o_custkey").alias("content"), F.col("o_orderdate").alias("at"), (F.rint("o_totalprice").cast("long") % 1000).alias("bytes"))
+    return retention.cap_candidates(v, 200_000).select("version", "content", F.col("fresh").cast("long").alias("fresh"))
+
+
+@query("e25_purge", f"WITH {RUNS} SELECT run, page FROM runs_t WHERE moment >= TIMESTAMP '2024-01-24'")
+def e25_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.purge(runs(spark, sf_dir), "at", F.lit(NOW - dt.timedelta(days=7))).select("run", "page")
+
+
+@query("e26_stale_pages", f"""WITH {RUNS}, s AS (SELECT *, max(CASE WHEN outcome = 'purchase' THEN moment END) OVER (PARTITION BY page ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM runs_t)
+SELECT page, since, min(moment) AS alert_at FROM s WHERE moment >= since + INTERVAL 3 DAY GROUP BY ALL""")
+def e26_stale_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = H.stale_pages(runs(spark, sf_dir), "page", "at", F.col("outcome") == "purchase", 3)
+    return found.select("page", F.col("since").cast("timestamp_ntz").alias("since"), F.col("alert_at").cast("timestamp_ntz").alias("alert_at"))
+
+
+@query("e27_resolve_config", """WITH c AS (SELECT c_custkey AS page, 0 AS depth, 'interval' AS path, '3600' AS value FROM customer UNION ALL SELECT c_custkey, 0, 'min_words', '0' FROM customer
+UNION ALL SELECT c_custkey, 1, 'interval', CASE WHEN c_nationkey % 2 = 0 THEN '900' ELSE '1800' END FROM customer WHERE c_nationkey % 5 <> 0
+UNION ALL SELECT c_custkey, 2, 'min_words', CASE WHEN c_acctbal < 0 THEN NULL ELSE '25' END FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT page, path, value FROM (SELECT page, path, value FROM c QUALIFY row_number() OVER (PARTITION BY page, path ORDER BY depth DESC) = 1) WHERE value IS NOT NULL""")
+def e27_resolve_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults, folder settings and page settings of every customer; a null on the page removes one."""
+    c = table(spark, sf_dir, "customer")
+    base = c.select(F.col("c_custkey").alias("page"), F.lit(0).alias("depth"), F.explode(F.create_map(F.lit("interval"), F.lit("3600"), F.lit("min_words"), F.lit("0"))).alias("path", "value"))
+    folder = c.where("c_nationkey % 5 <> 0").select(F.col("c_custkey").alias("page"), F.lit(1).alias("depth"), F.lit("interval").alias("path"), F.when(F.col("c_nationkey") % 2 == 0, "900").otherwise("1800").alias("value"))
+    own = c.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("page"), F.lit(2).alias("depth"), F.lit("min_words").alias("path"), F.when(F.col("c_acctbal") >= 0, "25").alias("value"))
+    return H.resolve_config(base.unionByName(folder).unionByName(own), "page")
+
+
+@query("e28_dedupe_import", """WITH n AS (SELECT page_id, lower(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '')) AS k, url FROM pages),
+x AS (SELECT page_id, url, k, row_number() OVER (PARTITION BY k ORDER BY page_id) AS nth, k IN (SELECT k FROM n WHERE contains(url, '.org')) AS known FROM n)
+SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://[^/]+') THEN 'error' WHEN known OR nth > 1 THEN 'skipped' ELSE 'created' END AS outcome FROM x""")
+def e28_dedupe_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All page addresses as an import into a list that has those of one domain."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    return H.dedupe_import(p, p.where(F.col("url").contains(".org")), "page_id").select("page_id", "outcome")
+
+
+@query("e33_outcome_counts", f"WITH {RUNS} SELECT outcome, count(*) AS n FROM runs_t WHERE moment >= TIMESTAMP '2024-01-30' AND moment < TIMESTAMP '2024-01-31' GROUP BY outcome")
+def e33_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs(spark, sf_dir).where((F.col("at") >= F.lit(NOW - dt.timedelta(days=1))) & (F.col("at") < F.lit(NOW)))
+    return rows.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("a13_export_watchlist", f"""WITH RECURSIVE {FOLDERS}, t(id, path) AS (SELECT id, name FROM folders_t WHERE parent IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name FROM t JOIN folders_t f ON f.parent = t.id), {PAGES}
+SELECT p.id, p.name, url, path AS folder_path, CASE WHEN folder % 2 = 0 THEN '15m' ELSE '1h' END AS interval_text FROM pages_t p JOIN t ON folder + 100 = t.id""")
+def a13_export_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its folder path and effective interval."""
+    from chronodiff.functions.text import fmt_interval
+
+    p, t = pages(spark, sf_dir), H.folder_paths(folders(spark, sf_dir)).withColumnRenamed("id", "fid")
+    seconds = F.when(F.col("folder") % 2 == 0, F.lit(900)).otherwise(F.lit(3600))
+    return p.join(t, F.col("folder") + 100 == F.col("fid")).select("id", "name", "url", F.col("path").alias("folder_path"), fmt_interval(seconds).alias("interval_text"))
+
+
+@query("a12_import_rows", """SELECT c_custkey AS row, CASE WHEN c_custkey % 9 = 0 THEN 'no address' WHEN c_custkey % 11 = 0 THEN 'bad interval' END AS problem,
+CASE c_custkey % 3 WHEN 0 THEN 900 WHEN 1 THEN 7200 ELSE 60 END * CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 1 END AS seconds FROM customer""")
+def a12_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as rows of a watch list: interval texts read, faulty rows kept with their problem."""
+    from chronodiff.functions.text import parse_interval
+
+    key = F.col("c_custkey")
+    text = F.when(key % 11 == 0, "soon").when(key % 3 == 0, "15m").when(key % 3 == 1, "2h").otherwise("30s")
+    url = F.when(key % 9 != 0, F.concat(F.lit("https://example.com/"), key.cast("string")))
+    seconds = parse_interval(text)
+    problem = F.when(url.isNull(), "no address").when(seconds.isNull(), "bad interval")
+    return table(spark, sf_dir, "customer").select(key.alias("row"), problem.alias("problem"), seconds.cast("int").alias("seconds"))

@@ -89,10 +89,10 @@ def b4_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_links(spark, sf_dir)
 
 
-@query("b21_pdf_links", f"WITH {LINKS} SELECT page_id, url FROM links WHERE regexp_matches(lower(url), '\\.(pdf|,)([?#].*)?$')")
+@query("b21_pdf_links", f"WITH {LINKS} SELECT page_id, url FROM links WHERE regexp_matches(lower(url), '(\\.pdf|,)([?#].*)?$')")
 def b21_pdf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by the end of their path; the test pages have commas where real ones have ``.pdf``."""
-    return page_links(spark, sf_dir).where(F.lower("url").rlike(r"\.(pdf|,)([?#].*)?$")).select("page_id", "url")
+    return page_links(spark, sf_dir).where(F.lower("url").rlike(r"(\.pdf|,)([?#].*)?$")).select("page_id", "url")
 
 
 @query("b5_drop_elements")
