@@ -1 +1,205 @@
-"""Queries; see the registry."""
+"""Queries on keyword rules, keyed records and candidate configurations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronodiff.operators import delta, keywords, records, replay
+from chronodiff.plans.changes import turn_pairs, turn_versions
+from chronodiff.plans.registry import query
+from chronodiff.plans.sql import TURN_DELTA, norm, words
+from chronodiff.session import table
+
+DOC_BLOCKS = f"""
+dl AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+de AS (SELECT doc_id, generate_subscripts(ls, 1) AS p, unnest(ls) AS line FROM dl),
+dn AS (SELECT doc_id, p, {norm("line")} AS text FROM de),
+doc_blocks AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS INTEGER) AS pos, text FROM dn WHERE text <> '')"""
+
+RULES = [("insult", "idiot", "word"), ("insult", "moron", "word"), ("licence", "licen[sc]ed? under", "regex"), ("pair", "the", "word"), ("pair", "scum", "substring")]
+_RULE_SQL = "rules(rule, term) AS (VALUES " + ", ".join(f"('{r}', '{t}')" for r, t, _ in RULES) + "), hits AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT doc_id, pos, '{r}' AS rule, '{t}' AS term FROM doc_blocks WHERE regexp_matches(text, '{keywords.term_pattern(t, k)}')" for r, t, k in RULES
+) + ")"
+
+
+def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta.line_blocks(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.term_hits(doc_blocks(spark, sf_dir), RULES, ["doc_id"])
+
+
+@query("d8_keyword_terms", f"WITH {DOC_BLOCKS}, {_RULE_SQL} SELECT * FROM hits")
+def d8_keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(spark, sf_dir)
+
+
+@query("d10_and_terms", f"""WITH {DOC_BLOCKS}, {_RULE_SQL}, w AS (SELECT rule, count(DISTINCT term) AS n FROM rules GROUP BY rule),
+a AS (SELECT doc_id, rule FROM hits GROUP BY doc_id, rule HAVING count(DISTINCT term) = (SELECT n FROM w WHERE w.rule = hits.rule)),
+b AS (SELECT DISTINCT doc_id, rule FROM hits GROUP BY doc_id, pos, rule HAVING count(DISTINCT term) = (SELECT n FROM w WHERE w.rule = hits.rule))
+SELECT doc_id, rule, 'page' AS scope FROM a UNION ALL SELECT doc_id, rule, 'block' FROM b""")
+def d10_and_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms of a rule anywhere in the document, and in one block."""
+    h, r = hits(spark, sf_dir), RULES
+    page = keywords.and_hits(h, r, ["doc_id"]).withColumn("scope", F.lit("page"))
+    return page.unionByName(keywords.and_hits(h, r, ["doc_id"], same_block=True).withColumn("scope", F.lit("block")))
+
+
+@query("d11_near_terms", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents),
+p AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS t FROM w), a AS (SELECT doc_id, i FROM p WHERE t = 'the'), b AS (SELECT doc_id, i FROM p WHERE t = 'idiot')
+SELECT doc_id, CAST(min(abs(a.i - b.i)) + 1 AS INTEGER) AS span FROM a JOIN b USING (doc_id) GROUP BY doc_id HAVING min(abs(a.i - b.i)) + 1 <= 12""")
+def d11_near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.near_hits(table(spark, sf_dir, "documents"), ["doc_id"], "text", ["the", "idiot"], 12)
+
+
+@query("d12_not_terms", f"WITH {DOC_BLOCKS}, {_RULE_SQL} SELECT DISTINCT doc_id FROM hits WHERE rule = 'insult' AND doc_id NOT IN (SELECT doc_id FROM hits WHERE rule = 'licence')")
+def d12_not_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an insult and without a licence line."""
+    h = hits(spark, sf_dir)
+    wanted = h.where("rule = 'insult'").select("doc_id", "rule").distinct()
+    return keywords.without_not(wanted, h.where("rule = 'licence'").withColumn("rule", F.lit("insult")), ["doc_id"]).select("doc_id")
+
+
+@query("d13_changed_spans", r"""WITH m AS (SELECT doc_id, string_split(lower(text), 'the') AS ps FROM documents),
+c AS (SELECT doc_id, generate_subscripts(ps, 1) AS k, len(ps) AS n, sum(length(unnest)) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM (SELECT doc_id, ps, generate_subscripts(ps, 1) AS k, unnest(ps) FROM m)),
+o AS (SELECT doc_id, CAST(before + 3 * (k - 1) AS INTEGER) AS s FROM c WHERE k < n),
+sp(a, b) AS (VALUES (10, 60), (200, 230), (231, 400))
+SELECT DISTINCT doc_id, s, s + 3 AS e FROM o JOIN sp ON s < b AND a < s + 3""".replace("generate_subscripts(ps, 1) AS k, len(ps) AS n, sum(length(unnest))", "k, len(ps) AS n, sum(length(piece))").replace("unnest(ps) FROM m", "unnest(ps) AS piece FROM m"))
+def d13_changed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of a term that touch one of three changed spans of each document."""
+    docs = table(spark, sf_dir, "documents")
+    spans = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(a).alias("s"), F.lit(b).alias("e")) for a, b in ((10, 60), (200, 230), (231, 400))])).alias("x")).select("doc_id", "x.s", "x.e")
+    return keywords.overlapping(keywords.literal_offsets(docs, ["doc_id"], "text", "the"), spans, ["doc_id"])
+
+
+@query("d9_d18_numeric_terms", r"""WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '([0-9]{2,9})', 1), lambda x: CAST(x AS DOUBLE)) AS v FROM documents)
+SELECT doc_id, len(list_filter(v, lambda x: x > 5000)) > 0 AS large, len(list_filter(v, lambda x: x BETWEEN 100 AND 999)) > 0 AS in_range FROM n""")
+def d9_d18_numeric_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", keywords.numeric_hit(text, "([0-9]{2,9})", ">", 5000).alias("large"), keywords.numeric_hit(text, "([0-9]{2,9})", "between", 100, 999).alias("in_range"))
+
+
+@query("d4_d14_keyword_gate", rf"""WITH {TURN_DELTA}, h AS (SELECT DISTINCT conv_id, turn FROM delta WHERE n_ins > 0 AND regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])the([^\p{{L}}\p{{N}}_]|$)')),
+st AS (SELECT p.conv_id, p.turn, coalesce(sum({words("d.text")} * n_ins), 0) AS aw, coalesce(sum({words("d.text")} * n_del), 0) AS rw, coalesce(sum(n_ins + n_del), 0) AS c FROM pairs p LEFT JOIN delta d USING (conv_id, turn) GROUP BY ALL)
+SELECT st.conv_id, st.turn, CASE WHEN c = 0 THEN 'reorder_only' WHEN h.conv_id IS NULL THEN 'keyword_miss' END AS reason FROM st LEFT JOIN h ON h.conv_id = st.conv_id AND h.turn = st.turn""")
+def d4_d14_keyword_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes pass only with a keyword in an added block; a hit passes any threshold."""
+    old, new = turn_pairs(spark, sf_dir)
+    diff = delta.block_delta(old, new, ["conv_id", "turn"])
+    added = diff.where("n_ins > 0").withColumn("pos", F.lit(0))
+    found = keywords.term_hits(added, [("word", "the", "word")], ["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.collect_set("term").alias("hits"))
+    base = turn_versions(spark, sf_dir).where("outcome = 'stored'").select("conv_id", "turn")
+    stats = base.join(delta.delta_stats(diff, ["conv_id", "turn"]), ["conv_id", "turn"], "left").na.fill(0).join(found, ["conv_id", "turn"], "left")
+    stats = stats.withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+    return delta.gate_changes(stats, 1000, keywords=True).select("conv_id", "turn", "reason")
+
+
+@query("d19_min_new_items", f"""WITH {TURN_DELTA}, o AS (SELECT DISTINCT conv_id, turn, lower(text) AS t FROM sides WHERE d < 0), n AS (SELECT DISTINCT conv_id, turn, lower(text) AS t FROM sides WHERE d > 0)
+SELECT n.conv_id, n.turn, count(*) AS fresh FROM n LEFT JOIN o ON o.conv_id = n.conv_id AND o.turn = n.turn AND o.t = n.t WHERE o.t IS NULL GROUP BY ALL HAVING count(*) >= 3""")
+def d19_min_new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.min_new_items(*turn_pairs(spark, sf_dir), ["conv_id", "turn"], 3)
+
+
+_OLD = "SELECT * FROM customer WHERE c_custkey % 10 <> 3"
+_NEW = "SELECT * REPLACE (CASE WHEN c_custkey % 11 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal) FROM customer WHERE c_custkey % 10 <> 7"
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots of all customers: rows that came, went and changed by their key."""
+    c = table(spark, sf_dir, "customer")
+    moved = F.when(F.col("c_custkey") % 11 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    return c.where("c_custkey % 10 <> 3"), c.where("c_custkey % 10 <> 7").withColumn("c_acctbal", moved)
+
+
+_EVENTS = f"""ev AS (SELECT coalesce(o.c_custkey, n.c_custkey) AS rid, CASE WHEN o.c_custkey IS NULL THEN 'new' WHEN n.c_custkey IS NULL THEN 'removed' WHEN o.c_acctbal <> n.c_acctbal OR o.c_mktsegment <> n.c_mktsegment THEN 'changed' END AS event
+FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.c_custkey = n.c_custkey)"""
+
+
+@query("c14_record_events", f"WITH {_EVENTS} SELECT * FROM ev WHERE event IS NOT NULL")
+def c14_record_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.record_events(*snapshots(spark, sf_dir), "c_custkey", ["c_mktsegment", "c_acctbal"])
+
+
+@query("d7_event_gate", f"WITH {_EVENTS} SELECT event, count(*) AS n FROM ev WHERE event IN ('new', 'removed') GROUP BY event")
+def d7_event_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts for two of the three kinds of event."""
+    found = records.record_events(*snapshots(spark, sf_dir), "c_custkey", ["c_mktsegment", "c_acctbal"])
+    return found.where(F.col("event").isin("new", "removed")).groupBy("event").agg(F.count("*").alias("n"))
+
+
+@query("c16_describe_events", f"""WITH {_EVENTS}, e AS (SELECT c_nationkey AS folder, event, CAST(rid AS VARCHAR) AS r FROM ev JOIN customer ON rid = c_custkey WHERE event IS NOT NULL),
+k AS (SELECT folder, event, count(*) AS n, list_sort(list(r)) AS ids FROM e GROUP BY ALL),
+t AS (SELECT folder, event || ': ' || array_to_string(ids[1:3], ', ') || CASE WHEN n > 3 THEN ' (+' || (n - 3) || ' more)' ELSE '' END AS s FROM k)
+SELECT folder, string_agg(s, '; ' ORDER BY s) AS description FROM t GROUP BY folder""")
+def c16_describe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.record_events(*snapshots(spark, sf_dir), "c_custkey", ["c_mktsegment", "c_acctbal"])
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid"), F.col("c_nationkey").alias("folder"))
+    return records.describe_events(found.join(c, "rid"), ["folder"])
+
+
+_HISTORY = "r AS (SELECT o_custkey * 0 + s AS snap, o_orderkey AS rid, o_orderstatus || CASE WHEN o_orderkey % 7 = s THEN '!' ELSE '' END AS row FROM orders, range(4) t(s) WHERE o_orderkey % 5 <> s)"
+
+
+@query("c15_record_history", f"""WITH {_HISTORY}, l AS (SELECT *, lag(row) OVER w AS pr, lag(snap) OVER w AS ps FROM r WINDOW w AS (PARTITION BY rid ORDER BY snap)),
+c AS (SELECT snap, rid, CASE WHEN ps IS NULL OR ps < snap - 1 THEN 'new' WHEN pr <> row THEN 'changed' END AS event FROM l WHERE snap > 0)
+SELECT CAST(snap AS BIGINT) AS snap, rid, event FROM c WHERE event IS NOT NULL UNION ALL SELECT snap + 1, rid, 'removed' FROM r WHERE snap < 3 AND (snap + 1, rid) NOT IN (SELECT (snap, rid) FROM r)""")
+def c15_record_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events over four snapshots of all orders, each lacking and changing some by key."""
+    o = table(spark, sf_dir, "orders").withColumn("snap", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    o = o.where("o_orderkey % 5 <> snap")
+    row = F.concat("o_orderstatus", F.when(F.col("o_orderkey") % 7 == F.col("snap"), "!").otherwise(""))
+    return records.record_history(o.select("snap", F.col("o_orderkey").alias("rid"), row.alias("row")), spark.range(4).toDF("snap"))
+
+
+@query("d15_d16_loose_filters", """SELECT o_orderkey FROM orders WHERE (o_totalprice >= 100000 AND lower(o_orderpriority) IN ('1-urgent', '2-high')) OR (lower(o_orderstatus) = 'p' AND NOT contains(lower(o_orderpriority), 'low') AND starts_with(o_orderpriority, '3'))""")
+def d15_d16_loose_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    price = records.loose_cmp(F.format_string("%,.2f", c("o_totalprice")), ">=", "100,000")
+    hit = (price & records.in_list(c("o_orderpriority"), ["1-URGENT", "2-High"])) | (records.loose_cmp(c("o_orderstatus"), "=", "p") & ~F.lower("o_orderpriority").contains("low") & c("o_orderpriority").startswith("3"))
+    return table(spark, sf_dir, "orders").where(hit).select("o_orderkey")
+
+
+_VOL = "".join(f" WHEN regexp_matches(o, '{p}') AND regexp_matches(n, '{p}') AND regexp_replace(o, '{p}', '', 'g') = regexp_replace(n, '{p}', '', 'g') THEN '{k}'" for k, p in replay.VOLATILE)
+_VPAIRS = """vp AS (SELECT e.event_id, e.user_id, CASE event_id % 4 WHEN 0 THEN 'updated ' || strftime(ts, '%H:%M:%S') WHEN 1 THEN 'day ' || strftime(ts, '%Y-%m-%d') WHEN 2 THEN (event_id % 50 + 1) || ' comments' ELSE event_type END AS o,
+CASE event_id % 4 WHEN 0 THEN 'updated 23:59' WHEN 1 THEN 'day 2025-01-01' WHEN 2 THEN '7 comments' ELSE 'view' END AS n FROM events e)"""
+
+
+def volatile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a line with a clock, a date, a counter or none, and its next version."""
+    k = F.col("event_id") % 4
+    old = F.when(k == 0, F.concat(F.lit("updated "), F.date_format("ts", "HH:mm:ss"))).when(k == 1, F.concat(F.lit("day "), F.date_format("ts", "yyyy-MM-dd"))).when(k == 2, F.concat((F.col("event_id") % 50 + 1).cast("string"), F.lit(" comments"))).otherwise(F.col("event_type"))
+    new = F.when(k == 0, "updated 23:59").when(k == 1, "day 2025-01-01").when(k == 2, "7 comments").otherwise("view")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", old.alias("old_text"), new.alias("new_text"))
+
+
+@query("c18_volatile_pattern", f"WITH {_VPAIRS} SELECT event_id, CASE{_VOL} END AS pattern FROM vp")
+def c18_volatile_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volatile_pairs(spark, sf_dir).select("event_id", replay.volatile_pattern(F.col("old_text"), F.col("new_text")).alias("pattern"))
+
+
+@query("c19_propose_rules", f"""WITH {_VPAIRS}, r AS (SELECT user_id, CASE{_VOL} END AS pattern FROM vp WHERE o <> n), t AS (SELECT user_id, count(*) AS all_pairs, count(pattern) AS solved FROM r GROUP BY 1)
+SELECT r.user_id, pattern, count(*) AS pairs, any_value(all_pairs) AS all_pairs, any_value(solved = all_pairs) AS resolves_all FROM r JOIN t ON r.user_id = t.user_id WHERE pattern IS NOT NULL GROUP BY 1, 2""")
+def c19_propose_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.propose_rules(volatile_pairs(spark, sf_dir).where("old_text <> new_text"), "user_id")
+
+
+@query("c17_unstable_blocks", f"""WITH {DOC_BLOCKS}, s AS (SELECT source, doc_id, text FROM doc_blocks JOIN documents d USING (doc_id, text) UNION ALL SELECT d.source, b.doc_id, b.text FROM doc_blocks b JOIN documents d ON b.doc_id = d.doc_id AND b.text <> d.text),
+n AS (SELECT source, count(DISTINCT doc_id) AS n FROM s GROUP BY 1), h AS (SELECT source, text, count(DISTINCT doc_id) AS has FROM s GROUP BY ALL)
+SELECT h.source, text, round(1 - has / n, 9) AS share FROM h JOIN n ON h.source = n.source WHERE has < n""")
+def c17_unstable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source as samples of one page."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    found = replay.unstable_blocks(doc_blocks(spark, sf_dir).join(docs, "doc_id"), "source", "doc_id")
+    return found.withColumn("share", F.round("share", 9))
+
+
+@query("c12_replay", f"""WITH {TURN_DELTA}, st AS (SELECT p.conv_id, p.turn, coalesce(sum({words("d.text")} * n_ins), 0) AS aw, coalesce(sum({words("d.text")} * n_del), 0) AS rw FROM pairs p LEFT JOIN delta d USING (conv_id, turn) GROUP BY ALL)
+SELECT CASE WHEN greatest(aw, rw) < 20 THEN 'below_threshold' ELSE 'alert' END AS was, CASE WHEN greatest(aw, rw) < 80 THEN 'below_threshold' ELSE 'alert' END AS would, count(*) AS n FROM st GROUP BY 1, 2""")
+def c12_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a threshold of 80 words would have said where 20 stood."""
+    old, new = turn_pairs(spark, sf_dir)
+    stats = delta.delta_stats(delta.block_delta(old, new, ["conv_id", "turn"]), ["conv_id", "turn"])
+    verdict = lambda n: delta.gate_changes(stats, n).select("conv_id", "turn", F.col("reason").alias("verdict"))
+    return replay.replay(verdict(20), verdict(80), ["conv_id", "turn"])
