@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from chronodiff.plans import changes, history, planning, rules, texts  # noqa: F401
+from chronodiff.plans import changes, history, planning, rules, streams, texts  # noqa: F401

@@ -42,3 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, for sessions whose workers cannot import it."""
+    import shutil
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="chronodiff-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/chronodiff", "zip", root, "chronodiff"))
