@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronodiff.llm.tables import small_batches
 from chronodiff.llm.textnum import chunks
 
 #: Bytes of text that share one index of pair positions.
@@ -223,6 +224,7 @@ def encode(docs: DataFrame, vocab_file: str, id_col: str = "doc_id", text_col: s
     ids; rows that repeat are encoded each; an empty table stays empty; other
     columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_round_trip(vocab_file, decode), f"id {kind}, n_tokens long, ids binary" + ", decoded string" * decode)
@@ -231,6 +233,7 @@ def encode(docs: DataFrame, vocab_file: str, id_col: str = "doc_id", text_col: s
 
 def decode(encoded: DataFrame, vocab_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and ``text`` of ids as ``encode`` gives them; null ids give the empty text."""
+    small_batches(encoded.sparkSession)
     rows = encoded.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronodiff.llm import ftrl
+from chronodiff.llm.tables import small_batches
 from chronodiff.llm.textnum import chunks
 
 #: Buckets of the hashed n-grams.
@@ -126,6 +127,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     with elastic net) and the rest to choose the temperature. Rows without text
     or language are left out; without any row there is no language to answer.
     """
+    small_batches(rows.sparkSession)
     known = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     df, total = document_frequencies(known, "text")
     if not total:
@@ -191,6 +193,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ties go to the language that sorts first; repeated rows are judged each;
     other columns are not read; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronodiff.llm.tables import components, cut
+from chronodiff.llm.tables import components, cut, small_batches
 from chronodiff.llm.textnum import NOT_SPACE, chunks, hash_spans, mix, ngrams, spans
 
 #: MinHash samples of a set, and how they are cut into bands. At a similarity of
@@ -87,8 +87,12 @@ def _sets(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, off in chunks(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(buf, off, size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "shingles"])
+                sets = shingle_sets(buf, off, size)
+                some = np.array([k for k, s in enumerate(sets) if len(s)], np.int64)
+                if len(some):
+                    own = [sets[k] for k in some]
+                    cols = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (own, _signatures(own)[2])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(some)), *cols], ["id", "shingles", "sketch"])
 
     return work
 
@@ -202,6 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null; rows that share an id are one document; an empty table stays empty;
     other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     signed = cut(rows.mapInArrow(_sign(size), f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"), "signed")
@@ -216,9 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = cut(members.select("id").distinct(), "wanted")
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    sets = texts.mapInArrow(_sets(size), f"id {kind}, shingles binary")
-    marks = reps.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "sketch").dropDuplicates(["id"])
-    sets = cut(sets.dropDuplicates(["id"]).join(marks, "id"), "sets")
+    sets = cut(texts.mapInArrow(_sets(size), f"id {kind}, shingles binary, sketch binary"), "sets")
 
     pairs = members.where("id <> lead").select("lead", "id").distinct()
     sizes = pairs.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))

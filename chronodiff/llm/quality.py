@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronodiff.llm import ftrl
+from chronodiff.llm.tables import small_batches
 from chronodiff.llm.textnum import LETTERS, NOT_SPACE, chunks, hash_spans, mix, ngrams, segment_sum, spans
 
 #: Buckets of the hashed features.
@@ -84,6 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     text are left out. Without rows of both classes the model gives every text
     the share of the class there is, or 0.5.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     chosen = ftrl.bounded_sample(known, "id", "y", max_per_class)
@@ -103,6 +105,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     bias alone; repeated rows are scored each; other columns are not read; an
     empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronodiff.session import shared_folder
 
 
+#: Rows and bytes that reach a Python task at once, where the session has not set its own.
+BATCH_ROWS, BATCH_BYTES = 2000, "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session; long texts would make the default ones too large for a task."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 

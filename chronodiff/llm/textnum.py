@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _ODD = 0x9E3779B97F4A7C15
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronodiff.llm import ftrl
+from chronodiff.llm.tables import small_batches
 from chronodiff.llm.textnum import LETTERS, byte_class, chunks, hash_spans, hash_word, segment_sum, spans
 
 #: Buckets of the hashed words.
@@ -206,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     label model's posteriors, in which a row's own label is one more voter that
     errs once in twenty. Without rows of both classes the score is a constant.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     chosen = ftrl.bounded_sample(known, "id", "y", max_per_class)
@@ -253,6 +255,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def _scorer(docs: DataFrame, model: Model, text_at: int):
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

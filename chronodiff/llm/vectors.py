@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronodiff.llm.tables import components, cut
+from chronodiff.llm.tables import components, cut, small_batches
 
 #: Vectors that the centroids are fitted on, about.
 SAMPLE = 20_000
@@ -193,6 +193,7 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str
     are not compared; a row without id is linked with nothing and its component
     is null; rows that share id and vector are one; an empty table stays empty.
     """
+    small_batches(rows.sparkSession)
     spark = rows.sparkSession
     own = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").alias("vec"))
     kind = own.schema["id"].dataType.simpleString()
