@@ -120,5 +120,5 @@ SECRET_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "au
 def redact(col: Column) -> Column:
     """Values of secret keys, bearer and basic credentials become ``***``."""
     keys = "|".join(SECRET_KEYS)
-    out = F.regexp_replace(col, rf"(?i)\b({keys})(\s*[=:]\s*)(\"[^\"]*\"|[^\s\",;]+)", "$1$2***")
-    return F.regexp_replace(out, r"(?i)\b(bearer|basic) +[A-Za-z0-9+/=._-]{8,}", "$1 ***")
+    out = F.regexp_replace(col, r"(?i)\b(bearer|basic) +[A-Za-z0-9+/=._-]{8,}", "$1 ***")
+    return F.regexp_replace(out, rf"(?i)\b({keys})(\s*[=:]\s*)(\"[^\"]*\"|[^\s\",;]+)", "$1$2***")

@@ -22,7 +22,7 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 #: Patterns and replacements in their order, common to Java's and RE2's dialect.
 STEPS: tuple[tuple[str, str], ...] = (
     (r"(?s)<!--.*?-->", ""),
-    (r"(?i)</(html|body)\s*>", ""),
+    (r"(?i)</(html|body)\s*>", "\x01"),
     *((rf"(?is)<{t}(\s[^>]*)?>.*?</{t}\s*>", "") for t in HIDDEN),
     (r"(?i)</t[dh]\s*>\s*<t[dh](\s[^>]*)?>", " | "),
     (rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>", "\x01"),

@@ -179,7 +179,7 @@ _KEYS = "|".join(T.SECRET_KEYS)
 
 @query(
     "b19_redact",
-    rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)\b({_KEYS})(\s*[=:]\s*)("[^"]*"|[^\s",;]+)', '\1\2***', 'g'), '(?i)\b(bearer|basic) +[A-Za-z0-9+/=._-]{{8,}}', '\1 ***', 'g')) AS digest FROM documents""",
+    rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)\b(bearer|basic) +[A-Za-z0-9+/=._-]{{8,}}', '\1 ***', 'g'), '(?i)\b({_KEYS})(\s*[=:]\s*)("[^"]*"|[^\s",;]+)', '\1\2***', 'g')) AS digest FROM documents""",
 )
 def b19_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("digest"))
