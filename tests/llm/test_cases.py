@@ -15,6 +15,13 @@ TEXTS = [None, "", " \n\t ", "one", "two words", PASSAGE, PASSAGE, f"before it {
 SCHEMA = "doc_id long, text string, id string, h string, s int, lines string, sketch string, label int, n long, score string"
 
 
+def test_columns_named_like_ours(spark):
+    d = spark.createDataFrame([(1, PASSAGE, 1, 2, 3), (2, PASSAGE, 1, 2, 3)], "doc_id long, text string, near_id int, hit_id int, cut_0 int")
+    items = spark.createDataFrame([(1, "no such words at all")], "item_id long, text string")
+    assert near.drop_near_duplicates(d).columns == leaks.decontaminate(d, items).columns == lines.dedup_lines(d).columns == d.columns
+    assert near.drop_near_duplicates(d).count() == 1 and leaks.decontaminate(d, items).count() == 2
+
+
 def docs(spark, texts=TEXTS, extra=True):
     rows = [(k, t, "x", None, 1, "y", "z", None, 7, "q") for k, t in enumerate(texts)]
     if extra:
