@@ -17,7 +17,7 @@ from chronodiff.llm.textnum import LETTERS, byte_class, chunks, hash_spans, hash
 #: Buckets of the hashed words.
 DIMS = 1 << 18
 #: Labelled rows of each class that lexicons and classifier are fitted on, about.
-MAX_PER_CLASS = 4000
+MAX_PER_CLASS = 2500
 #: Lexicons learned from the labelled rows, and the words and stems that they share out.
 LEXICONS, LEXICON_WORDS = 6, 120
 #: Bytes of the stems that count beside whole words.
