@@ -1,6 +1,6 @@
 """Passages of 50 bytes or more that an earlier document has: anchors, a run-length index, spans to remove.
 
-Every 50-byte window of a text has one anchor: the 26 bytes of it with the
+Every 50-byte window of a text has one anchor: the 20 bytes of it with the
 smallest hash, the first of them on a tie. Equal windows have equal anchors, so
 only windows around anchors that several documents share can repeat. The bytes
 around those anchors are gathered by anchor; a run-compressed Burrows-Wheeler
@@ -18,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronodiff.llm.tables import cut
+from chronodiff.llm.tables import cut, small_batches
 from chronodiff.llm.textnum import chunks, mix
 
 #: Bytes of a match, and of an anchor in it.
-MATCH, ANCHOR = 50, 26
+MATCH, ANCHOR = 50, 20
 #: Bytes of text worked on at once; a longer text is worked on alone.
 PART = 1 << 20
-#: Anchors that a task holds before it hands them on, and that a group of anchor hashes holds on average.
+#: Anchors that a task holds before it hands them on (a tenth of it with their text), and that a group of anchor hashes holds on average.
 HELD, GROUP = 2_000_000, 4_000_000
-#: Bytes of surroundings in one index, on average.
+#: Bytes of text for each index; what is shared of them goes into it.
 INDEX_BYTES = 4 << 20
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -150,49 +150,73 @@ def _filter_slice(bits: int, filter_bits: int):
     return work
 
 
-def _gather(shared, filter_bits: int):
-    """The surroundings of shared anchors: one row for each place, and one for each different text of a task."""
+PLACES = ["s", "c", "doc", "place", "g", "n_bytes", "texts", "docs"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = shared.value
-        kind, texts = None, {}
 
-        def surroundings() -> pa.RecordBatch:
-            keys = np.array(list(texts), np.int64).reshape(-1, 2)
-            rest = list(texts.values())
-            cols = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x[0] for x in rest], kind), pa.array([x[1] for x in rest], kind), pa.nulls(len(rest), pa.int64()), pa.array([x[2] for x in rest], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["h", "s", "doc", "last", "start", "seg"])
+def _gather(shared, filter_bits: int, n_groups: int):
+    """The surroundings of shared anchors: a row for each place, and packed rows of the different texts of a part.
+
+    A surrounding is all bytes of the windows of one anchor. It is named by its
+    hash (``s``) and 32 bits of the anchor's (``c``). The texts of a part that
+    belong to one group of anchors (``g``) are one row: compressed bytes, and
+    compressed lengths, first and last documents.
+    """
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        s, h, doc, part, first, last = (np.concatenate(x) for x in list(zip(*held, strict=True))[:6])
+        raws = [x[6] for x in held]
+        order = np.lexsort((doc, h, s))
+        s, h, doc = s[order], h[order], doc[order]
+        head = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])]))
+        tail = np.append(head[1:], len(s)) - 1
+        group = (mix(h[head].view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
+        by = np.argsort(group, kind="stable")
+        head, tail, group = head[by], tail[by], group[by]
+        at = order[head]
+        seg = [raws[p][a : b + MATCH] for p, a, b in zip(part[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True)]
+        size = (last[at] - first[at] + MATCH).astype(np.uint8)
+        low, high = doc[head], doc[tail]
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        rows = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            text = b"".join(seg[a:b])
+            rows.append((int(group[a]), len(text), pa.compress(text, "zstd", asbytes=True), pa.compress(size[a:b].tobytes() + low[a:b].tobytes() + high[a:b].tobytes(), "zstd", asbytes=True), b - a))
+        g, n, texts, docs, count = zip(*rows, strict=True)
+        none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*none, none[0], pa.array(count, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.binary()), pa.array(docs, pa.binary())], PLACES)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, held, size = shared.value, [], 0
         for batch in batches:
-            kind = batch.column(0).type
+            ids = batch.column(0).to_numpy().astype(np.int64)
             for lo, _, buf, off in chunks(batch.column(1), PART):
                 hasher = Hasher(buf)
                 h, first, last = anchors(buf, off, hasher)
                 spot = h >> np.uint64(64 - filter_bits)
                 on = (flags[(spot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (spot & np.uint64(7))).astype(np.uint8)) & 1 > 0
-                h, first, last = h[on], first[on], last[on]
+                h, first, last = h[on].view(np.int64), first[on], last[on]
                 if not len(h):
                     continue
                 s = mix(hasher.ranges(first, last + MATCH) + (last - first).astype(np.uint64)).view(np.int64)
                 row = np.searchsorted(off, first, "right") - 1
-                doc = batch.column(0).slice(lo, len(off) - 1).take(pa.array(row))
-                raw = buf.tobytes()
-                for key, d, a, b in zip(zip(h.view(np.int64).tolist(), s.tolist(), strict=True), doc.to_pylist(), first.tolist(), last.tolist(), strict=True):
-                    old = texts.get(key)
-                    if old is None:
-                        texts[key] = (d, d, raw[a : b + MATCH])
-                    elif d < old[0] or d > old[1]:
-                        texts[key] = (min(d, old[0]), max(d, old[1]), old[2])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s), doc, doc, pa.array(first - off[row]), pa.nulls(len(h), pa.binary())], ["h", "s", "doc", "last", "start", "seg"])
-                if len(texts) > HELD // 10:
-                    yield surroundings()
-                    texts.clear()
-        if texts:
-            yield surroundings()
+                doc = ids[lo + row]
+                none = [pa.nulls(len(h), t) for t in (pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(_check(h)), pa.array(doc), pa.array(first - off[row]), none[0], none[0], none[1], none[1]], PLACES)
+                held.append((s, h, doc, np.full(len(h), len(held)), first, last, buf.tobytes()))
+                size += len(h)
+                if size > HELD // 10:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
     return work
 
 
+def _check(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.int32)
+
+
 class RunIndex:
     """A run-compressed Burrows-Wheeler transform of many short texts.
 
@@ -245,9 +269,13 @@ class RunIndex:
         self.target = np.empty(len(self.run), np.int64)
         self.target[by] = np.cumsum(length[by]) - length[by]
 
-    def first_documents(self, sizes: np.ndarray) -> list[np.ndarray]:
-        """For each indexed text, streamed from its end: the smallest document that has each of its windows."""
-        out = [np.empty(max(k - MATCH + 1, 0), np.int64) for k in sizes.tolist()]
+    def first_documents(self, sizes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """The smallest document that has each window of the indexed texts, all in one row.
+
+        The texts are streamed from their ends, all at once; ``windows`` is
+        where each text's windows begin in the result.
+        """
+        out = np.empty(int((sizes - MATCH + 1).sum()), np.int64)
         row, text = np.arange(len(sizes)), np.arange(len(sizes))
         for step in range(1, int(sizes.max()) + 1):
             more = sizes[text] >= step
@@ -255,35 +283,60 @@ class RunIndex:
             run = np.searchsorted(self.run, row, "right") - 1
             row = self.target[run] + row - self.run[run]
             if step >= MATCH:
-                first = self.first[np.searchsorted(self.border, row, "right") - 1]
-                for t, x in zip(text.tolist(), first.tolist(), strict=True):
-                    out[t][sizes[t] - step] = x
+                out[windows[text] + sizes[text] - step] = self.first[np.searchsorted(self.border, row, "right") - 1]
         return out
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """(h, s, lo, hi, first): windows lo to hi of that surrounding have ``first`` as their smallest document."""
-    h, s = table["h"].to_numpy(), table["s"].to_numpy()
+    """(s, c, lo, hi, first): windows lo to hi of that surrounding have ``first`` as their smallest document."""
+    parts = []
+    for n, count, texts, docs in zip(*(table[c].to_pylist() for c in ("n_bytes", "place", "texts", "docs")), strict=True):
+        raw = pa.decompress(texts, n, "zstd", asbytes=True)
+        meta = pa.decompress(docs, 17 * count, "zstd", asbytes=True)
+        off = np.concatenate([[0], np.cumsum(np.frombuffer(meta, np.uint8, count), dtype=np.int64)])
+        hasher = Hasher(np.frombuffer(raw, np.uint8))
+        h, first, last = anchors(np.frombuffer(raw, np.uint8), off, hasher)
+        s = mix(hasher.ranges(first, last + MATCH) + (last - first).astype(np.uint64)).view(np.int64)
+        parts.append((h.view(np.int64), s, np.frombuffer(meta, np.int64, count, count), np.frombuffer(meta, np.int64, count, 9 * count), [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]))
+    h, s, doc, last = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    texts = [t for p in parts for t in p[4]]
     order = np.lexsort((s, h))
     h, s = h[order], s[order]
     head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])]))
-    doc = np.minimum.reduceat(table["doc"].to_numpy()[order], head)
-    last = np.maximum.reduceat(table["last"].to_numpy()[order], head)
+    doc, last = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(last[order], head)
     h, s = h[head], s[head]
-    seg = table["seg"].combine_chunks().take(pa.array(order[head]))
+    texts = [texts[k] for k in order[head].tolist()]
     anchor = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     of = np.repeat(np.arange(len(anchor)), np.diff(np.append(anchor, len(h))))
     wide = (np.minimum.reduceat(doc, anchor) != np.maximum.reduceat(last, anchor))[of]
-    seg, h, s, doc = seg.filter(pa.array(wide)), h[wide], s[wide], doc[wide]
-    rows: list[tuple] = []
-    if len(h):
-        texts = seg.to_pylist()
-        sizes = np.array([len(t) for t in texts])
-        for k, first in enumerate(RunIndex(texts, doc).first_documents(sizes)):
-            cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(first)]
-            rows += [(h[k], s[k], a, b - 1, first[a]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-    return pa.table({n: pa.array(np.array(c, np.int64)) for n, c in zip(("h", "s", "lo", "hi", "first"), cols, strict=True)})
+    if not wide.any():
+        none = np.zeros(0, np.int64)
+        return pa.table({"s": none, "c": none.astype(np.int32), "lo": none, "hi": none, "first": none})
+    texts = [t for t, w in zip(texts, wide.tolist(), strict=True) if w]
+    h, s, doc, last = h[wide], s[wide], doc[wide], np.maximum.reduceat(last, anchor)[of][wide]
+    sizes = np.array([len(t) for t in texts])
+    n = sizes - MATCH + 1
+    windows = np.cumsum(n) - n
+    first = RunIndex(texts, doc).first_documents(sizes, windows)
+    text = np.repeat(np.arange(len(n)), n)
+    head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (first[1:] != first[:-1])]))
+    tail = np.append(head[1:], len(first)) - 1
+    head, tail = (x[first[head] < last[text[head]]] for x in (head, tail))
+    text, first = text[head], first[head]
+    return pa.table({"s": s[text], "c": _check(h[text]), "lo": head - windows[text], "hi": tail - windows[text], "first": first})
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, starts, ends) with overlapping and touching spans made one."""
+    for batch in batches:
+        out = []
+        for starts, ends in zip(batch.column(1), batch.column(2), strict=True):
+            a, b = starts.values.to_numpy(), ends.values.to_numpy()
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            head = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+            out.append((a[head], b[np.append(head[1:], len(a)) - 1]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1)]], ["id", "starts", "ends"])
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +382,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are one document and do not repeat each other; an empty table stays empty;
     other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     keys = cut(rows.where("id is not null").select("id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(3), "text").alias("b")).where(F.col("n") >= MATCH), "texts")
@@ -353,15 +407,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         flags[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["flags"], np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(flags)
 
-    found = cut(source.mapInArrow(_gather(shared, filter_bits), f"h long, s long, doc {kind}, last {kind}, start long, seg binary"), "anchors")
-    texts = found.where("seg is not null").drop("start")
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0))).first()[0]
-    n_groups = int(size // INDEX_BYTES) + 1
-    answers = texts.groupBy(F.pmod(F.xxhash64("h"), F.lit(n_groups)).alias("g")).applyInArrow(_answers, "h long, s long, lo long, hi long, first long")
-    places = found.where("seg is null").select("h", "s", "doc", "start")
-    hits = places.join(answers, ["h", "s"]).where("first < doc")
-    spans = hits.groupBy("doc").agg(F.collect_list(F.col("start") + F.col("lo")).alias("starts"), F.collect_list(F.col("start") + F.col("hi") + MATCH).alias("ends"))
-    spans = cut(spans.withColumnRenamed("doc", "id"), "spans")
+    n_groups = int(total // INDEX_BYTES) + 1
+    found = cut(source.mapInArrow(_gather(shared, filter_bits, n_groups), "s long, c int, doc long, place long, g long, n_bytes long, texts binary, docs binary"), "anchors")
+    texts = found.where("g is not null").select("g", "place", "n_bytes", "texts", "docs")
+    answers = texts.groupBy("g").applyInArrow(_answers, "s long, c int, lo long, hi long, first long")
+    places = found.where("g is null").select("s", "c", "doc", "place")
+    hits = places.join(answers, ["s", "c"]).where("first < doc")
+    spans = hits.groupBy("doc").agg(F.collect_list(F.col("place") + F.col("lo")).alias("starts"), F.collect_list(F.col("place") + F.col("hi") + MATCH).alias("ends"))
+    spans = cut(spans.mapInArrow(_merge, f"id {kind}, starts array<long>, ends array<long>"), "spans")
     small = spans.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0] <= BROADCAST_IDS
     ready = marked.join(F.broadcast(spans) if small else spans, "id", "left").select("id", "text", "whole", "starts", "ends")
     out = ready.mapInArrow(_prune, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
