@@ -24,13 +24,14 @@ def unique_buckets(row_before: np.ndarray, bucket: np.ndarray, dims: int) -> tup
 
 
 def fit(indptr: np.ndarray, idx: np.ndarray, val: np.ndarray, target: np.ndarray, dims: int, *, alpha: float, l1: float,
-        l2: float, beta: float = 1.0, epochs: int = 3, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+        l2: float, beta: float = 1.0, epochs: int = 3, seed: int = 7, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights (dims, classes) and biases of a softmax model, one row at a time.
 
     FTRL-proximal with its own learning rate for each coordinate and an elastic
     net (``l1``, ``l2``); a weight whose sum of gradients stays within ``l1``
     is exactly 0. ``target`` holds class probabilities, (rows, classes). Two
-    classes are a logistic regression: the first column is held at 0.
+    classes are a logistic regression: the first column is held at 0. A row of
+    ``weight`` 2 counts as two.
     """
     n, classes = target.shape
     free = slice(1, None) if classes == 2 else slice(None)
@@ -48,7 +49,7 @@ def fit(indptr: np.ndarray, idx: np.ndarray, val: np.ndarray, target: np.ndarray
             logit = (x * w).sum(axis=0) + b
             full = np.concatenate([[0.0], logit]) if classes == 2 else logit
             p = np.exp(full - full.max())
-            error = (p / p.sum() - target[r])[free]
+            error = (p / p.sum() - target[r])[free] * (1.0 if weight is None else weight[r])
             g = x * error
             z[i] = zi + g - (np.sqrt(si + g * g) - root) / alpha * w
             s[i] = si + g * g
@@ -66,17 +67,24 @@ def crc_bucket(id_col: Column, parts: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % parts
 
 
-def bounded_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each class: those whose hashed id falls below the class's share.
 
     A class of fewer rows is taken whole. The choice depends on the ids alone.
+    Also how many of its class a row stands for: all rows by expected sample.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(class_col).count().collect()}
     if not counts:
-        return rows
+        return rows, {}
     share = F.coalesce(*[F.when(F.col(class_col).eqNullSafe(F.lit(k)), F.lit(min(1.0, per_class / n))) for k, n in counts.items()])
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_003)) / 1_000_003
-    return rows.where(draw < share)
+    return rows.where(draw < share), {k: max(1.0, n / per_class) for k, n in counts.items()}
+
+
+def row_weights(classes: list, stand_for: dict) -> np.ndarray:
+    """Weights that give a bounded sample the class shares of all rows; 1 in the class that is sampled least."""
+    w = np.array([stand_for[k] for k in classes], float)
+    return w / min(stand_for.values(), default=1.0)
 
 
 def sample_features(rows: DataFrame, text_col: str, label_col: str, featurize) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:

@@ -124,7 +124,8 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Document frequencies come from all the rows; weights from about
     ``max_per_language`` rows of each language, four fifths of them to fit (FTRL
-    with elastic net) and the rest to choose the temperature. Rows without text
+    with elastic net) and the rest to choose the temperature, both weighted so
+    that the languages keep their shares in all rows. Rows without text
     or language are left out; without any row there is no language to answer.
     """
     small_batches(rows.sparkSession)
@@ -140,18 +141,19 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         n = np.repeat(np.maximum(np.diff(before), 1), np.diff(indptr))
         return indptr, idx, counts / n * SCALE * idf[idx]
 
-    sample = ftrl.bounded_sample(known, "id", "lang", max_per_language)
+    sample, stand_for = ftrl.bounded_sample(known, "id", "lang", max_per_language)
     indptr, idx, val, lang = ftrl.sample_features(sample, "text", "lang", featurize)
     langs = sorted(set(lang))
     y = np.array([langs.index(x) for x in lang])
     if len(langs) == 1:
         return Model(langs, np.zeros((DIMS, 1), np.float32), np.zeros(1))
+    weight = ftrl.row_weights(lang, stand_for)
     target = np.eye(len(langs))[y]
     check = np.arange(len(y)) % 5 == 4
     fit_rows = np.flatnonzero(~check) if check.any() else np.arange(len(y))
-    w, b = ftrl.fit(*_take(indptr, idx, val, fit_rows), target[fit_rows], DIMS, alpha=0.5, l1=0.05, l2=0.01, epochs=3)
+    w, b = ftrl.fit(*_take(indptr, idx, val, fit_rows), target[fit_rows], DIMS, alpha=0.5, l1=0.05, l2=0.01, epochs=3, weight=weight[fit_rows])
     logits = _logits(*_take(indptr, idx, val, np.flatnonzero(check)), w, b)
-    temperature = _calibrate(logits, y[check])
+    temperature = _calibrate(logits, y[check], weight[check])
     return Model(langs, (w * idf[:, None]).astype(np.float32), b, temperature)
 
 
@@ -166,7 +168,7 @@ def _logits(indptr: np.ndarray, idx: np.ndarray, val: np.ndarray, w: np.ndarray,
     return total[indptr[1:]] - total[indptr[:-1]] + b
 
 
-def _calibrate(logits: np.ndarray, y: np.ndarray) -> float:
+def _calibrate(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The temperature of least cross-entropy on rows that the fit has not seen.
 
     Targets are smoothed by one row of each language, so that a check without
@@ -181,7 +183,7 @@ def _calibrate(logits: np.ndarray, y: np.ndarray) -> float:
         z = logits / t
         z = z - z.max(axis=1, keepdims=True)
         z = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return float(-((1 - smooth) * z[np.arange(len(y)), y] + smooth * z.mean(axis=1)).mean())
+        return float(-np.average((1 - smooth) * z[np.arange(len(y)), y] + smooth * z.mean(axis=1), weights=weight))
 
     return float(min(np.geomspace(0.05, 200, 161), key=loss))
 

@@ -79,7 +79,8 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_per_class: int = MAX_PER_CLASS) -> Model:
-    """A model of ``label_col`` (0 or 1) from at most about ``max_per_class`` labelled rows of each class.
+    """A model of ``label_col`` (0 or 1) from at most about ``max_per_class`` labelled rows of each class,
+    weighted so that the classes keep their shares in all labels.
 
     ``labels`` are the rows that may be learned from. Rows without label or
     text are left out. Without rows of both classes the model gives every text
@@ -88,13 +89,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
-    chosen = ftrl.bounded_sample(known, "id", "y", max_per_class)
+    chosen, stand_for = ftrl.bounded_sample(known, "id", "y", max_per_class)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     indptr, idx, val, y = ftrl.sample_features(rows.join(F.broadcast(chosen), "id"), "text", "y", features)
     if len(set(y)) < 2:
         return Model(np.zeros(DIMS, np.float32), 0.0 if not y else (4.0 if y[0] else -4.0))
-    y = np.array(y)
-    w, b = ftrl.fit(indptr, idx, val, np.stack([1 - y, y], 1).astype(float), DIMS, alpha=0.5, l1=0.3, l2=0.05, epochs=6)
+    weight, y = ftrl.row_weights(y, stand_for), np.array(y)
+    w, b = ftrl.fit(indptr, idx, val, np.stack([1 - y, y], 1).astype(float), DIMS, alpha=0.5, l1=0.3, l2=0.05, epochs=6, weight=weight)
     return Model(w[:, 1], float(b[1]))
 
 

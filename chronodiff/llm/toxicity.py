@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     """Lexicons, label model and classifier.
 
     ``labels`` are the rows that may be learned from (0 or 1; others are left
-    out), of which about ``max_per_class`` of each class are used. The label
+    out), of which about ``max_per_class`` of each class are used, weighted so that
+    the classes keep their shares in all labels. The label
     model counts the votes on all documents. The classifier's targets are the
     label model's posteriors, in which a row's own label is one more voter that
     errs once in twenty. Without rows of both classes the score is a constant.
@@ -210,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
-    chosen = ftrl.bounded_sample(known, "id", "y", max_per_class)
+    chosen, stand_for = ftrl.bounded_sample(known, "id", "y", max_per_class)
     label = {r["id"]: r["y"] for r in chosen.collect()}
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     rows = rows.join(F.broadcast(chosen.select("id")), "id")  # bounded by max_per_class
@@ -221,13 +222,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     lexicons = learn_lexicons(indptr, idx, y)
     pattern = dict(zip(*_sample_votes(rows, lexicons), strict=True))
     votes = np.array([pattern[i] for i in ids])
-    gold = np.stack([np.bincount(votes, weights=w, minlength=1 << VOTERS) for w in (1 - y, y)], axis=1)
+    whole = np.where(y > 0, stand_for[1], stand_for[0])
+    gold = np.stack([np.bincount(votes, weights=w * whole, minlength=1 << VOTERS) for w in (1 - y, y)], axis=1)
     counts = np.maximum(count_patterns(docs, lexicons, text_col) - gold.sum(axis=1), 0)
     label_model = fit_label_model(counts, gold)
     post = np.clip(label_model.posterior[votes], 1e-4, 1 - 1e-4)
     target = 1 / (1 + np.exp(-(np.log(post / (1 - post)) + np.where(y > 0, 1, -1) * np.log(19.0))))
     bucket = (idx.view(np.uint64) % np.uint64(DIMS)).astype(np.int64)
-    w, b = ftrl.fit(indptr, bucket, val, np.stack([1 - target, target], 1), DIMS, alpha=0.3, l1=3.0, l2=0.1, epochs=5)
+    w, b = ftrl.fit(indptr, bucket, val, np.stack([1 - target, target], 1), DIMS, alpha=0.3, l1=3.0, l2=0.1, epochs=5, weight=ftrl.row_weights(y.astype(int).tolist(), stand_for))
     return Model(w[:, 1], float(b[1]), label_model)
 
 

@@ -1,8 +1,9 @@
 """What a review found missing: each test fails on the code before its finding was settled."""
 
 import numpy as np
+import pytest
 
-from chronodiff.llm import lm
+from chronodiff.llm import langid, lm, quality, toxicity
 
 
 def test_lm_predicts_words_and_its_vocabulary_grows(spark):
@@ -20,3 +21,25 @@ def test_lm_predicts_words_and_its_vocabulary_grows(spark):
     rows = spark.createDataFrame(list(enumerate(prose(600)[:20] + invented)), "doc_id long, text string")
     got = {r["doc_id"]: r["mean_log_prob"] for r in lm.score(rows, large).collect()}
     assert min(got[k] for k in range(20)) > max(got[k] for k in range(20, 40)) + 5
+
+
+@pytest.mark.parametrize(("op", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_class_shares_do_not_depend_on_the_sample(spark, op, label):
+    rng = np.random.default_rng(3)
+    plain = [f"plain{k}" for k in range(40)]
+    texts = [" ".join([*rng.choice(plain, 6), *(["idiot scum trash"] if k % 9 == 0 and k % 2 else [])]) for k in range(4500)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(k, int(k % 9 == 0)) for k in range(4500)], f"doc_id long, {label} int")
+    few, all_rows = ({r["doc_id"]: r["score"] for r in op.score(d, op.train(d, known, label, max_per_class=n)).collect()} for n in (400, 10**6))
+    assert np.mean([(few[k] >= 0.5) == (all_rows[k] >= 0.5) for k in range(4500)]) > 0.97
+    even = [k for k in range(4500) if k % 18]
+    assert abs(np.mean([few[k] for k in even]) - np.mean([all_rows[k] for k in even])) < 0.1
+
+
+def test_language_shares_do_not_depend_on_the_sample(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"], 8)), "bb" if k % 9 == 0 else "aa") for k in range(4500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, all_rows = ([(r["lang_pred"], r["score"]) for r in langid.identify(d, langid.train(d, max_per_language=n)).orderBy("doc_id").collect()] for n in (400, 10**6))
+    assert np.mean([a[0] == b[0] for a, b in zip(few, all_rows, strict=True)]) > 0.9
+    assert abs(np.mean([s for _, s in few]) - np.mean([s for _, s in all_rows])) < 0.1
