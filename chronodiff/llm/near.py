@@ -161,6 +161,7 @@ def _compare(percent: int):
         marks = np.array([np.frombuffer(s, np.uint64) for s in group["sketch"]])
         ids, comp, right = group["id"].tolist(), group["comp"].to_numpy(), group["right"].to_numpy()
         own, other = np.flatnonzero(~right), np.flatnonzero(right)
+        other = other if len(other) else own
         edges, parent = [], {}
         for lo in range(0, len(own), BLOCK):
             i = own[lo : lo + BLOCK]
@@ -174,10 +175,10 @@ def _compare(percent: int):
 
 
 def _compared(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between the left and right rows of each block (``k1``, ``k2``)."""
+    """Confirmed links between the left and right rows of each block (``k1``, ``k2``, ``k3``); among the left rows if there are no right ones."""
     kind = blocks.schema["id"].dataType.simpleString()
     rows = blocks.join(sets, "id")
-    return rows.groupBy("k1", "k2").applyInPandas(_compare(percent), f"a {kind}, b {kind}")
+    return rows.groupBy("k1", "k2", "k3").applyInPandas(_compare(percent), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -192,14 +193,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        Documents with equal sets are one from here on.
     2. Documents that share a band key meet in a bucket. Each is compared with
        the smallest of the bucket, in blocks; links give first components.
-    3. In a bucket that still holds several components, every document is
-       compared with all documents outside the component of the smallest one,
-       in blocks. So every pair that shares a bucket is either in one component
+    3. In a bucket that still holds several components, every document outside
+       the component of the smallest one is compared with all documents, block
+       by block of both. So every pair that shares a bucket is either in one component
        already or compared; no pair list is written.
 
     A comparison estimates the similarity by odd sketches and confirms it on
-    the full sets. Blocks bound what one task holds, whatever the bucket's
-    size.
+    the full sets. A group holds about two blocks at most, whatever the
+    bucket's size.
 
     Defined cases: null, empty and blank texts have an empty set and are linked
     with nothing; a row without id is linked with nothing and its component is
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = pairs.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     heads = sizes.select(F.col("lead").alias("k1"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k2"), F.col("lead").alias("id"), F.lit(True).alias("right"))
     tails = pairs.join(sizes, "lead").select(F.col("lead").alias("k1"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("k2"), "id", F.lit(False).alias("right"))
-    first = cut(_compared(heads.unionByName(tails).withColumn("comp", F.col("id")), sets, percent), "links")
+    first = cut(_compared(heads.unionByName(tails).withColumn("comp", F.col("id")).withColumn("k3", F.lit(0)), sets, percent), "links")
 
     comps = components(first)
     placed = cut(
@@ -237,11 +238,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("s"), F.min_by("comp", "id").alias("main")
     ).where("low <> high")
     split = split.groupBy("x", "s", "n").agg(F.min("key").alias("key"), F.min_by("main", "key").alias("main"))
-    split = split.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    mixed = placed.join(split, "key")
-    home = mixed.select(F.col("key").alias("k1"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("k2"), "id", F.lit(False).alias("right"), "comp")
-    minor = mixed.where("comp <> main").select(F.col("key").alias("k1"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k2"), "id", F.lit(True).alias("right"), "comp")
-    second = cut(_compared(home.unionByName(minor), sets, percent), "links")
+    mixed = placed.join(split.select("key", "main"), "key").withColumn("minor", F.col("comp") != F.col("main"))
+    parts = mixed.groupBy("key").agg(*[F.ceil(F.count(F.when(F.col("minor") == x, 1)) / BLOCK).cast("int").alias(c) for c, x in (("p", False), ("q", True))])
+    mixed = mixed.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("q")).otherwise(F.col("p"))).cast("int"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias("o")
+    base = ["key", "id", "comp", "own"]
+    home = mixed.where("not minor").select(*base, upto("q")).select("key", "id", "comp", F.col("own").alias("i"), F.col("o").alias("j"), F.lit(False).alias("right"))
+    minor = mixed.where("minor and p > 0").select(*base, upto("p")).select("key", "id", "comp", F.col("o").alias("i"), F.col("own").alias("j"), F.lit(True).alias("right"))
+    # products of two minor parts have negative numbers, so that they are none of a home part
+    within = mixed.where("minor").select(*base, upto("q")).select("key", "id", "comp", (-1 - F.least("own", "o")).alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).alias("right"))
+    blocks = home.unionByName(minor).unionByName(within).select(F.col("key").alias("k1"), F.col("i").alias("k2"), F.col("j").alias("k3"), "id", "right", "comp")
+    second = cut(_compared(blocks, sets, percent), "links")
     comps = components(first.unionByName(second))
 
     named = same.join(comps, same["rep"] == comps["node"], "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))

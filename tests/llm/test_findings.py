@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from chronodiff.llm import langid, lm, quality, toxicity
+from chronodiff.llm import langid, lm, near, quality, toxicity
 
 
 def test_lm_predicts_words_and_its_vocabulary_grows(spark):
@@ -43,3 +43,24 @@ def test_language_shares_do_not_depend_on_the_sample(spark):
     few, all_rows = ([(r["lang_pred"], r["score"]) for r in langid.identify(d, langid.train(d, max_per_language=n)).orderBy("doc_id").collect()] for n in (400, 10**6))
     assert np.mean([a[0] == b[0] for a, b in zip(few, all_rows, strict=True)]) > 0.9
     assert abs(np.mean([s for _, s in few]) - np.mean([s for _, s in all_rows])) < 0.1
+
+
+def test_near_duplicate_groups_are_bounded(spark, monkeypatch):
+    from tests.llm.test_cases import jaccard_groups
+
+    sizes, compared = [], near._compared
+
+    def watched(blocks, sets, percent):
+        keys = [c for c in blocks.columns if c in ("k1", "k2", "k3")]
+        sizes.append(blocks.groupBy(*keys).count().agg({"count": "max"}).first()[0])
+        return compared(blocks, sets, percent)
+
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "_compared", watched)
+    template = [f"t{k}" for k in range(100)]
+    texts = [" ".join([*template, *(f"u{k}x{j}" for j in range(20))]) for k in range(300)]
+    texts += [f"{t} end" for t in texts[40:60]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in near.near_duplicates(d, size=5, percent=80).collect()}
+    assert got == jaccard_groups(list(enumerate(texts)), 5, 80)
+    assert max(sizes) <= 4 * near.BLOCK
