@@ -3,9 +3,10 @@
 Every 50-byte window of a text has one anchor: the 20 bytes of it with the
 smallest hash, the first of them on a tie. Equal windows have equal anchors, so
 only windows around anchors that several documents share can repeat. The bytes
-around those anchors are gathered by anchor; a run-compressed Burrows-Wheeler
-index of the different surroundings tells, for every window, the first document
-that has it.
+around those anchors are gathered by anchor. Surroundings of the first documents
+go into a run-compressed Burrows-Wheeler index with samples at run ends; the
+others are streamed through it, and matching statistics of 50 or more tell which
+windows an earlier document has.
 """
 
 from __future__ import annotations
@@ -27,8 +28,14 @@ MATCH, ANCHOR = 50, 20
 PART = 1 << 20
 #: Anchors that a task holds before it hands them on (a tenth of it with their text), and that a group of anchor hashes holds on average.
 HELD, GROUP = 2_000_000, 4_000_000
-#: Bytes of text for each index; what is shared of them goes into it.
-INDEX_BYTES = 4 << 20
+#: Bytes of the longest surrounding: all windows of one anchor.
+WIDEST = 2 * MATCH - ANCHOR
+#: Bytes of text for each group of anchors; what is shared of them goes into it.
+GROUP_BYTES = 4 << 20
+#: Bytes that an index holds at most, and texts streamed through it at once.
+MAX_INDEX, STREAMED = 1 << 20, 1 << 14
+#: An anchor with more places than this is settled by an aggregation over its windows, not in one task.
+HOT = 50_000
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: The filter of shared anchors has 2 ** bits bits: this many at most (32 MB).
@@ -150,14 +157,18 @@ def _filter_slice(bits: int, filter_bits: int):
     return work
 
 
-PLACES = ["s", "c", "doc", "place", "g", "n_bytes", "texts", "docs"]
+PLACES = ["s", "h", "doc", "place", "g", "n_bytes", "texts", "docs"]
+
+
+def _group(h: np.ndarray, n_groups: int) -> np.ndarray:
+    return (mix(h.view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
 
 
 def _gather(shared, filter_bits: int, n_groups: int):
     """The surroundings of shared anchors: a row for each place, and packed rows of the different texts of a part.
 
     A surrounding is all bytes of the windows of one anchor. It is named by its
-    hash (``s``) and 32 bits of the anchor's (``c``). The texts of a part that
+    hash (``s``) and the anchor's (``h``). The texts of a part that
     belong to one group of anchors (``g``) are one row: compressed bytes, and
     compressed lengths, first and last documents.
     """
@@ -169,7 +180,7 @@ def _gather(shared, filter_bits: int, n_groups: int):
         s, h, doc = s[order], h[order], doc[order]
         head = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])]))
         tail = np.append(head[1:], len(s)) - 1
-        group = (mix(h[head].view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
+        group = _group(h[head], n_groups)
         by = np.argsort(group, kind="stable")
         head, tail, group = head[by], tail[by], group[by]
         at = order[head]
@@ -182,8 +193,8 @@ def _gather(shared, filter_bits: int, n_groups: int):
             text = b"".join(seg[a:b])
             rows.append((int(group[a]), len(text), pa.compress(text, "zstd", asbytes=True), pa.compress(size[a:b].tobytes() + low[a:b].tobytes() + high[a:b].tobytes(), "zstd", asbytes=True), b - a))
         g, n, texts, docs, count = zip(*rows, strict=True)
-        none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int32())]
-        return pa.RecordBatch.from_arrays([*none, none[0], pa.array(count, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.binary()), pa.array(docs, pa.binary())], PLACES)
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(count, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.binary()), pa.array(docs, pa.binary())], PLACES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, held, size = shared.value, [], 0
@@ -197,11 +208,11 @@ def _gather(shared, filter_bits: int, n_groups: int):
                 h, first, last = h[on].view(np.int64), first[on], last[on]
                 if not len(h):
                     continue
-                s = mix(hasher.ranges(first, last + MATCH) + (last - first).astype(np.uint64)).view(np.int64)
+                s = _name(hasher, first, last)
                 row = np.searchsorted(off, first, "right") - 1
                 doc = ids[lo + row]
                 none = [pa.nulls(len(h), t) for t in (pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(_check(h)), pa.array(doc), pa.array(first - off[row]), none[0], none[0], none[1], none[1]], PLACES)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(h), pa.array(doc), pa.array(first - off[row]), none[0], none[0], none[1], none[1]], PLACES)
                 held.append((s, h, doc, np.full(len(h), len(held)), first, last, buf.tobytes()))
                 size += len(h)
                 if size > HELD // 10:
@@ -213,117 +224,333 @@ def _gather(shared, filter_bits: int, n_groups: int):
     return work
 
 
-def _check(h: np.ndarray) -> np.ndarray:
-    return h.astype(np.int32)
+#: No document has this window.
+NOBODY = np.iinfo(np.int64).max
 
 
-class RunIndex:
-    """A run-compressed Burrows-Wheeler transform of many short texts.
+def suffix_order(sym: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Positions in the order of their suffixes, each up to the end of its text; equal ones by position.
+
+    Ranks of 5 bytes, then of 10, 20, 40 and 80: rank, rank of what follows and
+    position are one number, so every round is a plain sort.
+    """
+    n, bits = len(sym), np.uint64(21)
+    place, mask = np.arange(n, dtype=np.uint64), np.uint64((1 << 21) - 1)
+    padded = np.concatenate([sym, np.zeros(4, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for k in range(5):
+        key = (key << np.uint64(8)) | np.where(left > k, padded[k : k + n], np.uint64(0))
+    depth = 5
+    while True:
+        key = np.sort((key << bits) | place)
+        order = (key & mask).astype(np.int64)
+        key >>= bits
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        if depth >= WIDEST or new.all():
+            return order
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(new).astype(np.uint64)
+        more = np.zeros(n, np.uint64)
+        some = np.flatnonzero(left > depth)
+        more[some] = rank[some + depth]
+        key = (rank << bits) | more
+        depth *= 2
 
-    Suffixes are ordered up to the end of their text, equal ones by text. Kept
-    are the runs of the transform, with the rank of each run's symbol before it
-    (for the step to the preceding symbol), and a sample at each border between
-    suffixes that differ in their first ``MATCH`` bytes: the smallest document.
+
+class RunIndex:
+    """A run-compressed Burrows-Wheeler transform of many short texts, sampled at the ends of its runs.
+
+    Kept are the runs (first row, symbol, row to which the first row steps
+    back) and the positions of their first and last rows. ``above`` follows
+    from these samples alone: the suffix one row up. Where the rows of p + 1
+    and of the suffix above it carry the same symbol, the suffix above p is one
+    byte before that; else p + 1 begins a run, and the suffix above p is one
+    byte before the last row of the run before, in the order of symbols.
     """
 
-    def __init__(self, texts: list[bytes], docs: np.ndarray):
-        size = np.array([len(t) for t in texts])
-        raw = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
-        sym = raw + np.uint8(1)  # UTF-8 has no byte above 0xF4; the end of a text becomes 0
+    def __init__(self, sym: np.ndarray, size: np.ndarray, docs: np.ndarray):
+        """``sym``: bytes of the texts plus 1, a 0 behind each; ``docs``: the document of each text."""
         n = len(sym)
-        owner = np.repeat(np.arange(len(texts)), size + 1)
-        left = np.cumsum(size + 1)[owner] - np.arange(n)
-        padded = np.concatenate([sym, np.zeros(8, np.uint8)]).astype(np.uint64)
-        word = np.zeros(n, np.uint64)
-        for k in range(8):
-            word = (word << np.uint64(8)) | np.where(left > k, padded[k : k + n], 0)
-        order = np.argsort(word, kind="stable")
-        group = np.cumsum(np.concatenate([[True], word[order][1:] != word[order][:-1]]))
-        depth = 8
-        while True:
-            same = group[1:] == group[:-1]
-            tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-            at = order[tied]
-            if not len(tied) or depth > int(left[at].max()):
-                break
-            more = np.where(left[at] > depth, word[np.minimum(at + depth, n - 1)], 0)
-            by = np.lexsort((more, group[tied]))
-            order[tied] = at[by]
-            new = np.concatenate([[True], group[1:] != group[:-1]])
-            new[tied[1:]] |= (more[by][1:] != more[by][:-1]) & (tied[1:] == tied[:-1] + 1)
-            group = np.cumsum(new)
-            depth += 8
-        long = left[order] > MATCH
-        differs = ~(long[1:] & long[:-1])
-        for k in (0, 8, 16, 24, 32, 40, MATCH - 8):
-            w = word[np.minimum(order + k, n - 1)]
-            differs |= w[1:] != w[:-1]
-        self.border = np.flatnonzero(np.concatenate([[True], differs]))
-        self.first = np.minimum.reduceat(docs[owner[order]], self.border)
-        symbol = sym[order - 1]
-        symbol[left[order] == size[owner[order]] + 1] = 0
-        self.run = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+        if n > MAX_INDEX:
+            raise ValueError(f"{n} bytes are too many for an index")
+        ends = np.cumsum(size + 1)
+        left = np.repeat(ends, size + 1) - np.arange(n)
+        order = suffix_order(sym, left)
+        begins = np.zeros(n, bool)
+        begins[ends - size - 1] = True
+        symbol = np.where(begins[order], 0, sym[order - 1])
+        self.run = np.flatnonzero(np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (symbol[1:] == 0)]))
         self.symbol = symbol[self.run]
-        length = np.diff(np.append(self.run, n))
-        by = np.argsort(self.symbol, kind="stable")
+        last = np.append(self.run[1:], n) - 1
+        self.length = last - self.run + 1
+        self.head, self.tail = order[self.run], order[last]
+        self.by = np.argsort(self.symbol, kind="stable")
+        self.key = self.symbol[self.by].astype(np.int64) * len(self.run) + self.by
         self.target = np.empty(len(self.run), np.int64)
-        self.target[by] = np.cumsum(length[by]) - length[by]
+        self.target[self.by] = np.cumsum(self.length[self.by]) - self.length[self.by]
+        self.text = np.concatenate([sym, np.zeros(WIDEST, np.uint8)])
+        self._sample(ends)
+        self.first = self._first_documents(np.flatnonzero(left > MATCH), np.repeat(docs, size + 1))
+
+    def _sample(self, ends: np.ndarray) -> None:
+        before = np.empty(len(self.run), np.int64)
+        before[self.by[1:]] = self.tail[self.by[:-1]]
+        inner = self.symbol > 0
+        if inner.any():  # above the first symbol's rows are those of the ends
+            before[self.by[int((~inner).sum())]] = ends[-1]
+        at = np.concatenate([self.head[inner] - 1, ends - 1])
+        above = np.concatenate([before[inner] - 1, [-2 * len(self.text)], ends[:-1] - 1])
+        by = np.argsort(at)
+        self.sample_at, self.sample = at[by], above[by]
+
+    def above(self, at: np.ndarray) -> np.ndarray:
+        """The position whose suffix is one row up; negative for the first row."""
+        k = np.searchsorted(self.sample_at, at)
+        return self.sample[k] - (self.sample_at[k] - at)
+
+    def _first_documents(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """For each position with a window: the smallest document among the equal windows in the rows around it."""
+        out = np.full(len(self.text), NOBODY)
+        if not len(at):
+            return out
+        name = Hasher(self.text).every(MATCH)
+        number = np.full(len(self.text), -1)
+        number[at] = np.arange(len(at))
+        up = self.above(at)
+        up[up < 0] = len(self.text) - 1
+        equal = (number[up] >= 0) & (name[at] == name[np.minimum(up, len(name) - 1)])
+        top = np.where(equal, number[up], np.arange(len(at)))
+        while not np.array_equal(higher := top[top], top):
+            top = higher
+        least = np.full(len(at), NOBODY)
+        np.minimum.at(least, top, doc[at])
+        out[at] = least[top]
+        return out
 
-    def first_documents(self, sizes: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """The smallest document that has each window of the indexed texts, all in one row.
+    def _common(self, own: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """How many bytes of ``own`` (rows of as many columns as the longest length) the text at ``at`` shares, ``length`` at most."""
+        differs = self.text[at[:, None] + np.arange(own.shape[1])] != own
+        return np.minimum(np.where(differs.any(axis=1), differs.argmax(axis=1), own.shape[1]) if own.shape[1] else 0, length)
 
-        The texts are streamed from their ends, all at once; ``windows`` is
-        where each text's windows begin in the result.
+    def stream(self, texts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The smallest indexed document that has each window of other texts, by matching statistics.
+
+        ``texts`` are rows of ``WIDEST`` symbols, flush right, longest first.
+        All are read from their ends at once. A text's state is a row, that
+        row's position, and how many bytes match from there. Where the row's
+        run has the text's byte, one step back makes the match longer; else
+        the state moves to the nearest runs of that byte, above or below, whose
+        sampled ends tell which of both keeps more of the match.
         """
-        out = np.empty(int((sizes - MATCH + 1).sum()), np.int64)
-        row, text = np.arange(len(sizes)), np.arange(len(sizes))
-        for step in range(1, int(sizes.max()) + 1):
-            more = sizes[text] >= step
-            row, text = row[more], text[more]
-            run = np.searchsorted(self.run, row, "right") - 1
-            row = self.target[run] + row - self.run[run]
+        k = len(size)
+        row, at, length = np.zeros(k, np.int64), np.full(k, self.head[0]), np.zeros(k, np.int64)
+        out = np.full((k, WIDEST - MATCH + 1), NOBODY)
+        runs = len(self.run)
+        for step in range(1, int(size[0]) + 1 if k else 1):
+            m = int(np.searchsorted(-size, -step, "right"))
+            c = texts[:m, WIDEST - step].astype(np.int64)
+            run = np.searchsorted(self.run, row[:m], "right") - 1
+            lost = np.flatnonzero(self.symbol[run] != c)
+            stay = lost[:0]
+            if len(lost):
+                spot = np.searchsorted(self.key, c[lost] * runs + run[lost])
+                near = [np.maximum(spot - 1, 0), np.minimum(spot, runs - 1)]
+                there = [(self.key[x] // runs == c[lost]) & ok for x, ok in zip(near, (spot > 0, spot < runs), strict=True)]
+                near = [self.by[x] for x in near]
+                begin = WIDEST - step + 1
+                own = texts[lost, begin : begin + int(length[lost].max())]
+                kept = [np.where(ok, self._common(own, end[x], length[lost]), -1) for x, ok, end in zip(near, there, (self.tail, self.head), strict=True)]
+                up = kept[0] >= kept[1]
+                run[lost] = np.where(up, near[0], near[1])
+                row[lost] = self.run[run[lost]] + np.where(up, self.length[run[lost]] - 1, 0)
+                at[lost] = np.where(up, self.tail[run[lost]], self.head[run[lost]])
+                length[lost] = np.maximum(kept[0], kept[1])
+                stay = lost[length[lost] < 0]  # the byte is in no indexed text
+            held = row[stay], at[stay]
+            row[:m] = self.target[run] + row[:m] - self.run[run]
+            at[:m] -= 1
+            length[:m] += 1
+            row[stay], at[stay] = held
             if step >= MATCH:
-                out[windows[text] + sizes[text] - step] = self.first[np.searchsorted(self.border, row, "right") - 1]
+                long = np.flatnonzero(length[:m] >= MATCH)
+                out[long, size[long] - step] = self.first[at[long]]
         return out
 
 
-def _answers(table: pa.Table) -> pa.Table:
-    """(s, c, lo, hi, first): windows lo to hi of that surrounding have ``first`` as their smallest document."""
-    parts = []
+def _taken(buf: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those texts as symbols with a 0 behind each, and their sizes."""
+    size = off[rows + 1] - off[rows]
+    begin = np.cumsum(size + 1) - (size + 1)
+    sym = np.zeros(int((size + 1).sum()), np.uint8)
+    rel = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    sym[rel + np.repeat(begin, size)] = buf[rel + np.repeat(off[rows], size)] + np.uint8(1)  # UTF-8 has no byte 255
+    return sym, size
+
+
+def first_documents(buf: np.ndarray, off: np.ndarray, docs: np.ndarray, start: int | None = None) -> np.ndarray:
+    """For every window of the texts, text by text: the smallest document that has it.
+
+    In rounds: the texts of the smallest documents are indexed, the others are
+    streamed through the index. A window found there is settled, as no text
+    outside the index has a smaller document; texts all of whose windows are
+    settled are never indexed. So of texts that repeat little is indexed. The
+    first round takes a quarter of the bytes, each other twice as many as the
+    one before, ``MAX_INDEX`` at most.
+    """
+    start = min(MAX_INDEX, start or max(1 << 15, len(buf) // 4))
+    windows = np.diff(off) - MATCH + 1
+    begin = np.cumsum(windows) - windows
+    out = np.full(int(windows.sum()), NOBODY)
+    todo = np.argsort(docs, kind="stable")
+    while len(todo):
+        held = max(1, int(np.searchsorted(np.cumsum(off[todo + 1] - off[todo] + 1), start, "right")))
+        own, todo = todo[:held], todo[held:]
+        sym, size = _taken(buf, off, own)
+        index = RunIndex(sym, size, docs[own])
+        rel = np.arange(int(windows[own].sum())) - np.repeat(np.cumsum(windows[own]) - windows[own], windows[own])
+        at = rel + np.repeat(np.cumsum(size + 1) - (size + 1), windows[own])
+        spot = rel + np.repeat(begin[own], windows[own])
+        out[spot] = np.minimum(out[spot], index.first[at])
+        open_ = []
+        for lo in range(0, len(todo), STREAMED):
+            rows = todo[lo : lo + STREAMED]
+            rows = rows[np.argsort(-windows[rows], kind="stable")]
+            sym, size = _taken(buf, off, rows)
+            texts = np.zeros((len(rows), WIDEST), np.uint8)
+            rel = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            texts[np.repeat(np.arange(len(rows)), size), rel + np.repeat(WIDEST - size, size)] = sym[sym > 0]
+            found = index.stream(texts, size)
+            column = np.arange(found.shape[1])
+            there = column[None, :] < windows[rows][:, None]
+            spot = (begin[rows][:, None] + column)[there]
+            out[spot] = np.minimum(out[spot], found[there])
+            unsettled = np.zeros(len(rows), bool)
+            unsettled[np.repeat(np.arange(len(rows)), windows[rows])[out[spot] == NOBODY]] = True
+            open_.append(rows[unsettled])
+        todo = np.concatenate([todo[:0], *open_])
+        todo = todo[np.argsort(docs[todo], kind="stable")]
+        start = min(2 * start, MAX_INDEX)
+    return out
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, surrounding, first document, last document) of the different texts of packed rows, in order of the anchors; bytes, offsets."""
+    parts, raws = [], []
     for n, count, texts, docs in zip(*(table[c].to_pylist() for c in ("n_bytes", "place", "texts", "docs")), strict=True):
-        raw = pa.decompress(texts, n, "zstd", asbytes=True)
+        raw = np.frombuffer(pa.decompress(texts, n, "zstd", asbytes=True), np.uint8)
         meta = pa.decompress(docs, 17 * count, "zstd", asbytes=True)
         off = np.concatenate([[0], np.cumsum(np.frombuffer(meta, np.uint8, count), dtype=np.int64)])
-        hasher = Hasher(np.frombuffer(raw, np.uint8))
-        h, first, last = anchors(np.frombuffer(raw, np.uint8), off, hasher)
-        s = mix(hasher.ranges(first, last + MATCH) + (last - first).astype(np.uint64)).view(np.int64)
-        parts.append((h.view(np.int64), s, np.frombuffer(meta, np.int64, count, count), np.frombuffer(meta, np.int64, count, 9 * count), [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]))
-    h, s, doc, last = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    texts = [t for p in parts for t in p[4]]
+        hasher = Hasher(raw)
+        h, first, last = anchors(raw, off, hasher)
+        parts.append((h.view(np.int64), _name(hasher, first, last), np.frombuffer(meta, np.int64, count, count), np.frombuffer(meta, np.int64, count, 9 * count), np.diff(off)))
+        raws.append(raw)
+    h, s, doc, last, size = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    buf = np.concatenate(raws)
     order = np.lexsort((s, h))
     h, s = h[order], s[order]
     head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])]))
     doc, last = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(last[order], head)
-    h, s = h[head], s[head]
-    texts = [texts[k] for k in order[head].tolist()]
+    at = order[head]
+    off = np.concatenate([[0], np.cumsum(size)])
+    own = size[at]
+    new = np.concatenate([[0], np.cumsum(own)])
+    buf = buf[np.arange(int(new[-1])) + np.repeat(off[at] - new[:-1], own)]
+    return h[head], s[head], doc, last, buf, new
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """(s, h, lo, hi, first): windows lo to hi of that surrounding have ``first`` as their smallest document.
+
+    Anchors are settled in batches, as different ones share no window.
+    """
+    h, s, doc, last, buf, off = _unpacked(table)
     anchor = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    of = np.repeat(np.arange(len(anchor)), np.diff(np.append(anchor, len(h))))
-    wide = (np.minimum.reduceat(doc, anchor) != np.maximum.reduceat(last, anchor))[of]
-    if not wide.any():
-        none = np.zeros(0, np.int64)
-        return pa.table({"s": none, "c": none.astype(np.int32), "lo": none, "hi": none, "first": none})
-    texts = [t for t, w in zip(texts, wide.tolist(), strict=True) if w]
-    h, s, doc, last = h[wide], s[wide], doc[wide], np.maximum.reduceat(last, anchor)[of][wide]
-    sizes = np.array([len(t) for t in texts])
-    n = sizes - MATCH + 1
+    ends = np.append(anchor[1:], len(h))
+    latest = np.maximum.reduceat(last, anchor)
+    wide = np.minimum.reduceat(doc, anchor) != latest
+    out, batch, held = [], [], 0
+    for a, b, some, late in zip(anchor.tolist(), ends.tolist(), wide.tolist(), latest.tolist(), strict=True):
+        if some:
+            batch.append((a, b, late))
+            held += int(off[b] - off[a])
+        if held >= MAX_INDEX or (batch and b == len(h)):
+            out.append(_settled(h, s, doc, buf, off, batch))
+            batch, held = [], 0
+    if batch:
+        out.append(_settled(h, s, doc, buf, off, batch))
+    cols = [np.concatenate([np.zeros(0, np.int64), *[x[k] for x in out]]) for k in range(5)]
+    return pa.table(dict(zip(("s", "h", "lo", "hi", "first"), cols, strict=True)))
+
+
+def _settled(h: np.ndarray, s: np.ndarray, doc: np.ndarray, buf: np.ndarray, off: np.ndarray, batch: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+    rows = np.concatenate([np.arange(a, b) for a, b, _ in batch])
+    late = np.repeat([x for _, _, x in batch], [b - a for a, b, _ in batch])
+    size = off[rows + 1] - off[rows]
+    new = np.concatenate([[0], np.cumsum(size)])
+    own = buf[np.arange(int(new[-1])) + np.repeat(off[rows] - new[:-1], size)]
+    first = first_documents(own, new, doc[rows])
+    n = size - MATCH + 1
     windows = np.cumsum(n) - n
-    first = RunIndex(texts, doc).first_documents(sizes, windows)
     text = np.repeat(np.arange(len(n)), n)
     head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (first[1:] != first[:-1])]))
     tail = np.append(head[1:], len(first)) - 1
-    head, tail = (x[first[head] < last[text[head]]] for x in (head, tail))
+    head, tail = (x[first[head] < late[text[head]]] for x in (head, tail))
     text, first = text[head], first[head]
-    return pa.table({"s": s[text], "c": _check(h[text]), "lo": head - windows[text], "hi": tail - windows[text], "first": first})
+    return s[rows][text], h[rows][text], head - windows[text], tail - windows[text], first
+
+
+def _name(hasher: Hasher, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return mix(hasher.ranges(first, last + MATCH) + (last - first).astype(np.uint64)).view(np.int64)
+
+
+def _without(hot: np.ndarray):
+    """Packed rows without the surroundings of those anchors."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = pa.Table.from_batches([batch.slice(k, 1)])
+                h, _, doc, last, buf, off = _unpacked(row)
+                stay = np.flatnonzero(~np.isin(h, hot))
+                if not len(stay):
+                    continue
+                size = off[stay + 1] - off[stay]
+                text = b"".join(buf[off[r] : off[r + 1]].tobytes() for r in stay.tolist())
+                docs = size.astype(np.uint8).tobytes() + doc[stay].tobytes() + last[stay].tobytes()
+                cols = [row["g"].combine_chunks(), pa.array([len(stay)], pa.int64()), pa.array([len(text)], pa.int64()), *[pa.array([pa.compress(x, "zstd", asbytes=True)], pa.binary()) for x in (text, docs)]]
+                yield pa.RecordBatch.from_arrays(cols, ["g", "place", "n_bytes", "texts", "docs"])
+
+    return work
+
+
+def _windows_of(hot: np.ndarray):
+    """A row for each window of the surroundings of those anchors: its 128-bit name and its first and last document."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                h, s, doc, last, buf, off = _unpacked(pa.Table.from_batches([batch.slice(k, 1)]))
+                own = np.flatnonzero(np.isin(h, hot))
+                if not len(own):
+                    continue
+                hasher, half = Hasher(buf), MATCH // 2
+                n = off[own + 1] - off[own] - MATCH + 1
+                row = np.repeat(own, n)
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at = off[row] + place
+                w1 = hasher.every(MATCH)[at]
+                w2 = mix(hasher.ranges(at, at + half) * np.uint64(3) + hasher.ranges(at + half, at + MATCH))
+                cols = [s[row], h[row], place, w1.view(np.int64), w2.view(np.int64), doc[row], last[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["s", "h", "place", "w1", "w2", "doc", "last"])
+
+    return work
+
+
+def _hot_answers(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Answers for anchors whose surroundings are too many for one task: an aggregation over their windows."""
+    windows = cut(texts.mapInArrow(_windows_of(hot), "s long, h long, place long, w1 long, w2 long, doc long, last long"), "windows")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("last").alias("late")).where("first < late").drop("late")
+    return windows.join(first, ["w1", "w2"]).select("s", "h", F.col("place").alias("lo"), F.col("place").alias("hi"), "first").distinct()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,8 +601,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        hashes; a bit filter of at most 2 ** MAX_FILTER_BITS bits carries them to
        the tasks. What it lets through too much is only more work.
     3. Places of shared anchors are rows; the different surroundings of an
-       anchor go to the index of its group, each once for a task. Its answers
+       anchor go to the indexes of its group, each once for a task. The answers
        are joined back to the places, in a join that Spark may split.
+    4. An anchor that has more than ``HOT`` different surroundings would make a
+       group without bound. Its windows are rows instead, aggregated with
+       map-side combining. There are at most places / ``HOT`` such anchors.
 
     Defined cases: null is the empty text; texts of fewer than 50 bytes stay;
     rows without id stay whole and count as no document; rows that share an id
@@ -397,7 +627,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = marked.where("id is not null and whole is null").where(F.octet_length("text") >= MATCH).select("id", "text")
 
     guess = max(total // 12, 1)
-    bits = min(16, max(4, int(np.ceil(np.log2(guess / GROUP + 1)))))
+    bits = min(20, max(4, int(np.ceil(np.log2(guess / GROUP + 1)))))
     filter_bits = min(MAX_FILTER_BITS, max(bits + 6, int(np.ceil(np.log2(guess * 2)))))
     groups = source.mapInArrow(_shared(bits), "part long, one binary, several binary")
     parts = groups.groupBy("part").applyInArrow(_filter_slice(bits, filter_bits), "part long, flags binary")
@@ -407,12 +637,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         flags[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["flags"], np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(flags)
 
-    n_groups = int(total // INDEX_BYTES) + 1
-    found = cut(source.mapInArrow(_gather(shared, filter_bits, n_groups), "s long, c int, doc long, place long, g long, n_bytes long, texts binary, docs binary"), "anchors")
+    n_groups = int(total // GROUP_BYTES) + 1
+    found = cut(source.mapInArrow(_gather(shared, filter_bits, n_groups), "s long, h long, doc long, place long, g long, n_bytes long, texts binary, docs binary"), "anchors")
+    packed = "g long, place long, n_bytes long, texts binary, docs binary"
     texts = found.where("g is not null").select("g", "place", "n_bytes", "texts", "docs")
-    answers = texts.groupBy("g").applyInArrow(_answers, "s long, c int, lo long, hi long, first long")
-    places = found.where("g is null").select("s", "c", "doc", "place")
-    hits = places.join(answers, ["s", "c"]).where("first < doc")
+    places = found.where("g is null").select("s", "h", "doc", "place")
+    many = places.groupBy("h").count().where(F.col("count") > HOT).select("h")
+    many = places.join(F.broadcast(many), "h").groupBy("h").agg(F.countDistinct("s").alias("n")) if many.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else many.withColumn("n", F.lit(HOT + 1))
+    hot = many.where(F.col("n") > HOT).select("h").toArrow()["h"].to_numpy()
+    shape = "s long, h long, lo long, hi long, first long"
+    answers = texts.groupBy("g").applyInArrow(_answers, shape)
+    if len(hot):
+        their = F.col("g").isin([int(g) for g in np.unique(_group(hot, n_groups))])
+        rest = texts.where(~their).unionByName(texts.where(their).mapInArrow(_without(hot), packed))
+        answers = rest.groupBy("g").applyInArrow(_answers, shape).unionByName(_hot_answers(texts.where(their), hot))
+    hits = places.join(answers, ["s", "h"]).where("first < doc")
     spans = hits.groupBy("doc").agg(F.collect_list(F.col("place") + F.col("lo")).alias("starts"), F.collect_list(F.col("place") + F.col("hi") + MATCH).alias("ends"))
     spans = cut(spans.mapInArrow(_merge, f"id {kind}, starts array<long>, ends array<long>"), "spans")
     small = spans.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0] <= BROADCAST_IDS
