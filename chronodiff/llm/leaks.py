@@ -13,6 +13,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 #: Up to so many item shingles are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_SHINGLES = 500_000
+#: Up to so many item windows are broadcast with their words; more are joined by a shuffle.
+BROADCAST_WINDOWS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,32 +44,68 @@ def _shingle(words: str, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(F.col(words), at + k) for k in range(n)])
 
 
-def _window_shingles(windows: DataFrame, n: int) -> DataFrame:
-    """``window``, ``len``, ``off``, ``sh`` for windows whose shingles have n words."""
-    own = windows.where((F.col("len") == n) if n < SHINGLE else (F.col("len") >= n))
-    at = own.select("window", "len", F.explode(F.sequence(F.lit(0), F.col("len") - n)).alias("off"))
-    return at.withColumn("sh", _shingle("window", F.col("off"), n))
+def _window_tokens(windows: DataFrame) -> DataFrame:
+    """``window``, ``len``, ``off``, ``sh``: the shingles of each window, of three words or of all where it has fewer."""
+    n = F.least(F.col("len"), F.lit(SHINGLE))
+    at = windows.select("window", "len", F.explode(F.sequence(F.lit(0), F.col("len") - n)).alias("off"))
+    hashed = F.when(F.col("len") == 1, _shingle("window", F.col("off"), 1)).when(F.col("len") == 2, _shingle("window", F.col("off"), 2))
+    return at.withColumn("sh", hashed.otherwise(_shingle("window", F.col("off"), SHINGLE)))
 
 
-def _occurrences(docs: DataFrame, shingles: DataFrame, n: int, size: int) -> DataFrame:
-    """Where item shingles occur: ``id``, ``pos``, ``sh`` and the words around (``near``, from ``near_at``)."""
-    keys = shingles.select("sh").distinct()
+def _scan(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """One pass over all documents: where item tokens occur (``id``, ``pos``, ``sh``), and a row with ``sh`` 0 and ``pos`` the number of words for each row.
+
+    Rows without id have only the latter. An occurrence is three numbers,
+    without words, so that a token in every document costs no more than that.
+    """
+    sizes = sorted(r[0] for r in tokens.select(F.least("len", F.lit(SHINGLE))).distinct().collect())  # 1, 2, 3 at most
+    keys = tokens.select("sh").distinct()
     small = keys.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
-    at = docs.where(F.size("words") >= n).select(
-        "id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("pos")
-    )
-    at = at.withColumn("sh", _shingle("words", F.col("pos"), n))
-    if not small:
-        at = at.select("id", "pos", "sh", *_near(n, size))
-    found = at.join(F.broadcast(keys) if small else keys, "sh", "left_semi")
-    return found.select("id", "pos", "sh", *_near(n, size)) if small else found
+    own = docs.select("id", words(F.col("text")).alias("words"))
+    last = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.size("words") - 1)
+    at = own.select("id", "words", F.explode(F.sequence(F.lit(-1), last)).alias("at"))
+    found = [F.when(F.col("at") + n <= F.size("words"), _shingle("words", F.col("at"), n)) for n in sizes]
+    if len(found) < 2:
+        at = at.withColumn("sh", found[0] if found else F.lit(None).cast("long"))
+    else:
+        at = at.select("id", "words", "at", F.explode(F.when(F.col("at") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.array(*found))).alias("sh"))
+    at = at.select("id", F.when(F.col("at") < 0, F.size("words")).otherwise(F.col("at")).alias("pos"), F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(F.col("sh")).alias("sh"))
+    if small:
+        mark = keys.sparkSession.range(1).select(F.lit(0).cast("long").alias("sh"))
+        return at.join(F.broadcast(keys.unionByName(mark)), "sh", "left_semi").select("id", "pos", "sh")
+    return at.where("sh <> 0").join(keys, "sh", "left_semi").select("id", "pos", "sh").unionByName(own.select("id", F.size("words").alias("pos"), F.lit(0).cast("long").alias("sh")))
+
+
+def _windows_and_scan(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    windows = cut(item_windows(benchmark, item_col, item_text, size), "item-windows")
+    return rows, windows, cut(_scan(rows, _window_tokens(windows.select("window", "len").distinct())), "tokens")
+
 
+def _matches(rows: DataFrame, windows: DataFrame, seen: DataFrame) -> DataFrame:
+    """``id``, ``start``, ``len``, ``item`` of every window that a document holds.
 
-def _near(n: int, size: int) -> list[Column]:
-    """The words that a window over this shingle can reach, and the position of the first."""
-    back = F.greatest(F.col("pos") - (size - n), F.lit(0))
-    reach = F.least(F.col("pos") + size, F.size("words")) - back
-    return [F.slice("words", back + 1, reach).alias("near"), back.alias("near_at")]
+    Every window is joined by its prefix alone: its rarest token. What the join
+    brings is bounded by position and length (a window must lie inside the
+    document), and only documents with such candidates are read again, to
+    compare all words.
+    """
+    tokens = _window_tokens(windows.select("window", "len").distinct())
+    counts = seen.where("sh <> 0").groupBy("sh").agg(F.count("*").alias("n"))
+    prefix = cut(
+        tokens.join(counts, "sh", "left").groupBy("window", "len")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "sh")).alias("rare"))
+        .where("rare.n > 0").select("window", "len", "rare.off", "rare.sh"),
+        "prefixes",
+    )
+    few = prefix.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    near = seen.where("sh <> 0").join(F.broadcast(prefix) if few else prefix, "sh")
+    near = near.select("id", (F.col("pos") - F.col("off")).alias("start"), "len", "window").where("start >= 0")
+    near = near.groupBy("id").agg(F.collect_set(F.struct("start", "len", "window")).alias("near"))
+    held = near.join(rows.where("id is not null"), "id").select("id", words(F.col("text")).alias("words"), "near")
+    one = held.select("id", "words", F.explode("near").alias("c")).where(F.col("c.start") + F.col("c.len") <= F.size("words"))
+    hits = one.where(F.slice("words", F.col("c.start") + 1, F.col("c.len")) == F.col("c.window")).select("id", "c.start", "c.len", "c.window")
+    return hits.join(windows.select("window", "item").distinct(), "window").select("id", "start", "len", "item")
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id",
@@ -76,39 +114,11 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
     A set join with full containment as its threshold. Tokens are shingles of
     three words (of all words, where a window has fewer), ordered by how often
-    they occur in the documents. As a window must be held whole, one token is
-    the necessary prefix: its rarest. The join on that token gives candidates;
-    the token's offset in the window fixes where the window would start, which
-    must lie inside the document (position and length bounds); then all its
-    words are compared.
+    they occur in the documents, which one scan of all documents counts. As a
+    window must be held whole, one token is its necessary prefix: the rarest.
+    See ``_matches`` for the bounds and the exact comparison.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), words(F.col(f"`{text_col}`")).alias("words"))
-    rows = rows.where(F.col("id").isNotNull())
-    windows = cut(item_windows(benchmark, item_col, item_text, size), "item-windows")
-    found = None
-    for n in range(1, SHINGLE + 1):
-        shingles = _window_shingles(windows, n)
-        if shingles.isEmpty():
-            continue
-        seen = cut(_occurrences(rows, shingles, n, size), "shingles")
-        counts = seen.groupBy("sh").agg(F.count("*").alias("n"))
-        rarest = (
-            shingles.join(counts, "sh", "left")
-            .groupBy("window", "len")
-            .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "sh")).alias("rare"))
-            .select("window", "len", "rare.off", "rare.sh")
-        )
-        start = F.col("pos") - F.col("off")
-        inside = (start >= F.col("near_at")) & (start + F.col("len") <= F.col("near_at") + F.size("near"))
-        same = F.slice("near", start - F.col("near_at") + 1, F.col("len")) == F.col("window")
-        hits = seen.join(rarest, "sh").where(inside).where(same).select("id", start.alias("start"), "len", "window")
-        hits = hits.join(windows.select("window", "item").distinct(), "window").select("id", "start", "len", "item")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        none = F.lit(None)
-        item = none.cast(benchmark.schema[item_col].dataType).alias("item")
-        found = rows.where("false").select("id", none.cast("int").alias("start"), none.cast("int").alias("len"), item)
-    return found
+    return _matches(*_windows_and_scan(docs, benchmark, size, id_col, text_col, item_col, item_text))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id",
@@ -116,10 +126,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     """Per document with a hit: ``id``, ``n_hit`` words under any occurrence, ``items`` (sorted ids as text).
 
     Defined cases: null texts have no words; items without words or id are
-    skipped; documents without id have no hits; rows that share an id count as
-    one document; an empty table on either side gives no rows.
+    skipped, items with equal texts all count; documents without id have no
+    hits; rows that share an id count as one document; long texts are read
+    whole, a document's occurrences being one array; an empty table on either
+    side gives no rows.
     """
-    found = find_windows(docs, benchmark, size, id_col, text_col, item_col, item_text)
+    return _summed(find_windows(docs, benchmark, size, id_col, text_col, item_col, item_text))
+
+
+def _summed(found: DataFrame) -> DataFrame:
     spots = F.flatten(F.transform(F.collect_set(F.struct("start", "len")), lambda w: F.sequence(w["start"], w["start"] + w["len"] - 1)))
     return found.groupBy("id").agg(
         F.size(F.array_distinct(spots)).cast("long").alias("n_hit"),
@@ -134,16 +149,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     Cases as in ``contamination``; rows without id stay.
     """
     hit = contamination(docs, benchmark, size, id_col, text_col, item_col, item_text).select(F.col("id").alias("hit_id"))
-    return docs.join(hit, docs[id_col] == hit["hit_id"], "left_anti")
+    return docs.join(hit, docs[f"`{id_col}`"] == hit["hit_id"], "left_anti")
 
 
-def leak_report(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): words, hit words, items and whether it is contaminated."""
-    hits = contamination(docs, benchmark, size)
-    rows = docs.select("doc_id", F.regexp_count(lower_ascii(F.col("text")), F.lit(WORD)).alias("n"))
-    return rows.join(hits, rows["doc_id"] == hits["id"], "left").select(
-        "doc_id",
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_words"),
+def leak_report(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id",
+                text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per row of ``docs``: its id, words, hit words and items; texts are split into words once. Cases as in ``contamination``."""
+    rows, windows, seen = _windows_and_scan(docs, benchmark, size, id_col, text_col, item_col, item_text)
+    hits = _summed(_matches(rows, windows, seen))
+    return seen.where("sh = 0").join(hits, "id", "left").select(
+        F.col("id").alias(id_col),
+        F.col("pos").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )

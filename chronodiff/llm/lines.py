@@ -10,8 +10,8 @@ from chronodiff.llm.tables import cut
 
 def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per three consecutive lines: id, position of the first line, 128-bit key."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.split(text_col, "\n", -1).alias("lines")
+    lines = docs.where(F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("id"), F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines")
     )
     at = lines.where(F.size("lines") >= 3).select(
         "id", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 3)).alias("pos")
@@ -59,14 +59,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Defined cases: a null text stays null; a text of fewer than three lines,
     and a row without id, is left alone; windows of three blank lines mark
     nothing; rows that share an id count as one document, each cut alike, and
-    their equal windows at equal positions are one occurrence; an empty table
-    gives an empty table. Columns and their types are those of ``docs``,
+    their equal windows at equal positions are one occurrence; a very long text
+    is one array of lines in its task; an empty table gives an empty table. Columns and their types are those of ``docs``,
     whatever their names.
     """
     marked = later_windows(docs, id_col, text_col)
     spare = _unused(docs.columns)
     marked = marked.select(F.col("id").alias(spare[0]), F.col("starts").alias(spare[1]))
-    joined = docs.join(marked, docs[id_col] == marked[spare[0]], "left")
+    joined = docs.join(marked, docs[f"`{id_col}`"] == marked[spare[0]], "left")
     kept = _kept_text(F.col(f"`{text_col}`"), F.col(spare[1]))
     return joined.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 

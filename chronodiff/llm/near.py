@@ -265,4 +265,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = near_duplicates(docs, id_col, text_col, size, percent)
     gone = cut(found.where("id <> component").select(F.col("id").alias("near_id")).distinct(), "near")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["near_id"], "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"] == gone["near_id"], "left_anti")

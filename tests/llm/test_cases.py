@@ -241,3 +241,24 @@ def test_ftrl_zeroes_what_does_not_matter():
     idx = np.concatenate([[v, 2 + rng.integers(0, 50)] for v in y])
     w, _ = ftrl.fit(np.arange(0, 1001, 2), idx, np.ones(1000), np.stack([1 - y, y], 1).astype(float), 64, alpha=0.3, l1=3.0, l2=0.1)
     assert w[1, 1] > 0 > w[0, 1] and (w[2:, 1] != 0).sum() < 10
+
+
+def test_leaks_with_a_token_in_every_document(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(500)]
+    item = "start of the item one of the " + " ".join(rng.choice(words, 8))
+    texts = ["one of the " + " ".join(rng.choice(words, 40)) + " one of the" for _ in range(300)]
+    texts[7] += " " + item + " tail"
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, item), (3, "one of the")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in leaks.leak_report(d, items).collect()}
+    assert all(got[k]["items"] == (["1", "2", "3"] if k == 7 else ["3"]) for k in range(300))
+    assert got[3]["n_hit"] == 6 and got[7]["n_hit"] == 6 + len(item.split())
+
+
+def test_names_with_dots(spark):
+    d = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE)], "`doc.id` long, `the.text` string")
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    assert leaks.decontaminate(d, items, id_col="doc.id", text_col="the.text").count() == 0
+    assert near.drop_near_duplicates(d, id_col="doc.id", text_col="the.text").count() == 1
+    assert lines.dedup_lines(d, id_col="doc.id", text_col="the.text").count() == 2
