@@ -87,8 +87,12 @@ def row_weights(classes: list, stand_for: dict) -> np.ndarray:
     return w / min(stand_for.values(), default=1.0)
 
 
-def sample_features(rows: DataFrame, text_col: str, label_col: str, featurize) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """CSR features and labels of a bounded sample; texts are turned into features on the executors."""
+def sample_features(rows: DataFrame, text_col: str, label_col: str, id_col: str, featurize) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """CSR features and labels of a bounded sample; texts are turned into features on the executors.
+
+    Rows come in the order of their hashed ids (equal ids by text), whatever
+    the files' layout, so that a fit to them is the same.
+    """
     kind = rows.schema[label_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +102,15 @@ def sample_features(rows: DataFrame, text_col: str, label_col: str, featurize) -
             for lo, hi, buf, off in chunks(batch.column(1)):
                 indptr, idx, val = featurize(buf, off)
                 lists = [pa.LargeListArray.from_arrays(pa.array(indptr, pa.int64()), pa.array(v)).cast(pa.list_(t)) for v, t in ((idx.astype(np.int64), pa.int64()), (val.astype(np.float32), pa.float32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], ["label", "idx", "val"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in (0, 2, 3)], *lists], ["label", "a", "b", "idx", "val"])
 
-    got = rows.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    got = got.mapInArrow(work, f"label {kind}, idx array<long>, val array<float>").toArrow()
-    flat = [got.column(c).combine_chunks() for c in ("idx", "val")]
+    text = F.col(f"`{text_col}`")
+    got = rows.select(F.col(f"`{label_col}`").alias("label"), text.alias("text"), F.xxhash64(F.lit("order"), F.col(f"`{id_col}`")).alias("a"), F.xxhash64(text).alias("b"))
+    got = got.mapInArrow(work, f"label {kind}, a long, b long, idx array<long>, val array<float>").toArrow()
     if not len(got):
         return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), []
-    sizes = np.array(got.column("idx").combine_chunks().value_lengths())
+    got = got.sort_by([("a", "ascending"), ("b", "ascending")]).combine_chunks()
+    flat = [got.column(c).combine_chunks() for c in ("idx", "val")]
+    sizes = np.array(flat[0].value_lengths())
     indptr = np.concatenate([[0], np.cumsum(sizes)])
     return indptr, flat[0].flatten().to_numpy(), flat[1].flatten().to_numpy().astype(float), got.column("label").to_pylist()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronodiff.llm import ftrl
 from chronodiff.llm.tables import small_batches
-from chronodiff.llm.textnum import chunks
+from chronodiff.llm.textnum import chunks, segment_sum
 
 #: Buckets of the hashed n-grams.
 DIMS = 1 << 16
@@ -83,8 +83,7 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its calibrated probability."""
         bucket, before, any_letter = _grams(texts)
-        total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.weights[bucket], axis=0, dtype=np.float64)])
-        sums = total[before[1:]] - total[before[:-1]]
+        sums = np.stack([segment_sum(self.weights[bucket, k], before) for k in range(len(self.langs))], axis=1)
         logit = (sums * SCALE / np.maximum(np.diff(before), 1)[:, None] + self.bias) / self.temperature
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -109,7 +108,7 @@ def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, in
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], rows))], ["bucket", "n"])
 
-    got = rows.select(text_col).mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    got = rows.select(F.col(f"`{text_col}`")).mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out, total = np.zeros(DIMS), 0
     for r in got:
         if r["bucket"] < 0:
@@ -129,7 +128,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     or language are left out; without any row there is no language to answer.
     """
     small_batches(rows.sparkSession)
-    known = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    known = rows.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     df, total = document_frequencies(known, "text")
     if not total:
         return Model([UNKNOWN], np.zeros((DIMS, 1), np.float32), np.zeros(1))
@@ -142,7 +141,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return indptr, idx, counts / n * SCALE * idf[idx]
 
     sample, stand_for = ftrl.bounded_sample(known, "id", "lang", max_per_language)
-    indptr, idx, val, lang = ftrl.sample_features(sample, "text", "lang", featurize)
+    indptr, idx, val, lang = ftrl.sample_features(sample, "text", "lang", "id", featurize)
     langs = sorted(set(lang))
     y = np.array([langs.index(x) for x in lang])
     if len(langs) == 1:
@@ -193,7 +192,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Defined cases: null, empty and letterless texts give ``und`` with score 0;
     ties go to the language that sorts first; repeated rows are judged each;
-    other columns are not read; an empty table stays empty.
+    other columns are not read; a very long text is judged whole, with some 100
+    bytes of memory a byte of it in its task, however many languages there are;
+    an empty table stays empty.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -87,11 +87,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     the share of the class there is, or 0.5.
     """
     small_batches(docs.sparkSession)
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    known = labels.where(F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     chosen, stand_for = ftrl.bounded_sample(known, "id", "y", max_per_class)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    indptr, idx, val, y = ftrl.sample_features(rows.join(F.broadcast(chosen), "id"), "text", "y", features)
+    indptr, idx, val, y = ftrl.sample_features(rows.join(F.broadcast(chosen), "id"), "text", "y", "id", features)
     if len(set(y)) < 2:
         return Model(np.zeros(DIMS, np.float32), 0.0 if not y else (4.0 if y[0] else -4.0))
     weight, y = ftrl.row_weights(y, stand_for), np.array(y)
@@ -103,8 +103,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``id_col`` and ``score`` (0 to 1) of every whole text; no shuffle.
 
     Defined cases: null counts as the empty text, which gets the score of the
-    bias alone; repeated rows are scored each; other columns are not read; an
-    empty table stays empty.
+    bias alone; repeated rows are scored each, and equal texts alike; other
+    columns are not read; a very long text is scored whole, with some 150 bytes
+    of memory a byte of it in its task; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,12 +17,14 @@ from chronodiff.llm.textnum import LETTERS, byte_class, chunks, hash_spans, hash
 
 #: Buckets of the hashed words.
 DIMS = 1 << 18
-#: Labelled rows of each class that lexicons and classifier are fitted on, about.
+#: Labelled rows of each class that lexicons and label model are fitted on, and documents of either posterior that the classifier is, about.
 MAX_PER_CLASS = 2500
-#: Lexicons learned from the labelled rows, and the words and stems that they share out.
-LEXICONS, LEXICON_WORDS = 6, 120
 #: Bytes of the stems that count beside whole words.
 STEMS = (4, 5, 6, 7)
+#: Learned lexicons: the kinds of terms of each (0: words, then stems by length), and the half of the labelled rows it learns from.
+LEXICONS = (((0,), 0), ((0,), 1), ((1, 2), 0), ((3, 4), 1))
+#: Terms of a learned lexicon at most.
+LEXICON_WORDS = 60
 #: Pairs of voters whose correlation the label model keeps.
 PAIRS = 8
 
@@ -31,7 +34,9 @@ INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless",
 _UPPER = byte_class(range(65, 91))
 _BANG = byte_class([0x21, 0x3F])
 _JUNK = byte_class([0x23, 0x24, 0x25, 0x26, 0x2A, 0x40])
-VOTERS = LEXICONS + 6
+VOTERS = len(LEXICONS) + 6
+#: The low bits of a term's hash tell its kind.
+_KIND = np.uint64(7)
 
 
 def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,19 +48,23 @@ def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     starts, ends, before = spans(buf, off, LETTERS)
     size = ends - starts
     table = np.zeros((len(starts), 1 + len(STEMS)), np.uint64)
-    table[:, 0] = hash_spans(buf, starts, ends)
+    table[:, 0] = hash_spans(buf, starts, ends) & ~_KIND
     for k, n in enumerate(STEMS, 1):
         longer = size > n
-        table[longer, k] = hash_spans(buf, starts[longer], starts[longer] + n) ^ np.uint64(k)
+        table[longer, k] = hash_spans(buf, starts[longer], starts[longer] + n) & ~_KIND | np.uint64(k)
     there = table != 0
     count = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
     return table[there], count[before], np.diff(before)
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(3)) % np.uint64(DIMS)).astype(np.int64)
+
+
 def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """CSR of each text: hashed words and stems by bucket, with the logarithm of their counts."""
     h, before, _ = terms(buf, off)
-    indptr, idx, counts = ftrl.unique_buckets(before, (h % np.uint64(DIMS)).astype(np.int64), DIMS)
+    indptr, idx, counts = ftrl.unique_buckets(before, _bucket(h), DIMS)
     return indptr, idx, np.log1p(counts)
 
 
@@ -70,17 +79,17 @@ def whole_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Lexicons:
-    """Hashed words in order, and the voter that each belongs to."""
+    """Hashed terms in order, and a bit for each voter that a term belongs to."""
 
     words: np.ndarray
-    voter: np.ndarray
+    voters: np.ndarray
 
     def votes(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """One bit for each voter that fires, for every text.
 
-        Learned lexicons; the fixed insults; two hits or more; a hit in every
-        fifty words; shouting (mostly capitals); strings of ! and ?; strings of
-        symbols.
+        Learned lexicons; the fixed insults; two words of any lexicon or more;
+        such a word in every fifty; shouting (mostly capitals); strings of !
+        and ?; strings of symbols.
         """
         h, before, n = terms(buf, off)
         bits = np.zeros(len(n), np.int64)
@@ -88,8 +97,8 @@ class Lexicons:
         hit = self.words[at] == h if len(self.words) and len(h) else np.zeros(len(h), bool)
         spot = np.flatnonzero(hit)
         row = np.searchsorted(before, spot, "right") - 1
-        np.bitwise_or.at(bits, row, np.int64(1) << self.voter[at[spot]])
-        hits = np.bincount(row, minlength=len(n))
+        np.bitwise_or.at(bits, row, self.voters[at[spot]])
+        hits = np.bincount(row[h[spot] & _KIND == 0], minlength=len(n))
         size = np.maximum(np.diff(off), 1)
 
         def share(table: np.ndarray) -> np.ndarray:
@@ -97,25 +106,30 @@ class Lexicons:
 
         fired = [hits >= 2, hits * 50 >= np.maximum(n, 1), share(_UPPER) > 0.5, share(_BANG) > 0.02, share(_JUNK) > 0.05]
         for k, x in enumerate(fired):
-            bits |= x.astype(np.int64) << np.int64(LEXICONS + 1 + k)
+            bits |= x.astype(np.int64) << np.int64(len(LEXICONS) + 1 + k)
         return bits
 
 
-def learn_lexicons(indptr: np.ndarray, idx: np.ndarray, y: np.ndarray) -> Lexicons:
-    """The words and stems that speak most for toxic texts, by smoothed log odds of presence, dealt to the voters in turn."""
+def learn_lexicons(indptr: np.ndarray, idx: np.ndarray, y: np.ndarray, half: np.ndarray) -> Lexicons:
+    """For each learned lexicon the terms of its kinds that speak most for toxic texts in its half of the rows, by smoothed log odds of presence."""
     row = np.repeat(np.arange(len(y)), np.diff(indptr))
-    word, at = np.unique(idx.view(np.uint64), return_inverse=True)
-    toxic = np.bincount(at, weights=y[row], minlength=len(word))
-    clean = np.bincount(at, weights=1 - y[row], minlength=len(word))
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
-    best = np.flatnonzero((toxic >= max(3, 0.01 * n1)) & (odds > 2.0))
-    best = best[np.argsort(-odds[best] * np.sqrt(toxic[best]), kind="stable")][:LEXICON_WORDS]
-    voter = {int(word[b]): k % LEXICONS for k, b in enumerate(best)}
+    h = idx.view(np.uint64)
+    bits: dict[int, int] = {}
+    for k, (kinds, own) in enumerate(LEXICONS):
+        mine = (half[row] == own) & np.isin(h & _KIND, np.array(kinds, np.uint64))
+        word, at = np.unique(h[mine], return_inverse=True)
+        toxic = np.bincount(at, weights=y[row[mine]], minlength=len(word))
+        clean = np.bincount(at, weights=1 - y[row[mine]], minlength=len(word))
+        n1, n0 = max(y[half == own].sum(), 1), max((1 - y[half == own]).sum(), 1)
+        odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+        best = np.flatnonzero((toxic >= max(3, 0.01 * n1)) & (odds > 2.0))
+        for w in word[best[np.argsort(-odds[best] * np.sqrt(toxic[best]), kind="stable")][:LEXICON_WORDS]].tolist():
+            bits[w] = bits.get(w, 0) | 1 << k
     for insult in INSULTS:
-        voter.setdefault(hash_word(insult), LEXICONS)
-    known = np.array(sorted(voter), np.uint64)
-    return Lexicons(known, np.array([voter[int(w)] for w in known], np.int64))
+        w = hash_word(insult) & ~int(_KIND)
+        bits[w] = bits.get(w, 0) | 1 << len(LEXICONS)
+    known = np.array(sorted(bits), np.uint64)
+    return Lexicons(known, np.array([bits[int(w)] for w in known], np.int64))
 
 
 @dataclass
@@ -203,36 +217,60 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     ``labels`` are the rows that may be learned from (0 or 1; others are left
     out), of which about ``max_per_class`` of each class are used, weighted so that
-    the classes keep their shares in all labels. The label
-    model counts the votes on all documents. The classifier's targets are the
-    label model's posteriors, in which a row's own label is one more voter that
-    errs once in twenty. Without rows of both classes the score is a constant.
+    the classes keep their shares in all labels. They give the lexicons, and
+    anchor the label model, which is fitted to the counted votes of all
+    documents. The classifier sees no label: it is fitted to about
+    ``max_per_class`` documents of either posterior, labelled or not, whose
+    targets are the posteriors of their votes. Without rows of both classes the
+    score is a constant.
     """
     small_batches(docs.sparkSession)
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    known = labels.where(F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     chosen, stand_for = ftrl.bounded_sample(known, "id", "y", max_per_class)
     label = {r["id"]: r["y"] for r in chosen.collect()}
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    rows = rows.join(F.broadcast(chosen.select("id")), "id")  # bounded by max_per_class
-    indptr, idx, val, ids = ftrl.sample_features(rows, "text", "id", whole_hashes)
+    labelled = rows.join(F.broadcast(chosen.select("id")), "id")  # bounded by max_per_class
+    indptr, idx, _, ids = ftrl.sample_features(labelled, "text", "id", "id", whole_hashes)
     y = np.array([label[i] for i in ids], float)
     if len(set(label.values())) < 2 or not 0 < y.sum() < len(y):
         return Model(np.zeros(DIMS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
-    lexicons = learn_lexicons(indptr, idx, y)
-    pattern = dict(zip(*_sample_votes(rows, lexicons), strict=True))
+    half = np.array([zlib.crc32(str(i).encode()) & 1 for i in ids])
+    lexicons = learn_lexicons(indptr, idx, y, half)
+    pattern = dict(zip(*_sample_votes(labelled, lexicons), strict=True))
     votes = np.array([pattern[i] for i in ids])
     whole = np.where(y > 0, stand_for[1], stand_for[0])
     gold = np.stack([np.bincount(votes, weights=w * whole, minlength=1 << VOTERS) for w in (1 - y, y)], axis=1)
-    counts = np.maximum(count_patterns(docs, lexicons, text_col) - gold.sum(axis=1), 0)
-    label_model = fit_label_model(counts, gold)
-    post = np.clip(label_model.posterior[votes], 1e-4, 1 - 1e-4)
-    target = 1 / (1 + np.exp(-(np.log(post / (1 - post)) + np.where(y > 0, 1, -1) * np.log(19.0))))
-    bucket = (idx.view(np.uint64) % np.uint64(DIMS)).astype(np.int64)
-    w, b = ftrl.fit(indptr, bucket, val, np.stack([1 - target, target], 1), DIMS, alpha=0.3, l1=3.0, l2=0.1, epochs=5, weight=ftrl.row_weights(y.astype(int).tolist(), stand_for))
+    counts = count_patterns(docs, lexicons, text_col)
+    label_model = fit_label_model(np.maximum(counts - gold.sum(axis=1), 0), gold)
+    post = label_model.posterior
+    n = [counts[post < 0.5].sum(), counts[post >= 0.5].sum()]
+    drawn = _drawn(rows, lexicons, post, [min(1.0, max_per_class / max(k, 1)) for k in n])
+    indptr, bucket, val, target = ftrl.sample_features(drawn, "text", "target", "id", features)
+    target = np.array(target)
+    weight = ftrl.row_weights((target >= 0.5).astype(int).tolist(), {k: max(1.0, n[k] / max_per_class) for k in (0, 1)})
+    w, b = ftrl.fit(indptr, bucket, val, np.stack([1 - target, target], 1), DIMS, alpha=0.3, l1=3.0, l2=0.1, epochs=5, weight=weight)
     return Model(w[:, 1], float(b[1]), label_model)
 
 
+def _drawn(rows: DataFrame, lexicons: Lexicons, posterior: np.ndarray, share: list[float]) -> DataFrame:
+    """``id``, ``text`` and ``target`` (posterior) of the share of documents of either posterior; the draw depends on ids alone."""
+    shared = rows.sparkSession.sparkContext.broadcast((lexicons, posterior))
+    draw = F.pmod(F.xxhash64(F.lit("posterior"), "id"), F.lit(1_000_003)) / 1_000_003
+    few = rows.select("id", "text", draw.alias("draw")).where(F.col("draw") < max(share))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, post = shared.value
+        for batch in batches:
+            for lo, hi, buf, off in chunks(batch.column(1)):
+                target = post[own.votes(buf, off)]
+                keep = pa.array(batch.column(2).slice(lo, hi - lo).to_numpy() < np.where(target >= 0.5, share[1], share[0]))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo).filter(keep) for k in (0, 1)], pa.array(target).filter(keep)], ["id", "text", "target"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return few.mapInArrow(work, f"id {kind}, text string, target double")
+
+
 def _sample_votes(rows: DataFrame, lexicons: Lexicons) -> tuple[list, list]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,8 +286,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``id_col`` and ``score`` (0 to 1, higher: toxic likelier) of every whole text; no shuffle.
 
     Defined cases: null counts as the empty text, which gets the score of the
-    bias alone; repeated rows are scored each; other columns are not read; an
-    empty table stays empty.
+    bias alone; repeated rows are scored each, and equal texts alike; other
+    columns are not read; a very long text is scored whole, with some 150 bytes
+    of memory a byte of it in its task; an empty table stays empty.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
