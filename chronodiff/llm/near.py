@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 from chronodiff.llm.tables import components, cut, small_batches
 from chronodiff.llm.textnum import NOT_SPACE, chunks, hash_spans, mix, ngrams, spans
 
-#: MinHash samples of a set, and how they are cut into bands. At a similarity of
-#: 0.85 a pair shares no band once in two million times.
-SAMPLES, BANDS, ROWS = 128, 25, 5
+#: MinHash samples of a set.
+SAMPLES = 128
+#: How often a pair at the threshold may share no band.
+MISSED = 1e-6
 #: Bits of an odd sketch.
 SKETCH_BITS = 512
-#: What an odd sketch may estimate below the threshold (five standard errors) before the pair is dismissed.
+#: How far below the threshold an odd sketch must see a pair to dismiss it. An estimate at 0.8 or more has a
+#: standard error of 0.035 to 0.041 (samples and bits together), so this is some five of them: once in 3.5 million.
 SLACK = 0.2
 #: Rows of a bucket that one task compares with others at once.
 BLOCK = 512
@@ -30,6 +33,18 @@ _XOR = _RNG.integers(1, 2**32, SAMPLES, dtype=np.uint32)
 _MUL = _RNG.integers(1, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 
 
+def bands_of(percent: int) -> tuple[int, int]:
+    """(bands, samples of each) for a threshold: bands as long as let a pair at it share none once in ``1 / MISSED`` times at most.
+
+    0.85: 25 of 5, once in 2.3 million; 0.80: 32 of 4, once in 21 million.
+    """
+    for rows in range(SAMPLES, 1, -1):
+        bands = SAMPLES // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISSED:
+            return bands, rows
+    return SAMPLES, 1
+
+
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's runs of ``size`` words; a shorter text is one run."""
     starts, ends, before = spans(buf, off, NOT_SPACE)
@@ -45,13 +60,12 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray
     return out
 
 
-def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest (two columns), band keys and odd sketches of sets that are not empty."""
+def _signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and odd sketches of sets that are not empty."""
     flat = np.concatenate(sets)
     heads = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    digest = np.stack([np.add.reduceat(mix(flat ^ np.uint64(salt)), heads) for salt in (0x1F, 0x2E5)], axis=1)
     low = (flat >> np.uint64(32)).astype(np.uint32)
-    keys = np.zeros((len(sets), BANDS), np.uint64)
+    keys = np.zeros((len(sets), bands), np.uint64)
     sketch = np.zeros((len(sets), SKETCH_BITS // 64), np.uint64)
     row = np.arange(len(sets))
     for j in range(SAMPLES):
@@ -61,24 +75,26 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
         least = np.minimum.reduceat(v, heads).astype(np.uint64)
         spot = mix(least + np.uint64((j + 1) << 32)) % np.uint64(SKETCH_BITS)
         sketch[row, (spot >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (spot & np.uint64(63))
-        if j < BANDS * ROWS:
-            keys[:, j // ROWS] = mix(keys[:, j // ROWS] * np.uint64(31) + least + np.uint64(j))
-    return digest, keys, sketch
+        if j < bands * rows:
+            keys[:, j // rows] = mix(keys[:, j // rows] * np.uint64(31) + least + np.uint64(j))
+    return keys, sketch
+
 
+def _sign(size: int, percent: int):
+    """Size, SHA-256 and band keys of each text's set."""
+    bands, length = bands_of(percent)
 
-def _sign(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, off in chunks(batch.column(1)):
                 sets = shingle_sets(buf, off, size)
                 n = np.array([len(s) for s in sets], np.int64)
-                digest, keys, sketch = np.zeros((len(n), 2), np.uint64), np.zeros((len(n), BANDS), np.uint64), np.zeros((len(n), SKETCH_BITS // 64), np.uint64)
+                keys = np.zeros((len(n), bands), np.uint64)
                 if n.any():
-                    digest[n > 0], keys[n > 0], sketch[n > 0] = _signatures([s for s in sets if len(s)])
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                marks = pa.array([r.tobytes() for r in sketch], pa.binary())
-                d = digest.view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1]), bands, marks], ["id", "n_shingles", "d1", "d2", "bands", "sketch"])
+                    keys[n > 0] = _signatures([s for s in sets if len(s)], bands, length)[0]
+                listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
+                digest = pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), digest, listed], ["id", "n_shingles", "digest", "bands"])
 
     return work
 
@@ -91,7 +107,7 @@ def _sets(size: int):
                 some = np.array([k for k, s in enumerate(sets) if len(s)], np.int64)
                 if len(some):
                     own = [sets[k] for k in some]
-                    cols = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (own, _signatures(own)[2])]
+                    cols = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (own, _signatures(own, 1, 1)[1])]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(some)), *cols], ["id", "shingles", "sketch"])
 
     return work
@@ -189,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked if 100 * intersection >= ``percent`` * union; a component is named
     by the smallest id that links reach.
 
-    1. Every text is signed once: digest of the set, band keys, odd sketch.
+    1. Every text is signed once: SHA-256 of the full sorted set, band keys.
        Documents with equal sets are one from here on.
     2. Documents that share a band key meet in a bucket. Each is compared with
        the smallest of the bucket, in blocks; links give first components.
@@ -204,17 +220,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined cases: null, empty and blank texts have an empty set and are linked
     with nothing; a row without id is linked with nothing and its component is
-    null; rows that share an id are one document; an empty table stays empty;
-    other columns are not read.
+    null; rows that share an id are one document; a pair exactly at the
+    threshold is linked; a very long text is one set in its task, 8 bytes a
+    shingle and some 60 a byte while it is made; an empty table stays empty;
+    other columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    signed = cut(rows.mapInArrow(_sign(size), f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"), "signed")
+    signed = cut(rows.mapInArrow(_sign(size, percent), f"id {kind}, n_shingles long, digest binary, bands array<long>"), "signed")
     used = signed.where("n_shingles > 0 and id is not null")
-    same = cut(used.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "same")
-    single = same.select(F.col("rep").alias("id"), "d1", "d2", "n_shingles")
-    reps = used.join(single, ["id", "d1", "d2", "n_shingles"], "left_semi")
+    same = cut(used.groupBy("digest", "n_shingles").agg(F.min("id").alias("rep")), "same")
+    single = same.select(F.col("rep").alias("id"), "digest")
+    reps = used.join(single, ["id", "digest"], "left_semi")
 
     keyed = reps.select("id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead")
@@ -251,8 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = cut(_compared(blocks, sets, percent), "links")
     comps = components(first.unionByName(second))
 
-    named = same.join(comps, same["rep"] == comps["node"], "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = used.select("id", "d1", "d2", "n_shingles").join(named, ["d1", "d2", "n_shingles"]).select("id", "n_shingles", "component")
+    named = same.join(comps, same["rep"] == comps["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    out = used.select("id", "digest", "n_shingles").join(named, "digest").select("id", "n_shingles", "component")
     rest = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component"))
     return out.unionByName(rest)
 
