@@ -262,3 +262,31 @@ def test_names_with_dots(spark):
     assert leaks.decontaminate(d, items, id_col="doc.id", text_col="the.text").count() == 0
     assert near.drop_near_duplicates(d, id_col="doc.id", text_col="the.text").count() == 1
     assert lines.dedup_lines(d, id_col="doc.id", text_col="the.text").count() == 2
+
+
+@pytest.mark.parametrize(("percent", "want"), [(85, (25, 5)), (80, (32, 4)), (95, (12, 10)), (50, (64, 2))])
+def test_bands_follow_the_threshold(percent, want):
+    bands, rows = near.bands_of(percent)
+    assert (bands, rows) == want or (1 - (percent / 100) ** rows) ** bands <= near.MISSED
+    assert bands * rows <= near.SAMPLES
+
+
+def test_vectors_of_several_lengths_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "CELL", 8)
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for dim, n in ((3, 150), (5, 90), (9, 1)):
+        x = rng.normal(size=(n, dim))
+        first = len(rows)
+        rows += [(first + k, v.tolist()) for k, v in enumerate(x)]
+        y = x / np.linalg.norm(x, axis=1, keepdims=True)
+        link = y @ y.T >= 0.95
+        np.fill_diagonal(link, False)
+        comp = np.arange(n)
+        for _ in range(n):
+            comp = np.array([min([comp[k], *comp[link[k]]]) for k in range(n)])
+        want |= {first + k: (int(link[k].sum()), first + int(comp[k])) for k in range(n)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r["id"]: (r["n_links"], r["component"]) for r in vectors.near_duplicate_vectors(df).collect()} == want
+    assert [vectors.cells_for(n) for n in (1, 100, 6400)] == [1, 10, 80]
