@@ -34,8 +34,9 @@ WIDEST = 2 * MATCH - ANCHOR
 GROUP_BYTES = 4 << 20
 #: Bytes that an index holds at most, and texts streamed through it at once.
 MAX_INDEX, STREAMED = 1 << 20, 1 << 14
-#: An anchor with more places than this is settled by an aggregation over its windows, not in one task.
-HOT = 50_000
+#: A group of more bytes is looked through for anchors of more surroundings than ``HOT`` (counted by parts), which are
+#: settled by an aggregation over their windows, not in one task.
+LARGE, HOT = 64 << 20, 50_000
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: The filter of shared anchors has 2 ** bits bits: this many at most (32 MB).
@@ -157,20 +158,47 @@ def _filter_slice(bits: int, filter_bits: int):
     return work
 
 
-PLACES = ["s", "h", "doc", "place", "g", "n_bytes", "texts", "docs"]
+PACKED = "g long, place long, n_bytes long, texts binary, docs binary"
 
 
 def _group(h: np.ndarray, n_groups: int) -> np.ndarray:
     return (mix(h.view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
 
 
-def _gather(shared, filter_bits: int, n_groups: int):
-    """The surroundings of shared anchors: a row for each place, and packed rows of the different texts of a part.
+def _check(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.int32)
 
-    A surrounding is all bytes of the windows of one anchor. It is named by its
-    hash (``s``) and the anchor's (``h``). The texts of a part that
-    belong to one group of anchors (``g``) are one row: compressed bytes, and
-    compressed lengths, first and last documents.
+
+def _shared_anchors(batches: Iterator[pa.RecordBatch], flags: np.ndarray, filter_bits: int) -> Iterator[tuple]:
+    """(anchor, surrounding, document, place in it, first and last window, bytes) of the anchors in the filter, part by part."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy().astype(np.int64)
+        for lo, _, buf, off in chunks(batch.column(1), PART):
+            hasher = Hasher(buf)
+            h, first, last = anchors(buf, off, hasher)
+            spot = h >> np.uint64(64 - filter_bits)
+            on = (flags[(spot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (spot & np.uint64(7))).astype(np.uint8)) & 1 > 0
+            h, first, last = h[on].view(np.int64), first[on], last[on]
+            if len(h):
+                row = np.searchsorted(off, first, "right") - 1
+                yield h, _name(hasher, first, last), ids[lo + row], first - off[row], first, last, buf
+
+
+def _places(shared, filter_bits: int):
+    """A row for each place of a shared anchor: its surrounding's hash (``s``), 32 bits of the anchor's (``c``), document, place."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, s, doc, place, *_ in _shared_anchors(batches, shared.value, filter_bits):
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(_check(h)), pa.array(doc), pa.array(place)], ["s", "c", "doc", "place"])
+
+    return work
+
+
+def _texts(shared, filter_bits: int, n_groups: int):
+    """The different surroundings of shared anchors: packed rows, one for each group of anchors (``g``) of a part.
+
+    A surrounding is all bytes of the windows of one anchor. A row holds
+    compressed bytes, and compressed lengths, first and last documents.
     """
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
@@ -193,31 +221,16 @@ def _gather(shared, filter_bits: int, n_groups: int):
             text = b"".join(seg[a:b])
             rows.append((int(group[a]), len(text), pa.compress(text, "zstd", asbytes=True), pa.compress(size[a:b].tobytes() + low[a:b].tobytes() + high[a:b].tobytes(), "zstd", asbytes=True), b - a))
         g, n, texts, docs, count = zip(*rows, strict=True)
-        none = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(count, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.binary()), pa.array(docs, pa.binary())], PLACES)
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(count, pa.int64()), pa.array(n, pa.int64()), pa.array(texts, pa.binary()), pa.array(docs, pa.binary())], ["g", "place", "n_bytes", "texts", "docs"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, held, size = shared.value, [], 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy().astype(np.int64)
-            for lo, _, buf, off in chunks(batch.column(1), PART):
-                hasher = Hasher(buf)
-                h, first, last = anchors(buf, off, hasher)
-                spot = h >> np.uint64(64 - filter_bits)
-                on = (flags[(spot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (spot & np.uint64(7))).astype(np.uint8)) & 1 > 0
-                h, first, last = h[on].view(np.int64), first[on], last[on]
-                if not len(h):
-                    continue
-                s = _name(hasher, first, last)
-                row = np.searchsorted(off, first, "right") - 1
-                doc = ids[lo + row]
-                none = [pa.nulls(len(h), t) for t in (pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(h), pa.array(doc), pa.array(first - off[row]), none[0], none[0], none[1], none[1]], PLACES)
-                held.append((s, h, doc, np.full(len(h), len(held)), first, last, buf.tobytes()))
-                size += len(h)
-                if size > HELD // 10:
-                    yield packed(held)
-                    held, size = [], 0
+        held, size = [], 0
+        for h, s, doc, _, first, last, buf in _shared_anchors(batches, shared.value, filter_bits):
+            held.append((s, h, doc, np.full(len(h), len(held)), first, last, buf.tobytes()))
+            size += len(h)
+            if size > HELD // 10:
+                yield packed(held)
+                held, size = [], 0
         if held:
             yield packed(held)
 
@@ -459,7 +472,7 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """(s, h, lo, hi, first): windows lo to hi of that surrounding have ``first`` as their smallest document.
+    """(s, c, lo, hi, first): windows lo to hi of that surrounding have ``first`` as their smallest document.
 
     Anchors are settled in batches, as different ones share no window.
     """
@@ -479,7 +492,7 @@ def _answers(table: pa.Table) -> pa.Table:
     if batch:
         out.append(_settled(h, s, doc, buf, off, batch))
     cols = [np.concatenate([np.zeros(0, np.int64), *[x[k] for x in out]]) for k in range(5)]
-    return pa.table(dict(zip(("s", "h", "lo", "hi", "first"), cols, strict=True)))
+    return pa.table({"s": cols[0], "c": _check(cols[1]), "lo": cols[2], "hi": cols[3], "first": cols[4]})
 
 
 def _settled(h: np.ndarray, s: np.ndarray, doc: np.ndarray, buf: np.ndarray, off: np.ndarray, batch: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
@@ -503,6 +516,14 @@ def _name(hasher: Hasher, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mix(hasher.ranges(first, last + MATCH) + (last - first).astype(np.uint64)).view(np.int64)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Surroundings of each anchor in packed rows."""
+    for batch in batches:
+        for k in range(len(batch)):
+            h, n = np.unique(_unpacked(pa.Table.from_batches([batch.slice(k, 1)]))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
+
+
 def _without(hot: np.ndarray):
     """Packed rows without the surroundings of those anchors."""
 
@@ -540,17 +561,17 @@ def _windows_of(hot: np.ndarray):
                 at = off[row] + place
                 w1 = hasher.every(MATCH)[at]
                 w2 = mix(hasher.ranges(at, at + half) * np.uint64(3) + hasher.ranges(at + half, at + MATCH))
-                cols = [s[row], h[row], place, w1.view(np.int64), w2.view(np.int64), doc[row], last[row]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["s", "h", "place", "w1", "w2", "doc", "last"])
+                cols = [s[row], _check(h[row]), place, w1.view(np.int64), w2.view(np.int64), doc[row], last[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["s", "c", "place", "w1", "w2", "doc", "last"])
 
     return work
 
 
 def _hot_answers(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     """Answers for anchors whose surroundings are too many for one task: an aggregation over their windows."""
-    windows = cut(texts.mapInArrow(_windows_of(hot), "s long, h long, place long, w1 long, w2 long, doc long, last long"), "windows")
+    windows = cut(texts.mapInArrow(_windows_of(hot), "s long, c int, place long, w1 long, w2 long, doc long, last long"), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("last").alias("late")).where("first < late").drop("late")
-    return windows.join(first, ["w1", "w2"]).select("s", "h", F.col("place").alias("lo"), F.col("place").alias("hi"), "first").distinct()
+    return windows.join(first, ["w1", "w2"]).select("s", "c", F.col("place").alias("lo"), F.col("place").alias("hi"), "first").distinct()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -600,12 +621,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     2. Anchor hashes that several texts have are found group by group of
        hashes; a bit filter of at most 2 ** MAX_FILTER_BITS bits carries them to
        the tasks. What it lets through too much is only more work.
-    3. Places of shared anchors are rows; the different surroundings of an
-       anchor go to the indexes of its group, each once for a task. The answers
-       are joined back to the places, in a join that Spark may split.
-    4. An anchor that has more than ``HOT`` different surroundings would make a
-       group without bound. Its windows are rows instead, aggregated with
-       map-side combining. There are at most places / ``HOT`` such anchors.
+    3. The different surroundings of an anchor go to the indexes of its group,
+       each once for a task. The answers are joined with the places of shared
+       anchors, in a join that Spark may split.
+    4. An anchor of very many different surroundings would make a group without
+       bound. Its windows are rows instead, aggregated with map-side combining.
+       There are at most surroundings / ``HOT`` such anchors.
 
     Defined cases: null is the empty text; texts of fewer than 50 bytes stay;
     rows without id stay whole and count as no document; rows that share an id
@@ -638,20 +659,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = rows.sparkSession.sparkContext.broadcast(flags)
 
     n_groups = int(total // GROUP_BYTES) + 1
-    found = cut(source.mapInArrow(_gather(shared, filter_bits, n_groups), "s long, h long, doc long, place long, g long, n_bytes long, texts binary, docs binary"), "anchors")
-    packed = "g long, place long, n_bytes long, texts binary, docs binary"
-    texts = found.where("g is not null").select("g", "place", "n_bytes", "texts", "docs")
-    places = found.where("g is null").select("s", "h", "doc", "place")
-    many = places.groupBy("h").count().where(F.col("count") > HOT).select("h")
-    many = places.join(F.broadcast(many), "h").groupBy("h").agg(F.countDistinct("s").alias("n")) if many.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else many.withColumn("n", F.lit(HOT + 1))
-    hot = many.where(F.col("n") > HOT).select("h").toArrow()["h"].to_numpy()
-    shape = "s long, h long, lo long, hi long, first long"
+    texts = cut(source.mapInArrow(_texts(shared, filter_bits, n_groups), PACKED), "surroundings")
+    places = source.mapInArrow(_places(shared, filter_bits), "s long, c int, doc long, place long")
+    shape = "s long, c int, lo long, hi long, first long"
     answers = texts.groupBy("g").applyInArrow(_answers, shape)
-    if len(hot):
-        their = F.col("g").isin([int(g) for g in np.unique(_group(hot, n_groups))])
-        rest = texts.where(~their).unionByName(texts.where(their).mapInArrow(_without(hot), packed))
-        answers = rest.groupBy("g").applyInArrow(_answers, shape).unionByName(_hot_answers(texts.where(their), hot))
-    hits = places.join(answers, ["s", "h"]).where("first < doc")
+    large = cut(texts.groupBy("g").agg(F.sum("n_bytes").alias("n")).where(F.col("n") > LARGE).select("g"), "large")
+    if n_large := large.count():
+        keys = F.broadcast(large) if n_large <= BROADCAST_IDS else large
+        their = cut(texts.join(keys, "g"), "large")
+        hot = their.mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+        hot = hot.select("h").toArrow()["h"].to_numpy()
+        rest = texts.join(keys, "g", "left_anti").unionByName(their.mapInArrow(_without(hot), PACKED))
+        answers = rest.groupBy("g").applyInArrow(_answers, shape).unionByName(_hot_answers(their, hot))
+    hits = places.join(answers, ["s", "c"]).where("first < doc")
     spans = hits.groupBy("doc").agg(F.collect_list(F.col("place") + F.col("lo")).alias("starts"), F.collect_list(F.col("place") + F.col("hi") + MATCH).alias("ends"))
     spans = cut(spans.mapInArrow(_merge, f"id {kind}, starts array<long>, ends array<long>"), "spans")
     small = spans.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0] <= BROADCAST_IDS

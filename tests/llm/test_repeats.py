@@ -64,9 +64,10 @@ def hot_line(n):
     return texts + [t[10:120] for t in texts[:20]]
 
 
-@pytest.mark.parametrize("hot", [30, 10**9])
-def test_an_anchor_with_many_surroundings(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "large"), [(30, 0), (10**9, 0), (30, 10**9)])
+def test_an_anchor_with_many_surroundings(spark, monkeypatch, hot, large):
     monkeypatch.setattr(R, "HOT", hot)
+    monkeypatch.setattr(R, "LARGE", large)
     texts = hot_line(600)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in R.remove_repeats(rows).collect()}
