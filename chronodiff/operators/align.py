@@ -1,216 +1,288 @@
-"""Ordered differences between two versions: block script, word script, marked-up lines (Arrow batches)."""
+"""Ordered differences between two versions: block script, word script, changed text, marked-up lines (Arrow batches)."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"\w+(?:[.,'’]\w+)*|[^\w\s]")
-#: Beyond these sizes a pair, or a replaced run, is one replacement without finer script.
-MAX_BLOCKS, MAX_TOKENS, MAX_EDITS = 20_000, 5_000, 3_000
+#: A token of a word script with the white space after it, so that tokens put together are the text.
+TOKEN = re.compile(r"(?:\w+(?:[.,'’]\w+)*|[^\w\s])\s*|\s+")
+WORDS = re.compile(r"\w+")
+#: Beyond these sizes no word script is made; blocks are aligned all the same and ``degraded`` is set (fixed values).
+MAX_BLOCKS, MAX_TOKENS = 20_000, 5_000
 
-OPS = "op int, t string, old_lo int, old_hi int, new_lo int, new_hi int, tokens array<struct<k:string,text:string>>"
+OP_NAMES = ["op", "t", "old_lo", "old_hi", "new_lo", "new_hi", "tokens", "old_texts", "new_texts", "added_words", "removed_words", "degraded"]
+OP = ("op int, t string, old_lo int, old_hi int, new_lo int, new_hi int, tokens array<struct<k:string,text:string>>, "
+      "old_texts array<string>, new_texts array<string>, added_words int, removed_words int, degraded boolean")
 
 
-def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
-    """(eq | del | ins | rep, a_lo, a_hi, b_lo, b_hi), ends exclusive; a shortest script of insertions and deletions.
+def common_subsequence(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in both of a longest common subsequence of two rows of integers.
 
-    Equal ends are peeled; the middle is Myers' greedy search. A middle that
-    needs more than ``MAX_EDITS`` is one replacement.
+    Divide and conquer over the lengths of best alignments of the two halves.
+    A row of those lengths is one number of as many bits as ``y`` is long: bit
+    j says that the best alignment does not grow at j, and one addition carries
+    a whole row on. So a step costs len(y) / 64 machine words, whatever the
+    number of differences, and memory stays linear.
     """
+    pairs: list[tuple[int, int]] = []
+    work = [(0, len(x), 0, len(y))]
+    while work:
+        a, b, c, d = work.pop()
+        while a < b and c < d and x[a] == y[c]:
+            pairs.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            pairs.append((b, d))
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            spot = np.flatnonzero(y[c:d] == x[a])
+            pairs += [(a, c + int(spot[0]))] if len(spot) else []
+            continue
+        mid = (a + b) // 2
+        front = _grown(x[a:mid], y[c:d])
+        back = _grown(x[mid:b][::-1], y[c:d][::-1])[::-1]
+        cut = c + int(np.argmax(front + back))
+        work += [(a, mid, c, cut), (mid, b, cut, d)]
+    out = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def _grown(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``x`` and each prefix of ``y``, the empty one first."""
+    n = len(y)
+    masks: dict[int, int] = {}
+    wanted = set(x.tolist())
+    order = np.argsort(y, kind="stable")
+    values, heads = np.unique(y[order], return_index=True)
+    for value, spots in zip(values.tolist(), np.split(order, heads[1:]), strict=True):
+        if value in wanted:
+            bits = np.zeros(n, np.uint8)
+            bits[spots] = 1
+            masks[value] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = (1 << n) - 1
+    row = full
+    for value in x.tolist():
+        if (mask := masks.get(value)) is not None:
+            hit = row & mask
+            row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """(eq | del | ins | rep, a_lo, a_hi, b_lo, b_hi), ends exclusive; a shortest script of insertions and deletions."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (a, b))
     lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+    while lo < min(len(x), len(y)) and x[lo] == y[lo]:
         lo += 1
     end = 0
-    while end < min(len(a), len(b)) - lo and a[-1 - end] == b[-1 - end]:
+    while end < min(len(x), len(y)) - lo and x[-1 - end] == y[-1 - end]:
         end += 1
-    x, y = a[lo : len(a) - end], b[lo : len(b) - end]
-    pairs = _matches(x, y)
-    matched = [(k, k) for k in range(lo)] + [(lo + i, lo + j) for i, j in pairs] + [(len(a) - end + k, len(b) - end + k) for k in range(end)]
-    out, i, j = [], 0, 0
-    for p, q in [*matched, (len(a), len(b))]:
-        if p > i or q > j:
-            out.append(("rep" if p > i and q > j else "del" if p > i else "ins", i, p, j, q))
-        if p < len(a) and q < len(b):
-            if out and out[-1][0] == "eq" and out[-1][2] == p and out[-1][4] == q:
-                out[-1] = ("eq", out[-1][1], p + 1, out[-1][3], q + 1)
-            else:
-                out.append(("eq", p, p + 1, q, q + 1))
-        i, j = p + 1, q + 1
+    # what one side alone has can match nothing, and is left out of the search
+    i, j = np.arange(lo, len(x) - end), np.arange(lo, len(y) - end)
+    i, j = i[np.isin(x[i], y[j])], j[np.isin(y[j], x[i])]
+    p, q = common_subsequence(x[i], y[j])
+    tail = np.arange(end)
+    p = np.concatenate([np.arange(lo), i[p], len(x) - end + tail, [len(x)]])
+    q = np.concatenate([np.arange(lo), j[q], len(y) - end + tail, [len(y)]])
+    out, at, to, k = [], 0, 0, 0
+    while k < len(p):
+        u, v = int(p[k]), int(q[k])
+        if u > at or v > to:
+            out.append(("rep" if u > at and v > to else "del" if u > at else "ins", at, u, to, v))
+        run = k
+        while run + 1 < len(p) and p[run + 1] == p[run] + 1 and q[run + 1] == q[run] + 1:
+            run += 1
+        at, to = min(int(p[run]) + 1, len(x)), min(int(q[run]) + 1, len(y))
+        if at > u and to > v:
+            out.append(("eq", u, at, v, to))
+        k = run + 1
     return out
 
 
-def _matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence; none if it is too far away."""
-    n, m = len(x), len(y)
-    if not n or not m or not set(x) & set(y):
-        return []
-    reach, trace = {1: 0}, []
-    for d in range(min(n + m, MAX_EDITS) + 1):
-        trace.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while i < n and i - k < m and x[i] == y[i - k]:
-                i += 1
-            reach[k] = i
-            if i >= n and i - k >= m:
-                return _walk_back(x, y, trace)
-    return []
-
-
-def _walk_back(x: list[str], y: list[str], trace: list[dict]) -> list[tuple[int, int]]:
-    i, j, out = len(x), len(y), []
-    for d in range(len(trace) - 1, -1, -1):
-        seen, k = trace[d], i - j
-        before = k + 1 if k == -d or (k != d and seen[k - 1] < seen[k + 1]) else k - 1
-        pi = seen[before]
-        pj = pi - before
-        while i > pi and j > pj and i > 0 and j > 0 and x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        i, j = (pi, pj) if d else (i, j)
-    return out[::-1]
-
-
-def word_script(old: str, new: str) -> list[tuple[str, str]]:
-    """(eq | del | ins, text): tokens compared without regard to case, texts as they are."""
+def word_script(old: str, new: str) -> tuple[list[tuple[str, str]], bool]:
+    """(eq | del | ins, text) and whether it is too long for a script: tokens compared without regard to case, texts as they are.
+
+    ``eq`` and ``ins`` texts put together are the new text; where the old
+    text's ``eq`` differs in case or white space, the new one stands for it.
+    """
     a, b = TOKEN.findall(old), TOKEN.findall(new)
     if len(a) > MAX_TOKENS or len(b) > MAX_TOKENS:
-        return [("del", old), ("ins", new)]
+        return [("del", old), ("ins", new)], True
     out = []
-    for t, i, p, j, q in edit_script([x.casefold() for x in a], [x.casefold() for x in b]):
+    for t, i, p, j, q in edit_script([x.strip().casefold() for x in a], [x.strip().casefold() for x in b]):
         if t == "eq":
-            out.append(("eq", " ".join(b[j:q])))
+            out.append(("eq", "".join(b[j:q])))
         else:
-            out += [("del", " ".join(a[i:p]))] * (p > i) + [("ins", " ".join(b[j:q]))] * (q > j)
-    return out
+            out += [("del", "".join(a[i:p]))] * (p > i) + [("ins", "".join(b[j:q]))] * (q > j)
+    return out, False
+
+
+def count_words(texts: list[str]) -> int:
+    return sum(len(WORDS.findall(t)) for t in texts)
+
+
+def _moved(script: list[tuple], old: list[str], new: list[str]) -> dict[int, int]:
+    """New position to old position of blocks that go in one place and come in another: the n-th that goes is the n-th that comes."""
+    def numbered(texts: list[str], spots: Iterator[int]) -> dict[tuple[str, int], int]:
+        seen: Counter = Counter()
+        out = {}
+        for k in spots:
+            out[texts[k], seen[texts[k]]] = k
+            seen[texts[k]] += 1
+        return out
+
+    went = numbered(old, (k for t, i, p, _, _ in script if t != "eq" for k in range(i, p)))
+    came = numbered(new, (k for t, _, _, j, q in script if t != "eq" for k in range(j, q)))
+    return {came[name]: went[name] for name in came.keys() & went.keys()}
 
 
 def block_script(old: list[str], new: list[str], moves: bool = True) -> list[tuple]:
-    """(t, old_lo, old_hi, new_lo, new_hi, tokens) with inclusive ranges (-1 where a side has none).
+    """(t, old_lo, old_hi, new_lo, new_hi, tokens, old texts, new texts, words that came, words that went, degraded), ranges inclusive.
 
-    A block that goes in one place and comes in another is ``mov`` and no
-    change, unless ``moves`` is off. Replaced runs get a word script: block by
-    block where both sides have as many, else over the run.
+    A side without blocks has -1. A block that goes in one place and comes in
+    another is ``mov`` and no change, unless ``moves`` is off. Replaced runs
+    get a word script: block by block where both sides have as many, else over
+    the run. A page of more than ``MAX_BLOCKS`` blocks, or a run of more than
+    ``MAX_TOKENS`` tokens, gets none; its words are counted as bags.
     """
-    if len(old) > MAX_BLOCKS or len(new) > MAX_BLOCKS:
-        return [("rep", 0, len(old) - 1, 0, len(new) - 1, [])]
     script = edit_script(old, new)
-    gone = {}
-    for t, i, p, _, _ in script:
-        if t != "eq":
-            for k in range(i, p):
-                gone.setdefault(old[k], []).append(k)
-    moved_new, moved_old = {}, set()
-    if moves:
-        for t, _, _, j, q in script:
-            for k in range(j, q):
-                if t != "eq" and gone.get(new[k]):
-                    moved_new[k] = gone[new[k]].pop(0)
-                    moved_old.add(moved_new[k])
+    huge = max(len(old), len(new)) > MAX_BLOCKS
+    moved = _moved(script, old, new) if moves else {}
+    left = set(moved.values())
     out = []
     for t, i, p, j, q in script:
         if t == "eq":
-            out.append(("eq", i, p - 1, j, q - 1, []))
+            out.append(("eq", i, p - 1, j, q - 1, [], [], [], 0, 0, False))
             continue
-        a, b = [k for k in range(i, p) if k not in moved_old], [k for k in range(j, q) if k not in moved_new]
-        out += [("mov", moved_new[k], moved_new[k], k, k, []) for k in range(j, q) if k in moved_new]
+        a, b = [k for k in range(i, p) if k not in left], [k for k in range(j, q) if k not in moved]
+        out += [("mov", moved[k], moved[k], k, k, [], [], [new[k]], 0, 0, False) for k in range(j, q) if k in moved]
+        went, came = [old[k] for k in a], [new[k] for k in b]
         if a and b:
-            tokens = [w for k, m in zip(a, b, strict=True) for w in word_script(old[k], new[m])] if len(a) == len(b) else word_script(" ".join(old[k] for k in a), " ".join(new[k] for k in b))
-            out.append(("rep", a[0], a[-1], b[0], b[-1], tokens))
+            tokens, degraded = _run_script(went, came) if not huge else ([], True)
+            if degraded:
+                x, y = (Counter(w for text in side for w in WORDS.findall(text.casefold())) for side in (went, came))
+                n_ins, n_del = (y - x).total(), (x - y).total()
+            else:
+                n_ins, n_del = (count_words([text for k, text in tokens if k == kind]) for kind in ("ins", "del"))
+            out.append(("rep", a[0], a[-1], b[0], b[-1], tokens, went, came, n_ins, n_del, degraded))
         elif a:
-            out.append(("del", a[0], a[-1], -1, -1, []))
+            out.append(("del", a[0], a[-1], -1, -1, [], went, [], 0, count_words(went), False))
         elif b:
-            out.append(("ins", -1, -1, b[0], b[-1], []))
+            out.append(("ins", -1, -1, b[0], b[-1], [], [], came, count_words(came), 0, False))
     return out
 
 
-def align_blocks(pairs: DataFrame, keys: list[str], moves: bool = True) -> DataFrame:
-    """``keys`` and one row for each operation of each pair (``old_blocks``, ``new_blocks``: arrays of text).
+def _run_script(went: list[str], came: list[str]) -> tuple[list[tuple[str, str]], bool]:
+    if len(went) != len(came):
+        return word_script("\n".join(went), "\n".join(came))
+    tokens, degraded = [], False
+    for k, (x, y) in enumerate(zip(went, came, strict=True)):
+        own, coarse = word_script(x, y)
+        tokens += [("eq", "\n")] * (k > 0) + own
+        degraded |= coarse
+    return tokens, degraded
 
-    A pair is one row, so no shuffle and no group; nulls count as no blocks.
-    """
+
+def _per_pair(pairs: DataFrame, keys: list[str], names: list[str], schema: str, make: Callable[[list[str], list[str]], list[tuple]]) -> DataFrame:
+    """``make``'s rows for each pair (``old_blocks``, ``new_blocks``). A pair is one row, so no shuffle and no group; nulls count as no blocks."""
     kinds = dict(pairs.dtypes)
+    full = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + schema
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                old, new = (list(x) if x is not None else [] for x in (r.old_blocks, r.new_blocks))
-                own = [getattr(r, k) for k in keys]
-                for n, (*op, tokens) in enumerate(block_script(old, new, moves)):
-                    rows.append((*own, n, *op, [{"k": k, "text": t} for k, t in tokens]))
-            yield pd.DataFrame(rows, columns=[*keys, "op", "t", "old_lo", "old_hi", "new_lo", "new_hi", "tokens"])
+            for lo in range(0, len(frame), 64):  # rows of a script can be many
+                part = frame.iloc[lo : lo + 64]
+                rows = []
+                for own, old, new in zip(part[keys].itertuples(index=False, name=None), part["old_blocks"], part["new_blocks"], strict=True):
+                    rows += [(*own, *r) for r in make(*(list(x) if x is not None else [] for x in (old, new)))]
+                yield pd.DataFrame(rows, columns=[*keys, *names])
+
+    return pairs.select(*keys, "old_blocks", "new_blocks").mapInPandas(work, full)
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + OPS
-    return pairs.select(*keys, "old_blocks", "new_blocks").mapInPandas(work, schema)
 
+def align_blocks(pairs: DataFrame, keys: list[str], moves: bool = True) -> DataFrame:
+    """``keys`` and one row for each operation of each pair: see ``block_script``."""
 
-def script_words(tokens: list[tuple[str, str]]) -> tuple[int, int]:
-    """Words that came and went in a word script."""
-    count = lambda kind: sum(len(re.findall(r"\w+", t)) for k, t in tokens if k == kind)
-    return count("ins"), count("del")
+    def make(old: list[str], new: list[str]) -> list[tuple]:
+        return [(n, *r[:5], [{"k": k, "text": t} for k, t in r[5]], *r[6:]) for n, r in enumerate(block_script(old, new, moves))]
 
+    return _per_pair(pairs, keys, OP_NAMES, OP, make)
 
-def render_marks(old: list[str], new: list[str], context: int = 2) -> list[str]:
-    """Lines with marks: two spaces same, ``+`` came, ``-`` went, ``>`` moved, ``~`` edited with [-old-]{+new+}."""
+
+def diff_stats(ops: DataFrame, keys: list[str], ignore_removed: bool = False) -> DataFrame:
+    """Per pair: words that came, went and changed (of a replaced run the larger side), changed blocks, and ``degraded``."""
+    changed = F.col("added_words") if ignore_removed else F.greatest("added_words", "removed_words")
+    blocks = F.when(F.col("t") == "mov", 0).otherwise(F.greatest(F.size("old_texts"), F.size("new_texts")))
+    return ops.groupBy(*keys).agg(
+        F.sum("added_words").alias("added_words"), F.sum("removed_words").alias("removed_words"), F.sum(changed).alias("changed_words"),
+        F.sum(blocks).alias("changed_blocks"), F.max("degraded").alias("degraded"),
+    )
+
+
+def _marked(script: list[tuple], old: list[str], new: list[str], context: int) -> list[str]:
     lines = []
-    for t, i, p, j, q, tokens in block_script(old, new):
+    wrap = {"eq": "{}", "del": "[-{}-]", "ins": "{{+{}+}}"}
+    for t, _, _, j, q, tokens, went, came, *_ in script:
         if t == "eq":
             own = [f"  {x}" for x in new[j : q + 1]]
             lines += own if len(own) <= 2 * context + 1 else [*own[:context], "  …", *own[-context:]]
         elif t == "mov":
             lines.append(f"> {new[j]}")
-        elif t == "ins":
-            lines += [f"+ {x}" for x in new[j : q + 1]]
-        elif t == "del":
-            lines += [f"- {x}" for x in old[i : p + 1]]
+        elif t == "rep" and tokens:
+            text = "".join(wrap[k].format(x.rstrip()) + x[len(x.rstrip()) :] for k, x in tokens)
+            lines += [f"~ {x.rstrip()}" for x in text.split("\n")]
         else:
-            wrap = {"eq": "{}", "del": "[-{}-]", "ins": "{{+{}+}}"}
-            lines.append("~ " + " ".join(wrap[k].format(x) for k, x in tokens))
+            lines += [f"- {x}" for x in went] + [f"+ {x}" for x in came]
     return lines
 
 
+def render_marks(pairs: DataFrame, keys: list[str], context: int = 2) -> DataFrame:
+    """``keys``, ``n``, ``line``: two spaces same, ``+`` came, ``-`` went, ``>`` moved, ``~`` edited with [-old-]{+new+}."""
+    return _per_pair(pairs, keys, ["n", "line"], "n int, line string", lambda old, new: list(enumerate(_marked(block_script(old, new), old, new, context))))
+
+
 def changed_text(ops: DataFrame) -> DataFrame:
-    """Operations with ``added`` and ``removed`` text of their word scripts."""
-    from pyspark.sql import functions as F
+    """Operations with ``added`` and ``removed`` text: whole blocks where blocks came or went, changed tokens where blocks were edited."""
+
+    def side(kind: str, whole: str) -> Column:
+        tokens = F.transform(F.filter("tokens", lambda x: x["k"] == kind), lambda x: F.rtrim(x["text"]))
+        return F.when(F.col("t") == "mov", "").when(F.size("tokens") > 0, F.array_join(tokens, " ")).otherwise(F.array_join(whole, "\n"))
 
-    side = lambda kind: F.array_join(F.transform(F.filter("tokens", lambda x: x["k"] == kind), lambda x: x["text"]), " ")
-    return ops.withColumn("added", side("ins")).withColumn("removed", side("del"))
+    return ops.withColumn("added", side("ins", "new_texts")).withColumn("removed", side("del", "old_texts"))
 
 
 def gate_cumulative(versions: DataFrame, page: str, at: str, min_words: int) -> DataFrame:
     """``page``, ``at``, ``words``, ``alert``, ``checks``: word changes against an anchor that moves on an alert.
 
     Each version is compared with the last that raised an alert (the first
-    version at the start); a page's versions are one group, as each verdict
-    depends on the one before.
+    version at the start); of a replaced run the larger side counts. A page's
+    versions are one group, as each verdict depends on the one before.
     """
     kinds = dict(versions.dtypes)
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(at)
         rows, anchor, checks = [], None, 0
-        for r in frame.itertuples(index=False):
-            blocks = list(r.blocks) if r.blocks is not None else []
+        for own, when, blocks in zip(frame[page], frame[at], frame["blocks"], strict=True):
+            blocks = list(blocks) if blocks is not None else []
             if anchor is None:
                 anchor = blocks
                 continue
             checks += 1
-            added = removed = 0
-            for t, i, p, j, q, tokens in block_script(anchor, blocks):
-                if t == "rep":
-                    came, went = script_words(tokens)
-                else:
-                    came = sum(len(re.findall(r"\w+", x)) for x in blocks[j : q + 1]) if t == "ins" else 0
-                    went = sum(len(re.findall(r"\w+", x)) for x in anchor[i : p + 1]) if t == "del" else 0
-                added, removed = added + came, removed + went
-            alert = max(added, removed) >= min_words
-            rows.append((getattr(r, page), getattr(r, at), max(added, removed), alert, checks))
-            if alert:
+            words = sum(max(r[8], r[9]) for r in block_script(anchor, blocks))
+            rows.append((own, when, words, words >= min_words, checks))
+            if words >= min_words:
                 anchor, checks = blocks, 0
         return pd.DataFrame(rows, columns=[page, at, "words", "alert", "checks"])
 
