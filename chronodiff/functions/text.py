@@ -113,12 +113,25 @@ def fmt_interval(col: Column) -> Column:
     return out
 
 
-#: Keys whose values are secret (fixed values).
-SECRET_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "authorization", "cookie")
+#: A name that ends so holds something secret; the value follows ``=`` or ``:``, quoted or up to a blank or comma.
+SECRET_NAME = r"[a-z0-9_-]*(?:pass(?:word|phrase|wd)?|secret|token|credentials?|api[_-]?key|private[_-]?key|session[_-]?id)"
+#: (pattern, what stays): header lines first, then schemes in running text, then named values.
+REDACTIONS = (
+    (r"(?i)\b((?:proxy-)?authorization[ \t]*:[ \t]*)[^\r\n]+", "$1***"),
+    (r"(?i)\b((?:set-)?cookie[ \t]*:[ \t]*)[^\r\n]+", "$1***"),
+    (r"(?i)\b(bearer|basic)([ \t]+)[^ \t\r\n,;\"']{6,}", "$1$2***"),
+    (rf"(?i)\b({SECRET_NAME}[\"']?[ \t]*[:=][ \t]*)(?:\"[^\"\r\n]*\"|'[^'\r\n]*'|[^ \t\r\n,;&]+)", "$1***"),
+)
 
 
 def redact(col: Column) -> Column:
-    """Values of secret keys, bearer and basic credentials become ``***``."""
-    keys = "|".join(SECRET_KEYS)
-    out = F.regexp_replace(col, r"(?i)\b(bearer|basic) +[A-Za-z0-9+/=._-]{8,}", "$1 ***")
-    return F.regexp_replace(out, rf"(?i)\b({keys})(\s*[=:]\s*)(\"[^\"]*\"|[^\s\",;]+)", "$1$2***")
+    """A text without credentials: authorisation and cookie headers, bearer and basic schemes, values of secret names."""
+    out = col
+    for pattern, stays in REDACTIONS:
+        out = F.regexp_replace(out, pattern, stays)
+    return out
+
+
+def redact_map(col: Column) -> Column:
+    """A map of texts in which values of secret keys are gone wholly and the others are redacted as texts."""
+    return F.transform_values(col, lambda k, v: F.when(k.rlike(rf"(?i)^(?:{SECRET_NAME}|(?:proxy-)?authorization|(?:set-)?cookie)$"), F.lit("***")).otherwise(redact(v)))

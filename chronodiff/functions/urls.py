@@ -13,10 +13,11 @@ def _part(col: Column, n: int) -> Column:
 
 
 def normalize_url(col: Column) -> Column:
-    """Scheme and host in lower case, without default port, fragment and trailing slash; the query stays."""
-    scheme, host, path, query = F.lower(_part(col, 1)), F.lower(_part(col, 2)), _part(col, 3), _part(col, 4)
+    """Scheme and host (not user and password) in lower case, without default port, fragment and trailing slash; the query stays."""
+    scheme, path, query = F.lower(_part(col, 1)), _part(col, 3), _part(col, 4)
+    user, host = F.regexp_extract(_part(col, 2), "^(.*@)?", 1), F.lower(F.regexp_replace(_part(col, 2), "^.*@", ""))
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    joined = F.concat(scheme, F.lit("://"), host, F.regexp_replace(path, "/+$", ""), query)
+    joined = F.concat(scheme, F.lit("://"), user, host, F.regexp_replace(path, "/+$", ""), query)
     return F.when(scheme == "", F.trim(col)).otherwise(joined)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,34 +72,44 @@ def page_class(html: Column) -> Column:
     )
 
 
-def _marker_fold(texts: Column, start: str, end: str | None, keep: bool, inclusive: bool) -> Column:
-    """Texts between markers (``keep``) or outside them, as a fold over a page's blocks.
-
-    State: inside or not, and the texts so far. A start opens a range and an
-    end closes it, again and again; without ``end``, or if it never comes, the
-    range is open to the page's end. Markers are whole blocks that contain the text.
-    """
-    begin = lambda x: F.contains(x, F.lit(start))
-    stop = (lambda x: F.contains(x, F.lit(end))) if end else (lambda x: F.lit(False))
-
-    def step(acc: Column, x: Column) -> Column:
-        opens, closes = begin(x) & ~acc["on"], stop(x) & acc["on"]
-        within = (acc["on"] & ~closes) if not inclusive else (acc["on"] | opens)
-        chosen = within if keep else ~within
-        return F.struct(((acc["on"] & ~closes) | opens).alias("on"), F.when(chosen, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+def _marker(words: str | tuple[str, ...]) -> str:
+    words = (words,) if isinstance(words, str) else words
+    return "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", w) for w in words)
 
-    zero = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(texts, zero, step, lambda acc: acc["out"])
 
+def _between(texts: Column, start: str | tuple[str, ...] | None, end: str | tuple[str, ...] | None, inclusive: bool, keep: bool) -> Column:
+    """Parts of a page's blocks inside or outside the ranges.
 
-def keep_between(texts: Column, start: str, end: str | None, inclusive: bool = False) -> Column:
-    """Blocks between the markers; no start marker keeps nothing."""
-    return _marker_fold(texts, start, end, True, inclusive)
+    The blocks are one text with a separator that no marker contains. One
+    pattern finds the ranges in order, each from a start to the next end, and
+    puts a mark before and after each; between the marks parts lie inside and
+    outside by turns. Of a part that goes only its separators stay, so that
+    blocks stay apart.
+    """
+    first, last = (rf"({_marker(start)})" if start else "(^)"), (rf"({_marker(end)})" if end else "($)")
+    body = "(.*?)" if end else "(.*)"
+    stays = "\x02$1$2$3\x03" if inclusive else "$1\x02$2\x03$3"
+    marked = F.split(F.regexp_replace(F.array_join(texts, "\x01"), rf"(?isu){first}{body}{last}", stays), "[\x02\x03]", -1)
+    emptied = lambda x: F.regexp_replace(x, "[^\x01]+", " ")
+    parts = F.transform(marked, lambda x, i: F.concat(F.lit(" "), F.when((i % 2 == 1) == F.lit(keep), x).otherwise(emptied(x)), F.lit(" ")))
+    cut = F.filter(F.transform(F.split(F.array_join(parts, ""), "\x01", -1), normalize_text), lambda x: x != "")
+    return F.when(F.size(marked) > 1, cut).otherwise(F.array().cast("array<string>") if keep else texts)
+
+
+def keep_between(texts: Column, start: str | tuple[str, ...] | None, end: str | tuple[str, ...] | None, inclusive: bool = False) -> Column:
+    """What lies between the markers, again and again, as blocks; the parts of one block are joined by a space.
+
+    Markers (one text, or several that count alike) are found anywhere in a
+    block, without regard to case. No start is the start of the page, no end
+    its end, once each; a marker that is given and never comes makes no range,
+    so a start whose end is missing keeps nothing.
+    """
+    return _between(texts, start, end, inclusive, True)
 
 
-def remove_between(texts: Column, start: str, end: str | None, inclusive: bool = False) -> Column:
-    """Blocks outside the markers; no start marker removes nothing."""
-    return _marker_fold(texts, start, end, False, inclusive)
+def remove_between(texts: Column, start: str | tuple[str, ...] | None, end: str | tuple[str, ...] | None, inclusive: bool = False) -> Column:
+    """The blocks without what lies between the markers (see ``keep_between``); blocks that become empty go."""
+    return _between(texts, start, end, inclusive, False)
 
 
 def apply_special(blocks: DataFrame, keys: list[str], sort_content: bool = False, ignore_case: bool = False, links: DataFrame | None = None) -> DataFrame:

@@ -37,17 +37,16 @@ def crawl_frontier(edges: DataFrame, roots: DataFrame, depth: int, max_pages: in
     return seen.withColumn("nth", nth).where(F.col("nth") <= max_pages).drop("nth")
 
 
-def robots_allowed(links: DataFrame, rules: DataFrame, parts: int = 8) -> DataFrame:
-    """Links with ``allowed``: the longest rule path that the link's path begins with decides; no rule allows.
+def robots_allowed(links: DataFrame, rules: DataFrame) -> DataFrame:
+    """Links with ``allowed``: the longest rule path that the link's path begins with decides; no rule allows, and of equal ones the one that allows.
 
-    ``rules`` has host, path, allow. The join is on host and on each of the
-    path's first ``parts`` folders, never on a prefix test of all pairs.
+    ``rules`` has host, path, allow; a path is a prefix by characters, so
+    ``/the`` closes ``/theatre``. A host's rules (a robots file is half a
+    megabyte at most) are one array, so a link meets its host once and the
+    prefixes are tested within its row.
     """
-    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
-    rows = links.withColumn("host", host_of(F.col("url"))).withColumn("path", F.when(path == "", "/").otherwise(path))
-    names = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.size(names), F.lit(parts))), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(names, 1, k), "/")))
-    each = rows.select("url", "host", F.explode(F.array_distinct(prefixes)).alias("path"))
-    rule = rules.select("host", F.regexp_replace("path", "(.)/$", "$1").alias("path"), "allow")
-    best = each.join(rule, ["host", "path"]).groupBy("url").agg(F.max_by("allow", F.char_length("path")).alias("allow"))
-    return links.join(best, "url", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^#]*)", 1)
+    rows = links.withColumn("host", host_of(F.col("url"))).withColumn("path", F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
+    ours = rules.where("path <> ''").groupBy("host").agg(F.collect_list(F.struct(F.char_length("path").alias("n"), "allow", "path")).alias("rules"))
+    best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
+    return rows.join(ours, "host", "left").withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).select(*links.columns, "host", "path", "allowed")

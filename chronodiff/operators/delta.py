@@ -70,14 +70,17 @@ def classify_fetches(df: DataFrame, page: str, at: str) -> DataFrame:
     return out.withColumn("outcome", outcome).drop("last_hash", "latest_raw", "is_version")
 
 
-def block_delta(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def block_delta(old: DataFrame, new: DataFrame, keys: list[str], pos: str | None = None) -> DataFrame:
     """Blocks that came or went between two sides (``keys``, ``text``), as multisets: moves are no change.
 
-    ``keys``, ``text``, ``n_ins``, ``n_del``; one aggregation over the union of both sides.
+    ``keys``, ``text``, ``n_ins``, ``n_del``; one aggregation over the union of
+    both sides. With ``pos``, also the first position that the text has in the new side, else in the old.
     """
-    both = new.select(*keys, "text", F.lit(1).alias("d")).unionByName(old.select(*keys, "text", F.lit(-1).alias("d")))
-    net = both.groupBy(*keys, "text").agg(F.sum("d").alias("net")).where("net <> 0")
-    return net.select(*keys, "text", F.greatest("net", F.lit(0)).alias("n_ins"), F.greatest(-F.col("net"), F.lit(0)).alias("n_del"))
+    more = [F.col(pos).alias("pos")] if pos else []
+    both = new.select(*keys, "text", *more, F.lit(1).alias("d")).unionByName(old.select(*keys, "text", *more, F.lit(-1).alias("d")))
+    first = [F.coalesce(F.min(F.when(F.col("d") > 0, F.col("pos"))), F.min("pos")).alias("pos")] if pos else []
+    net = both.groupBy(*keys, "text").agg(F.sum("d").alias("net"), *first).where("net <> 0")
+    return net.select(*keys, "text", *(["pos"] if pos else []), F.greatest("net", F.lit(0)).alias("n_ins"), F.greatest(-F.col("net"), F.lit(0)).alias("n_del"))
 
 
 def delta_stats(delta: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,7 +118,7 @@ def gate_changes(stats: DataFrame, min_words: int = 0, ignore_removed: bool = Fa
     if ignore_removed:
         reason = reason.when(F.col("inserted_blocks") == 0, "removed_only")
     if keywords:
-        reason = reason.when(F.size("hits") == 0, "keyword_miss").when((F.size("hits") == 0) & (size < min_words), "below_threshold")
+        reason = reason.when(F.size("hits") == 0, "keyword_miss")  # a hit passes the threshold
     else:
         reason = reason.when(size < min_words, "below_threshold")
     return stats.withColumn("reason", reason)

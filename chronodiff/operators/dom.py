@@ -15,13 +15,25 @@ _PIECE = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[#.][\w-]+|\[[\w-]+(?:\*?=\"?[^\]\
 _TEST = re.compile(r"([#.])([\w-]+)|\[([\w-]+)(?:(\*?=)\"?([^\]\"]*)\"?)?\]")
 
 #: Elements of consent banners (fixed values).
-CONSENT_SELECTORS = ("#onetrust-banner-sdk", "#CybotCookiebotDialog", ".cookie-banner", ".cookie-consent", "[id*=cookie-notice]", "[class*=consent-banner]")
+CONSENT_SELECTORS = (
+    "#onetrust-consent-sdk", "#onetrust-banner-sdk", "#onetrust-pc-sdk", "#CybotCookiebotDialog", "#CybotCookiebotDialogBodyUnderlay",
+    "#cookiebanner", "#cookie-banner", "#cookie-notice", "#cookie-consent", "#cookieconsent", "#cookie-law-info-bar", "#cookie-law-info-again",
+    "#cmpbox", "#cmpwrapper", "#didomi-host", "#didomi-popup", "#usercentrics-root", "#truste-consent-track", "#consent_blackbar",
+    "#hs-eu-cookie-confirmation", "#gdpr-cookie-notice", "#gdpr-cookie-message", "#sp-cc", "#qc-cmp2-container", "#termly-code-snippet-support",
+    ".cc-window", ".cc-banner", ".cc-revoke", ".cookie-banner", ".cookie-notice", ".cookie-consent", ".cookie-bar", ".cookie-popup",
+    ".cookie-law-info-bar", ".cookiebanner", ".cookies-banner", ".cookies-notice", ".cmp-banner", ".gdpr-banner", ".gdpr-notice", ".consent-banner",
+    ".consent-modal", ".privacy-banner", ".evidon-banner", ".osano-cm-window", ".osano-cm-dialog", ".truste_overlay", ".fc-consent-root",
+    ".qc-cmp2-container", ".sp_message_container", ".termly-consent-banner", ".cky-consent-container", ".cli-modal-dialog", ".pwa-install-banner",
+    '[id*="cookie-banner"]', '[id*="cookie-consent"]', '[id*="cookie_consent"]', '[id*="cookiebanner"]', '[class*="cookie-banner"]',
+    '[class*="cookie-consent"]', '[class*="cookie_consent"]', '[class*="cookiebanner"]', '[class*="CookieBanner"]', '[class*="CookieConsent"]',
+    '[aria-label="Cookie banner"]', '[aria-label="Cookie consent"]', '[aria-label="Cookie Consent"]', '[data-testid="cookie-banner"]',
+)
 
 
 def parse_selector(selector: str) -> list[tuple[str, str, list[tuple]]]:
     """(combinator, tag, tests) of each step; tag, #id, .class, [attr], [attr=v], [attr*=v], descendant and child."""
     steps, link = [], " "
-    for part in selector.replace(">", " > ").split():
+    for part in re.findall(r"(?:\[[^\]]*\]|[^\s>\[])+|>", selector):
         if part == ">":
             link = ">"
             continue
@@ -59,16 +71,16 @@ def _matches(steps: list, stack: list) -> bool:
 
 
 class _Walker(HTMLParser):
-    def __init__(self, selectors: list, keep: bool):
+    def __init__(self, selectors: list, keep: bool | None):
         super().__init__(convert_charrefs=True)
         self.selectors, self.keep = selectors, keep
-        self.stack, self.marks, self.text, self.out = [], [], [], []
+        self.stack, self.marks, self.text, self.out, self.hit = [], [], [], [], False
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.out.append(("/".join(e[0] for e in self.stack), text))
-        self.text = []
+            self.out.append(("/".join(e[0] for e in self.stack), text, self.hit))
+        self.text, self.hit = [], False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in _INLINE:
@@ -88,11 +100,13 @@ class _Walker(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         hidden = any(e[0] in ("script", "style", "noscript", "template", "head") for e in self.stack)
-        if not hidden and any(self.marks) == self.keep:
+        inside = any(self.marks)
+        if not hidden and self.keep in (None, inside):
             self.text.append(data)
+            self.hit |= inside and bool(data.strip())
 
 
-def _run(df: DataFrame, key: str, html_col: str, selectors: list[str], keep: bool) -> DataFrame:
+def _run(df: DataFrame, key: str, html_col: str, selectors: list[str], keep: bool | None) -> DataFrame:
     parsed = [parse_selector(s) for s in selectors]
     kind = df.schema[key].dataType.simpleString()
 
@@ -104,17 +118,25 @@ def _run(df: DataFrame, key: str, html_col: str, selectors: list[str], keep: boo
                 walker.feed(html or "")
                 walker.close()
                 walker.flush()
-                rows += [(k, pos, path, text) for pos, (path, text) in enumerate(walker.out)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "path", "text"])
+                rows += [(k, pos, *block) for pos, block in enumerate(walker.out)]
+            yield pd.DataFrame(rows, columns=[key, "pos", "path", "text", "inside"])
 
-    return df.select(key, html_col).mapInPandas(work, f"{key} {kind}, pos int, path string, text string")
+    return df.select(key, html_col).mapInPandas(work, f"{key} {kind}, pos int, path string, text string, inside boolean")
 
 
 def drop_elements(df: DataFrame, key: str, html_col: str, selectors: list[str]) -> DataFrame:
     """``key``, ``pos``, ``path``, ``text``: blocks outside every matched element."""
-    return _run(df, key, html_col, selectors, False)
+    return _run(df, key, html_col, selectors, False).drop("inside")
 
 
 def watch_elements(df: DataFrame, key: str, html_col: str, selectors: list[str]) -> DataFrame:
     """Blocks inside matched elements, in document order; nested matches once."""
-    return _run(df, key, html_col, selectors, True)
+    return _run(df, key, html_col, selectors, True).drop("inside")
+
+
+def scoped_blocks(df: DataFrame, key: str, html_col: str, selector: str) -> DataFrame:
+    """All blocks in order with ``inside``: whether a block lies in, or holds text of, an element that the selector (a list by commas) matches.
+
+    The scope of a text rule: apply the rule where ``inside`` holds.
+    """
+    return _run(df, key, html_col, [s.strip() for s in selector.split(",")], None)

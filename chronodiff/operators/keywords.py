@@ -42,13 +42,17 @@ def and_hits(hits: DataFrame, rules: list[Rule], keys: list[str], same_block: bo
 
 
 def near_hits(df: DataFrame, keys: list[str], text_col: str, terms: list[str], within: int) -> DataFrame:
-    """``keys`` and ``span``: the fewest words that hold one of each term, if at most ``within``.
+    """``keys`` and ``span``: the fewest words from the first to the last of one of each term, if at most ``within``.
 
-    Word positions of the terms; at each, the latest position of every term up
+    A term is a word or a phrase. Positions of the terms' first words; at each, the latest position of every term up
     to there gives the smallest window that ends there.
     """
     words = F.transform(F.regexp_extract_all(F.lower(text_col), F.lit(WORD), 0), lambda x, i: F.struct(i.alias("i"), x.alias("w")))
-    spots = df.select(*keys, F.explode(F.filter(words, lambda s: s["w"].isin(terms))).alias("s")).select(*keys, "s.i", "s.w")
+    split = [(t, t.lower().split()) for t in terms]
+    heads = df.select(*keys, words.alias("all")).select(*keys, "all", F.explode(F.filter("all", lambda s: s["w"].isin([w[0] for _, w in split]))).alias("s"))
+    there = lambda w: F.transform(F.slice("all", F.col("s.i") + 1, len(w)), lambda s: s["w"]) == F.array(*map(F.lit, w))
+    which = F.array_compact(F.array(*[F.when(there(w), F.struct(F.lit(t).alias("t"), F.lit(len(w)).alias("n"))) for t, w in split]))
+    spots = heads.select(*keys, F.col("s.i").alias("i"), F.explode(which).alias("m")).select(*keys, "i", F.col("m.t").alias("w"))
     order = W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     last = [F.last(F.when(F.col("w") == t, F.col("i")), ignorenulls=True).over(order).alias(f"t{k}") for k, t in enumerate(terms)]
     cols = [F.col(f"t{k}") for k in range(len(terms))]
@@ -64,7 +68,7 @@ def without_not(hits: DataFrame, not_hits: DataFrame, keys: list[str]) -> DataFr
 
 def literal_offsets(df: DataFrame, keys: list[str], text_col: str, term: str) -> DataFrame:
     """``keys``, ``s``, ``e``: character offsets of a literal term (case-folded), from the lengths of what lies between."""
-    pieces = F.split(F.lower(text_col), term.lower().replace(".", r"\."), -1)
+    pieces = F.split(F.lower(text_col), term_pattern(term.lower(), "substring").removeprefix("(?i)"), -1)
     lens = F.transform(pieces, F.char_length)
     step = F.aggregate(
         F.slice(lens, 1, F.size(lens) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),

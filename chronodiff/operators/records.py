@@ -18,18 +18,23 @@ def scalar_text(col: Column, kind: str) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def row_text(df: DataFrame, id_field: str, fields: list[str], ignore_case: bool = True) -> DataFrame:
-    """``rid`` and ``row`` (id first, then the fields in order, joined by tabs); the first row of an id wins."""
+def row_text(df: DataFrame, id_field: str, fields: list[str], ignore_case: bool = True, order: str | None = None) -> DataFrame:
+    """``rid`` and ``row`` (id first, then the fields in order, joined by tabs).
+
+    Of rows that share an id the first by ``order`` wins; without an order
+    column, which a table needs to have a first row, the smallest text.
+    """
     kinds = dict(df.dtypes)
     text = F.concat_ws("\t", *[scalar_text(F.col(c), kinds[c]) for c in [id_field, *fields]])
-    rows = df.select(F.col(id_field).alias("rid"), (F.lower(text) if ignore_case else text).alias("row"))
-    return rows.groupBy("rid").agg(F.min("row").alias("row"))
+    row = F.lower(text) if ignore_case else text
+    rows = df.select(F.col(id_field).alias("rid"), row.alias("row"), (F.col(order) if order else row).alias("nth"))
+    return rows.groupBy("rid").agg(F.min(F.struct("nth", "row"))["row"].alias("row"))
 
 
-def record_events(old: DataFrame, new: DataFrame, id_field: str, fields: list[str]) -> DataFrame:
+def record_events(old: DataFrame, new: DataFrame, id_field: str, fields: list[str], order: str | None = None) -> DataFrame:
     """``rid`` and ``event``: new, changed or removed; rows that are equal in the fields give none."""
-    a = row_text(old, id_field, fields).withColumnRenamed("row", "old_row")
-    b = row_text(new, id_field, fields).withColumnRenamed("row", "new_row")
+    a = row_text(old, id_field, fields, order=order).withColumnRenamed("row", "old_row")
+    b = row_text(new, id_field, fields, order=order).withColumnRenamed("row", "new_row")
     both = a.join(b, "rid", "full_outer")
     event = F.when(F.col("old_row").isNull(), "new").when(F.col("new_row").isNull(), "removed").when(F.col("old_row") != F.col("new_row"), "changed")
     return both.select("rid", event.alias("event")).where("event is not null")

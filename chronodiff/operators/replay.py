@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of what changes by itself, in order of trust (fixed values).
+#: Patterns of what changes by itself, the more specific first; case does not count (fixed values).
 VOLATILE = (
-    ("clock", r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?"), ("date", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}"),
-    ("age", r"[0-9]+ (seconds?|minutes?|hours?|days?) ago"), ("counter", r"[0-9][0-9,.]* (views|visitors|online|comments)"),
-    ("hex", r"[0-9a-f]{16,}"), ("number", r"[0-9]+([.,][0-9]+)*"),
+    ("relative_time", r"\b(?:\d+\s*(?:seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?)\s+ago|just now|moments? ago|yesterday|today)\b"),
+    ("iso_datetime", r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?\b"),
+    ("long_date", r"\b(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+)?(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s+\d{1,2}(?:st|nd|rd|th)?(?:,?\s+\d{4})?|\d{1,2}(?:st|nd|rd|th)?\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?(?:,?\s+\d{4})?)\b"),
+    ("numeric_date", r"\b\d{1,2}[/.-]\d{1,2}[/.-](?:\d{4}|\d{2})\b"),
+    ("clock_time", r"\b\d{1,2}:\d{2}(?::\d{2})?\s*(?:[ap]\.?m\.?)?(?:\s*(?:utc|gmt|[ecmp][sd]t))?\b"),
+    ("counter", r"\b(?:\d[\d,. ]*\s*(?:views?|visitors?|visits?|hits?|readers?|users?|viewers?|downloads?|comments?|shares?|likes?|votes?|replies|members?|online|watching)|(?:views?|visitors?|visits?|hits?|readers?|downloads?|comments?|shares?|likes?|votes?|online)\s*[:#]?\s*\d[\d,. ]*)\b"),
+    ("unix_timestamp", r"\b1[5-9]\d{8}(?:\d{3})?\b"),
+    ("hex_token", r"\b[0-9a-f]{16,}\b"),
+    ("currency_amount", r"(?:[$€£¥]\s?\d[\d,.]*|\b(?:usd|eur|gbp)\s?\d[\d,.]*|\d[\d,.]*\s?[€£¥])"),
 )
 
 
 def volatile_pattern(old: Column, new: Column) -> Column:
     """The first pattern that both texts have and without which they are equal."""
     out = None
-    for name, pattern in VOLATILE:
+    for name, body in VOLATILE:
+        pattern = f"(?i){body}"
         hit = old.rlike(pattern) & new.rlike(pattern) & (F.regexp_replace(old, pattern, "") == F.regexp_replace(new, pattern, ""))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out

@@ -108,11 +108,13 @@ def c11_baseline_to_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "c10_summary",
     f"""WITH {TURN_DELTA}
-SELECT conv_id, turn, substr(string_agg(text, ' ' ORDER BY text), 1, 200) AS summary FROM delta WHERE n_ins > 0 GROUP BY ALL""",
+,
+came AS (SELECT p.conv_id, p.turn, b.text, min(b.pos) AS pos FROM pairs p JOIN blocks b ON b.conv_id = p.conv_id AND b.turn = p.turn GROUP BY ALL)
+SELECT conv_id, turn, substr(string_agg(text, ' ' ORDER BY pos), 1, 200) AS summary FROM delta JOIN came USING (conv_id, turn, text) WHERE n_ins > 0 GROUP BY ALL""",
 )
 def c10_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = delta.block_delta(*turn_pairs(spark, sf_dir), ["conv_id", "turn"]).where("n_ins > 0")
-    added = F.array_join(F.array_sort(F.collect_list("text")), " ")
+    found = delta.block_delta(*turn_pairs(spark, sf_dir), ["conv_id", "turn"], pos="pos").where("n_ins > 0")
+    added = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
     return found.groupBy("conv_id", "turn").agg(delta.summary(added).alias("summary"))
 
 

@@ -139,17 +139,17 @@ def e30_crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl_frontier(edges, roots, 3, 2000)
 
 
-@query("e31_robots", f"""WITH {LINKS}, u AS (SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS path FROM links),
+@query("e31_robots", f"""WITH {LINKS}, u AS (SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, CASE WHEN starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), '/') THEN '' ELSE '/' END || regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM links),
 h AS (SELECT DISTINCT regexp_replace(host, ':[0-9]+$', '') AS host FROM u), r AS (SELECT host, path, allow FROM h, (VALUES ('/', true), ('/the', false), ('/de', false), ('/and', false)) v(path, allow))
-SELECT u.url, coalesce((SELECT max_by(allow, length(r.path)) FROM r WHERE r.host = regexp_replace(u.host, ':[0-9]+$', '') AND (u.path = r.path OR r.path = '/' OR starts_with(u.path, r.path || '/'))), true) AS allowed FROM u""")
+SELECT u.url, coalesce((SELECT max_by(allow, length(r.path)) FROM r WHERE r.host = regexp_replace(u.host, ':[0-9]+$', '') AND starts_with(u.path, r.path)), true) AS allowed FROM u""")
 def e31_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three closed folders on every host, applied to all links."""
+    """Three closed prefixes on every host, applied to all links."""
     from chronodiff.functions.urls import host_of
 
     links = page_links(spark, sf_dir).select("url").distinct()
     rule = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(a).alias("allow")) for p, a in (("/", True), ("/the", False), ("/de", False), ("/and", False))]))
     rules = links.select(host_of(F.col("url")).alias("host")).distinct().select("host", rule.alias("r")).select("host", "r.path", "r.allow")
-    return crawl.robots_allowed(links, rules)
+    return crawl.robots_allowed(links, rules).select("url", "allowed")
 
 
 _CELLS = "c AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(round(unnest(embedding) * 400 + 128) AS INTEGER) AS g FROM embeddings)"

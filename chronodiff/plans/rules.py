@@ -161,16 +161,16 @@ def d15_d16_loose_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(hit).select("o_orderkey")
 
 
-_VOL = "".join(f" WHEN regexp_matches(o, '{p}') AND regexp_matches(n, '{p}') AND regexp_replace(o, '{p}', '', 'g') = regexp_replace(n, '{p}', '', 'g') THEN '{k}'" for k, p in replay.VOLATILE)
-_VPAIRS = """vp AS (SELECT e.event_id, e.user_id, CASE event_id % 4 WHEN 0 THEN 'updated ' || strftime(ts, '%H:%M:%S') WHEN 1 THEN 'day ' || strftime(ts, '%Y-%m-%d') WHEN 2 THEN (event_id % 50 + 1) || ' comments' ELSE event_type END AS o,
-CASE event_id % 4 WHEN 0 THEN 'updated 23:59' WHEN 1 THEN 'day 2025-01-01' WHEN 2 THEN '7 comments' ELSE 'view' END AS n FROM events e)"""
+_VOL = "".join(f" WHEN regexp_matches(o, '{p}') AND regexp_matches(n, '{p}') AND regexp_replace(o, '{p}', '', 'g') = regexp_replace(n, '{p}', '', 'g') THEN '{k}'" for k, p in ((k, "(?i)" + p) for k, p in replay.VOLATILE))
+_VPAIRS = """vp AS (SELECT e.event_id, e.user_id, CASE event_id % 4 WHEN 0 THEN 'updated ' || strftime(ts, '%H:%M:%S') WHEN 1 THEN 'day ' || strftime(ts, '%Y-%m-%d') WHEN 2 THEN (event_id % 50 + 1) || ' comments, USD ' || (event_id % 9) ELSE event_type END AS o,
+CASE event_id % 4 WHEN 0 THEN 'updated 23:59' WHEN 1 THEN 'day 2025-01-01' WHEN 2 THEN '7 comments, USD 5' ELSE 'just now' END AS n FROM events e)"""
 
 
 def volatile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a line with a clock, a date, a counter or none, and its next version."""
     k = F.col("event_id") % 4
-    old = F.when(k == 0, F.concat(F.lit("updated "), F.date_format("ts", "HH:mm:ss"))).when(k == 1, F.concat(F.lit("day "), F.date_format("ts", "yyyy-MM-dd"))).when(k == 2, F.concat((F.col("event_id") % 50 + 1).cast("string"), F.lit(" comments"))).otherwise(F.col("event_type"))
-    new = F.when(k == 0, "updated 23:59").when(k == 1, "day 2025-01-01").when(k == 2, "7 comments").otherwise("view")
+    old = F.when(k == 0, F.concat(F.lit("updated "), F.date_format("ts", "HH:mm:ss"))).when(k == 1, F.concat(F.lit("day "), F.date_format("ts", "yyyy-MM-dd"))).when(k == 2, F.concat((F.col("event_id") % 50 + 1).cast("string"), F.lit(" comments, USD "), (F.col("event_id") % 9).cast("string"))).otherwise(F.col("event_type"))
+    new = F.when(k == 0, "updated 23:59").when(k == 1, "day 2025-01-01").when(k == 2, "7 comments, USD 5").otherwise("just now")
     return table(spark, sf_dir, "events").select("event_id", "user_id", old.alias("old_text"), new.alias("new_text"))
 
 

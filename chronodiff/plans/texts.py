@@ -105,28 +105,33 @@ def b6_watch_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.watch_elements(table(spark, sf_dir, "pages"), "page_id", "html", ["article > h1", "nav li a"])
 
 
-@query(
-    "b7_scope",
-    f"""WITH {PAGE_BLOCKS}
-SELECT page_id, pos, CASE WHEN pos BETWEEN 1 AND 6 THEN regexp_replace(text, '[0-9]', '#', 'g') ELSE text END AS text FROM page_blocks""",
-)
+@query("b7_scope")
 def b7_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text rule limited to one region: the blocks at positions 1 to 6."""
-    inside = F.col("pos").between(1, 6)
-    return page_blocks(spark, sf_dir).withColumn("text", F.when(inside, T.mask_numbers(F.col("text"))).otherwise(F.col("text")))
+    """A text rule limited to elements: digits are masked inside articles and table rows only."""
+    found = dom.scoped_blocks(table(spark, sf_dir, "pages"), "page_id", "html", "article, tr, main")
+    masked = F.when(F.col("inside"), T.mask_numbers(F.col("text"))).otherwise(F.col("text"))
+    return found.select("page_id", "pos", "inside", masked.alias("text"))
 
 
 @query(
     "b8_between_markers",
-    """WITH l AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id),
-u AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS started FROM conversations),
-k AS (SELECT conv_id, turn, role, last_value(CASE WHEN role IN ('user', 'assistant') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS state FROM u)
-SELECT conv_id, CAST(count(*) FILTER (state = 'user' AND role <> 'user') AS INTEGER) AS n_kept, CAST(count(*) FILTER (NOT coalesce(state = 'user' AND role <> 'user', false)) AS INTEGER) AS n_left FROM k GROUP BY conv_id""",
+    rf"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, generate_subscripts(ls, 1) AS p, unnest(ls) AS line FROM l), n AS (SELECT doc_id, p, {norm("line")} AS text FROM e),
+pg AS (SELECT doc_id, string_agg(text, chr(1) ORDER BY p) AS page FROM n WHERE text <> '' GROUP BY doc_id),
+m AS (SELECT doc_id, string_split_regex(regexp_replace(page, '(?is)(\[|license)(.*?)(\]|copyright)', '\1' || chr(2) || '\2' || chr(3) || '\3', 'g'), '[\x02\x03]') AS parts FROM pg),
+s AS (SELECT doc_id, parts, list_transform(parts, lambda x, i: CASE WHEN i % 2 = 0 THEN ' ' || x || ' ' ELSE ' ' || regexp_replace(x, '[^\x01]+', ' ', 'g') || ' ' END) AS inn,
+      list_transform(parts, lambda x, i: CASE WHEN i % 2 = 1 THEN ' ' || x || ' ' ELSE ' ' || regexp_replace(x, '[^\x01]+', ' ', 'g') || ' ' END) AS outs FROM m),
+f AS (SELECT doc_id, len(parts) > 1 AS ranged, string_split(array_to_string(inn, ''), chr(1)) AS a, string_split(array_to_string(outs, ''), chr(1)) AS b, parts FROM s),
+c AS (SELECT doc_id, ranged, list_filter(list_transform(a, lambda x: {norm("x")}), lambda x: x <> '') AS kept, list_filter(list_transform(CASE WHEN ranged THEN b ELSE string_split(parts[1], chr(1)) END, lambda x: {norm("x")}), lambda x: x <> '') AS rest FROM f)
+SELECT d.doc_id, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept, sha256(coalesce(array_to_string(rest, chr(10)), '')) AS rest FROM documents d LEFT JOIN c USING (doc_id)""",
 )
 def b8_between_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns kept from each user turn to the next answer, and what is left without them; markers excluded."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("texts"))
-    return rows.select("conv_id", F.size(B.keep_between(F.col("texts"), "user", "assistant")).alias("n_kept"), F.size(B.remove_between(F.col("texts"), "user", "assistant")).alias("n_left"))
+    """What each document holds between two markers, again and again, and what is left without it; markers stay outside."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), T.normalize_text), lambda x: x != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("texts"))
+    digest = lambda c: F.sha2(F.array_join(c, "\n"), 256)
+    start, end = ("[", "license"), ("]", "copyright")
+    return rows.select("doc_id", digest(B.keep_between(F.col("texts"), start, end)).alias("kept"), digest(B.remove_between(F.col("texts"), start, end)).alias("rest"))
 
 
 @query("b9_watch_text", "SELECT doc_id, array_to_string(regexp_extract_all(text, '(?i)[0-9]{3,}|token'), ' ') AS found FROM documents")
@@ -174,12 +179,20 @@ def b18_scrape_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", B.scrape_field(html, "<h1>([^<]*)</h1>").alias("headline"), B.scrape_field(html, 'href="/([^"]*)"', every=True).alias("targets"))
 
 
-_KEYS = "|".join(T.SECRET_KEYS)
+
+
+def _redact_sql(x: str) -> str:
+    for pattern, stays in T.REDACTIONS:
+        x = f"regexp_replace({x}, {_quoted(pattern)}, {_quoted(stays.replace('$', chr(92)))}, 'g')"
+    return x
+
+
+_REDACT_SQL = f"SELECT doc_id, sha256({_redact_sql('text')}) AS digest FROM documents"
 
 
 @query(
     "b19_redact",
-    rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)\b(bearer|basic) +[A-Za-z0-9+/=._-]{{8,}}', '\1 ***', 'g'), '(?i)\b({_KEYS})(\s*[=:]\s*)("[^"]*"|[^\s",;]+)', '\1\2***', 'g')) AS digest FROM documents""",
+    _REDACT_SQL,
 )
 def b19_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("digest"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from chronodiff.functions import text as T
 from chronodiff.functions import urls as U
-from chronodiff.operators import blocks, capacity, delta, dom, history, raster, records
+from chronodiff.operators import blocks, capacity, crawl, delta, dom, history, keywords, raster, records, replay
+from chronodiff.session import shared_folder
 from chronodiff.sources import records as R
 
 
@@ -30,7 +31,7 @@ def test_wildcards():
     assert T.wildcard_to_regex("a*b?c*") == "a.*?b.c.*"
 
 
-@pytest.mark.parametrize(("url", "norm"), [("HTTP://A.com:80/x/#top", "http://a.com/x"), ("https://a.com:443/?q=1", "https://a.com?q=1"), ("not a url", "not a url")])
+@pytest.mark.parametrize(("url", "norm"), [("HTTP://A.com:80/x/#top", "http://a.com/x"), ("https://a.com:443/?q=1", "https://a.com?q=1"), ("not a url", "not a url"), ("HTTP://Me:PassWord@A.com/", "http://Me:PassWord@a.com")])
 def test_normalize_url(spark, url, norm):
     assert value(spark, U.normalize_url(F.lit(url))) == norm
 
@@ -40,11 +41,55 @@ def test_redact(spark):
     assert "abc\"" not in got and "hunter2" not in got and "abcdefghijk" not in got
 
 
-def test_markers(spark):
-    x = F.array(*[F.lit(v) for v in ("a", "BEGIN", "b", "END", "c", "BEGIN", "d")])
-    assert value(spark, blocks.keep_between(x, "BEGIN", "END")) == ["b", "d"]
-    assert value(spark, blocks.remove_between(x, "BEGIN", "END", inclusive=True)) == ["a", "c"]
-    assert value(spark, blocks.keep_between(x, "NOWHERE", "END")) == []
+@pytest.mark.parametrize(("start", "end", "inclusive", "kept", "left"), [
+    ("BEGIN", "END", False, ["b", "x"], ["a", "BEGIN", "END", "c begin", "end tail", "BEGIN", "d"]),
+    ("begin", "end", True, ["BEGIN", "b", "END", "begin x end"], ["a", "c", "tail", "BEGIN", "d"]),
+    ("NOWHERE", "END", False, [], None), ("BEGIN", "NOWHERE", False, [], None),
+    (None, "END", False, ["a", "BEGIN", "b"], ["END", "c begin x end tail", "BEGIN", "d"]),
+    ("begin x", None, False, ["end tail", "BEGIN", "d"], ["a", "BEGIN", "b", "END", "c begin x"]),
+])
+def test_markers(spark, start, end, inclusive, kept, left):
+    texts = ["a", "BEGIN", "b", "END", "c begin x end tail", "BEGIN", "d"]
+    x = F.array(*map(F.lit, texts))
+    assert value(spark, blocks.keep_between(x, start, end, inclusive)) == kept
+    got = value(spark, blocks.remove_between(x, start, end, inclusive))
+    assert " ".join(got) == " ".join(left or texts)
+
+
+def test_robots_rules_are_prefixes(spark):
+    urls = ["http://a.com/theatre/x", "http://a.com/the", "http://a.com/other", "http://b.com/the", "http://a.com", "http://a.com/the/1/2/3/4/5/6/7/8/9/open?x=1"]
+    rules = spark.createDataFrame([("a.com", "/the", False), ("a.com", "/the/1/2/3/4/5/6/7/8/9/open?x", True)], "host string, path string, allow boolean")
+    got = {r["url"]: r["allowed"] for r in crawl.robots_allowed(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    assert [got[u] for u in urls] == [False, False, True, True, True, True]
+
+
+@pytest.mark.parametrize(("old", "new", "name"), [
+    ("seen 5 minutes ago", "seen just now", "relative_time"), ("on 2024-01-02T10:00Z", "on 2025-01-02", "iso_datetime"), ("Sep 30", "Oct 1", "long_date"), ("10/05/2026", "11.05.2026", "numeric_date"),
+    ("at 1:07 PM", "at 13:10 UTC", "clock_time"), ("1,204 VIEWS", "7 views", "counter"), ("t 1759669800", "t 1759669800123", "unix_timestamp"), ("id 0123456789abcdef", "id fedcba9876543210", "hex_token"),
+    ("$1,299.00", "12,50 €", "currency_amount"), ("room 5", "room 6", None),
+])
+def test_volatile_patterns(spark, old, new, name):
+    assert value(spark, replay.volatile_pattern(F.lit(old), F.lit(new))) == name
+
+
+def test_first_row_of_an_id_wins(spark):
+    old = spark.createDataFrame([(1, "b", 1), (1, "a", 2)], "id int, v string, n int")
+    new = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "id int, v string, n int")
+    assert [r["event"] for r in records.record_events(old, new, "id", ["v"], order="n").collect()] == ["changed"]
+    assert records.record_events(old, new, "id", ["v"]).count() == 0
+
+
+def test_scope_and_phrases(spark):
+    df = spark.createDataFrame([(1, "<body><article><p>a 1</p></article><p>b <span class=k>2</span></p><p>c 3</p></body>")], "id long, html string")
+    assert [(r["text"], r["inside"]) for r in dom.scoped_blocks(df, "id", "html", "article, .k").orderBy("pos").collect()] == [("a 1", True), ("b 2", True), ("c 3", False)]
+    text = spark.createDataFrame([(1, "a price drop (again) of the new phone")], "k int, t string")
+    assert keywords.near_hits(text, ["k"], "t", ["price drop", "phone"], 8).first()["span"] == 7
+    assert [r["s"] for r in keywords.literal_offsets(text, ["k"], "t", "(Again)").collect()] == [13]
+
+
+def test_maps_are_redacted(spark):
+    got = value(spark, T.redact_map(F.create_map(F.lit("X-Api-Key"), F.lit("abc"), F.lit("note"), F.lit("password=hunter2, fine"))))
+    assert got == {"X-Api-Key": "***", "note": "password=***, fine"}
 
 
 def test_dom_selectors(spark):
@@ -120,7 +165,7 @@ def test_saved_searches_that_contradict_match_nothing(spark):
 
 
 def test_two_regions(spark):
-    spark.sparkContext.setCheckpointDir("/tmp")
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
     cells = [(1, x, y, (x, y) in {(1, 1), (2, 2), (9, 9)}) for x in range(12) for y in range(12)]
     got = raster.raster_regions(spark.createDataFrame(cells, "shot int, x int, y int, differs boolean")).collect()
     assert sorted((r["x0"], r["y0"], r["x1"], r["y1"]) for r in got) == [(0, 0, 3, 3), (8, 8, 10, 10)]
