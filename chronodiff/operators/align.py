@@ -211,6 +211,11 @@ def _per_pair(pairs: DataFrame, keys: list[str], names: list[str], schema: str,
     return pairs.select(*keys, "old_blocks", "new_blocks").mapInPandas(work, full)
 
 
+def changed_words(old: list[str], new: list[str]) -> int:
+    """Words that came or went; of a replaced run the larger side counts."""
+    return sum(max(r[8], r[9]) for r in block_script(old, new))
+
+
 def align_blocks(pairs: DataFrame, keys: list[str], moves: bool = True) -> DataFrame:
     """``keys`` and one row for each operation of each pair: see ``block_script``."""
 
@@ -280,7 +285,7 @@ def gate_cumulative(versions: DataFrame, page: str, at: str, min_words: int) ->
                 anchor = blocks
                 continue
             checks += 1
-            words = sum(max(r[8], r[9]) for r in block_script(anchor, blocks))
+            words = changed_words(anchor, blocks)
             rows.append((own, when, words, words >= min_words, checks))
             if words >= min_words:
                 anchor, checks = blocks, 0

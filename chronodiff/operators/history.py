@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 
 from chronodiff.functions.urls import normalize_url
 
+#: What a time that never was sorts as.
+NEVER = "0001-01-01 00:00:00"
 #: Sort orders of a list and how each value is compared; ties go to the id.
-SORTS = {"name": lambda: F.lower(F.coalesce("name", F.lit(""))), "url": lambda: F.lower(F.coalesce("url", F.lit(""))), "balance": lambda: F.coalesce("balance", F.lit(-1e18)), "id": lambda: F.col("id")}
+SORTS = {
+    "id": lambda: F.col("id"), "name": lambda: F.lower(F.coalesce("name", F.lit(""))), "url": lambda: F.lower(F.coalesce("url", F.lit(""))),
+    "status": lambda: F.coalesce("status", F.lit("")), "errors": lambda: F.coalesce("errors", F.lit(0)), "balance": lambda: F.coalesce("balance", F.lit(-1e18)),
+    **{c: (lambda c=c: F.coalesce(c, F.lit(NEVER).cast("timestamp"))) for c in ("last_changed", "last_checked", "next_due")},
+}
 
 
 def like_text(col: Column, needle: str) -> Column:
@@ -19,8 +25,14 @@ def like_text(col: Column, needle: str) -> Column:
     return F.lower(col).contains(needle.lower())
 
 
-def list_filters(folders: list[int] | None = None, status: str | None = None, unread: bool | None = None, text: str | None = None, kind: str | None = None, min_errors: int | None = None) -> list[Column]:
-    """One predicate for each filter that is set; a saved search is such a list."""
+def list_filters(folders: list[int] | None = None, status: str | None = None, unread: bool | None = None, text: str | None = None, kind: str | None = None, min_errors: int | None = None,
+                 more_text: str | None = None, enabled: bool | None = None, method: str | None = None, plugin: str | None = None, changed_since=None) -> list[Column]:  # noqa: ANN001
+    """One predicate for each filter that is set; a saved search is such a list.
+
+    ``text`` and ``more_text`` are looked for in name and address, and both
+    must occur. Whether a page has unread keyword hits is ``list_pages``' table
+    of changes.
+    """
     out = []
     if folders is not None:
         out.append(F.col("folder").isin(folders) if folders else F.lit(False))
@@ -28,15 +40,29 @@ def list_filters(folders: list[int] | None = None, status: str | None = None, un
         out.append(F.col("status") == status)
     if unread is not None:
         out.append(F.col("unread") == unread)
-    if text:
-        out.append(like_text(F.col("name"), text))
-    if kind is not None:
-        out.append(F.col("kind") == kind)
+    for needle in (text, more_text):
+        if needle:
+            out.append(like_text(F.col("name"), needle) | like_text(F.col("url"), needle))
+    for column, value in (("kind", kind), ("enabled", enabled), ("method", method), ("plugin", plugin)):
+        if value is not None:
+            out.append(F.col(column) == value)
+    if changed_since is not None:
+        out.append(F.col("last_changed") >= F.lit(changed_since))
     if min_errors is not None:
         out.append(F.col("errors") >= min_errors)
     return out
 
 
+def list_total(pages: DataFrame, filters: list[Column], changes: DataFrame | None = None) -> DataFrame:
+    """``total``: how many pages a list has."""
+    return list_pages(pages, filters, changes).agg(F.count("*").alias("total"))
+
+
+def later_start(saved, asked):  # noqa: ANN001, ANN201
+    """Of the starts of a saved search and of what is asked on top, the later one; an open one does not count."""
+    return max((x for x in (saved, asked) if x is not None), default=None)
+
+
 def narrow(saved: list[Column], explicit: list[Column]) -> Column:
     """Both filter sets hold; what contradicts matches nothing."""
     return reduce(lambda a, b: a & b, [*saved, *explicit], F.lit(True))
@@ -114,8 +140,29 @@ def unread_hits(changes: DataFrame, page: str, hits: str, at: str) -> DataFrame:
 def report_changed(changes: DataFrame, pages: DataFrame, since) -> DataFrame:  # noqa: ANN001
     """Changes strictly after the marker with their page, and the marker that follows (newest listed)."""
     listed = changes.where(F.col("at") > since)
-    marker = listed.agg(F.max("at")).first()[0]
-    return listed.join(pages, listed["page"] == pages["id"]).select("change", "page", "name", "at", F.lit(marker).alias("next_marker"))
+    marker = F.broadcast(listed.agg(F.max("at").alias("next_marker")))  # one row
+    return listed.join(pages, listed["page"] == pages["id"]).join(marker, F.lit(True)).select("change", "page", "name", "at", "next_marker")
+
+
+def report_all(pages: DataFrame, changes: DataFrame) -> DataFrame:
+    """Every page with its newest change and how many are unread; pages without a change are listed too."""
+    last = changes.groupBy("page").agg(F.max("at").alias("last_change"), F.count_if("is_unread").alias("unread_changes"))
+    return pages.join(last, pages["id"] == last["page"], "left").select("id", "name", "status", "last_change", F.coalesce("unread_changes", F.lit(0)).alias("unread_changes"))
+
+
+def report_errors(pages: DataFrame, runs: DataFrame, is_error: Column) -> DataFrame:
+    """Pages whose newest run failed, with its time and outcome and the failures in all."""
+    last = runs.groupBy("page").agg(F.max(F.struct("at", "run", "outcome", is_error.alias("failed"))).alias("last"), F.count_if(is_error).alias("failures"))
+    bad = last.where("last.failed").select("page", F.col("last.at").alias("at"), F.col("last.outcome").alias("outcome"), "failures")
+    return pages.join(bad, pages["id"] == bad["page"]).select("id", "name", "at", "outcome", "failures")
+
+
+def recent_counts(changes: DataFrame, now) -> DataFrame:  # noqa: ANN001
+    """``unread_hit_pages``: pages with an unread change that has hits; ``changed_day``: pages changed in the 24 hours before."""
+    day = (F.col("at") > F.lit(now).cast("timestamp") - F.expr("interval 24 hours")) & (F.col("at") <= F.lit(now).cast("timestamp"))
+    return changes.agg(
+        F.countDistinct(F.when(F.col("is_unread") & F.col("hit").isNotNull(), F.col("page"))).alias("unread_hit_pages"), F.countDistinct(F.when(day, F.col("page"))).alias("changed_day")
+    )
 
 
 def error_streaks(runs: DataFrame, page: str, at: list[str], error: Column, threshold: int = 3) -> DataFrame:

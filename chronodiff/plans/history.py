@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronodiff.operators import history as H
+from chronodiff.operators import hooks as K
 from chronodiff.operators import retention
 from chronodiff.plans.registry import query
 from chronodiff.session import table
@@ -257,3 +258,96 @@ def a12_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = parse_interval(text)
     problem = F.when(url.isNull(), "no address").when(seconds.isNull(), "bad interval")
     return table(spark, sf_dir, "customer").select(key.alias("row"), problem.alias("problem"), seconds.cast("int").alias("seconds"))
+
+
+#: All columns that lists filter and sort by.
+FULL = """full_t AS (SELECT p.*, id % 13 <> 0 AS enabled, CASE WHEN id % 2 = 0 THEN 'static' ELSE 'browser' END AS method, CASE WHEN id % 17 = 0 THEN 'pdf' END AS plugin,
+  CASE WHEN id % 29 <> 0 THEN TIMESTAMP '1998-01-01' + to_days(CAST(id * 37 % 1000 AS INTEGER)) END AS last_changed, TIMESTAMP '1998-01-01' + to_days(CAST(id * 11 % 900 AS INTEGER)) AS last_checked,
+  CASE WHEN id % 31 <> 0 THEN TIMESTAMP '2000-01-01' + to_days(CAST(id * 7 % 100 AS INTEGER)) END AS next_due FROM pages_t p)"""
+_ORDERS = {"id": ("id", "500"), "name": ("lower(name)", "'customer#000000500'"), "url": ("lower(url)", "'https://host15.example.com/500'"), "status": ("status", "'error'"), "errors": ("errors", "3"),
+           "last_changed": ("coalesce(last_changed, TIMESTAMP '0001-01-01')", "TIMESTAMP '1999-01-01'"), "last_checked": ("last_checked", "TIMESTAMP '1999-01-01'"), "next_due": ("coalesce(next_due, TIMESTAMP '0001-01-01')", "TIMESTAMP '2000-02-01'")}
+
+
+def full_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def day(start: str, factor: int, span: int):  # noqa: ANN202
+        return F.date_add(F.lit(start).cast("date"), (F.col("id") * factor % span).cast("int")).cast("timestamp")
+
+    return pages(spark, sf_dir).withColumns({
+        "enabled": F.col("id") % 13 != 0, "method": F.when(F.col("id") % 2 == 0, "static").otherwise("browser"), "plugin": F.when(F.col("id") % 17 == 0, "pdf"),
+        "last_changed": F.when(F.col("id") % 29 != 0, day("1998-01-01", 37, 1000)), "last_checked": day("1998-01-01", 11, 900), "next_due": F.when(F.col("id") % 31 != 0, day("2000-01-01", 7, 100)),
+    })
+
+
+_FILTERED = "status = 'ok' AND unread AND enabled AND method = 'static' AND contains(lower(name), '#0') AND contains(lower(url), 'host1') AND last_changed >= TIMESTAMP '1998-06-01' AND id IN (SELECT page FROM changes_t WHERE is_unread AND hit IS NOT NULL)"
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> tuple:
+    start = H.later_start(dt.datetime(1998, 6, 1), dt.datetime(1998, 3, 1))
+    found = H.list_filters(status="ok", unread=True, enabled=True, method="static", text="#0", more_text="HOST1", changed_since=start)
+    return full_pages(spark, sf_dir), found, changes(spark, sf_dir).where("is_unread and hit is not null")
+
+
+@query("e1_all_filters", f"WITH {PAGES}, {CHANGES}, {FULL} SELECT id, url FROM full_t WHERE {_FILTERED}")
+def e1_all_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in name and address, switches, method, start of changes, unread hits."""
+    return H.list_pages(*_filtered(spark, sf_dir)).select("id", "url")
+
+
+@query("e1_total", f"WITH {PAGES}, {CHANGES}, {FULL} SELECT count(*) AS total FROM full_t WHERE {_FILTERED}")
+def e1_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.list_total(*_filtered(spark, sf_dir))
+
+
+@query("e1_plugin", f"WITH {PAGES}, {FULL} SELECT id FROM full_t WHERE plugin = 'pdf' AND NOT enabled")
+def e1_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.list_pages(full_pages(spark, sf_dir), H.list_filters(plugin="pdf", enabled=False)).select("id")
+
+
+@query("e2_all_orders", f"WITH {PAGES}, {FULL} " + " UNION ALL ".join(
+    f"(SELECT '{n}' AS sort, id FROM full_t WHERE {x} > {v} OR ({x} = {v} AND id > 40) ORDER BY {x}, id LIMIT 25)" for n, (x, v) in _ORDERS.items()))
+def e2_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of twenty-five after a cursor in each of the eight orders."""
+    p, out = full_pages(spark, sf_dir), None
+    cursors = {"id": 500, "name": "customer#000000500", "url": "https://host15.example.com/500", "status": "error", "errors": 3, "last_changed": dt.datetime(1999, 1, 1), "last_checked": dt.datetime(1999, 1, 1), "next_due": dt.datetime(2000, 2, 1)}
+    for sort, value in cursors.items():
+        got = H.page_after(p, sort, False, (value, 40), 25).select(F.lit(sort).alias("sort"), "id")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("e7_recent_counts", f"""WITH {CHANGES} SELECT count(DISTINCT page) FILTER (is_unread AND hit IS NOT NULL) AS unread_hit_pages,
+count(DISTINCT page) FILTER (moment > TIMESTAMP '1997-06-01' - INTERVAL 24 HOUR AND moment <= TIMESTAMP '1997-06-01') AS changed_day FROM changes_t""")
+def e7_recent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.recent_counts(changes(spark, sf_dir), dt.datetime(1997, 6, 1))
+
+
+@query("e10_report_all", f"""WITH {PAGES}, {CHANGES}, l AS (SELECT page, max(moment) AS last_change, count(*) FILTER (is_unread) AS n FROM changes_t GROUP BY page)
+SELECT id, name, status, last_change, coalesce(n, 0) AS unread_changes FROM pages_t LEFT JOIN l ON id = page""")
+def e10_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.report_all(pages(spark, sf_dir), changes(spark, sf_dir))
+
+
+@query("e11_report_errors", f"""WITH {PAGES}, {RUNS}, l AS (SELECT page, arg_max(moment, (moment, run)) AS "at", arg_max(outcome, (moment, run)) AS outcome, count(*) FILTER (outcome = 'error') AS failures FROM runs_t GROUP BY page)
+SELECT id, name, "at", outcome, failures FROM pages_t JOIN l ON id = page WHERE outcome = 'error'""")
+def e11_report_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for the watched pages of the users' runs."""
+    return H.report_errors(pages(spark, sf_dir), runs(spark, sf_dir), F.col("outcome") == "error")
+
+
+@query("d17_verdict_hooks", f"""WITH {CHANGES}, c AS (SELECT change, hit, change % 5 AS k, CASE WHEN change % 3 = 0 THEN 'below_threshold' END AS reason, year(moment) AS y FROM changes_t WHERE page % 7 <> 0)
+SELECT change, CASE WHEN k = 0 THEN true WHEN y < 1994 THEN false END AS forced, CASE WHEN k = 0 THEN NULL WHEN y < 1994 THEN 'old' ELSE reason END AS reason,
+       array_to_string(list_distinct(CASE WHEN hit IS NULL THEN [] ELSE [hit] END || CASE WHEN y = 1996 THEN ['leap'] ELSE [] END), ',') AS hits FROM c""".replace("list_distinct(", "("))
+def d17_verdict_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two verdict hooks, a keyword hook and a skip condition on all changes."""
+    year = F.year("at")
+    hooks = K.Hooks(skip=(F.col("page") % 7 == 0,), compare=(("always", F.when(F.col("change") % 5 == 0, True)), ("old", F.when(year < 1994, False))), keywords=(F.when(year == 1996, F.array(F.lit("leap"))),))
+    rows = K.checked(changes(spark, sf_dir), hooks).withColumn("reason", F.when(F.col("change") % 3 == 0, "below_threshold"))
+    rows = rows.withColumn("hits", F.when(F.col("hit").isNotNull(), F.array("hit")))
+    return K.with_verdict(K.with_keyword_hits(rows, hooks), hooks).select("change", "forced", "reason", F.array_join("hits", ",").alias("hits"))
+
+
+@query("h5_latest_state", """SELECT user_id, event_type AS name, max(event_id) AS newest, arg_max(value, event_id) AS value FROM events GROUP BY ALL HAVING arg_max(value, event_id) IS NOT NULL""")
+def h5_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a hook last noted for each user and kind of event."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name"), F.struct("event_id", "value").alias("value"), "event_id")
+    return K.latest_state(e, ["user_id"], "event_id").select("user_id", "name", F.col("value.event_id").alias("newest"), F.col("value.value").alias("value"))

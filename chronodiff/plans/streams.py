@@ -11,7 +11,7 @@ from chronodiff.functions.text import normalize_text
 from chronodiff.operators import align, delta
 from chronodiff.plans.changes import turn_versions
 from chronodiff.plans.registry import query
-from chronodiff.plans.sql import TURN_VERSIONS
+from chronodiff.plans.sql import TURN_DELTA, TURN_VERSIONS, words
 from chronodiff.session import shared_folder, table
 from chronodiff.streaming import stream as S
 
@@ -119,3 +119,26 @@ SELECT event_id AS run, user_id AS page, CAST(streak AS INTEGER) AS streak, CASE
 def g7_stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_stream(spark, sf_dir, "events").select(F.col("event_id").alias("run"), F.col("user_id").alias("page"), F.col("ts").alias("at"), (F.col("event_type") == "error").alias("error"))
     return drain(S.stream_status(rows))
+
+
+@query("g1_stream_gate")
+def g1_stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cumulative gate on a stream of versions; the same verdicts as ``d6_cumulative_gate``."""
+    batch = turn_arrays(spark, sf_dir).where("reject is null").select(F.col("conv_id").alias("page"), F.col("turn").alias("at"), "blocks")
+    path = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    batch.write.parquet(path)
+    return drain(S.stream_gate(spark.readStream.schema(batch.schema).parquet(path), 60))
+
+
+@query("c5_script_stats", f"""WITH {TURN_DELTA}, w AS (SELECT p.conv_id, p.turn, sum(d * {words("text")}) AS net, count(*) FILTER (d > 0) AS n_new, count(*) FILTER (d < 0) AS n_old
+FROM pairs p LEFT JOIN sides s USING (conv_id, turn) GROUP BY ALL) SELECT conv_id, turn, CAST(coalesce(net, 0) AS BIGINT) AS net_words, CAST(n_new AS BIGINT) AS new_blocks, CAST(n_old AS BIGINT) AS old_blocks FROM w""")
+def c5_script_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the operations of a script add up to: they cover both sides, and words in less words out is the difference of the sides."""
+    ops = align.align_blocks(turn_block_pairs(spark, sf_dir), ["conv_id", "turn"], moves=False)
+    side = lambda lo, hi: F.sum(F.when(F.col(lo) >= 0, F.col(hi) - F.col(lo) + 1).otherwise(0)).cast("long")
+    return ops.groupBy("conv_id", "turn").agg(F.sum(F.col("added_words") - F.col("removed_words")).cast("long").alias("net_words"), side("new_lo", "new_hi").alias("new_blocks"), side("old_lo", "old_hi").alias("old_blocks"))
+
+
+@query("c9_render_marks")
+def c9_render_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.render_marks(turn_block_pairs(spark, sf_dir), ["conv_id", "turn"])

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from chronodiff.operators.align import changed_words
+
 
 class _Latest(StatefulProcessor):
     """Per page: the latest good filtered hash. Emits the outcome of every fetch."""
@@ -63,6 +65,38 @@ class _Streak(StatefulProcessor):
         pass
 
 
+class _Gate(StatefulProcessor):
+    """Per page: the blocks that the last alert was about, and checks since. Emits the words of each version against them, and the verdict."""
+
+    def __init__(self, min_words: int):
+        self.min_words = min_words
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.anchor = handle.getValueState("anchor", "blocks string, checks int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        held = self.anchor.get() if self.anchor.exists() else None
+        anchor, checks = (held[0].split("\x01") if held[0] else [], held[1]) if held else (None, 0)
+        out = []
+        for at, blocks in sorted((pair for frame in rows for pair in zip(frame["at"], frame["blocks"], strict=True)), key=lambda p: p[0]):
+            blocks = list(blocks) if blocks is not None else []
+            if anchor is None:
+                anchor = blocks
+                continue
+            checks += 1
+            words = changed_words(anchor, blocks)
+            alert = words >= self.min_words
+            out.append((key[0], at, words, alert, checks))
+            if alert:
+                anchor, checks = blocks, 0
+        if anchor is not None:
+            self.anchor.update(("\x01".join(anchor), checks))
+        yield pd.DataFrame(out, columns=["page", "at", "words", "alert", "checks"])
+
+    def close(self) -> None:
+        pass
+
+
 class _Records(StatefulProcessor):
     """Per source: the row text of every id. Emits new, changed and removed of every snapshot after the first."""
 
@@ -100,6 +134,15 @@ def stream_changes(stream: DataFrame) -> DataFrame:
     return _stateful(stream, "page", _Latest(), f"page {dict(stream.dtypes)['page']}, at {dict(stream.dtypes)['at']}, outcome string")
 
 
+def stream_gate(stream: DataFrame, min_words: int) -> DataFrame:
+    """``words``, ``alert`` and ``checks`` of every version (``page``, ``at``, ``blocks``) against the page's anchor, as the batch gate gives them.
+
+    Versions of a page within a batch are taken in order of ``at``; batches come in their order.
+    """
+    kinds = dict(stream.dtypes)
+    return _stateful(stream, "page", _Gate(min_words), f"page {kinds['page']}, at {kinds['at']}, words int, alert boolean, checks int")
+
+
 def stream_status(stream: DataFrame, threshold: int = 3) -> DataFrame:
     """Streak and status of every run (``run``, ``page``, ``at``, ``error``); state is one counter a page."""
     kinds = dict(stream.dtypes)

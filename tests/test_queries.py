@@ -20,3 +20,10 @@ def test_same_as_sql(spark, sf_dir, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_gives_rows(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_stream_gate_is_the_batch_gate(spark, sf_dir):
+    key = lambda r: tuple(r)[0:2]
+    batch = sorted((tuple(r) for r in registry.QUERIES["d6_cumulative_gate"](spark, sf_dir).collect()), key=key)
+    stream = sorted((tuple(r) for r in registry.QUERIES["g1_stream_gate"](spark, sf_dir).collect()), key=key)
+    assert stream == batch and batch
