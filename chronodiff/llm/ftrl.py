@@ -109,8 +109,9 @@ def sample_features(rows: DataFrame, text_col: str, label_col: str, id_col: str,
     got = got.mapInArrow(work, f"label {kind}, a long, b long, idx array<long>, val array<float>").toArrow()
     if not len(got):
         return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), []
-    got = got.sort_by([("a", "ascending"), ("b", "ascending")]).combine_chunks()
+    got = got.sort_by([("a", "ascending"), ("b", "ascending")])
     flat = [got.column(c).combine_chunks() for c in ("idx", "val")]
+    got = got.select(["label"])
     sizes = np.array(flat[0].value_lengths())
     indptr = np.concatenate([[0], np.cumsum(sizes)])
-    return indptr, flat[0].flatten().to_numpy(), flat[1].flatten().to_numpy().astype(float), got.column("label").to_pylist()
+    return indptr, flat[0].flatten().to_numpy(), flat[1].flatten().to_numpy(), got.column("label").to_pylist()

@@ -13,6 +13,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 #: Up to so many item shingles are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_SHINGLES = 500_000
+#: Up to so many document ids (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Up to so many item windows are broadcast with their words; more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
 
@@ -101,8 +103,11 @@ def _matches(rows: DataFrame, windows: DataFrame, seen: DataFrame) -> DataFrame:
     few = prefix.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     near = seen.where("sh <> 0").join(F.broadcast(prefix) if few else prefix, "sh")
     near = near.select("id", (F.col("pos") - F.col("off")).alias("start"), "len", "window").where("start >= 0")
-    near = near.groupBy("id").agg(F.collect_set(F.struct("start", "len", "window")).alias("near"))
-    held = near.join(rows.where("id is not null"), "id").select("id", words(F.col("text")).alias("words"), "near")
+    near = cut(near.groupBy("id").agg(F.collect_set(F.struct("start", "len", "window")).alias("near")), "candidates")
+    asked = rows.where("id is not null")
+    if near.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # so that the other texts are not shuffled
+        asked = asked.join(F.broadcast(near.select("id")), "id", "left_semi")
+    held = near.join(asked, "id").select("id", words(F.col("text")).alias("words"), "near")
     one = held.select("id", "words", F.explode("near").alias("c")).where(F.col("c.start") + F.col("c.len") <= F.size("words"))
     hits = one.where(F.slice("words", F.col("c.start") + 1, F.col("c.len")) == F.col("c.window")).select("id", "c.start", "c.len", "c.window")
     return hits.join(windows.select("window", "item").distinct(), "window").select("id", "start", "len", "item")
@@ -148,8 +153,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
     Cases as in ``contamination``; rows without id stay.
     """
-    hit = contamination(docs, benchmark, size, id_col, text_col, item_col, item_text).select(F.col("id").alias("hit_id"))
-    return docs.join(hit, docs[f"`{id_col}`"] == hit["hit_id"], "left_anti")
+    hit = find_windows(docs, benchmark, size, id_col, text_col, item_col, item_text)
+    hit = cut(hit.select(F.col("id").alias("hit_id")).distinct(), "hits")
+    few = hit.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(hit) if few else hit, docs[f"`{id_col}`"] == hit["hit_id"], "left_anti")
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id",

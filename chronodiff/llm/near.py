@@ -23,8 +23,8 @@ SKETCH_BITS = 512
 #: How far below the threshold an odd sketch must see a pair to dismiss it. An estimate at 0.8 or more has a
 #: standard error of 0.035 to 0.041 (samples and bits together), so this is some five of them: once in 3.5 million.
 SLACK = 0.2
-#: Rows of a bucket that one task compares with others at once.
-BLOCK = 512
+#: Rows of a bucket, and shingles of them, that one task compares with others at once.
+BLOCK, SHINGLES = 512, 1 << 18
 #: Up to so many document ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -171,6 +171,17 @@ def _forest(ids: list, others: list, links: np.ndarray, parent: dict) -> list[tu
     return out
 
 
+def _portions(rows: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Runs of rows of at most ``BLOCK`` sets and ``SHINGLES`` shingles, or of one larger set."""
+    out, first, held = [], 0, 0
+    for k, r in enumerate(rows.tolist()):
+        if k > first and (k - first >= BLOCK or held + len(sets[r]) > SHINGLES):
+            out.append(rows[first:k])
+            first, held = k, 0
+        held += len(sets[r])
+    return [*out, rows[first:]]
+
+
 def _compare(percent: int):
     def work(group: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
@@ -179,10 +190,8 @@ def _compare(percent: int):
         own, other = np.flatnonzero(~right), np.flatnonzero(right)
         other = other if len(other) else own
         edges, parent = [], {}
-        for lo in range(0, len(own), BLOCK):
-            i = own[lo : lo + BLOCK]
-            for ro in range(0, len(other), BLOCK):
-                j = other[ro : ro + BLOCK]
+        for i in _portions(own, sets):
+            for j in _portions(other, sets):
                 links = linked_pairs([sets[k] for k in i], [sets[k] for k in j], marks[i], marks[j], comp[i][:, None] != comp[j][None, :], percent)
                 edges += _forest([ids[k] for k in i], [ids[k] for k in j], links, parent)
         return pd.DataFrame(edges, columns=["a", "b"])

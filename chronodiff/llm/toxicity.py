@@ -237,6 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         return Model(np.zeros(DIMS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
     half = np.array([zlib.crc32(str(i).encode()) & 1 for i in ids])
     lexicons = learn_lexicons(indptr, idx, y, half)
+    del indptr, idx
     pattern = dict(zip(*_sample_votes(labelled, lexicons), strict=True))
     votes = np.array([pattern[i] for i in ids])
     whole = np.where(y > 0, stand_for[1], stand_for[0])

@@ -290,3 +290,9 @@ def test_vectors_of_several_lengths_in_many_cells(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {r["id"]: (r["n_links"], r["component"]) for r in vectors.near_duplicate_vectors(df).collect()} == want
     assert [vectors.cells_for(n) for n in (1, 100, 6400)] == [1, 10, 80]
+
+
+def test_portions_bound_shingles(monkeypatch):
+    monkeypatch.setattr(near, "SHINGLES", 10)
+    sets = [np.arange(n) for n in (4, 4, 4, 30, 1, 1)]
+    assert [p.tolist() for p in near._portions(np.arange(6), sets)] == [[0, 1], [2], [3], [4, 5]]
