@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -87,12 +88,21 @@ def row_weights(classes: list, stand_for: dict) -> np.ndarray:
     return w / min(stand_for.values(), default=1.0)
 
 
-def sample_features(rows: DataFrame, text_col: str, label_col: str, id_col: str, featurize) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+def give_back() -> None:
+    """Hand memory that a fit has freed back to the system: the driver's share is small, and both allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def sample_features(rows: DataFrame, text_col: str, label_col: str, id_col: str, featurize, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """CSR features and labels of a bounded sample; texts are turned into features on the executors.
 
     Rows come in the order of their hashed ids (equal ids by text), whatever
-    the files' layout, so that a fit to them is the same.
+    the files' layout, so that a fit to them is the same. Features are buckets
+    of less than 2 ** 31, or whole hashes if ``wide``.
     """
+    number = pa.int64() if wide else pa.int32()
     kind = rows.schema[label_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,12 +111,12 @@ def sample_features(rows: DataFrame, text_col: str, label_col: str, id_col: str,
         for batch in batches:
             for lo, hi, buf, off in chunks(batch.column(1)):
                 indptr, idx, val = featurize(buf, off)
-                lists = [pa.LargeListArray.from_arrays(pa.array(indptr, pa.int64()), pa.array(v)).cast(pa.list_(t)) for v, t in ((idx.astype(np.int64), pa.int64()), (val.astype(np.float32), pa.float32()))]
+                lists = [pa.LargeListArray.from_arrays(pa.array(indptr, pa.int64()), pa.array(v)).cast(pa.list_(t)) for v, t in ((idx.astype(np.int64 if wide else np.int32), number), (val.astype(np.float32), pa.float32()))]
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in (0, 2, 3)], *lists], ["label", "a", "b", "idx", "val"])
 
     text = F.col(f"`{text_col}`")
     got = rows.select(F.col(f"`{label_col}`").alias("label"), text.alias("text"), F.xxhash64(F.lit("order"), F.col(f"`{id_col}`")).alias("a"), F.xxhash64(text).alias("b"))
-    got = got.mapInArrow(work, f"label {kind}, a long, b long, idx array<long>, val array<float>").toArrow()
+    got = got.mapInArrow(work, f"label {kind}, a long, b long, idx array<{'long' if wide else 'int'}>, val array<float>").toArrow()
     if not len(got):
         return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), []
     got = got.sort_by([("a", "ascending"), ("b", "ascending")])
@@ -114,4 +124,6 @@ def sample_features(rows: DataFrame, text_col: str, label_col: str, id_col: str,
     got = got.select(["label"])
     sizes = np.array(flat[0].value_lengths())
     indptr = np.concatenate([[0], np.cumsum(sizes)])
-    return indptr, flat[0].flatten().to_numpy(), flat[1].flatten().to_numpy(), got.column("label").to_pylist()
+    idx, val = (x.flatten().to_numpy() for x in flat)
+    give_back()
+    return indptr, idx, val, got.column("label").to_pylist()

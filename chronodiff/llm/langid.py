@@ -153,6 +153,8 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     w, b = ftrl.fit(*_take(indptr, idx, val, fit_rows), target[fit_rows], DIMS, alpha=0.5, l1=0.05, l2=0.01, epochs=3, weight=weight[fit_rows])
     logits = _logits(*_take(indptr, idx, val, np.flatnonzero(check)), w, b)
     temperature = _calibrate(logits, y[check], weight[check])
+    del indptr, idx, val
+    ftrl.give_back()
     return Model(langs, (w * idf[:, None]).astype(np.float32), b, temperature)
 
 

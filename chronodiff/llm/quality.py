@@ -96,7 +96,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
         return Model(np.zeros(DIMS, np.float32), 0.0 if not y else (4.0 if y[0] else -4.0))
     weight, y = ftrl.row_weights(y, stand_for), np.array(y)
     w, b = ftrl.fit(indptr, idx, val, np.stack([1 - y, y], 1).astype(float), DIMS, alpha=0.5, l1=0.3, l2=0.05, epochs=6, weight=weight)
-    return Model(w[:, 1], float(b[1]))
+    del indptr, idx, val
+    ftrl.give_back()
+    return Model(w[:, 1].copy(), float(b[1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -231,13 +231,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     label = {r["id"]: r["y"] for r in chosen.collect()}
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     labelled = rows.join(F.broadcast(chosen.select("id")), "id")  # bounded by max_per_class
-    indptr, idx, _, ids = ftrl.sample_features(labelled, "text", "id", "id", whole_hashes)
+    indptr, idx, _, ids = ftrl.sample_features(labelled, "text", "id", "id", whole_hashes, wide=True)
     y = np.array([label[i] for i in ids], float)
     if len(set(label.values())) < 2 or not 0 < y.sum() < len(y):
         return Model(np.zeros(DIMS, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0))
     half = np.array([zlib.crc32(str(i).encode()) & 1 for i in ids])
     lexicons = learn_lexicons(indptr, idx, y, half)
     del indptr, idx
+    ftrl.give_back()
     pattern = dict(zip(*_sample_votes(labelled, lexicons), strict=True))
     votes = np.array([pattern[i] for i in ids])
     whole = np.where(y > 0, stand_for[1], stand_for[0])
@@ -251,7 +252,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     target = np.array(target)
     weight = ftrl.row_weights((target >= 0.5).astype(int).tolist(), {k: max(1.0, n[k] / max_per_class) for k in (0, 1)})
     w, b = ftrl.fit(indptr, bucket, val, np.stack([1 - target, target], 1), DIMS, alpha=0.3, l1=3.0, l2=0.1, epochs=5, weight=weight)
-    return Model(w[:, 1], float(b[1]), label_model)
+    del indptr, bucket, val
+    ftrl.give_back()
+    return Model(w[:, 1].copy(), float(b[1]), label_model)
 
 
 def _drawn(rows: DataFrame, lexicons: Lexicons, posterior: np.ndarray, share: list[float]) -> DataFrame:
