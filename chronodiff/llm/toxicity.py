@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronodiff.llm import ftrl
-from chronodiff.llm.tables import small_batches
+from chronodiff.llm.tables import cut, small_batches
 from chronodiff.llm.textnum import LETTERS, byte_class, chunks, hash_spans, hash_word, segment_sum, spans
 
 #: Buckets of the hashed words.
@@ -247,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     label_model = fit_label_model(np.maximum(counts - gold.sum(axis=1), 0), gold)
     post = label_model.posterior
     n = [counts[post < 0.5].sum(), counts[post >= 0.5].sum()]
-    drawn = _drawn(rows, lexicons, post, [min(1.0, max_per_class / max(k, 1)) for k in n])
+    # written, so that no task has two Python workers at once
+    drawn = cut(_drawn(rows, lexicons, post, [min(1.0, max_per_class / max(k, 1)) for k in n]), "drawn")
     indptr, bucket, val, target = ftrl.sample_features(drawn, "text", "target", "id", features)
     target = np.array(target)
     weight = ftrl.row_weights((target >= 0.5).astype(int).tolist(), {k: max(1.0, n[k] / max_per_class) for k in (0, 1)})
