@@ -320,8 +320,11 @@ def _scorer(docs: DataFrame, model: Model, text_at: int):
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``; columns as they come, no shuffle.
 
-    Cases as in ``score``; all columns pass through the scoring task.
+    Cases as in ``score``; a model without labelled rows of both classes, whose
+    score is a constant, rejects nothing; all columns pass through the scoring task.
     """
+    if model.label_model is None:
+        return docs
     order = [text_col, *[c for c in docs.columns if c != text_col]]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(order)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", score double"
