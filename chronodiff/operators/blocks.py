@@ -48,18 +48,46 @@ def extract_blocks(df: DataFrame, keys: list[str], html_col: str) -> DataFrame:
     return df.select(*keys, F.posexplode(parts).alias("pos", "text"))
 
 
+def _tags(html: Column, name: str) -> Column:
+    """The start tags of the elements of one name, in order, outside comments."""
+    return F.regexp_extract_all(F.regexp_replace(html, "(?s)<!--.*?-->", ""), F.lit(rf"(?i)<{name}\s[^>]*>"), 0)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute of a start tag (quoted or not), decoded and trimmed; empty where it is missing."""
+    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    out = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    for entity, char in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.trim(out)
+
+
+def _targets(df: DataFrame, keys: list[str], base_col: str, html_col: str, tag: str, names: tuple[str, ...], wanted: Column, limit: int) -> DataFrame:
+    html, own = F.col(html_col), F.col(base_col)
+    given = _attribute(F.get(_tags(html, "base"), F.lit(0)), "href")
+    base = F.when(F.coalesce(given, F.lit("")) != "", absolute_url(own, given)).otherwise(own)
+    raw = F.transform(_tags(html, tag), lambda t: F.coalesce(*[F.nullif(_attribute(t, n), F.lit("")) for n in names]))
+    rows = df.where(wanted).select(*keys, base.alias("base"), F.posexplode(raw).alias("at", "href")).where("href is not null")
+    rows = rows.where(~F.col("href").rlike(r"(?i)^(#|javascript:|mailto:|tel:|data:|sms:)"))
+    rows = rows.withColumn("url", F.regexp_replace(absolute_url(F.col("base"), F.col("href")), "#.*$", "")).where(F.col("url").rlike("(?i)^https?://"))
+    once = rows.groupBy(*keys, "url").agg(F.min("at").alias("at"))
+    ranked = once.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("at", "url")))
+    return ranked.where(F.col("n") <= limit).select(*keys, "n", "url")
+
+
 def extract_links(df: DataFrame, keys: list[str], base_col: str, html_col: str, limit: int = 5000) -> DataFrame:
     """``keys``, ``n``, ``url``: absolute link targets in order, each once a page.
 
-    Fragments are cut; ``#``, ``javascript:``, ``mailto:``, ``tel:`` and ``data:`` are no links.
+    ``<base>`` counts; fragments are cut; only http and https addresses are
+    links. A page whose robots meta element says ``nofollow`` has none.
     """
-    found = F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), 1)
-    rows = df.select(*keys, F.col(base_col).alias("base"), F.posexplode(found).alias("at", "href"))
-    rows = rows.where(~F.col("href").rlike(r"(?i)^\s*(#|javascript:|mailto:|tel:|data:)") & (F.trim("href") != ""))
-    url = F.regexp_replace(absolute_url(F.col("base"), F.trim("href")), "#.*$", "")
-    once = rows.withColumn("url", url).groupBy(*keys, "url").agg(F.min("at").alias("at"))
-    ranked = once.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("at", "url")))
-    return ranked.where(F.col("n") <= limit).select(*keys, "n", "url")
+    stays = F.exists(_tags(F.col(html_col), "meta"), lambda m: (F.lower(_attribute(m, "name")) == "robots") & F.lower(_attribute(m, "content")).contains("nofollow"))
+    return _targets(df, keys, base_col, html_col, "a", ("href",), ~F.coalesce(stays, F.lit(False)), limit)
+
+
+def extract_images(df: DataFrame, keys: list[str], base_col: str, html_col: str, limit: int = 5000) -> DataFrame:
+    """``keys``, ``n``, ``url``: absolute addresses of the images of each page in order, each once; ``data-src`` stands in for ``src``."""
+    return _targets(df, keys, base_col, html_col, "img", ("src", "data-src"), F.lit(True), limit)
 
 
 def page_class(html: Column) -> Column:

@@ -50,6 +50,15 @@ def metric_rollup(df: DataFrame, at: str, name: str, value: str, width: str) ->
     return g.withColumn("growth", F.when(F.col("v0") != 0, (F.col("v1") - F.col("v0")) / F.col("v0") * 100)).drop("v0", "v1")
 
 
+def host_capacity(load: DataFrame, overrides: DataFrame, limit: float, top: int = 50) -> DataFrame:
+    """``host``, ``pages``, ``demand``, ``limit``, ``utilisation``, ``factor``, ``over_limit`` of the ``top`` hosts by utilisation, then demand, then name, backwards."""
+    need = load.groupBy("host").agg(F.count("*").alias("pages"), F.sum("demand").alias("demand"))
+    out = need.join(overrides.select("host", F.col("limit").alias("own")), "host", "left").withColumn("limit", F.coalesce("own", F.lit(limit)))
+    out = out.withColumn("utilisation", F.col("demand") / F.col("limit"))
+    out = out.select("host", "pages", "demand", "limit", "utilisation", F.greatest(F.lit(1.0), "utilisation").alias("factor"), (F.col("utilisation") > 1 + 1e-6).alias("over_limit"))
+    return out.orderBy(F.desc("utilisation"), F.desc("demand"), F.desc("host")).limit(top)
+
+
 def jitter(key: Column, spread: Column) -> Column:
     """A number of seconds below ``spread`` that depends on the key alone."""
     return F.pmod(F.xxhash64(key), F.greatest(spread, F.lit(1))).cast("int")
@@ -69,18 +78,54 @@ def next_clock_time(now: Column, times: Column, days: Column, zone: str = "UTC")
     local = F.from_utc_timestamp(now, zone)
     day = F.sequence(F.lit(0), F.lit(8))
     at = F.flatten(F.transform(day, lambda d: F.transform(times, lambda t: F.struct(F.date_add(F.to_date(local), d).alias("d"), t.alias("t")))))
-    fits = F.filter(at, lambda x: F.array_contains(days, F.weekday(x["d"])))
+    fits = F.filter(at, lambda x: _allowed(days, x["d"]))
     utc = F.transform(fits, lambda x: F.to_utc_timestamp(x["d"].cast("timestamp") + F.make_dt_interval(mins=x["t"]), zone))
     return F.array_min(F.filter(utc, lambda x: x > now))
 
 
-def apply_limits(at: Column, start_min: Column, end_min: Column) -> Column:
-    """``at``, moved to the start of the daily window if it lies outside; windows may wrap midnight; equal ends are no window."""
-    minute = F.hour(at) * 60 + F.minute(at)
-    day = F.to_date(at).cast("timestamp")
-    opens = F.make_dt_interval(mins=start_min)
-    inside = F.when(start_min < end_min, (minute >= start_min) & (minute < end_min)).when(start_min > end_min, (minute >= start_min) | (minute < end_min)).otherwise(True)
-    return F.when(inside, at).when(minute < start_min, day + opens).otherwise(day + F.make_dt_interval(days=F.lit(1)) + opens)
+def _allowed(days: Column | None, day: Column) -> Column:
+    """Whether a date is on one of ``days`` (0 is Monday); no or empty ``days`` allow all."""
+    if days is None:
+        return F.lit(True)
+    return F.coalesce(F.size(days) <= 0, F.lit(True)) | F.array_contains(days, F.weekday(day))
+
+
+def apply_limits(at: Column, start_min: Column, end_min: Column, days: Column | None = None, zone: str = "UTC") -> Column:
+    """``at``, or the next allowed start if its local day or time of day is not allowed.
+
+    Both ends of a window (minutes of the day) belong to it; one that ends
+    before it starts wraps midnight; without a window (nulls) days open at
+    midnight. ``days`` are as in ``next_clock_time``; none or empty allow all.
+    """
+    local = F.from_utc_timestamp(at, zone)
+    today = F.to_date(local)
+    clock = (F.hour(local) * 60 + F.minute(local)) * 60 + F.extract(F.lit("SECOND"), local)
+    start, end = start_min * 60, end_min * 60
+    within = F.when(start <= end, (clock >= start) & (clock <= end)).when(start > end, (clock >= start) | (clock <= end)).otherwise(True)
+    opens_today = F.coalesce(clock < start, F.lit(False))
+    later = F.filter(F.sequence(F.lit(0), F.lit(8)), lambda d: ((d > 0) | opens_today) & _allowed(days, F.date_add(today, d)))
+    opens = F.date_add(today, F.get(later, F.lit(0))).cast("timestamp") + F.make_dt_interval(mins=F.coalesce(start_min, F.lit(0)))
+    return F.when(within & _allowed(days, today), at).otherwise(F.coalesce(F.to_utc_timestamp(opens, zone), at))
+
+
+def adaptive_next(current: Column, changed: Column, low: int, high: int, factor: float) -> Column:
+    """The interval after one more check: a change or no interval yet gives ``low``, no change multiplies (truncated) up to ``high``, an error (null) holds."""
+    grown = F.least(F.lit(high), F.greatest(F.lit(low), (current * factor).cast("int")))
+    return F.when(current.isNull() | F.coalesce(changed, F.lit(False)), low).when(~changed, grown).otherwise(current)
+
+
+def next_due(
+    mode: Column, now: Column, interval_s: Column, current_s: Column, times: Column, start_min: Column, end_min: Column,
+    days: Column | None = None, factor: Column | float = 1.0, extra_s: Column | int = 0, zone: str = "UTC",
+) -> Column:
+    """The next check by ``mode``: manual none, ``times`` the next clock time, interval and adaptive the (stretched) wait; within limits of days and window.
+
+    Adaptive pages wait ``current_s``, which ``adaptive_next`` gives; clock times are not stretched.
+    """
+    stretch = F.lit(factor) if isinstance(factor, float) else factor
+    wait = next_interval_due(now, F.when(mode == "adaptive", current_s).otherwise(interval_s), stretch, extra_s)
+    clock = next_clock_time(now, times, F.array().cast("array<int>") if days is None else days, zone)
+    return apply_limits(F.when(mode == "times", clock).when(mode.isin("interval", "adaptive"), wait), start_min, end_min, days, zone)
 
 
 def adaptive_intervals(runs: DataFrame, page: str, at: str, outcome: str, low: int, high: int, factor: float) -> DataFrame:
@@ -102,13 +147,24 @@ def adaptive_intervals(runs: DataFrame, page: str, at: str, outcome: str, low: i
     return counts.select(page, F.get(table, F.least(F.coalesce("steps", F.lit(0)), F.lit(len(ladder) - 1)).cast("int")).alias("interval_s"))
 
 
-def catch_up_plan(pages: DataFrame, now, spread_s: float, parts: int = 64) -> DataFrame:  # noqa: ANN001
+def due_now(pages: DataFrame, now) -> DataFrame:  # noqa: ANN001
+    """The pages whose check is due, in the order of dispatch: priority, then longest overdue, then page."""
+    return pages.where(F.col("due") <= F.lit(now)).orderBy(F.desc("priority"), "due", "page")
+
+
+def catch_up_plan(pages: DataFrame, now, spread_s: float, parts: int = 64, allowed: str | None = None) -> DataFrame:  # noqa: ANN001
     """``page``, ``place``, ``start_at``: overdue pages by priority, then longest overdue, spread evenly.
 
     Places over the global order are ranks inside ranges of it plus the counts
     of the ranges before. The spread is ``spread_s`` or one second a page, the smaller.
+    ``allowed`` names a column with the first start that a page's limits allow
+    (``apply_limits`` of now); where that is later, it is the page's start, without a place.
     """
     due = pages.where(F.col("due") <= F.lit(now)).withColumn("late", F.unix_micros("due"))
+    if allowed:
+        waits = F.coalesce(F.col(allowed) > F.lit(now), F.lit(False))
+        plan = catch_up_plan(due.where(~waits).select("page", "priority", "due"), now, spread_s, parts)
+        return plan.unionByName(due.where(waits).select("page", F.lit(None).cast("long").alias("place"), F.col(allowed).cast(plan.schema["start_at"].dataType).alias("start_at")))
     bounds = due.select(F.percentile_approx("late", [k / parts for k in range(1, parts)])).first()[0] or []
     due = due.withColumn("slot", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda x: x < F.col("late"))))
     counts = due.groupBy("priority", "slot").agg(F.count("*").alias("n"))

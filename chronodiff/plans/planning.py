@@ -49,6 +49,14 @@ def e17_host_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.host_stretch(load(spark, sf_dir), own, 0.05).select("host", F.round("demand", 6).alias("demand"), "limit", F.round("factor", 6).alias("factor"))
 
 
+@query("e16_host_capacity", f"""WITH {_LOAD}, d AS (SELECT host, count(*) AS pages, sum(demand) AS demand, CASE WHEN host IN ('host1', 'host5') THEN 0.01::DOUBLE ELSE 0.05::DOUBLE END AS "limit" FROM load_t GROUP BY host)
+SELECT host, pages, round(demand, 6) AS demand, "limit", round(demand / "limit", 6) AS utilisation, round(greatest(1.0, demand / "limit"), 6) AS factor, demand / "limit" > 1.000001 AS over_limit FROM d ORDER BY demand / "limit" DESC, d.demand DESC, host DESC LIMIT 50""")
+def e16_host_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([("host1", 0.01), ("host5", 0.01)], "host string, limit double")
+    found = C.host_capacity(load(spark, sf_dir), own, 0.05)
+    return found.select("host", "pages", F.round("demand", 6).alias("demand"), "limit", F.round("utilisation", 6).alias("utilisation"), F.round("factor", 6).alias("factor"), "over_limit")
+
+
 @query("e18_host_gaps", """WITH r AS (SELECT user_id AS host, ts AS s, ts + to_microseconds(CAST(round(value * 60000000) AS BIGINT)) AS e FROM events),
 g AS (SELECT host, epoch_us(s) - lag(epoch_us(s)) OVER (PARTITION BY host ORDER BY s) AS gap FROM r), gm AS (SELECT host, min(gap) / 1e6 AS min_gap_s FROM g GROUP BY host),
 v AS (SELECT host, s AS t, 1 AS d FROM r UNION ALL SELECT host, e, -1 FROM r), l AS (SELECT host, sum(d) OVER (PARTITION BY host ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS level FROM v)
@@ -87,12 +95,35 @@ def f2_next_clock_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("page"), due.cast("timestamp_ntz").alias("due"))
 
 
-@query("f3_apply_limits", """WITH e AS (SELECT event_id, ts, hour(ts) * 60 + minute(ts) AS m, date_trunc('day', ts) AS d, event_id % 2 = 0 AS wraps FROM events)
-SELECT event_id AS page, CASE WHEN (wraps AND (m >= 1320 OR m < 360)) OR (NOT wraps AND m >= 540 AND m < 1020) THEN ts WHEN m < CASE WHEN wraps THEN 1320 ELSE 540 END THEN d + to_minutes(CASE WHEN wraps THEN 1320 ELSE 540 END)
- ELSE d + INTERVAL 1 DAY + to_minutes(CASE WHEN wraps THEN 1320 ELSE 540 END) END AS due FROM e""")
-def f3_apply_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Even events may run from 22:00 to 06:00, odd ones on work days from 09:00 to 17:00; ``t0`` is the time to be moved.
+_LIMITS = """lim AS (SELECT *, epoch_us(t0) % 86400000000 / 60000000.0 AS m, date_trunc('day', t0) AS d, CASE WHEN event_id % 2 = 0 THEN 1320 ELSE 540 END AS opens, event_id % 2 = 0 OR isodow(t0) < 6 AS day_ok FROM wanted),
+nxt AS (SELECT event_id, min(d + to_days(CAST(k AS INTEGER)) + to_minutes(opens)) AS later FROM lim, range(9) t(k) WHERE (k > 0 OR m < opens) AND (event_id % 2 = 0 OR isodow(d + to_days(CAST(k AS INTEGER))) < 6) GROUP BY event_id),
+moved AS (SELECT event_id, CASE WHEN day_ok AND CASE WHEN event_id % 2 = 0 THEN m >= 1320 OR m <= 360 ELSE m BETWEEN 540 AND 1020 END THEN t0 ELSE later END AS due FROM lim LEFT JOIN nxt USING (event_id))"""
+
+
+def limits() -> tuple:
+    """Start, end and days that events may run."""
     wraps = F.col("event_id") % 2 == 0
-    due = C.apply_limits(F.col("ts").cast("timestamp"), F.when(wraps, 1320).otherwise(540), F.when(wraps, 360).otherwise(1020))
+    days = F.when(wraps, F.array().cast("array<int>")).otherwise(F.array(*[F.lit(d) for d in range(5)]))
+    return F.when(wraps, 1320).otherwise(540), F.when(wraps, 360).otherwise(1020), days
+
+
+@query("f3_apply_limits", f"WITH wanted AS (SELECT event_id, ts AS t0 FROM events), {_LIMITS} SELECT event_id AS page, due FROM moved")
+def f3_apply_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event moved to when its limits allow it."""
+    due = C.apply_limits(F.col("ts").cast("timestamp"), *limits())
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("page"), due.cast("timestamp_ntz").alias("due"))
+
+
+@query("f1_due_by_mode", f"""WITH clocks AS (SELECT event_id, min(x) AS x FROM (SELECT event_id, ts, date_trunc('day', ts) + to_days(CAST(a.d AS INTEGER)) + to_minutes(t) AS x FROM events, range(9) a(d), (VALUES (390), (1110)) b(t)) WHERE x > ts AND (event_id % 2 = 0 OR isodow(x) < 6) GROUP BY 1),
+wanted AS (SELECT event_id, CASE (event_id // 2) % 4 WHEN 0 THEN ts + to_seconds(900) WHEN 1 THEN ts + to_seconds(CASE event_type WHEN 'purchase' THEN 300 WHEN 'error' THEN 1000 ELSE 1500 END) WHEN 2 THEN x END AS t0 FROM events JOIN clocks USING (event_id)),
+{_LIMITS} SELECT event_id AS page, due FROM moved""")
+def f1_due_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a check of a page with a schedule by interval, adaptive, by clock times or by hand, within its limits."""
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("interval", "adaptive", "times", "manual")]), (F.floor(F.col("event_id") / 2) % 4 + 1).cast("int"))
+    changed = F.when(F.col("event_type") == "error", F.lit(None).cast("boolean")).otherwise(F.col("event_type") == "purchase")
+    start, end, days = limits()
+    due = C.next_due(mode, F.col("ts").cast("timestamp"), F.lit(900), C.adaptive_next(F.lit(1000), changed, 300, 7200, 1.5), F.array(F.lit(390), F.lit(1110)), start, end, days)
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("page"), due.cast("timestamp_ntz").alias("due"))
 
 
@@ -116,6 +147,17 @@ def f5_catch_up_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page", "place", F.round(offset, 3).alias("offset_s"))
 
 
+@query("f5_catch_up_limits", f"""WITH wanted AS (SELECT event_id, TIMESTAMP '2024-01-15 12:00:00' AS t0, ts FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'), {_LIMITS},
+r AS (SELECT event_id, row_number() OVER (ORDER BY event_id % 3 DESC, ts, event_id) - 1 AS place, count(*) OVER () AS n FROM wanted JOIN moved USING (event_id) WHERE due <= t0)
+SELECT event_id AS page, CAST(place AS BIGINT) AS place, CAST(CASE WHEN place IS NULL THEN epoch_us(due) / 1e6 - epoch_us(TIMESTAMP '2024-01-15 12:00:00') / 1e6 ELSE round(round(place * least(3600.0, n) / n, 6), 3) END AS DOUBLE) AS offset_s FROM moved LEFT JOIN r USING (event_id)""")
+def f5_catch_up_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catch-up plan of pages with limits: those that may not run at noon wait for their next allowed start."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("page"), (F.col("event_id") % 3).alias("priority"), F.col("ts").cast("timestamp").alias("due"), C.apply_limits(F.lit(NOW).cast("timestamp"), *limits()).alias("open_at"))
+    found = C.catch_up_plan(rows, NOW, 3600, allowed="open_at")
+    offset = (F.unix_micros(F.col("start_at").cast("timestamp")) - F.unix_micros(F.lit(NOW).cast("timestamp"))) / 1e6
+    return found.select("page", "place", F.round(offset, 3).alias("offset_s"))
+
+
 @query("e29_select_links", f"""WITH {LINKS}, k AS (SELECT l.page_id, l.n, l.url FROM links l JOIN pages p ON p.page_id = l.page_id WHERE regexp_extract(l.url, '://([^/?#]*)', 1) = lower(regexp_extract(p.url, '://([^/?#]*)', 1)) AND l.url <> p.url
  AND regexp_matches(l.url, '/[a-zA-Z]') AND NOT regexp_matches(l.url, '[,.]$') AND l.url NOT IN (SELECT url FROM pages))
 SELECT url, arg_min(page_id, (page_id, n)) AS page, arg_min(n, (page_id, n)) AS n FROM k GROUP BY url""")

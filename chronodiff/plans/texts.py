@@ -89,6 +89,13 @@ def b4_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_links(spark, sf_dir)
 
 
+@query("b4_extract_images", f"WITH {LINKS} SELECT * FROM links")
+def b4_extract_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with an image, by its late-loading attribute, in place of each link."""
+    html = F.regexp_replace("html", r"(?i)<a\s+href\s*=", "<img alt='' src='' data-src=")
+    return B.extract_images(table(spark, sf_dir, "pages").withColumn("html", html), ["page_id"], "url", "html")
+
+
 @query("b21_pdf_links", f"WITH {LINKS} SELECT page_id, url FROM links WHERE regexp_matches(lower(url), '(\\.pdf|,)([?#].*)?$')")
 def b21_pdf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by the end of their path; the test pages have commas where real ones have ``.pdf``."""

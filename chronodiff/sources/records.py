@@ -47,12 +47,35 @@ def json_leaves(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
     return rows.select(*keys, F.col("key").alias("name"), F.col("value").cast("string").alias("value"))
 
 
+#: Longest summary of a feed entry (fixed value).
+SUMMARY_CHARS = 2000
+
+
+def _plain(col: Column) -> Column:
+    """Text without tags, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(col, "<[^>]*>", " "), r"\s+", " "))
+
+
 def feed_entries(df: DataFrame, keys: list[str], xml_col: str, max_entries: int = 200) -> DataFrame:
-    """``keys``, ``pos``, ``entry`` (guid, else link, else title), ``title``, ``link``, ``summary`` of RSS items; each entry once."""
-    item = "struct<title:string,link:string,guid:string,description:string>"
-    parsed = F.from_xml(F.col(xml_col), f"channel struct<item:array<{item}>>")
-    rows = df.select(*keys, F.posexplode(parsed["channel"]["item"]).alias("at", "i"))
-    rows = rows.select(*keys, "at", F.coalesce("i.guid", "i.link", "i.title").alias("entry"), "i.title", "i.link", F.col("i.description").alias("summary"))
+    """``keys``, ``pos``, ``entry`` (id, else link, else title), ``title``, ``link``, ``summary`` of RSS items or Atom entries; each entry once.
+
+    Of an Atom entry's links the first without a relation, or of relation
+    ``alternate``, counts; its content stands in for a missing summary.
+    """
+    marked = "struct<_VALUE:string,_type:string>"
+    item = "struct<title:string,link:string,guid:struct<_VALUE:string,_isPermaLink:string>,description:string>"
+    entry = f"struct<id:string,title:{marked},link:array<struct<_href:string,_rel:string>>,summary:{marked},content:{marked}>"
+    parsed = F.from_xml(F.col(xml_col), f"channel struct<item:array<{item}>>, entry array<{entry}>")
+
+    def one(key: Column, title: Column, link: Column, summary: Column) -> Column:
+        return F.struct(F.coalesce(key, link, title).alias("entry"), _plain(title).alias("title"), link.alias("link"), F.substring(_plain(summary), 1, SUMMARY_CHARS).alias("summary"))
+
+    def page_of(links: Column) -> Column:
+        return F.get(F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+
+    rss = F.transform(parsed["channel"]["item"], lambda i: one(i["guid"]["_VALUE"], i["title"], i["link"], i["description"]))
+    atom = F.transform(parsed["entry"], lambda e: one(e["id"], e["title"]["_VALUE"], page_of(e["link"]), F.coalesce(e["summary"]["_VALUE"], e["content"]["_VALUE"])))
+    rows = df.select(*keys, F.posexplode(F.coalesce(rss, atom)).alias("at", "i")).select(*keys, "at", "i.*")
     rows = rows.withColumn("nth", F.row_number().over(W.partitionBy(*keys, "entry").orderBy("at"))).where("nth = 1")
     return rows.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy("at"))).where(F.col("pos") <= max_entries).drop("at", "nth")
 
