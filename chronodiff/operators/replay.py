@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronodiff.functions.text import ignore_text
+from chronodiff.operators import delta, keywords
+
 #: Patterns of what changes by itself, the more specific first; case does not count (fixed values).
 VOLATILE = (
     ("relative_time", r"\b(?:\d+\s*(?:seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?)\s+ago|just now|moments? ago|yesterday|today)\b"),
@@ -49,3 +54,56 @@ def replay(old_verdicts: DataFrame, new_verdicts: DataFrame, keys: list[str]) ->
     a = old_verdicts.select(*keys, F.coalesce("verdict", F.lit("alert")).alias("was"))
     b = new_verdicts.select(*keys, F.coalesce("verdict", F.lit("alert")).alias("would"))
     return a.join(b, keys, "full_outer").groupBy("was", "would").agg(F.count("*").alias("n"))
+
+
+@dataclass(frozen=True)
+class Config:
+    """Filters and gate of a page; ``ignore`` has (pattern, kind), ``terms`` has (rule, term, kind)."""
+
+    ignore: tuple[tuple[str, str], ...] = ()
+    min_chars: int = 0
+    blacklist: tuple[str, ...] = ()
+    whitelist: tuple[str, ...] = ()
+    min_words: int = 0
+    ignore_removed: bool = False
+    terms: tuple[tuple[str, str, str], ...] = ()
+
+
+def filtered_body(body: Column, config: Config) -> Column:
+    """The lines of a stored body that the filters leave, one block a line."""
+
+    def line(x: Column) -> Column:
+        for pattern, kind in config.ignore:
+            x = ignore_text(x, pattern, kind)
+        return x
+
+    left = F.transform(F.split(delta.joined_blocks(body), "\n", -1), line)
+    return F.array_join(F.filter(left, lambda x: x != ""), "\n")
+
+
+def try_config(pairs: DataFrame, keys: list[str], config: Config, old: str = "old_text", new: str = "new_text") -> DataFrame:
+    """``keys``, ``verdict``: what ``config`` says of each pair of stored bodies.
+
+    In order: ``unchanged`` (equal blocks in equal order), the reason of a bad
+    fetch, the gate's reason, ``alert``. Filters run within a body's row; only
+    blocks are shuffled. A null body has no blocks. Keys name one pair and are
+    not null.
+    """
+    rows = pairs.select(*keys, filtered_body(F.col(old), config).alias("old_body"), filtered_body(F.col(new), config).alias("new_body"))
+    head = F.when(F.col("old_body") == F.col("new_body"), "unchanged").otherwise(
+        delta.bad_fetch(F.col("new_body"), config.min_chars, config.blacklist, config.whitelist)
+    )
+    diff = delta.block_delta(delta.line_blocks(rows, keys, "old_body"), delta.line_blocks(rows, keys, "new_body"), keys)
+    sums = delta.delta_stats(diff, keys)
+    stats = rows.select(*keys, head.alias("head")).join(sums, keys, "left").na.fill(0, [c for c in sums.columns if c not in keys])
+    if config.terms:
+        added = diff.where("n_ins > 0").withColumn("pos", F.lit(0))
+        hits = keywords.term_hits(added, list(config.terms), keys).groupBy(*keys).agg(F.collect_set("term").alias("hits"))
+        stats = stats.join(hits, keys, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+    judged = delta.gate_changes(stats, config.min_words, config.ignore_removed, bool(config.terms))
+    return judged.select(*keys, F.coalesce("head", "reason", F.lit("alert")).alias("verdict"))
+
+
+def replay_bodies(pairs: DataFrame, keys: list[str], standing: Config, candidate: Config) -> DataFrame:
+    """``was``, ``would``, ``n``: both configurations run over all stored pairs of bodies (``old_text``, ``new_text``)."""
+    return replay(try_config(pairs, keys, standing), try_config(pairs, keys, candidate), keys)

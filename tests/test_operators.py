@@ -169,3 +169,28 @@ def test_two_regions(spark):
     cells = [(1, x, y, (x, y) in {(1, 1), (2, 2), (9, 9)}) for x in range(12) for y in range(12)]
     got = raster.raster_regions(spark.createDataFrame(cells, "shot int, x int, y int, differs boolean")).collect()
     assert sorted((r["x0"], r["y0"], r["x1"], r["y1"]) for r in got) == [(0, 0, 3, 3), (8, 8, 10, 10)]
+
+
+@pytest.mark.parametrize(("old", "new", "config", "verdict"), [
+    ("a\nb", "a\nb", {}, "unchanged"),
+    ("a\nb", "b\na", {}, "reorder_only"),
+    ("a\nseen 5 times", "a\nseen 6 times", {}, "alert"),
+    ("a\nseen 5 times", "a\nseen 6 times", {"ignore": (("[0-9]+", "regex"),)}, "unchanged"),
+    ("a\n7", "a", {"ignore": (("7", "literal"),)}, "unchanged"),
+    ("a", "a\nb c", {"min_words": 3}, "below_threshold"),
+    ("a\nb", "a", {"ignore_removed": True}, "removed_only"),
+    ("long enough", "x", {"min_chars": 5}, "too_short"),
+    ("a", "Access denied", {"blacklist": ("access denied",)}, "blacklist"),
+    ("a", "a\nsale", {"terms": (("r", "price", "word"),)}, "keyword_miss"),
+    ("a", "a\nprice", {"terms": (("r", "price", "word"),), "min_words": 9}, "alert"),
+    (None, "", {}, "unchanged"),
+    ("a", None, {}, "alert"),
+])
+def test_try_config(spark, old, new, config, verdict):
+    pairs = spark.createDataFrame([(1, old, new)], "k int, old_text string, new_text string")
+    assert [r["verdict"] for r in replay.try_config(pairs, ["k"], replay.Config(**config)).collect()] == [verdict]
+
+
+def test_replay_bodies_empty(spark):
+    none = spark.createDataFrame([], "k int, old_text string, new_text string")
+    assert replay.replay_bodies(none, ["k"], replay.Config(), replay.Config(min_words=5)).count() == 0
