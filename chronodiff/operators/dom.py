@@ -106,6 +106,47 @@ class _Walker(HTMLParser):
             self.hit |= inside and bool(data.strip())
 
 
+#: How names begin that style builders make anew at each build; like names with digits, no rule hangs on them.
+BUILT = ("css-", "sc-", "jss-", "emotion-", "styled-", "svelte-", "_")
+
+
+def stable_selector(tag: str, attrs: dict) -> str | None:
+    """``#id`` or ``tag.class`` of an element whose id or first such class is likely to last; null without one."""
+    ids, classes = attrs.get("id", "").split(), attrs.get("class", "").split()
+    for name in ids[:1] + classes:
+        if re.fullmatch(r"[A-Za-z_][A-Za-z_-]*", name) and not name.lower().startswith(BUILT):
+            return f"#{name}" if name in ids[:1] else f"{tag}.{name}"
+    return None
+
+
+class _Owners(_Walker):
+    """Blocks with the stable selectors of the elements around them, the innermost first."""
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.out.append((text, [s for e in reversed(self.stack) if (s := stable_selector(*e))]))
+        self.text, self.hit = [], False
+
+
+def owned_blocks(df: DataFrame, key: str, html_col: str) -> DataFrame:
+    """``key``, ``pos``, ``text``, ``owners``: all blocks and the selectors that would drop each, innermost first; null HTML has none."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k, html in zip(frame[key], frame[html_col], strict=True):
+                walker = _Owners([], None)
+                walker.feed(html or "")
+                walker.close()
+                walker.flush()
+                rows += [(k, pos, *block) for pos, block in enumerate(walker.out)]
+            yield pd.DataFrame(rows, columns=[key, "pos", "text", "owners"])
+
+    return df.select(key, html_col).mapInPandas(work, f"{key} {kind}, pos int, text string, owners array<string>")
+
+
 def _run(df: DataFrame, key: str, html_col: str, selectors: list[str], keep: bool | None) -> DataFrame:
     parsed = [parse_selector(s) for s in selectors]
     kind = df.schema[key].dataType.simpleString()

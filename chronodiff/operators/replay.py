@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronodiff.functions.text import ignore_text
-from chronodiff.operators import delta, keywords
+from chronodiff.operators import delta, dom, keywords
 
 #: Patterns of what changes by itself, the more specific first; case does not count (fixed values).
 VOLATILE = (
@@ -42,6 +42,28 @@ def propose_rules(pairs: DataFrame, page: str) -> DataFrame:
     return each.join(total, page).select(page, "pattern", "pairs", "all_pairs", (F.col("solved") == F.col("all_pairs")).alias("resolves_all"))
 
 
+def propose_elements(pairs: DataFrame, page: str, pair: str, old: str = "old_html", new: str = "new_html") -> DataFrame:
+    """``page``, ``selector``, ``pairs`` it resolves, ``all_pairs``, ``resolves_all``: elements to drop, verified by what changes without them.
+
+    For pairs that no pattern resolves. Each changed block proposes the
+    innermost element around it that has a lasting id or class; an element
+    resolves a pair if all changed blocks of the pair lie in it.
+    ``resolves_all`` tells whether all proposals of the page together resolve
+    all its pairs. Pairs without a changed block do not count; ``pair`` names
+    one row and is not null.
+    """
+    side = lambda c: dom.owned_blocks(pairs, pair, c)
+    changed = delta.block_delta(side(old), side(new), [pair, "owners"]).join(pairs.select(page, pair), pair)
+    inner = changed.withColumn("selector", F.get("owners", F.lit(0)))
+    each = inner.groupBy(page, pair).agg(F.count("*").alias("blocks"), (F.count("selector") == F.count("*")).alias("solved"))
+    total = each.groupBy(page).agg(F.count("*").alias("all_pairs"), F.bool_and("solved").alias("resolves_all"))
+    inside = changed.select(pair, F.explode(F.array_distinct("owners")).alias("selector")).groupBy(pair, "selector").agg(F.count("*").alias("inside"))
+    alone = inside.join(each, pair).where("inside = blocks").groupBy(page, "selector").agg(F.count("*").alias("pairs"))
+    rules = inner.where("selector is not null").select(page, "selector").distinct()
+    out = rules.join(alone, [page, "selector"], "left").join(total, page)
+    return out.select(page, "selector", F.coalesce("pairs", F.lit(0).cast("long")).alias("pairs"), "all_pairs", "resolves_all")
+
+
 def unstable_blocks(samples: DataFrame, page: str, sample: str) -> DataFrame:
     """``page``, ``text``, ``share``: blocks that some samples of a page lack, and the share of samples that do."""
     n = samples.groupBy(page).agg(F.countDistinct(sample).alias("n"))

@@ -230,3 +230,14 @@ def c12_replay_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     standing = replay.Config(min_chars=40, min_words=20)
     candidate = replay.Config(ignore=(("(?-i)[a-z]*[0-9]+", "regex"),), min_chars=40, min_words=40)
     return replay.replay_bodies(pairs, ["conv_id", "turn"], standing, candidate)
+
+
+@query("c19_propose_elements", """SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, 'div.ad' AS selector, count(*) FILTER (page_id % 5 <> 0) AS pairs,
+count(*) AS all_pairs, bool_and(page_id % 5 <> 0) AS resolves_all FROM pages WHERE contains(html, '<div class="ad">') AND contains(html, '</article>') GROUP BY 1""")
+def c19_propose_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with another advertisement, every fifth also with a new paragraph; hosts are the unit of rules."""
+    p = table(spark, sf_dir, "pages").where(F.col("html").contains('<div class="ad">') & F.col("html").contains("</article>"))
+    ad = F.regexp_replace("html", F.lit('<div class="ad">[^<]*'), F.concat(F.lit('<div class="ad">Offer '), F.col("page_id").cast("string")))
+    new = F.when(F.col("page_id") % 5 == 0, F.regexp_replace(ad, "</article>", "<p>one more</p></article>")).otherwise(ad)
+    pairs = p.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.col("html").alias("old_html"), new.alias("new_html"))
+    return replay.propose_elements(pairs, "host", "page_id")

@@ -194,3 +194,20 @@ def test_try_config(spark, old, new, config, verdict):
 def test_replay_bodies_empty(spark):
     none = spark.createDataFrame([], "k int, old_text string, new_text string")
     assert replay.replay_bodies(none, ["k"], replay.Config(), replay.Config(min_words=5)).count() == 0
+
+
+@pytest.mark.parametrize(("tag", "attrs", "selector"), [
+    ("div", {"id": "clock"}, "#clock"), ("div", {"id": "x93fa", "class": "css-abc live-box"}, "div.live-box"),
+    ("p", {"class": "a1"}, None), ("p", {}, None),
+])
+def test_stable_selector(tag, attrs, selector):
+    assert dom.stable_selector(tag, attrs) == selector
+
+
+def test_propose_elements(spark):
+    html = '<div id="main"><p>{}</p><div class="live">{}</div></div><p>{}</p>'
+    rows = [("a", 1, html.format("x", 1, "y"), html.format("x", 2, "y")), ("a", 2, html.format("x", 1, "y"), html.format("z", 2, "y")),
+            ("b", 3, html.format("x", 1, "y"), html.format("x", 2, "w")), ("c", 4, html.format("x", 1, "y"), html.format("x", 1, "y")), ("c", 5, None, None)]
+    pairs = spark.createDataFrame(rows, "page string, pair int, old_html string, new_html string")
+    found = sorted(tuple(r) for r in replay.propose_elements(pairs, "page", "pair").collect())
+    assert found == [("a", "#main", 2, 2, True), ("a", "div.live", 1, 2, True), ("b", "div.live", 0, 1, False)]
