@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.llm import bpe, ftrl, langid, leaks, lines, lm, near, quality, repeats, toxicity, vectors
+from chronodiff.llm import bpe, ftrl, langid, leaks, lines, lm, near, quality, repeats, toxicity, turns, vectors
 from chronodiff.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,14 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every text that 50-byte passages of earlier documents cover, and a digest of the rest."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with faults put in, what is wrong with each, and a digest of each as repaired."""
+    rows = table(spark, sf_dir, "conversations")
+    report, repaired = turns.repair(turns.damage(rows))
+    found = report.join(turns.digest(repaired).withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").withColumnRenamed("conv_id", "r")
+    whole = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("r")), "left")
+    counts = [F.coalesce(n, F.lit(0)).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
