@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.llm import bpe, ftrl, langid, leaks, lines, lm, near, quality, repeats, toxicity, turns, vectors
+from chronodiff.llm import bpe, ftrl, langid, leaks, lines, lm, near, quality, repeats, tokalign, toxicity, turns, vectors
 from chronodiff.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,17 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("r")), "left")
     counts = [F.coalesce(n, F.lit(0)).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def piece_file() -> str:
+    """The sentencepiece model of the contract, as installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text under two tokenizers, their groups and links, and how common the links are."""
+    found = tokalign.align_corpus(table(spark, sf_dir, "documents"), vocab_file(), piece_file())
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
