@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.llm import bpe, ftrl, langid, leaks, lines, lm, near, quality, repeats, tokalign, toxicity, turns, vectors
+from chronodiff.llm import bpe, ftrl, langid, leaks, lines, lm, mtree, near, quality, repeats, tokalign, toxicity, turns, vectors
 from chronodiff.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,21 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text under two tokenizers, their groups and links, and how common the links are."""
     found = tokalign.align_corpus(table(spark, sf_dir, "documents"), vocab_file(), piece_file())
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query(
+    "op11_top_k_search",
+    """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(e, lambda x: floor(1024 * x)) AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+  WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""",
+)
+def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best others, by integer inner product, of every vector whose id is divisible by 100."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
