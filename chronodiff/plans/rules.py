@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.operators import delta, keywords, records, replay
+from chronodiff.operators import delta, keywords, records, replay, rulerows
 from chronodiff.plans.changes import turn_pairs, turn_versions
 from chronodiff.plans.registry import query
 from chronodiff.plans.sql import TURN_DELTA, norm, words
@@ -241,3 +241,87 @@ def c19_propose_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.when(F.col("page_id") % 5 == 0, F.regexp_replace(ad, "</article>", "<p>one more</p></article>")).otherwise(ad)
     pairs = p.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.col("html").alias("old_html"), new.alias("new_html"))
     return replay.propose_elements(pairs, "host", "page_id")
+
+
+def benchmark_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of four letters or more of the benchmark as a rule: whole words of even length, substrings of odd length."""
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0))
+    terms = table(spark, sf_dir, "benchmark").select(found.alias("term")).where(F.char_length("term") >= 4).distinct()
+    kind = F.when(F.char_length("term") % 2 == 0, "word").otherwise("substr")
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (("near", "int"), ("op", "string"), ("value", "double"))]
+    return terms.select(F.col("term").alias("rule"), "term", kind.alias("kind"), F.lit(False).alias("negated"), F.lit(False).alias("page"), F.lit("any").alias("scope"), *empty, F.lit(True).alias("gates"))
+
+
+@query("d8_rule_rows", rf"""WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark), r AS (SELECT term FROM b WHERE length(term) >= 4),
+d AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents), ws AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) AS term FROM d),
+w AS (SELECT doc_id, term, count(*) AS n FROM ws JOIN r USING (term) WHERE length(term) % 2 = 0 GROUP BY ALL),
+s AS (SELECT doc_id, term, (length(t) - length(replace(t, term, ''))) // length(term) AS n FROM d JOIN r ON contains(t, term) WHERE length(term) % 2 = 1)
+SELECT doc_id, term AS rule, CAST(n AS BIGINT) AS n FROM (SELECT * FROM w UNION ALL SELECT * FROM s)""")
+def d8_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each benchmark word, as a rule row, occurs in each whole document: one automaton, one pass."""
+    rules = benchmark_rules(spark, sf_dir)
+    found = rulerows.term_matches(table(spark, sf_dir, "documents"), rules, ["doc_id"])
+    return found.join(rulerows.with_ids(rules).select("term_id", "rule"), "term_id").groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+
+
+SPAN_TERMS = [("the", "word"), ("licensed under", "substr"), ("[0-9]{2,}", "regex"), ("w[a-z]+s", "regex"), ("of the", "word")]
+_SPAN_SQL = " UNION ALL ".join(
+    rf"SELECT doc_id, '{t}' AS term, string_split_regex(lower(text), '{p}') AS ps, regexp_extract_all(lower(text), '{p}') AS ms FROM documents"
+    for t, p in ((t, rf"\b{t}\b" if k == "word" else t) for t, k in SPAN_TERMS)
+)
+
+
+@query("d13_rule_spans", rf"""WITH RECURSIVE m AS ({_SPAN_SQL}),
+p AS (SELECT doc_id, term, generate_subscripts(ms, 1) AS k, unnest(ms) AS x, unnest(ps[1:len(ms)]) AS gap FROM m),
+o AS (SELECT doc_id, term, sum(length(gap) + length(x)) OVER (PARTITION BY doc_id, term ORDER BY k) AS e, length(x) AS n FROM p),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+sp AS (SELECT doc_id, k, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS a, length(line) AS n FROM l)
+SELECT DISTINCT doc_id, term, CAST(e - o.n AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM o JOIN sp USING (doc_id) WHERE k % 2 = 0 AND sp.n > 0 AND e - o.n < a + sp.n AND a < e""")
+def d13_rule_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of words, phrases and regular expressions in whole documents that touch every second line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    rules = rulerows.rule_rows(spark, [{"rule": t, "term": t, "kind": k} for t, k in SPAN_TERMS])
+    lines = F.split("text", "\n", -1)
+    starts = F.transform(F.sequence(F.lit(1), F.size("ls")), lambda i: F.aggregate(F.slice("ls", 1, i - 1), F.lit(0), lambda a, y: a + F.char_length(y) + 1))
+    spans = docs.where("text is not null").select("doc_id", lines.alias("ls")).select("doc_id", F.posexplode(F.arrays_zip(starts.alias("s"), "ls")).alias("k", "x")).where("k % 2 = 1")
+    spans = spans.select("doc_id", "x.s", (F.col("x.s") + F.char_length("x.ls")).alias("e"))
+    found = rulerows.overlapping(rulerows.term_matches(docs, rules, ["doc_id"]), spans, ["doc_id"])
+    return found.join(rulerows.with_ids(rules).select("term_id", F.col("rule").alias("term")), "term_id").select("doc_id", "term", "s", "e")
+
+
+#: Rules of every form; a name says which.
+CHANGE_RULES = [
+    {"rule": "any", "term": "the", "kind": "word"}, {"rule": "any", "term": "ing"},
+    {"rule": "block", "term": "the", "kind": "word", "scope": "block"}, {"rule": "block", "term": "and", "kind": "word", "scope": "block"},
+    {"rule": "near", "term": "the", "kind": "word", "scope": "near", "near": 3}, {"rule": "near", "term": "of", "kind": "word", "scope": "near", "near": 3},
+    {"rule": "not", "term": "the", "kind": "word"}, {"rule": "not", "term": "tion", "negated": True},
+    {"rule": "page", "term": "th"}, {"rule": "page", "term": "from", "kind": "word", "page": True},
+    {"rule": "not page", "term": "en"}, {"rule": "not page", "term": "the", "kind": "word", "page": True, "negated": True},
+    {"rule": "marked", "term": "[a-z]{12,}", "kind": "regex", "gates": False},
+]
+
+
+@query("d12_rules_on_changes", rf"""WITH {TURN_DELTA}, a AS (SELECT p.conv_id, p.turn, b.pos, lower(b.text) AS t FROM pairs p JOIN blocks b ON b.conv_id = p.conv_id AND b.turn = p.turn
+  WHERE NOT EXISTS (SELECT 1 FROM blocks o WHERE o.conv_id = p.conv_id AND o.turn = p.latest_at AND o.text = b.text)),
+g AS MATERIALIZED (SELECT conv_id, turn, string_agg(t, chr(10) ORDER BY pos) AS c FROM a GROUP BY ALL),
+pg AS (SELECT p.conv_id, p.turn, string_agg(lower(b.text), chr(10) ORDER BY b.pos) AS page FROM pairs p JOIN blocks b ON b.conv_id = p.conv_id AND b.turn = p.turn GROUP BY ALL),
+w AS (SELECT conv_id, turn, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT conv_id, turn, regexp_extract_all(c, '\S+') AS ws FROM g)),
+nr AS (SELECT DISTINCT x.conv_id, x.turn FROM w x JOIN w y ON x.conv_id = y.conv_id AND x.turn = y.turn AND abs(x.i - y.i) <= 3 WHERE regexp_matches(x.w, '\bthe\b') AND regexp_matches(y.w, '\bof\b')),
+f AS (SELECT conv_id, turn, 'any' AS rule FROM g WHERE regexp_matches(c, '\bthe\b') AND contains(c, 'ing')
+  UNION ALL SELECT DISTINCT conv_id, turn, 'block' FROM a WHERE regexp_matches(t, '\bthe\b') AND regexp_matches(t, '\band\b')
+  UNION ALL SELECT conv_id, turn, 'near' FROM nr
+  UNION ALL SELECT conv_id, turn, 'not' FROM g WHERE regexp_matches(c, '\bthe\b') AND NOT contains(c, 'tion')
+  UNION ALL SELECT conv_id, turn, 'page' FROM g JOIN pg USING (conv_id, turn) WHERE contains(c, 'th') AND regexp_matches(page, '\bfrom\b')
+  UNION ALL SELECT conv_id, turn, 'not page' FROM g JOIN pg USING (conv_id, turn) WHERE contains(c, 'en') AND NOT regexp_matches(page, '\bthe\b')
+  UNION ALL SELECT DISTINCT conv_id, turn, 'marked' FROM a WHERE regexp_matches(t, '[a-z]{{12,}}'))
+SELECT conv_id, turn, array_to_string(list_sort(list(rule) FILTER (rule <> 'marked')), ',') AS hits, array_to_string(list_sort(list(rule)), ',') AS marks FROM f GROUP BY ALL""".replace(
+    "list_sort(list(rule) FILTER (rule <> 'marked'))", "list_sort(coalesce(list(rule) FILTER (rule <> 'marked'), []))"))
+def d12_rules_on_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules with every scope, negated and page terms, and one for highlighting alone, on the lines that each changed turn has anew."""
+    keys = ["conv_id", "turn"]
+    old, new = turn_pairs(spark, sf_dir)
+    fresh = new.join(old.select(*keys, "text").distinct(), [*keys, "text"], "left_anti")
+    changes = fresh.select(*keys, "pos", "text", F.array(F.struct(F.lit(0).alias("s"), F.char_length("text").alias("e"))).alias("spans"))
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", delta.joined_blocks(F.col("text")).alias("text"))
+    fired = rulerows.fired(changes, rulerows.rule_rows(spark, CHANGE_RULES), keys, ["pos"], pages)
+    return rulerows.rule_hits(fired, keys).select(*keys, F.array_join("hits", ",").alias("hits"), F.array_join("marks", ",").alias("marks"))
