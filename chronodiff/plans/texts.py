@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from chronodiff.operators import dom
 from chronodiff.plans.registry import query
 from chronodiff.plans.sql import norm
 from chronodiff.session import table
+from chronodiff.sources import json_paths as J
 from chronodiff.sources import records as R
 
 
@@ -259,19 +262,85 @@ def a1_snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a6_json_blocks", "SELECT event_id, k AS name, CAST(json_extract_string(props, '$.' || k) AS VARCHAR) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def a6_json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.json_leaves(table(spark, sf_dir, "events"), ["event_id"], "props")
+    return J.json_leaves(table(spark, sf_dir, "events"), ["event_id"], "props").drop("pos")
+
+
+#: Events of one document; a user's events are dealt to documents of so many ids, so that no document grows with its user.
+DOC_EVENTS = 1000
 
 
 @query(
     "a2_records_json",
-    "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS pos, CAST(event_id AS VARCHAR) AS rid, event_type AS kind FROM events",
+    f"""SELECT user_id, event_id // {DOC_EVENTS} AS part, CAST(row_number() OVER (PARTITION BY user_id, event_id // {DOC_EVENTS} ORDER BY event_id) - 1 AS INTEGER) AS pos,
+CAST(event_id AS VARCHAR) AS rid, event_type AS kind FROM events""",
 )
 def a2_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as one JSON document, read back as keyed rows by path."""
+    """Each user's events as JSON documents, read back as keyed rows by path."""
     rows = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
-    docs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.struct(F.struct(rows.alias("rows")).alias("data"))).alias("body"))
-    found = R.read_records_json(docs, ["user_id"], "body", "$.data.rows", "event_id")
-    return found.select("user_id", "pos", "rid", F.try_variant_get("row", "$.event_type", "string").alias("kind"))
+    docs = table(spark, sf_dir, "events").groupBy("user_id", F.expr(f"event_id div {DOC_EVENTS}").alias("part")).agg(F.to_json(F.struct(F.struct(rows.alias("rows")).alias("data"))).alias("body"))
+    found = R.read_records_json(docs, ["user_id", "part"], "body", "$.data.rows", "event_id")
+    return found.select("user_id", "part", "pos", "rid", F.try_variant_get("row", "$.event_type", "string").alias("kind"))
+
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a nested JSON document: its key, and its lines with their parts."""
+    line = F.struct(F.col("l_linenumber").alias("n"), F.struct(F.col("l_partkey").alias("key")).alias("part"))
+    lines = F.array_sort(F.collect_list(line))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines"))
+    return rows.select("l_orderkey", F.to_json(F.struct(F.struct("lines", F.col("l_orderkey").alias("key")).alias("order"))).alias("body"))
+
+
+JSON_PATHS = ("$.order.lines[*].part.key", "$..key", "$.order.*", "$['order'][\"lines\"][0].n", "$.order.lines[-1].n", "$.order.lines[*].*")
+_LINE = """'{"n":' || l_linenumber || ',"part":{"key":' || l_partkey || '}}'"""
+
+
+@query(
+    "a2_json_paths",
+    f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS i, {_LINE} AS j FROM lineitem),
+o AS (SELECT l_orderkey, '[' || string_agg(j, ',' ORDER BY i) || ']' AS lines, max(i) AS top FROM l GROUP BY 1)
+SELECT l_orderkey, 0 AS path, i AS pos, CAST(l_partkey AS VARCHAR) AS value FROM l
+UNION ALL SELECT l_orderkey, 1, 0, CAST(l_orderkey AS VARCHAR) FROM o UNION ALL SELECT l_orderkey, 1, i + 1, CAST(l_partkey AS VARCHAR) FROM l
+UNION ALL SELECT l_orderkey, 2, 0, CAST(l_orderkey AS VARCHAR) FROM o UNION ALL SELECT l_orderkey, 2, 1, lines FROM o
+UNION ALL SELECT l_orderkey, 3, 0, CAST(l_linenumber AS VARCHAR) FROM l WHERE i = 0
+UNION ALL SELECT l.l_orderkey, 4, 0, CAST(l_linenumber AS VARCHAR) FROM l JOIN o USING (l_orderkey) WHERE i = top
+UNION ALL SELECT l_orderkey, 5, 2 * i, CAST(l_linenumber AS VARCHAR) FROM l UNION ALL SELECT l_orderkey, 5, 2 * i + 1, '{{"key":' || l_partkey || '}}' FROM l""",
+)
+def a2_json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with every kind of step on all orders."""
+    docs = order_documents(spark, sf_dir)
+    found = [J.json_nodes(docs, ["l_orderkey"], "body", path, max_depth=4).select("l_orderkey", F.lit(k).alias("path"), "pos", J.json_text(F.col("node")).alias("value")) for k, path in enumerate(JSON_PATHS)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "a6_json_lines",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+o AS (SELECT l_orderkey, ['{', '"order": {', '"key": ' || l_orderkey || ',', '"lines": ['] || flatten(list(['{', '"n": ' || l_linenumber || ',', '"part": {', '"key": ' || l_partkey, '}', CASE WHEN i < n THEN '},' ELSE '}' END] ORDER BY i)) || [']', '}', '}'] AS ls FROM l GROUP BY 1)
+SELECT l_orderkey, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS pos, unnest(ls) AS text FROM o""",
+)
+def a6_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested documents as lines, a field a line, fields by name."""
+    return order_documents(spark, sf_dir).select("l_orderkey", F.posexplode(J.json_lines(F.col("body"))).alias("pos", "text"))
+
+
+@query(
+    "a6_n4_json_leaves",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem)
+SELECT DISTINCT l_orderkey, 'order.key' AS name, CAST(l_orderkey AS VARCHAR) AS value FROM l UNION ALL SELECT l_orderkey, 'order.lines[' || i || '].n', CAST(l_linenumber AS VARCHAR) FROM l
+UNION ALL SELECT l_orderkey, 'order.lines[' || i || '].part.key', CAST(l_partkey AS VARCHAR) FROM l""",
+)
+def a6_n4_json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scalar of nested documents by its path."""
+    return J.json_leaves(order_documents(spark, sf_dir), ["l_orderkey"], "body", max_depth=5).drop("pos")
+
+
+@query("n4_merge_json", """SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"meta":{"kind":"' || event_type || '","user":' || user_id || '},"n":{"deep":{"a":1,"b":' || (event_id % 3) || '}}}' AS merged FROM events""")
+def n4_merge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's properties over defaults, merged at depth and written with fields by name."""
+    base = F.parse_json(F.lit('{"meta": {"user": 0, "kind": "none"}, "n": {"deep": {"a": 1, "b": 7}}}'))
+    own = F.to_json(F.struct(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("kind")).alias("meta"), F.struct(F.struct((F.col("event_id") % 3).alias("b")).alias("deep")).alias("n")))
+    merged = J.deep_merge(J.deep_merge(base, F.parse_json("props")), F.parse_json(own))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(merged).alias("merged"))
 
 
 @query(

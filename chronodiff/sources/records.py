@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronodiff.sources.json_paths import as_list, as_map, selected
+
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table of page versions; filters and columns reach the scan."""
@@ -24,27 +26,33 @@ def assert_shape(df: DataFrame, id_field: str) -> DataFrame:
     return df
 
 
-def read_records_json(df: DataFrame, keys: list[str], json_col: str, path: str, id_field: str) -> DataFrame:
-    """``keys``, ``rid``, ``row`` (variant): the rows of the array or object at a JSON path.
+def read_records_json(df: DataFrame, keys: list[str], json_col: str, path: str, id_field: str, max_depth: int | None = None) -> DataFrame:
+    """``keys``, ``pos``, ``rid``, ``row`` (variant): the rows that a JSON path selects, arrays element by element.
 
-    An object of objects gives its names as ids. A path that matches nothing,
-    or no array or object, fails the query.
+    An object of objects gives a row a field, named by the field where the row
+    has no id of its own; any other object is a row. What is no object is
+    skipped. A path that matches nothing, or a value that is neither object nor
+    array, fails the query rather than read as "all removed".
     """
-    parsed = df.select(*keys, F.variant_get(F.parse_json(json_col), path, "variant").alias("found"))
-    parsed = parsed.withColumn("found", F.when(F.col("found").isNotNull(), F.col("found")).otherwise(F.raise_error(F.lit(f"nothing at {path}")).cast("variant")))
-    parsed.createOrReplaceTempView("chronodiff_records")
-    names = ", ".join(keys)
-    rows = df.sparkSession.sql(f"SELECT {names}, pos, key, value FROM chronodiff_records, LATERAL variant_explode(found)")
-    rid = F.coalesce(F.col("key"), F.try_variant_get("value", f"$.{id_field}", "string"))
-    return rows.select(*keys, "pos", rid.alias("rid"), F.col("value").alias("row"))
-
-
-def json_leaves(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
-    """``keys``, ``name``, ``value``: the fields of flat JSON objects, sorted by name by whoever orders them."""
-    df.select(*keys, F.parse_json(json_col).alias("doc")).createOrReplaceTempView("chronodiff_json")
-    names = ", ".join(keys)
-    rows = df.sparkSession.sql(f"SELECT {names}, key, value FROM chronodiff_json, LATERAL variant_explode(doc)")
-    return rows.select(*keys, F.col("key").alias("name"), F.col("value").cast("string").alias("value"))
+    found = selected(df, keys, json_col, path, max_depth)
+    fail = lambda text: F.raise_error(F.lit(text)).cast("array<struct<key:string,row:variant>>")
+    row = lambda key, node: F.struct(key.cast("string").alias("key"), node.alias("row"))
+
+    def rows(x: Column) -> Column:
+        node = x["node"]
+        items, fields = as_list(node), as_map(node)
+        named = (F.size(fields) > 0) & F.forall(F.map_values(fields), lambda v: as_map(v).isNotNull())
+        return (
+            F.when(items.isNotNull(), F.transform(items, lambda y: row(F.lit(None), y)))
+            .when(named, F.transform(F.map_entries(fields), lambda e: row(e["key"], e["value"])))
+            .when(fields.isNotNull(), F.array(row(F.lit(None), node)))
+            .otherwise(fail(f"{path} does not select rows"))
+        )
+
+    every = F.when(F.size("nodes") == 0, fail(f"nothing at {path}")).otherwise(F.flatten(F.transform("nodes", rows)))
+    out = found.select(*keys, F.posexplode(F.filter(every, lambda r: as_map(r["row"]).isNotNull())).alias("pos", "r"))
+    rid = F.coalesce(F.try_variant_get("r.row", f"$['{id_field}']", "string"), F.col("r.key"))
+    return out.select(*keys, "pos", rid.alias("rid"), F.col("r.row").alias("row"))
 
 
 #: Longest summary of a feed entry (fixed value).
