@@ -32,6 +32,36 @@ def nfkc(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(compose(col))
 
 
+def _entities() -> Column:
+    """A map from the names of characters, as HTML defines them, to what they stand for; one constant of a plan."""
+    from html.entities import html5
+
+    named = [(name[:-1], chars) for name, chars in html5.items() if name.endswith(";")]
+    names, chars = (F.split(F.lit("\x00".join(side)), "\x00", -1) for side in zip(*named, strict=True))
+    return F.map_from_arrays(names, chars)
+
+
+def decode_entities(col: Column) -> Column:
+    """Character references, named or numeric, as the characters they stand for, once; unknown ones stay as they are.
+
+    Only texts with an ampersand are taken apart.
+    """
+    names = _entities()
+    parts = F.split(col, "&", -1)
+
+    def decoded(part: Column) -> Column:
+        ref = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        rest = F.substring(part, F.char_length(ref) + 2, F.lit(1 << 30))
+        number = F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).try_cast("int")
+        sound = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        value = F.when(ref.startswith("#"), F.when(sound, char)).when(ref != "", F.try_element_at(names, ref))
+        return F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), part))
+
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+    return F.when(F.contains(col, F.lit("&")), whole).otherwise(col)
+
+
 def count_words(col: Column) -> Column:
     """Runs of letters, digits and underscores."""
     return F.regexp_count(col, F.lit(WORD)).cast("long")
@@ -75,14 +105,20 @@ def text_template(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, "[0-9]+", "#"), SPACE, " ")
 
 
+#: Blanks that group digits: space, no-break space, narrow no-break space, thin space (fixed values).
+BLANK = r" \x{00a0}\x{202f}\x{2009}"
+
+
 def parse_number(col: Column) -> Column:
     """The first number of a text as double: ``1,099`` ``1.099,50`` ``12.5`` ``1,5``; null without one.
 
     With both marks, the later one is the decimal mark; a single comma or point
     with exactly three digits behind and at most three before groups thousands
-    if it is a comma; other single commas are decimal marks.
+    if it is a comma; other single commas are decimal marks. Blanks, no-break
+    ones too, may stand between groups of three digits: ``1 299,50``.
     """
-    raw = F.regexp_extract(col, r"[-+]?[0-9][0-9.,]*", 0)
+    raw = F.regexp_extract(col, rf"[-+]?[0-9]{{1,3}}(?:[{BLANK}][0-9]{{3}})+(?![0-9])[0-9.,]*|[-+]?[0-9][0-9.,]*", 0)
+    raw = F.regexp_replace(raw, f"[{BLANK}]", "")
     raw = F.regexp_replace(raw, r"[.,]+$", "")
     comma, point = F.instr(F.reverse(raw), ","), F.instr(F.reverse(raw), ".")
     plain = (
@@ -113,19 +149,19 @@ def fmt_interval(col: Column) -> Column:
     return out
 
 
-#: A name that ends so holds something secret; the value follows ``=`` or ``:``, quoted or up to a blank or comma.
-SECRET_NAME = r"[a-z0-9_-]*(?:pass(?:word|phrase|wd)?|secret|token|credentials?|api[_-]?key|private[_-]?key|session[_-]?id)"
+#: A name whose last part is so holds something secret; the value follows ``=`` or ``:``, quoted or up to a blank or comma.
+SECRET_NAME = r"(?:[a-z0-9]+[_-])*(?:pass(?:word|phrase|wd)?|secret|token|credentials?|api[_-]?key|private[_-]?key|session[_-]?id)"
 #: (pattern, what stays): header lines first, then schemes in running text, then named values.
 REDACTIONS = (
     (r"(?i)\b((?:proxy-)?authorization[ \t]*:[ \t]*)[^\r\n]+", "$1***"),
     (r"(?i)\b((?:set-)?cookie[ \t]*:[ \t]*)[^\r\n]+", "$1***"),
-    (r"(?i)\b(bearer|basic)([ \t]+)[^ \t\r\n,;\"']{6,}", "$1$2***"),
+    (r"(?i)\b(bearer|basic|digest)([ \t]+)[^ \t\r\n,;\"']{6,}", "$1$2***"),
     (rf"(?i)\b({SECRET_NAME}[\"']?[ \t]*[:=][ \t]*)(?:\"[^\"\r\n]*\"|'[^'\r\n]*'|[^ \t\r\n,;&]+)", "$1***"),
 )
 
 
 def redact(col: Column) -> Column:
-    """A text without credentials: authorisation and cookie headers, bearer and basic schemes, values of secret names."""
+    """A text without credentials: authorisation and cookie headers, bearer, basic and digest schemes, values of secret names."""
     out = col
     for pattern, stays in REDACTIONS:
         out = F.regexp_replace(out, pattern, stays)

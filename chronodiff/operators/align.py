@@ -154,7 +154,7 @@ def block_script(old: list[str], new: list[str], moves: bool = True) -> list[tup
     another is ``mov`` and no change, unless ``moves`` is off. Replaced runs
     get a word script: block by block where both sides have as many, else over
     the run. A page of more than ``MAX_BLOCKS`` blocks, or a run of more than
-    ``MAX_TOKENS`` tokens, gets none; its words are counted as bags.
+    ``MAX_TOKENS`` tokens, gets none: all words of both its sides count.
     """
     script = edit_script(old, new)
     huge = max(len(old), len(new)) > MAX_BLOCKS
@@ -171,8 +171,7 @@ def block_script(old: list[str], new: list[str], moves: bool = True) -> list[tup
         if a and b:
             tokens, degraded = _run_script(went, came) if not huge else ([], True)
             if degraded:
-                x, y = (Counter(w for text in side for w in WORDS.findall(text.casefold())) for side in (went, came))
-                n_ins, n_del = (y - x).total(), (x - y).total()
+                n_ins, n_del = count_words(came), count_words(went)
             else:
                 n_ins, n_del = (count_words([text for k, text in tokens if k == kind]) for kind in ("ins", "del"))
             out.append(("rep", a[0], a[-1], b[0], b[-1], tokens, went, came, n_ins, n_del, degraded))
@@ -226,12 +225,13 @@ def align_blocks(pairs: DataFrame, keys: list[str], moves: bool = True) -> DataF
 
 
 def diff_stats(ops: DataFrame, keys: list[str], ignore_removed: bool = False) -> DataFrame:
-    """Per pair: words that came, went and changed (of a replaced run the larger side), changed blocks, and ``degraded``."""
+    """Per pair: words that came, went and changed (of a replaced run the larger side), changed, inserted and deleted blocks, and ``degraded``."""
     changed = F.col("added_words") if ignore_removed else F.greatest("added_words", "removed_words")
     blocks = F.when(F.col("t") == "mov", 0).otherwise(F.greatest(F.size("old_texts"), F.size("new_texts")))
+    side = lambda texts: F.sum(F.when(F.col("t").isin("eq", "mov"), 0).otherwise(F.size(texts)))
     return ops.groupBy(*keys).agg(
         F.sum("added_words").alias("added_words"), F.sum("removed_words").alias("removed_words"), F.sum(changed).alias("changed_words"),
-        F.sum(blocks).alias("changed_blocks"), F.max("degraded").alias("degraded"),
+        F.sum(blocks).alias("changed_blocks"), side("new_texts").alias("inserted_blocks"), side("old_texts").alias("deleted_blocks"), F.max("degraded").alias("degraded"),
     )
 
 

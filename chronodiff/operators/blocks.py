@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronodiff.functions.text import normalize_text, text_template
+from chronodiff.functions.text import decode_entities, normalize_text, text_template
 from chronodiff.functions.urls import absolute_url, normalize_url
 
 #: Elements whose content is no text of the page (fixed values).
@@ -18,9 +18,6 @@ BLOCK_TAGS = (
     "address|article|aside|blockquote|body|caption|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|"
     "h1|h2|h3|h4|h5|h6|header|html|li|main|nav|ol|option|p|pre|section|select|summary|table|tbody|tfoot|thead|title|tr|ul|br|hr"
 )
-#: Named characters that pages use most (fixed values); ``&amp;`` is last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&euro;", "€"), ("&amp;", "&"))
-
 #: Patterns and replacements in their order, common to Java's and RE2's dialect.
 STEPS: tuple[tuple[str, str], ...] = (
     (r"(?s)<!--.*?-->", ""),
@@ -28,6 +25,7 @@ STEPS: tuple[tuple[str, str], ...] = (
     *((rf"(?is)<{t}(\s[^>]*)?>.*?</{t}\s*>", "") for t in HIDDEN),
     (r"(?i)</t[dh]\s*>\s*<t[dh](\s[^>]*)?>", " | "),
     (rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>", "\x01"),
+    (r"<[A-Za-z/](?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*')*>", ""),
     (r"<[A-Za-z/!?][^>]*>", ""),
 )
 
@@ -37,9 +35,7 @@ def page_text(html: Column) -> Column:
     out = html
     for pattern, new in STEPS:
         out = F.regexp_replace(out, pattern, new)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    return decode_entities(out)
 
 
 def extract_blocks(df: DataFrame, keys: list[str], html_col: str) -> DataFrame:
@@ -48,28 +44,45 @@ def extract_blocks(df: DataFrame, keys: list[str], html_col: str) -> DataFrame:
     return df.select(*keys, F.posexplode(parts).alias("pos", "text"))
 
 
-def _tags(html: Column, name: str) -> Column:
-    """The start tags of the elements of one name, in order, outside comments."""
-    return F.regexp_extract_all(F.regexp_replace(html, "(?s)<!--.*?-->", ""), F.lit(rf"(?i)<{name}\s[^>]*>"), 0)
-
+#: A start tag with quoted values, which may hold ``>``; possessive, so that long ones cost no stack.
+_TAG = r"(?i)<{name}(?=[\s/>])(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>"
+_NAME, _VALUE = r"([^\s=>\"'/]+)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", r"[^\s=>\"'/]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
-def _attribute(tag: Column, name: str) -> Column:
-    """An attribute of a start tag (quoted or not), decoded and trimmed; empty where it is missing."""
-    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    out = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(out)
 
-
-def _targets(df: DataFrame, keys: list[str], base_col: str, html_col: str, tag: str, names: tuple[str, ...], wanted: Column, limit: int) -> DataFrame:
-    html, own = F.col(html_col), F.col(base_col)
-    given = _attribute(F.get(_tags(html, "base"), F.lit(0)), "href")
-    base = F.when(F.coalesce(given, F.lit("")) != "", absolute_url(own, given)).otherwise(own)
-    raw = F.transform(_tags(html, tag), lambda t: F.coalesce(*[F.nullif(_attribute(t, n), F.lit("")) for n in names]))
-    rows = df.where(wanted).select(*keys, base.alias("base"), F.posexplode(raw).alias("at", "href")).where("href is not null")
+def _tags(html: Column, name: str) -> Column:
+    """The start tags of the elements of one name (a pattern), in order, outside comments."""
+    return F.regexp_extract_all(F.regexp_replace(html, "(?s)<!--.*?-->", ""), F.lit(_TAG.replace("{name}", name)), 0)
+
+
+def _attributes(tag: Column) -> Column:
+    """Names (in lower case) and values of a start tag's attributes, in order; a value's quotes are still there."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_NAME), 1), lambda x: F.lower(x))
+    return F.arrays_zip(names.alias("name"), F.regexp_extract_all(tag, F.lit(_VALUE), 1).alias("value"))
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """The first attribute of a name, without quotes, decoded and trimmed; null where it is missing."""
+    value = F.get(F.filter(attributes, lambda x: x["name"] == name), F.lit(0))["value"]
+    return F.trim(decode_entities(F.regexp_replace(value, "^[\"']|[\"']$", "")))
+
+
+def _targets(df: DataFrame, keys: list[str], base_col: str, html_col: str, tag: str, names: tuple[str, ...], limit: int, obey: bool) -> DataFrame:
+    """Targets of one kind of tag; each step is a column of its own, so that none is computed twice."""
+    pages = df.select(*keys, F.col(base_col).alias("_own"), _tags(F.col(html_col), f"(?:{tag}|base|meta)").alias("_tags"))
+    kind = lambda t: F.lower(F.regexp_extract(t, "^<([A-Za-z]+)", 1))
+    pages = pages.withColumn("_base", _attributes(F.get(F.filter("_tags", lambda t: kind(t) == "base"), F.lit(0))))
+    pages = pages.withColumn("_base", _attribute(F.col("_base"), "href"))
+    pages = pages.withColumn("_base", F.when(F.coalesce("_base", F.lit("")) != "", absolute_url(F.col("_own"), F.col("_base"))).otherwise(F.col("_own")))
+    if obey:
+        robots = F.transform(F.filter("_tags", lambda t: kind(t) == "meta"), _attributes)
+        closed = F.exists(robots, lambda m: (F.lower(_attribute(m, "name")) == "robots") & F.lower(_attribute(m, "content")).contains("nofollow"))
+        pages = pages.where(~F.coalesce(closed, F.lit(False)))
+    rows = pages.select(*keys, "_base", F.posexplode(F.filter("_tags", lambda t: ~kind(t).isin("base", "meta"))).alias("at", "_tag"))
+    rows = rows.select(*keys, "_base", "at", _attributes(F.col("_tag")).alias("_tag"))
+    href = F.coalesce(*[F.nullif(_attribute(F.col("_tag"), n), F.lit("")) for n in names])
+    rows = rows.select(*keys, "_base", "at", href.alias("href")).where("href is not null")
     rows = rows.where(~F.col("href").rlike(r"(?i)^(#|javascript:|mailto:|tel:|data:|sms:)"))
-    rows = rows.withColumn("url", F.regexp_replace(absolute_url(F.col("base"), F.col("href")), "#.*$", "")).where(F.col("url").rlike("(?i)^https?://"))
+    rows = rows.withColumn("url", absolute_url(F.col("_base"), F.col("href"))).withColumn("url", F.regexp_replace("url", "#.*$", "")).where(F.col("url").rlike("(?i)^https?://"))
     once = rows.groupBy(*keys, "url").agg(F.min("at").alias("at"))
     ranked = once.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("at", "url")))
     return ranked.where(F.col("n") <= limit).select(*keys, "n", "url")
@@ -81,13 +94,12 @@ def extract_links(df: DataFrame, keys: list[str], base_col: str, html_col: str,
     ``<base>`` counts; fragments are cut; only http and https addresses are
     links. A page whose robots meta element says ``nofollow`` has none.
     """
-    stays = F.exists(_tags(F.col(html_col), "meta"), lambda m: (F.lower(_attribute(m, "name")) == "robots") & F.lower(_attribute(m, "content")).contains("nofollow"))
-    return _targets(df, keys, base_col, html_col, "a", ("href",), ~F.coalesce(stays, F.lit(False)), limit)
+    return _targets(df, keys, base_col, html_col, "a", ("href",), limit, obey=True)
 
 
 def extract_images(df: DataFrame, keys: list[str], base_col: str, html_col: str, limit: int = 5000) -> DataFrame:
     """``keys``, ``n``, ``url``: absolute addresses of the images of each page in order, each once; ``data-src`` stands in for ``src``."""
-    return _targets(df, keys, base_col, html_col, "img", ("src", "data-src"), F.lit(True), limit)
+    return _targets(df, keys, base_col, html_col, "img", ("src", "data-src"), limit, obey=False)
 
 
 def page_class(html: Column) -> Column:

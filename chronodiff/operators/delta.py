@@ -32,14 +32,20 @@ def version_hashes(df: DataFrame, text_col: str, ignore_case: bool = True) -> Da
 def bad_fetch(text: Column, min_chars: int = 0, blacklist: tuple[str, ...] = (), whitelist: tuple[str, ...] = ()) -> Column:
     """Why a fetch is no version: ``too_short``, ``blacklist`` or ``whitelist_miss``; null if it is one. First reason wins.
 
-    Characters are summed over blocks without separators.
+    One phrase of the blacklist is enough, and one of the whitelist; blank
+    phrases do not count. Characters are summed over blocks without separators.
     """
     page = F.lower(joined_blocks(text))
+
+    def holds(phrases: tuple[str, ...]) -> Column:
+        return F.exists(F.array(*[F.lit(p.lower()) for p in phrases]), lambda p: page.contains(p))
+
+    bad, good = (tuple(p for p in phrases if p.strip()) for phrases in (blacklist, whitelist))
     reason = F.when(F.char_length(F.regexp_replace(page, "\n", "")) < min_chars, F.lit("too_short"))
-    for phrase in blacklist:
-        reason = reason.when(page.contains(phrase.lower()), F.lit("blacklist"))
-    for phrase in whitelist:
-        reason = reason.when(~page.contains(phrase.lower()), F.lit("whitelist_miss"))
+    if bad:
+        reason = reason.when(holds(bad), F.lit("blacklist"))
+    if good:
+        reason = reason.when(~holds(good), F.lit("whitelist_miss"))
     return reason
 
 
@@ -110,10 +116,11 @@ def gate_changes(stats: DataFrame, min_words: int = 0, ignore_removed: bool = Fa
 
     In order: reorder_only (no block came or went), removed_only, keyword_miss
     (``keywords`` and no ``hits``), below_threshold; a keyword hit passes the
-    threshold. With ``ignore_removed`` only additions count.
+    threshold. The threshold is on ``changed_words``, the words of each change
+    (of a replaced run the larger side; see ``align.diff_stats``); with
+    ``ignore_removed`` only additions count.
     """
-    added, removed = F.col("added_words"), F.col("removed_words")
-    size = added if ignore_removed else F.greatest(added, removed)
+    size = F.col("added_words") if ignore_removed else F.col("changed_words")
     reason = F.when((F.col("inserted_blocks") == 0) & (F.col("deleted_blocks") == 0), "reorder_only")
     if ignore_removed:
         reason = reason.when(F.col("inserted_blocks") == 0, "removed_only")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronodiff.functions.text import ignore_text
-from chronodiff.operators import delta, dom, keywords
+from chronodiff.operators import align, delta, dom, keywords
 
 #: Patterns of what changes by itself, the more specific first; case does not count (fixed values).
 VOLATILE = (
@@ -115,10 +115,12 @@ def try_config(pairs: DataFrame, keys: list[str], config: Config, old: str = "ol
     head = F.when(F.col("old_body") == F.col("new_body"), "unchanged").otherwise(
         delta.bad_fetch(F.col("new_body"), config.min_chars, config.blacklist, config.whitelist)
     )
-    diff = delta.block_delta(delta.line_blocks(rows, keys, "old_body"), delta.line_blocks(rows, keys, "new_body"), keys)
-    sums = delta.delta_stats(diff, keys)
-    stats = rows.select(*keys, head.alias("head")).join(sums, keys, "left").na.fill(0, [c for c in sums.columns if c not in keys])
+    blocks = lambda c: F.filter(F.split(c, "\n", -1), lambda x: x != "")
+    bodies = rows.select(*keys, blocks("old_body").alias("old_blocks"), blocks("new_body").alias("new_blocks"))
+    sums = align.diff_stats(align.align_blocks(bodies, keys), keys)
+    stats = rows.select(*keys, head.alias("head")).join(sums, keys, "left").na.fill(0, [c for c, t in sums.dtypes if c not in keys and t != "boolean"])
     if config.terms:
+        diff = delta.block_delta(delta.line_blocks(rows, keys, "old_body"), delta.line_blocks(rows, keys, "new_body"), keys)
         added = diff.where("n_ins > 0").withColumn("pos", F.lit(0))
         hits = keywords.term_hits(added, list(config.terms), keys).groupBy(*keys).agg(F.collect_set("term").alias("hits"))
         stats = stats.join(hits, keys, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))

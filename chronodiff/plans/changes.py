@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronodiff.functions.text import count_words
-from chronodiff.operators import delta
+from chronodiff.operators import align, delta
 from chronodiff.plans.registry import query
 from chronodiff.plans.sql import TURN_BLOCKS, TURN_DELTA, TURN_VERSIONS, words
 from chronodiff.session import table
@@ -28,23 +29,25 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
-@query(
-    "flagship_changes",
-    f"""WITH {TURN_DELTA}
-SELECT p.conv_id, p.turn, p.latest_at, CAST(coalesce(sum({words("d.text")} * n_ins), 0) AS BIGINT) AS added_words,
-       CAST(coalesce(sum({words("d.text")} * n_del), 0) AS BIGINT) AS removed_words, CAST(coalesce(sum(n_ins), 0) AS BIGINT) AS inserted_blocks,
-       CAST(coalesce(sum(n_del), 0) AS BIGINT) AS deleted_blocks,
-       CASE WHEN coalesce(sum(n_ins), 0) = 0 AND coalesce(sum(n_del), 0) = 0 THEN 'reorder_only'
-            WHEN greatest(coalesce(sum({words("d.text")} * n_ins), 0), coalesce(sum({words("d.text")} * n_del), 0)) < 30 THEN 'below_threshold' END AS reason
-FROM pairs p LEFT JOIN delta d USING (conv_id, turn) GROUP BY p.conv_id, p.turn, p.latest_at""",
-)
+def stored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id``, ``turn``, ``latest_at``, ``old_blocks``, ``new_blocks`` of every changed turn.
+
+    The blocks of the latest version ride through the window that finds it, so the table is read and shuffled once.
+    """
+    rows = turn_versions(spark, sf_dir).withColumn("new_blocks", F.split(delta.joined_blocks(F.col("text")), "\n", -1))
+    rows = rows.withColumn("new_blocks", F.filter("new_blocks", lambda x: x != ""))
+    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    version = F.when(F.col("outcome").isin("first", "stored"), F.col("new_blocks"))
+    rows = rows.withColumn("old_blocks", F.last(version, ignorenulls=True).over(before))
+    return rows.where("outcome = 'stored'").select("conv_id", "turn", "latest_at", "old_blocks", "new_blocks")
+
+
+@query("flagship_changes")
 def flagship_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which pages changed at which version, how many words came and went, did it pass the gate."""
-    old, new = turn_pairs(spark, sf_dir)
-    stats = delta.delta_stats(delta.block_delta(old, new, ["conv_id", "turn"]), ["conv_id", "turn"])
-    pairs = turn_versions(spark, sf_dir).where("outcome = 'stored'").select("conv_id", "turn", "latest_at")
-    stats = pairs.join(stats, ["conv_id", "turn"], "left").na.fill(0)
-    return delta.gate_changes(stats, min_words=30)
+    """Which pages changed at which version, how many words came, went and changed along the alignment, did it pass the gate."""
+    keys = ["conv_id", "turn", "latest_at"]
+    stats = align.diff_stats(align.align_blocks(stored_pairs(spark, sf_dir), keys), keys)
+    return delta.gate_changes(stats, min_words=30).drop("changed_blocks", "degraded")
 
 
 @query("a6_line_blocks", f"WITH {TURN_BLOCKS} SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, text FROM blocks")
@@ -122,11 +125,11 @@ def c10_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "d1_bad_fetch",
     rf"""WITH {TURN_BLOCKS},
 j AS (SELECT conv_id, turn, lower(string_agg(text, chr(10) ORDER BY pos)) AS page, sum(length(text)) AS chars FROM blocks GROUP BY ALL)
-SELECT c.conv_id, c.turn, CASE WHEN coalesce(chars, 0) < 60 THEN 'too_short' WHEN contains(page, 'idiot') THEN 'blacklist' WHEN NOT contains(page, 'the') THEN 'whitelist_miss' END AS reason
+SELECT c.conv_id, c.turn, CASE WHEN coalesce(chars, 0) < 60 THEN 'too_short' WHEN contains(page, 'idiot') OR contains(page, 'moron') THEN 'blacklist' WHEN NOT (contains(page, 'the') OR contains(page, 'der')) THEN 'whitelist_miss' END AS reason
 FROM conversations c LEFT JOIN j USING (conv_id, turn)""",
 )
 def d1_bad_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", delta.bad_fetch(F.col("text"), 60, ("idiot",), ("the",)).alias("reason"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", delta.bad_fetch(F.col("text"), 60, ("idiot", " ", "moron"), ("", "the", "der")).alias("reason"))
 
 
 @query(
@@ -134,14 +137,14 @@ def d1_bad_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {TURN_DELTA},
 st AS (SELECT p.conv_id, p.turn, coalesce(sum({words("d.text")} * n_ins), 0) AS aw, coalesce(sum(n_ins), 0) AS i, coalesce(sum(n_del), 0) AS x
        FROM pairs p LEFT JOIN delta d USING (conv_id, turn) GROUP BY ALL)
-SELECT conv_id, turn, CASE WHEN i = 0 AND x = 0 THEN 'reorder_only' WHEN i = 0 THEN 'removed_only' WHEN aw < 50 THEN 'below_threshold' END AS reason FROM st""",
+SELECT conv_id, turn, CASE WHEN i = 0 AND x = 0 THEN 'reorder_only' WHEN i = 0 THEN 'removed_only' END AS reason FROM st""",
 )
 def d2_d5_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reorder-only, removed-only and the threshold on added words."""
+    """Reorder-only and removed-only changes; thresholds are on aligned words (``d5_word_threshold``)."""
     old, new = turn_pairs(spark, sf_dir)
     stats = delta.delta_stats(delta.block_delta(old, new, ["conv_id", "turn"]), ["conv_id", "turn"])
     pairs = turn_versions(spark, sf_dir).where("outcome = 'stored'").select("conv_id", "turn")
-    return delta.gate_changes(pairs.join(stats, ["conv_id", "turn"], "left").na.fill(0), 50, ignore_removed=True).select("conv_id", "turn", "reason")
+    return delta.gate_changes(pairs.join(stats, ["conv_id", "turn"], "left").na.fill(0), 0, ignore_removed=True).select("conv_id", "turn", "reason")
 
 
 @query(

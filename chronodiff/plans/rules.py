@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronodiff.operators import delta, keywords, records, replay, rulerows
-from chronodiff.plans.changes import turn_pairs, turn_versions
+from chronodiff.operators import align, delta, keywords, records, replay, rulerows
+from chronodiff.plans.changes import stored_pairs, turn_pairs, turn_versions
 from chronodiff.plans.registry import query
 from chronodiff.plans.sql import TURN_DELTA, norm, words
 from chronodiff.session import table
@@ -195,32 +195,25 @@ def c17_unstable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("share", F.round("share", 9))
 
 
-@query("c12_replay", f"""WITH {TURN_DELTA}, st AS (SELECT p.conv_id, p.turn, coalesce(sum({words("d.text")} * n_ins), 0) AS aw, coalesce(sum({words("d.text")} * n_del), 0) AS rw FROM pairs p LEFT JOIN delta d USING (conv_id, turn) GROUP BY ALL)
-SELECT CASE WHEN greatest(aw, rw) < 20 THEN 'below_threshold' ELSE 'alert' END AS was, CASE WHEN greatest(aw, rw) < 80 THEN 'below_threshold' ELSE 'alert' END AS would, count(*) AS n FROM st GROUP BY 1, 2""")
+@query("c12_replay")
 def c12_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a threshold of 80 words would have said where 20 stood."""
-    old, new = turn_pairs(spark, sf_dir)
-    stats = delta.delta_stats(delta.block_delta(old, new, ["conv_id", "turn"]), ["conv_id", "turn"])
-    verdict = lambda n: delta.gate_changes(stats, n).select("conv_id", "turn", F.col("reason").alias("verdict"))
-    return replay.replay(verdict(20), verdict(80), ["conv_id", "turn"])
-
-
-def _verdicts(name: str, text: str, min_words: int) -> str:
-    """SQL: what a configuration says of each changed turn when its blocks are ``text``."""
-    return f"""{name}_b AS MATERIALIZED (SELECT * FROM (SELECT conv_id, turn, pos, {text} AS text FROM blocks) WHERE text <> ''),
-{name}_j AS (SELECT conv_id, turn, string_agg(text, chr(10) ORDER BY pos) AS page, sum(length(text)) AS chars FROM {name}_b GROUP BY ALL),
-{name}_s AS (SELECT p.conv_id, p.turn, b.text, 1 AS d FROM pairs p JOIN {name}_b b ON b.conv_id = p.conv_id AND b.turn = p.turn
-  UNION ALL SELECT p.conv_id, p.turn, b.text, -1 FROM pairs p JOIN {name}_b b ON b.conv_id = p.conv_id AND b.turn = p.latest_at),
-{name}_n AS (SELECT conv_id, turn, text, sum(d) AS net FROM {name}_s GROUP BY ALL HAVING sum(d) <> 0),
-{name}_w AS (SELECT conv_id, turn, sum({words("text")} * greatest(net, 0)) AS aw, sum({words("text")} * greatest(-net, 0)) AS rw FROM {name}_n GROUP BY ALL),
-{name} AS (SELECT p.conv_id, p.turn, CASE WHEN coalesce(o.page, '') = coalesce(n.page, '') THEN 'unchanged' WHEN coalesce(n.chars, 0) < 40 THEN 'too_short'
-  WHEN w.aw IS NULL THEN 'reorder_only' WHEN greatest(w.aw, w.rw) < {min_words} THEN 'below_threshold' ELSE 'alert' END AS verdict
-  FROM pairs p LEFT JOIN {name}_j n ON n.conv_id = p.conv_id AND n.turn = p.turn LEFT JOIN {name}_j o ON o.conv_id = p.conv_id AND o.turn = p.latest_at
-  LEFT JOIN {name}_w w ON w.conv_id = p.conv_id AND w.turn = p.turn)"""
-
-
-@query("c12_replay_bodies", f"""WITH {TURN_DELTA}, {_verdicts("standing", "text", 20)}, {_verdicts("candidate", norm("regexp_replace(text, '[a-z]*[0-9]+', '', 'g')"), 40)}
-SELECT s.verdict AS was, c.verdict AS would, count(*) AS n FROM standing s JOIN candidate c ON c.conv_id = s.conv_id AND c.turn = s.turn GROUP BY ALL""")
+    keys = ["conv_id", "turn"]
+    stats = align.diff_stats(align.align_blocks(stored_pairs(spark, sf_dir), keys), keys)
+    verdict = lambda n: delta.gate_changes(stats, n).select(*keys, F.col("reason").alias("verdict"))
+    return replay.replay(verdict(20), verdict(80), keys)
+
+
+@query("d5_word_threshold")
+def d5_word_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that each change adds, removes and changes along the alignment, and the verdicts of both thresholds."""
+    keys = ["conv_id", "turn"]
+    stats = align.diff_stats(align.align_blocks(stored_pairs(spark, sf_dir), keys), keys)
+    both = delta.gate_changes(stats, 30).withColumnRenamed("reason", "changed_below")
+    return delta.gate_changes(both, 30, ignore_removed=True).select(*keys, "added_words", "removed_words", "changed_words", "changed_below", F.col("reason").alias("added_below"))
+
+
+@query("c12_replay_bodies")
 def c12_replay_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What ignoring numbered words and a threshold of 40 would have said of all stored turns, where 20 words stood."""
     turns = table(spark, sf_dir, "conversations")

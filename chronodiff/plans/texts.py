@@ -18,6 +18,10 @@ from chronodiff.sources import json_paths as J
 from chronodiff.sources import records as R
 
 
+#: Characters that the test pages name; ``&amp;`` is last, so that nothing is decoded twice there.
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&amp;", "&"))
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\x01", "'||chr(1)||'") + "'"
 
@@ -25,7 +29,7 @@ def _quoted(s: str) -> str:
 def _page_text_sql(x: str) -> str:
     for pattern, new in B.STEPS:
         x = f"regexp_replace({x}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
-    for name, char in B.ENTITIES:
+    for name, char in ENTITIES:
         x = f"replace({x}, {_quoted(name)}, {_quoted(char)})"
     return x
 
