@@ -72,12 +72,13 @@ def with_verdict(changes: DataFrame, hooks: Hooks, reason: str = "reason") -> Da
     return out.withColumn("forced", F.col("_verdict.alert")).withColumn(reason, kept).drop("_verdict")
 
 
-def deliver(verdicts: DataFrame, hooks: Hooks, reason: str = "reason", checkpoint: str | None = None):  # noqa: ANN201
+def deliver(verdicts: DataFrame, hooks: Hooks, name: str, reason: str = "reason", checkpoint: str | None = None):  # noqa: ANN201
     """Hand alerts to ``on_change`` and all rows to ``after_check``.
 
     A stream is delivered batch by batch and its query returned; a batch whose
     delivery was cut short comes again with the same number, by which a hook can
-    tell. A table is one batch, number 0.
+    tell (``sinks.write_batch`` then leaves the same files). Deliveries of different ``name`` keep
+    checkpoints of their own. A table is one batch, number 0.
     """
 
     def each(rows: DataFrame, number: int) -> None:
@@ -88,8 +89,8 @@ def deliver(verdicts: DataFrame, hooks: Hooks, reason: str = "reason", checkpoin
 
     if not verdicts.isStreaming:
         return each(verdicts, 0)
-    place = checkpoint or f"{shared_folder(verdicts.sparkSession)}/deliver"
-    return verdicts.writeStream.foreachBatch(each).option("checkpointLocation", place).trigger(availableNow=True).start()
+    place = checkpoint or f"{shared_folder(verdicts.sparkSession)}/deliver-{name}"
+    return verdicts.writeStream.queryName(f"deliver {name}").foreachBatch(each).option("checkpointLocation", place).trigger(availableNow=True).start()
 
 
 def latest_state(entries: DataFrame, keys: list[str], at: str) -> DataFrame:

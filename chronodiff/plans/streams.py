@@ -80,11 +80,16 @@ def g2_stream_record_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(S.stream_record_events(spark.readStream.schema(batch.schema).parquet(path)))
 
 
-@query("g3_coalesce_alerts", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, list_sort(list_distinct(list(CAST(user_id AS VARCHAR)))) AS pages FROM events WHERE event_type = 'purchase' GROUP BY 1)
-SELECT start, CAST(len(pages) AS INTEGER) AS n, len(pages) || ' pages changed: ' || array_to_string(pages[1:3], ', ') || CASE WHEN len(pages) > 3 THEN ' and ' || (len(pages) - 3) || ' more' ELSE '' END AS notice FROM w""")
+@query("g3_coalesce_alerts", """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, ts, event_type FROM events),
+r(user_id, start) AS (SELECT user_id, min(ts) FROM e GROUP BY 1 UNION ALL SELECT r.user_id, min(e.ts) FROM r JOIN e ON e.user_id = r.user_id AND e.ts >= r.start + INTERVAL 6 HOUR GROUP BY r.user_id),
+w AS (SELECT r.user_id, start, list(event_type ORDER BY ts, event_type) AS p FROM r JOIN e ON e.user_id = r.user_id AND e.ts >= start AND e.ts < start + INTERVAL 6 HOUR GROUP BY ALL)
+SELECT user_id, start, len(p) AS n, CASE WHEN len(p) = 1 THEN p[1] ELSE len(p) || ' pages changed: ' || array_to_string(p[1:3], ', ') || CASE WHEN len(p) > 3 THEN ' and ' || (len(p) - 3) || ' more' ELSE '' END END AS notice
+FROM w WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""")
 def g3_coalesce_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    return S.coalesce_alerts(rows, "ts", "user_id", "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """One notice a user for all events within six hours of the first, from a stream, by timers."""
+    rows = read_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = drain(S.coalesce_alerts(rows, "user_id", "event_type", "ts", 6 * 3_600_000))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("g4_dedupe_alerts", "SELECT DISTINCT user_id, event_type FROM events")
@@ -103,16 +108,33 @@ def g5_stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"), "high")
 
 
-@query("g6_stream_stale", """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 3 DAY THEN 1 ELSE 0 END AS cut FROM events WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), q AS (SELECT user_id, k, max(ts) AS since, max(ts) + INTERVAL 3 DAY AS until FROM s GROUP BY ALL)
-SELECT user_id, since, until FROM q WHERE until <= (SELECT max(ts) FROM events WHERE event_type = 'purchase')""")
+@query("g6_stream_stale", """WITH n AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM (SELECT DISTINCT user_id, ts FROM events))
+SELECT user_id, ts AS since, ts + INTERVAL 3 DAY AS until FROM n WHERE (after IS NULL OR after >= ts + INTERVAL 3 DAY) AND ts + INTERVAL 3 DAY <= (SELECT max(ts) FROM events)""")
 def g6_stream_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' stretches of purchases that three quiet days have ended."""
-    rows = read_stream(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp"))
+    """Users whom three days have passed without an event, by timers; once for each quiet time."""
+    rows = read_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     found = drain(S.stream_stale(rows, "user_id", "ts", 3))
     return found.select("user_id", F.col("since").cast("timestamp_ntz").alias("since"), F.col("until").cast("timestamp_ntz").alias("until"))
 
 
+def remember_streak(state: dict[str, str], at, outcome: str) -> str | None:  # noqa: ANN001, ARG001
+    """A hook: how many events of one kind came in a row, told at every third."""
+    n = int(state.get("n", "0")) + 1 if state.get("kind") == outcome else 1
+    state.update(kind=outcome, n=str(n))
+    return f"{outcome} x {n}" if n % 3 == 0 else None
+
+
+@query("h5_hook_state", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events),
+n AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type, g ORDER BY ts, event_id) AS n FROM o)
+SELECT event_id, CASE WHEN n % 3 = 0 THEN event_type || ' x ' || n END AS told FROM n""")
+def h5_hook_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's hook over a stream of events with a memory for each user; the order of events is by time, then id."""
+    rows = read_stream(spark, sf_dir, "events")
+    at = F.format_string("%020d %020d", F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"))
+    found = drain(S.stream_hook_state(rows.select(F.col("user_id").alias("page"), at.alias("at"), F.col("event_type").alias("outcome")), remember_streak))
+    return found.select(F.substring("at", 22, 20).cast("long").alias("event_id"), "told")
+
+
 @query("g7_stream_status", """WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
 s AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN greatest(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - 1, 0) ELSE 0 END AS streak FROM g)
 SELECT event_id AS run, user_id AS page, CAST(streak AS INTEGER) AS streak, CASE WHEN streak >= 3 THEN 'error' WHEN streak > 0 THEN 'warning' ELSE 'ok' END AS status FROM s""")

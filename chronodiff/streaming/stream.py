@@ -72,11 +72,11 @@ class _Gate(StatefulProcessor):
         self.min_words = min_words
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.anchor = handle.getValueState("anchor", "blocks string, checks int")
+        self.anchor = handle.getValueState("anchor", "blocks array<string>, checks int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         held = self.anchor.get() if self.anchor.exists() else None
-        anchor, checks = (held[0].split("\x01") if held[0] else [], held[1]) if held else (None, 0)
+        anchor, checks = (list(held[0]), held[1]) if held else (None, 0)
         out = []
         for at, blocks in sorted((pair for frame in rows for pair in zip(frame["at"], frame["blocks"], strict=True)), key=lambda p: p[0]):
             blocks = list(blocks) if blocks is not None else []
@@ -90,7 +90,7 @@ class _Gate(StatefulProcessor):
             if alert:
                 anchor, checks = blocks, 0
         if anchor is not None:
-            self.anchor.update(("\x01".join(anchor), checks))
+            self.anchor.update((anchor, checks))
         yield pd.DataFrame(out, columns=["page", "at", "words", "alert", "checks"])
 
     def close(self) -> None:
@@ -165,16 +165,171 @@ def stream_metrics(stream: DataFrame, at: str, name: str, value: str, width: str
     return g.select(name, F.col("window.start").alias("start"), "n", "mean", "high")
 
 
-def coalesce_alerts(df: DataFrame, at: str, page: str, width: str = "30 seconds") -> DataFrame:
-    """``start``, ``n`` pages and a notice (three names, then how many more) for each window with alerts; batch or stream."""
-    g = df.groupBy(F.window(at, width)).agg(F.array_sort(F.collect_set(F.col(page).cast("string"))).alias("pages"))
-    n = F.size("pages")
-    more = F.when(n > 3, F.concat(F.lit(" and "), (n - 3).cast("string"), F.lit(" more"))).otherwise("")
-    return g.select(F.col("window.start").alias("start"), n.alias("n"), F.concat(n.cast("string"), F.lit(" pages changed: "), F.array_join(F.slice("pages", 1, 3), ", "), more).alias("notice"))
+class _Notices(StatefulProcessor):
+    """Per owner: alerts that wait for their notice. A notice's time runs from its first alert."""
 
+    def __init__(self, width_us: int):
+        self.width = width_us
 
-def stream_stale(stream: DataFrame, page: str, at: str, days: int) -> DataFrame:
-    """``page``, ``since``, ``until`` of each stretch of changes that ``days`` without a change has ended."""
-    w = F.session_window(at, f"{days} days")
-    g = stream.withWatermark(at, "0 seconds").groupBy(page, w).agg(F.max(at).alias("since"))
-    return g.select(page, "since", F.col("session_window.end").alias("until"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, page string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        for frame in rows:
+            new = list(zip(frame["us"].astype("int64").tolist(), frame["page"].tolist(), strict=True))
+            self.waiting.appendList(new)
+            for at in {at for at, _ in new}:
+                self.handle.registerTimer(-(-(at + self.width) // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        """No alert before this time can come any more, so windows that end by it are whole."""
+        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting, out = sorted((int(at), page) for at, page in self.waiting.get()), []
+        while waiting and waiting[0][0] + self.width <= end:
+            first = waiting[0][0]
+            inside = [page for at, page in waiting if at < first + self.width]
+            waiting = waiting[len(inside) :]
+            out.append((key[0], first, len(inside), _notice(inside)))
+        if out:
+            if waiting:
+                self.waiting.put(waiting)
+            else:
+                self.waiting.clear()
+        yield pd.DataFrame(out, columns=["owner", "us", "n", "notice"])
+
+    def close(self) -> None:
+        pass
+
+
+def _notice(pages: list[str]) -> str:
+    if len(pages) == 1:
+        return pages[0]
+    more = f" and {len(pages) - 3} more" if len(pages) > 3 else ""
+    return f"{len(pages)} pages changed: {', '.join(pages[:3])}{more}"
+
+
+class _Quiet(StatefulProcessor):
+    """Per page: changes that are not yet final, and the latest final one with whether its quiet time was told."""
+
+    def __init__(self, quiet_us: int):
+        self.quiet = quiet_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long")
+        self.last = handle.getValueState("last", "at long, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        for frame in rows:
+            times = sorted(set(frame["us"].astype("int64").tolist()))
+            self.waiting.appendList([(at,) for at in times])
+            for at in times:
+                self.handle.registerTimer(-(-(at + self.quiet) // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting = sorted(int(r[0]) for r in self.waiting.get())
+        last, told = self.last.get() if self.last.exists() else (None, True)
+        out = []
+        for at in [at for at in waiting if at <= now]:
+            if not told and at >= last + self.quiet:
+                out.append((key[0], last))
+            if last is None or at > last:
+                last, told = at, False
+        if not told and last + self.quiet <= now:
+            out.append((key[0], last))
+            told = True
+        if last is not None:
+            self.last.update((last, told))
+        later = [(at,) for at in waiting if at > now]
+        if later:
+            self.waiting.put(later)
+        elif waiting:
+            self.waiting.clear()
+        yield pd.DataFrame(out, columns=["page", "us"])
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def _us(at: str):  # noqa: ANN202
+    """Microseconds, as the rows have them; timers count milliseconds."""
+    return F.unix_micros(F.col(at).cast("timestamp")).alias("us")
+
+
+def coalesce_alerts(stream: DataFrame, owner: str, page: str, at: str, width_ms: int = 30_000, delay: str = "0 seconds") -> DataFrame:
+    """``owner``, ``start``, ``n``, ``notice``: one notice for all alerts of an owner within ``width_ms`` of the first.
+
+    A single alert is its page's name; more are counted, with three names in
+    order of time. A timer sends the notice once the watermark has passed its
+    end, so an alert that is late by less than ``delay`` still finds its place.
+    """
+    kind = dict(stream.dtypes)[owner]
+    rows = stream.withWatermark(at, delay).select(F.col(owner).alias("owner"), F.col(at).alias("at"), _us(at), F.col(page).cast("string").alias("page"))
+    out = _timed(rows, "owner", _Notices(1000 * width_ms), f"owner {kind}, us long, n long, notice string")
+    return out.select(F.col("owner").alias(owner), F.timestamp_micros("us").alias("start"), "n", "notice")
+
+
+def stream_stale(stream: DataFrame, page: str, at: str, days: float, delay: str = "0 seconds") -> DataFrame:
+    """``page``, ``since``, ``until``: once for each stretch of changes that ``days`` without a change have ended.
+
+    A timer tells as soon as the watermark has passed the end, though the page itself sends nothing more.
+    """
+    kind, quiet = dict(stream.dtypes)[page], int(days * 86_400_000_000)
+    rows = stream.withWatermark(at, delay).select(F.col(page).alias("page"), F.col(at).alias("at"), _us(at))
+    out = _timed(rows, "page", _Quiet(quiet), f"page {kind}, us long")
+    return out.select(F.col("page").alias(page), F.timestamp_micros("us").alias("since"), F.timestamp_micros(F.col("us") + quiet).alias("until"))
+
+
+class _HookState(StatefulProcessor):
+    """Per page: what a user's hook remembers, by name; values that were not written for ``ttl_ms`` are forgotten."""
+
+    def __init__(self, hook, ttl_ms: int | None):  # noqa: ANN001
+        self.hook, self.ttl = hook, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getMapState("values", "name string", "value string", self.ttl)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: ANN001, N802, N803
+        for name, value in zip(initialState["name"], initialState["value"], strict=True):
+            self.values.updateValue((name,), (value,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        state = {k[0]: v[0] for k, v in self.values.iterator()}
+        out = []
+        for at, outcome in sorted((pair for frame in rows for pair in zip(frame["at"], frame["outcome"], strict=True)), key=lambda p: p[0]):
+            before = dict(state)
+            told = self.hook(state, at, outcome)
+            out.append((key[0], at, outcome, told))
+            for name in before.keys() - state.keys():
+                self.values.removeKey((name,))
+            for name, value in state.items():
+                if before.get(name) != value:
+                    self.values.updateValue((name,), (str(value),))
+        yield pd.DataFrame(out, columns=["page", "at", "outcome", "told"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_hook_state(stream: DataFrame, hook, ttl_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
+    """``page``, ``at``, ``outcome``, ``told``: a user's hook over checks (``page``, ``at``, ``outcome``), with a memory for each page.
+
+    ``hook(state, at, outcome)`` reads and changes ``state``, a dictionary of
+    texts, and returns what it has to tell or None. The memory is a map state
+    with time to live, kept by the stream's checkpoint; ``initial`` (``page``,
+    ``name``, ``value``) fills it when the stream first starts, for instance
+    from ``hooks.latest_state``.
+    """
+    kinds = dict(stream.dtypes)
+    schema = f"page {kinds['page']}, at {kinds['at']}, outcome string, told string"
+    start = None if initial is None else initial.select(F.col("page").cast(kinds["page"]).alias("page"), "name", "value").groupBy("page")
+    mode = "ProcessingTime" if ttl_ms else "none"
+    return stream.select("page", "at", "outcome").groupBy("page").transformWithStateInPandas(_HookState(hook, ttl_ms), schema, "Append", mode, start)
