@@ -326,7 +326,7 @@ def stream_hook_state(stream: DataFrame, hook, ttl_ms: int | None = None, initia
     texts, and returns what it has to tell or None. The memory is a map state
     with time to live, kept by the stream's checkpoint; ``initial`` (``page``,
     ``name``, ``value``) fills it when the stream first starts, for instance
-    from ``hooks.latest_state``.
+    from ``hooks.latest_state``. With ``ttl_ms`` Spark runs batches without input for ever, so such a query is stopped, or triggered once.
     """
     kinds = dict(stream.dtypes)
     schema = f"page {kinds['page']}, at {kinds['at']}, outcome string, told string"

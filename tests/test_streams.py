@@ -35,8 +35,8 @@ class Feed:
         return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.folder}/*")
 
 
-def run(frame, folder):
-    frame.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
+def run(frame, folder, **trigger):
+    frame.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).format("parquet").start(f"{folder}/out").awaitTermination()
     return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/out")
 
 
@@ -79,11 +79,11 @@ def test_hook_memory_survives_a_restart_and_starts_from_a_table(spark, tmp_path)
     initial = spark.createDataFrame([("p", "n", "40")], "page string, name string, value string")
     make = lambda: S.stream_hook_state(feed.stream(), hook, ttl_ms=3_600_000, initial=initial)
     feed.put([("p", 2, "x"), ("p", 1, "x"), ("q", 1, "x")])
-    run(make(), tmp_path)
+    run(make(), tmp_path, once=True)  # with a time to live, batches without input never end
     feed.put([("p", 3, "x"), ("q", 2, "forget")])
-    run(make(), tmp_path)  # a new query on the same checkpoint
+    run(make(), tmp_path, once=True)  # a new query on the same checkpoint
     feed.put([("p", 4, "x"), ("q", 3, "x")])
-    rows = run(make(), tmp_path).collect()
+    rows = run(make(), tmp_path, once=True).collect()
     assert sorted((r["page"], r["at"], r["told"]) for r in rows) == sorted([("p", 1, "41"), ("p", 2, "42"), ("q", 1, "1"), ("p", 3, "43"), ("q", 2, None), ("p", 4, "44"), ("q", 3, "1")], key=lambda r: (r[0], r[1]))
 
 
