@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronodiff.operators.prefix import ranged, running_total
+
 #: Share of the limit that is too much, and measured runs that a mean needs.
 WARN, MIN_SAMPLES = 0.8, 5
 
@@ -36,12 +38,21 @@ def host_stretch(load: DataFrame, overrides: DataFrame, limit: float) -> DataFra
 
 
 def host_gaps(runs: DataFrame, host: str, start: str, end: str) -> DataFrame:
-    """``host``, ``min_gap_s`` between starts, ``peak`` of runs at once (a run that ends as another starts does not overlap)."""
-    gap = F.unix_micros(start) - F.lag(F.unix_micros(start)).over(W.partitionBy(host).orderBy(start))
-    gaps = runs.withColumn("gap", gap).groupBy(host).agg((F.min("gap") / 1e6).alias("min_gap_s"))
-    events = runs.select(host, F.col(start).alias("at"), F.lit(1).alias("d")).unionByName(runs.select(host, F.col(end).alias("at"), F.lit(-1).alias("d")))
-    level = F.sum("d").over(W.partitionBy(host).orderBy("at", "d").rowsBetween(W.unboundedPreceding, 0))
-    return gaps.join(events.withColumn("level", level).groupBy(host).agg(F.max("level").alias("peak")), host)
+    """``host``, ``min_gap_s`` between starts, ``peak`` of runs at once (a run that ends as another starts does not overlap).
+
+    A host's runs may lie over many ranges: gaps inside ranges are joined by
+    those between the last start of one and the first of the next, and the runs
+    at once are a running total.
+    """
+    rows = ranged(runs.select(F.col(host).alias("h"), F.unix_micros(start).alias("s")), ["s"], ["h"])
+    gap = F.col("s") - F.lag("s").over(W.partitionBy("_range", "h").orderBy("s"))
+    inside = rows.withColumn("gap", gap).groupBy("h", "_range").agg(F.min("gap").alias("gap"), F.min("s").alias("low"), F.max("s").alias("high"))
+    edge = F.col("low") - F.lag("high").over(W.partitionBy("h").orderBy("_range"))
+    gaps = inside.withColumn("gap", F.least("gap", edge)).groupBy("h").agg((F.min("gap") / 1e6).alias("min_gap_s"))
+    events = runs.select(F.col(host).alias("h"), F.col(start).alias("at"), F.lit(1).alias("d")).unionByName(runs.select(F.col(host).alias("h"), F.col(end).alias("at"), F.lit(-1).alias("d")))
+    level = running_total(events, F.col("d"), ["at", "d"], ["h"], "level")
+    peaks = level.groupBy(F.col("h").alias("_h")).agg(F.max("level").alias("peak"))
+    return gaps.join(peaks, F.col("h").eqNullSafe(F.col("_h"))).select(F.col("h").alias(host), "min_gap_s", "peak")
 
 
 def metric_rollup(df: DataFrame, at: str, name: str, value: str, width: str) -> DataFrame:
@@ -152,25 +163,20 @@ def due_now(pages: DataFrame, now) -> DataFrame:  # noqa: ANN001
     return pages.where(F.col("due") <= F.lit(now)).orderBy(F.desc("priority"), "due", "page")
 
 
-def catch_up_plan(pages: DataFrame, now, spread_s: float, parts: int = 64, allowed: str | None = None) -> DataFrame:  # noqa: ANN001
-    """``page``, ``place``, ``start_at``: overdue pages by priority, then longest overdue, spread evenly.
+def catch_up_plan(pages: DataFrame, now, spread_s: float, allowed: str | None = None) -> DataFrame:  # noqa: ANN001
+    """``page``, ``place``, ``start_at``: overdue pages by priority, then longest overdue, then page, spread evenly.
 
-    Places over the global order are ranks inside ranges of it plus the counts
-    of the ranges before. The spread is ``spread_s`` or one second a page, the smaller.
+    Places are a running count over the one order of all pages. The spread is
+    ``spread_s`` or one second a page, the smaller.
     ``allowed`` names a column with the first start that a page's limits allow
     (``apply_limits`` of now); where that is later, it is the page's start, without a place.
     """
-    due = pages.where(F.col("due") <= F.lit(now)).withColumn("late", F.unix_micros("due"))
+    due = pages.where(F.col("due") <= F.lit(now))
     if allowed:
         waits = F.coalesce(F.col(allowed) > F.lit(now), F.lit(False))
-        plan = catch_up_plan(due.where(~waits).select("page", "priority", "due"), now, spread_s, parts)
+        plan = catch_up_plan(due.where(~waits).select("page", "priority", "due"), now, spread_s)
         return plan.unionByName(due.where(waits).select("page", F.lit(None).cast("long").alias("place"), F.col(allowed).cast(plan.schema["start_at"].dataType).alias("start_at")))
-    bounds = due.select(F.percentile_approx("late", [k / parts for k in range(1, parts)])).first()[0] or []
-    due = due.withColumn("slot", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda x: x < F.col("late"))))
-    counts = due.groupBy("priority", "slot").agg(F.count("*").alias("n"))
-    before = counts.select("priority", "slot", (F.sum("n").over(W.orderBy(F.desc("priority"), "slot")) - F.col("n")).alias("base"), F.sum("n").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
-    rank = F.row_number().over(W.partitionBy("priority", "slot").orderBy("late", "page"))
-    out = due.withColumn("rank", rank).join(F.broadcast(before), ["priority", "slot"])  # ``parts`` rows a priority
-    place = (F.col("base") + F.col("rank") - 1).cast("long")
-    step = F.least(F.lit(float(spread_s)), F.col("total").cast("double")) / F.col("total")
+    out = running_total(due.withColumn("_urgent", -F.col("priority")), F.lit(1), ["_urgent", "due", "page"], name="n")
+    place = (F.col("n") - 1).cast("long")
+    step = F.least(F.lit(float(spread_s)), F.col("n_all").cast("double")) / F.col("n_all")
     return out.select("page", place.alias("place"), (F.lit(now) + F.make_dt_interval(secs=(place * step).cast("decimal(18,6)"))).alias("start_at"))

@@ -7,34 +7,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronodiff.functions.urls import host_of
+from chronodiff.session import written
 
 
-def select_links(links: DataFrame, include: str | None, exclude: str | None, existing: DataFrame) -> DataFrame:
-    """Links (``page``, ``base``, ``url``, ``n``) worth following: same host, patterns, not the page itself, not known; each once."""
+def select_links(links: DataFrame, include: str | None, exclude: str | None, existing: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Links (``page``, ``base``, ``url``, ``n``) worth following: same host, patterns, not the page itself, not known; each once.
+
+    ``existing`` and ``seen`` have ``url``: pages that are watched, and links that were offered before.
+    """
     ok = (host_of(F.col("base")) == host_of(F.col("url"))) & (F.col("url") != F.col("base"))
     if include:
         ok = ok & F.col("url").rlike(include)
     if exclude:
         ok = ok & ~F.col("url").rlike(exclude)
-    fresh = links.where(ok).join(existing.select("url").distinct(), "url", "left_anti")
+    known = existing.select("url") if seen is None else existing.select("url").unionByName(seen.select("url"))
+    fresh = links.where(ok).join(known.distinct(), "url", "left_anti")
     return fresh.groupBy("url").agg(F.min(F.struct("page", "n")).alias("first")).select("url", "first.page", "first.n")
 
 
 def crawl_frontier(edges: DataFrame, roots: DataFrame, depth: int, max_pages: int) -> DataFrame:
     """``root``, ``node``, ``level``: nodes within ``depth`` links of each root, nearest first, ``max_pages`` a root.
 
-    One join a level over ``edges`` (``src``, ``dst``); a level is written to
-    the checkpoint folder so that plans stay short.
+    Each level keeps what a root's budget leaves, by node, before the next join
+    over ``edges`` (``src``, ``dst``), so never more than ``max_pages`` nodes of a root are
+    expanded; a level is a table of its own, so plans stay short.
     """
-    seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("level"))
+    seen = written(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("level")).distinct(), "frontier")
     front = seen
     for level in range(1, depth + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("level", F.lit(level))
-        front = front.checkpoint()
+        fresh = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        spent = seen.groupBy("root").agg(F.count("*").alias("spent"))
+        nth = F.row_number().over(W.partitionBy("root").orderBy("node"))  # Spark cuts it to the budget before it shuffles
+        first = fresh.withColumn("nth", nth).where(F.col("nth") <= max_pages)
+        front = written(first.join(spent, "root").where(F.col("nth") <= max_pages - F.col("spent")).select("root", "node", F.lit(level).alias("level")), "frontier")
         seen = seen.unionByName(front)
-    nth = F.row_number().over(W.partitionBy("root").orderBy("level", "node"))
-    return seen.withColumn("nth", nth).where(F.col("nth") <= max_pages).drop("nth")
+    return seen
 
 
 def robots_allowed(links: DataFrame, rules: DataFrame) -> DataFrame:

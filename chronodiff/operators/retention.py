@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronodiff.operators.prefix import running_total
+
 
 def prune_versions(versions: DataFrame, pinned: DataFrame, keep: int) -> DataFrame:
     """Versions that may be dropped: not among the newest ``keep`` of their page, and not in ``pinned`` (``version``)."""
@@ -13,6 +15,17 @@ def prune_versions(versions: DataFrame, pinned: DataFrame, keep: int) -> DataFra
     return old.join(pinned.select("version"), "version", "left_anti").drop("nth")
 
 
+def prune_changes(changes: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Changes that stay when the ``dropped`` versions go: those whose new version stays.
+
+    A change whose old version goes keeps its row and loses the reference.
+    """
+    gone = dropped.select(F.col("version").alias("_gone")).distinct()
+    left = changes.join(gone, F.col("new_version") == F.col("_gone"), "left_anti")
+    marked = left.join(gone, F.col("old_version") == F.col("_gone"), "left")
+    return marked.withColumn("old_version", F.when(F.col("_gone").isNull(), F.col("old_version"))).drop("_gone")
+
+
 def unreferenced(content: DataFrame, refs: list[DataFrame], cutoff) -> DataFrame:  # noqa: ANN001
     """Content (``content``, ``stored_at``) that no table refers to and that is older than the grace period."""
     used = refs[0].select("content")
@@ -21,22 +34,18 @@ def unreferenced(content: DataFrame, refs: list[DataFrame], cutoff) -> DataFrame
     return content.where(F.col("stored_at") < cutoff).join(used.distinct(), "content", "left_anti")
 
 
-def cap_candidates(versions: DataFrame, excess: Column | int, parts: int = 64) -> DataFrame:
-    """The oldest versions until their new bytes reach ``excess``; each content counts once.
+def cap_candidates(versions: DataFrame, excess: Column | int, protected: DataFrame | None = None) -> DataFrame:
+    """The oldest versions until their new bytes reach ``excess``; each content counts once, with its oldest version.
 
-    The running total over the global order is a sum inside ranges of the order
-    plus the totals of the ranges before, so no task holds more than its range.
+    ``protected`` (``version``: pinned, latest, baseline, anchor) are passed over.
+    The order is one of all versions; see ``prefix.running_total``.
     """
-    nth = F.row_number().over(W.partitionBy("content").orderBy("at", "version"))
-    rows = versions.withColumn("fresh", F.when(nth == 1, F.col("bytes")).otherwise(0))
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
-    bounds = rows.select(F.percentile_approx(micros, [k / parts for k in range(1, parts)])).first()[0] or []
-    rows = rows.withColumn("slot", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda x: x < micros)))
-    totals = rows.groupBy("slot").agg(F.sum("fresh").alias("t"))
-    before = totals.select("slot", (F.sum("t").over(W.orderBy("slot")) - F.col("t")).alias("base"))  # ``parts`` rows
-    inside = F.sum("fresh").over(W.partitionBy("slot").orderBy("at", "version").rowsBetween(W.unboundedPreceding, 0))
-    ranked = rows.withColumn("run", inside).join(F.broadcast(before), "slot")
-    return ranked.where(F.col("base") + F.col("run") - F.col("fresh") < excess).drop("slot", "run", "base")
+    if protected is not None:
+        versions = versions.join(protected.select("version").distinct(), "version", "left_anti")
+    first = versions.groupBy("content").agg(F.min(F.struct("at", "version")).alias("f")).select(F.col("f.version").alias("version"), F.lit(True).alias("_first"))
+    rows = versions.join(first, "version", "left").withColumn("fresh", F.when(F.col("_first"), F.col("bytes")).otherwise(0)).drop("_first")
+    ranked = running_total(rows, F.col("fresh"), ["at", "version"])
+    return ranked.where(F.col("total") - F.col("fresh") < excess).drop("total", "total_all")
 
 
 def purge(df: DataFrame, at: str, cutoff) -> DataFrame:  # noqa: ANN001

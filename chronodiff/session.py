@@ -44,6 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: what reads it later starts from there, and a lost executor costs its tasks alone."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/chronodiff-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
