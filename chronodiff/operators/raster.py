@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronodiff.operators.graph import components
+from chronodiff.session import written
+
 #: A cell differs if its gray moves by more than this; cells that one side lacks are white.
 TOLERANCE, WHITE = 24, 255
+#: A picture with more changed cells than this, each with its neighbours, is one region (fixed value).
+MAX_GROUPED_CELLS = 60_000
+#: Cells on a side of a tile, which one task groups.
+TILE = 256
 
 
 def raster_delta(old: DataFrame, new: DataFrame, ignore: tuple[tuple[int, int, int, int], ...] = ()) -> DataFrame:
@@ -24,24 +34,85 @@ def raster_change(delta: DataFrame, min_share: float) -> DataFrame:
     return delta.groupBy("shot").agg(share.alias("share")).withColumn("significant", F.col("share") >= min_share)
 
 
+def height_change(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``shot``, ``height_old``, ``height_new`` and ``percent``: how much taller or shorter each picture is; one that is missing has no rows."""
+    tall = lambda df, name: df.groupBy("shot").agg((F.max("y") + 1).alias(name))
+    both = tall(old, "height_old").join(tall(new, "height_new"), "shot", "full_outer").na.fill(0)
+    return both.withColumn("percent", F.abs(F.col("height_new") - F.col("height_old")) / F.greatest("height_old", F.lit(1)) * 100)
+
+
+def significant_change(delta: DataFrame, heights: DataFrame, min_share: float = 0.002, height_percent: float = 5.0) -> DataFrame:
+    """``shot``, ``share``, ``percent``, ``significant``: more cells than ``min_share`` differ, or the height moved by more than ``height_percent``."""
+    share = delta.groupBy("shot").agg(F.avg(F.col("differs").cast("double")).alias("share"))
+    out = heights.select("shot", "percent").join(share, "shot", "left").na.fill(0.0, ["share"])
+    return out.withColumn("significant", (F.col("share") > min_share) | (F.col("percent") > height_percent))
+
+
+def _tile(kind: pa.DataType):
+    fields = pa.schema([("shot", kind), *((c, pa.int64()) for c in ("x0", "y0", "x1", "y1", "cells")), ("border", pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])))])
+
+    def work(table: pa.Table) -> pa.Table:
+        x, y, own = (table[c].to_numpy().astype(np.int64) for c in ("x", "y", "own"))
+        parent = list(range(len(x)))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        at = {spot: k for k, spot in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
+        for (i, j), k in at.items():
+            for near in ((i - 1, j), (i - 1, j - 1), (i, j - 1), (i + 1, j - 1)):
+                if near in at and (a := root(k)) != (b := root(at[near])):
+                    parent[max(a, b)] = min(a, b)
+        roots = np.array([root(k) for k in range(len(x))])
+        edge = (x % TILE == 0) | (x % TILE == TILE - 1) | (y % TILE == 0) | (y % TILE == TILE - 1)
+        rows = []
+        for r in np.unique(roots).tolist():
+            inside = roots == r
+            real, rim = inside & (own > 0), inside & edge
+            box = [int(f(c[real])) if real.any() else None for c, f in ((x, np.min), (y, np.min), (x, np.max), (y, np.max))]
+            rows.append((*box, int(real.sum()), [{"x": a, "y": b} for a, b in zip(x[rim].tolist(), y[rim].tolist(), strict=True)]))
+        cols = list(zip(*rows, strict=True))
+        shot = table["shot"][0]
+        return pa.table([pa.array([shot.as_py()] * len(rows), kind), *(pa.array(list(c), f.type) for c, f in zip(cols, list(fields)[1:], strict=True))], schema=fields)
+
+    return work
+
+
 def raster_regions(delta: DataFrame, limit: int = 50) -> DataFrame:
-    """``shot``, ``x0``, ``y0``, ``x1``, ``y1``, ``cells``: connected regions of changed cells after one dilation, the largest first.
+    """``shot``, ``x0``, ``y0``, ``x1``, ``y1``, ``cells``: regions of changed cells that touch after one dilation, the largest first.
 
-    Labels are cell numbers; each round every cell takes the smallest label of
-    its eight neighbours, until no label moves.
+    A region's box and count are of its changed cells alone. A picture with
+    more than ``MAX_GROUPED_CELLS`` dilated cells is one region. Cells are
+    grouped tile by tile; regions that meet at the tiles' borders are joined as
+    components of a graph, in rounds that follow the logarithm of how many
+    tiles a region crosses, so no task holds more than a tile.
     """
-    spread = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in spread]))
-    grown = delta.where("differs").select("shot", "x", "y", near.alias("d")).select("shot", (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y")).distinct()
-    cells = grown.withColumn("label", F.col("y").cast("long") * 100_000 + F.col("x")).checkpoint()
-    total = None
-    while (now := cells.agg(F.sum("label")).first()[0]) != total:
-        total = now
-        sent = cells.select("shot", "x", "y", "label", near.alias("d")).select("shot", (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"), F.col("label").alias("other"))
-        low = sent.groupBy("shot", "x", "y").agg(F.min("other").alias("other"))
-        cells = cells.join(low, ["shot", "x", "y"]).select("shot", "x", "y", F.least("label", "other").alias("label")).checkpoint()
-    boxes = cells.groupBy("shot", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("cells"))
-    from pyspark.sql import Window as W
-
-    nth = F.row_number().over(W.partitionBy("shot").orderBy(F.desc("cells"), "label"))
-    return boxes.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth", "label")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spread = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    changed = delta.where("differs").select("shot", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    grown = changed.select("shot", "x", "y", F.explode(spread).alias("d"))
+    own = F.when((F.col("d.i") == 0) & (F.col("d.j") == 0), 1).otherwise(0)
+    grown = grown.select("shot", (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"), own.alias("own"))
+    grown = written(grown.groupBy("shot", "x", "y").agg(F.max("own").alias("own")), "cells")
+    inside = delta.select("shot", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    sizes = grown.join(inside, ["shot", "x", "y"], "left_semi").groupBy("shot").agg(F.count("*").alias("n"))
+    huge = sizes.where(F.col("n") > MAX_GROUPED_CELLS).select("shot")
+    box = [F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")]
+    whole = changed.join(huge, "shot", "left_semi").groupBy("shot").agg(*box, F.count("*").alias("cells"))
+
+    tiles = grown.join(huge, "shot", "left_anti").withColumn("tx", F.floor(F.col("x") / TILE)).withColumn("ty", F.floor(F.col("y") / TILE))
+    kind = tiles.schema["shot"].dataType
+    part = tiles.groupBy("shot", "tx", "ty").applyInArrow(_tile(to_arrow_type(kind)), f"shot {kind.simpleString()}, x0 long, y0 long, x1 long, y1 long, cells long, border array<struct<x:long,y:long>>")
+    part = written(part.withColumn("node", F.monotonically_increasing_id()), "regions")
+    rim = part.select("shot", "node", F.explode("border").alias("p")).select("shot", "node", "p.x", "p.y")
+    around = rim.select("shot", F.col("node").alias("other"), "x", "y", F.explode(spread).alias("d")).select("shot", "other", (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"))
+    edges = rim.join(around, ["shot", "x", "y"]).where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    joined = part.join(components(edges), "node", "left").withColumn("region", F.coalesce("component", "node"))
+    merged = joined.groupBy("shot", "region").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("cells").alias("cells"))
+    found = merged.drop("region").unionByName(whole)
+    nth = F.row_number().over(W.partitionBy("shot").orderBy(F.desc("cells"), "y0", "x0", "y1", "x1"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")

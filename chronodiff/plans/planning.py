@@ -211,7 +211,28 @@ def c20_raster_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.raster_change(diff, 0.2).withColumn("share", F.round("share", 9))
 
 
-@query("c21_raster_regions")
+@query("c20_height_rule", f"""WITH {_CELLS}, d AS (SELECT vec_id AS shot, abs(g - CASE WHEN i // 8 = 7 THEN 255 WHEN i % 8 = i // 8 THEN g - 60 ELSE g END) > 24 AS differs FROM c)
+SELECT shot, round(avg(CAST(differs AS DOUBLE)), 9) AS share, 12.5 AS percent, avg(CAST(differs AS DOUBLE)) > 0.5 OR 12.5 > 12 AS significant FROM d GROUP BY shot""")
+def c20_height_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures that lost a row of eight: significant by their height, however few cells differ."""
+    old, new = cells(spark, sf_dir, False), cells(spark, sf_dir, True)
+    found = raster.significant_change(raster.raster_delta(old, new), raster.height_change(old, new), 0.5, 12.0)
+    return found.select("shot", F.round("share", 9).alias("share"), "percent", "significant")
+
+
+def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of 32 x 16 cells, each of eight embeddings, with cells changed here and there."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    x, y = (F.col("vec_id") % 4) * 8 + F.col("i") % 8, F.floor((F.col("vec_id") % 8) / 4) * 8 + F.floor(F.col("i") / 8)
+    return rows.select(F.floor(F.col("vec_id") / 8).alias("shot"), x.alias("x"), y.alias("y"), (F.pmod(F.floor(F.col("v") * 10_000), F.lit(31)) == 0).alias("differs"))
+
+
+@query("c21_raster_regions", """WITH RECURSIVE p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v FROM embeddings),
+c AS MATERIALIZED (SELECT vec_id // 8 AS shot, (vec_id % 4) * 8 + i % 8 AS x, (vec_id % 8) // 4 * 8 + i // 8 AS y FROM p WHERE CAST(floor(v * CAST(10000 AS FLOAT)) AS BIGINT) % 31 = 0),
+n AS MATERIALIZED (SELECT shot, x, y, y * 100 + x AS c FROM c),
+r(shot, c, root) AS (SELECT shot, c, c FROM n UNION SELECT r.shot, b.c, r.root FROM r JOIN n a ON a.shot = r.shot AND a.c = r.c JOIN n b ON b.shot = a.shot AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 WHERE r.root < b.c),
+m AS (SELECT shot, c, min(root) AS root FROM r GROUP BY ALL)
+SELECT shot, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS cells FROM m JOIN n USING (shot, c) GROUP BY shot, root QUALIFY row_number() OVER (PARTITION BY shot ORDER BY count(*) DESC, min(y), min(x), max(y), max(x)) <= 50""")
 def c21_raster_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return raster.raster_regions(raster.raster_delta(cells(spark, sf_dir, False), cells(spark, sf_dir, True)))
+    """Regions of changed cells: cells whose neighbourhoods touch belong together."""
+    return raster.raster_regions(scattered(spark, sf_dir))
