@@ -151,12 +151,38 @@ def report_all(pages: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def report_errors(pages: DataFrame, runs: DataFrame, is_error: Column) -> DataFrame:
+    """Pages in error, in need of a login, or with errors counted: ``id``, ``name``, ``status``, ``errors`` and the ``reason`` of their last failing run, else their status."""
+    last = runs.where(is_error).groupBy("page").agg(F.max_by("reason", "run").alias("reason"))
+    bad = pages.where(F.col("status").isin("error", "needs_login") | (F.col("errors") > 0))
+    reason = F.coalesce(F.nullif(F.col("reason").cast("string"), F.lit("")), "status")
+    return bad.join(last, bad["id"] == last["page"], "left").select("id", "name", "status", "errors", reason.alias("reason"))
+
+
+def newest_failures(pages: DataFrame, runs: DataFrame, is_error: Column) -> DataFrame:
     """Pages whose newest run failed, with its time and outcome and the failures in all."""
     last = runs.groupBy("page").agg(F.max(F.struct("at", "run", "outcome", is_error.alias("failed"))).alias("last"), F.count_if(is_error).alias("failures"))
     bad = last.where("last.failed").select("page", F.col("last.at").alias("at"), F.col("last.outcome").alias("outcome"), "failures")
     return pages.join(bad, pages["id"] == bad["page"]).select("id", "name", "at", "outcome", "failures")
 
 
+def problems(pages: DataFrame, runs: DataFrame, is_error: Column, actions: DataFrame, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(the newest problems, their ``total``): pages in error or in need of a login, and failed actions.
+
+    Items have ``kind``, ``id`` (page), ``name``, ``message``, ``at``, newest
+    first, then by page downwards. ``actions`` has page, message, at. Each kind is cut to ``limit`` before both are ordered.
+    """
+    limit = max(1, min(limit, 1000))
+    last = runs.where(is_error).groupBy("page").agg(F.max_by(F.struct("reason", "at"), "run").alias("l"))
+    bad = pages.where(F.col("status").isin("error", "needs_login")).join(last, pages["id"] == last["page"], "left")
+    login = F.col("status") == "needs_login"
+    message = F.coalesce(F.col("l.reason").cast("string"), F.when(login, "needs login").otherwise("unknown error"))
+    a = bad.select(F.when(login, "needs_login").otherwise("page_error").alias("kind"), "id", "name", message.alias("message"), F.col("l.at").alias("at"))
+    failed = actions.join(pages.select("id", "name"), actions["page"] == F.col("id"))
+    b = failed.select(F.lit("action_failed").alias("kind"), "id", "name", F.coalesce("message", F.lit("the action failed")).alias("message"), "at")
+    newest = lambda d: d.orderBy(F.desc("at"), F.desc("id"), "kind", "message").limit(limit)
+    return newest(newest(a).unionByName(newest(b))), a.select("id").unionByName(b.select("id")).agg(F.count("*").alias("total"))
+
+
 def recent_counts(changes: DataFrame, now) -> DataFrame:  # noqa: ANN001
     """``unread_hit_pages``: pages with an unread change that has hits; ``changed_day``: pages changed in the 24 hours before."""
     day = (F.col("at") > F.lit(now).cast("timestamp") - F.expr("interval 24 hours")) & (F.col("at") <= F.lit(now).cast("timestamp"))
@@ -203,6 +229,22 @@ def mark_read(changes: DataFrame, page_ids: DataFrame, now) -> DataFrame:  # noq
     return joined.withColumn("read_at", F.when(fresh, F.lit(now)).otherwise(F.col("read_at"))).drop("read_page")
 
 
+def mark_pages_read(pages: DataFrame, page_ids: DataFrame) -> DataFrame:
+    """Pages as they are once those in ``page_ids`` (``page``) are read, and ``was_unread``.
+
+    Their latest version becomes baseline and anchor, ``unread`` and the count
+    of errors are cleared, ``changed`` becomes ``ok``, and ``error`` becomes
+    ``ok``, or ``new`` where there is no version. Other pages stay as they are.
+    """
+    ids = page_ids.select(F.col("page").alias("read_page")).distinct()
+    out = pages.join(ids, pages["id"] == ids["read_page"], "left")
+    read = F.col("read_page").isNotNull()
+    status = F.when(F.col("status") == "changed", "ok").when(F.col("status") == "error", F.when(F.col("latest").isNotNull(), "ok").otherwise("new")).otherwise(F.col("status"))
+    was = read & (F.col("unread") | ~F.col("baseline").eqNullSafe(F.col("latest")))
+    own = {"baseline": F.col("latest"), "anchor": F.col("latest"), "unread": F.lit(False), "errors": F.lit(0).cast(pages.schema["errors"].dataType), "status": status}
+    return out.withColumns({"was_unread": was} | {c: F.when(read, v).otherwise(F.col(c)) for c, v in own.items()}).drop("read_page")
+
+
 def stale_pages(runs: DataFrame, page: str, at: str, changed: Column, days: int) -> DataFrame:
     """One row for each quiet period of a page: its last change and the first run ``days`` or more later."""
     order = W.partitionBy(page).orderBy(at)

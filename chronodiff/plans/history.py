@@ -12,6 +12,7 @@ from chronodiff.operators import hooks as K
 from chronodiff.operators import retention
 from chronodiff.plans.registry import query
 from chronodiff.session import table
+from chronodiff.sources import watchlists as WL
 
 SINCE = dt.datetime(1998, 1, 1)
 NOW = dt.datetime(2024, 1, 31)
@@ -109,24 +110,49 @@ def e9_report_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("moment", F.col("at").cast("timestamp_ntz")).drop("at").withColumn("next_marker", F.col("next_marker").cast("timestamp_ntz"))
 
 
-@query("e10_report_errors", f"""WITH {PAGES}, {RUNS}, l AS (SELECT page, max_by(seconds, run) AS reason FROM runs_t WHERE outcome = 'error' GROUP BY page)
-SELECT id, name, errors, reason FROM pages_t LEFT JOIN l ON page = id WHERE status = 'error' OR errors > 0""")
+@query("e10_report_errors", f"""WITH {PAGES}, {RUNS}, l AS (SELECT page, CAST(max_by(seconds, run) AS VARCHAR) AS reason FROM runs_t WHERE outcome = 'error' GROUP BY page)
+SELECT id, name, status, errors, coalesce(reason, status) AS reason FROM pages_t LEFT JOIN l ON page = id WHERE status IN ('error', 'needs_login') OR errors > 0""")
 def e10_report_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages in error with the value of their last failing run."""
-    last = runs(spark, sf_dir).where("outcome = 'error'").groupBy("page").agg(F.max_by("seconds", "run").alias("reason"))
-    rows = pages(spark, sf_dir).where("status = 'error' or errors > 0")
-    return rows.join(last, rows["id"] == last["page"], "left").select("id", "name", "errors", "reason")
+    return H.report_errors(pages(spark, sf_dir), runs(spark, sf_dir).withColumn("reason", F.col("seconds").cast("string")), F.col("outcome") == "error")
 
 
-@query("e11_problems", f"""WITH {PAGES}, {RUNS}, {CHANGES}, l AS (SELECT page, max_by(run, moment) AS run, max(moment) AS moment FROM runs_t WHERE outcome = 'error' GROUP BY page)
-SELECT * FROM (SELECT 'page' AS source, id, moment FROM pages_t JOIN l ON page = id WHERE errors > 2 UNION ALL SELECT 'action', change, moment FROM changes_t WHERE is_unread AND hit = '5-LOW') ORDER BY moment DESC, source DESC, id DESC LIMIT 100""")
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes(spark, sf_dir).where("is_unread and hit = '5-LOW'").select("page", F.col("change").cast("string").alias("message"), "at")
+
+
+_PROBLEMS = f"""WITH {PAGES}, {RUNS}, {CHANGES}, l AS (SELECT page, CAST(max_by(seconds, run) AS VARCHAR) AS reason, max_by(moment, run) AS moment FROM runs_t WHERE outcome = 'error' GROUP BY page),
+a AS (SELECT 'page_error' AS kind, id, coalesce(reason, 'unknown error') AS message, moment FROM pages_t LEFT JOIN l ON page = id WHERE status = 'error'
+  UNION ALL SELECT 'action_failed', page, CAST(change AS VARCHAR), moment FROM changes_t JOIN pages_t ON page = id WHERE is_unread AND hit = '5-LOW')"""
+
+
+@query("e11_problems", _PROBLEMS + " SELECT * FROM a ORDER BY moment DESC NULLS LAST, id DESC, kind, message LIMIT 100")
 def e11_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failing pages with their last failing run, and failed actions of unread changes, newest first."""
-    last = runs(spark, sf_dir).where("outcome = 'error'").groupBy("page").agg(F.max("at").alias("at"))
-    rows = pages(spark, sf_dir).where("errors > 2")
-    a = rows.join(last, rows["id"] == last["page"]).select(F.lit("page").alias("source"), "id", "at")
-    b = changes(spark, sf_dir).where("is_unread and hit = '5-LOW'").select(F.lit("action").alias("source"), F.col("change").alias("id"), "at")
-    return a.unionByName(b).orderBy(F.desc("at"), F.desc("source"), F.desc("id")).limit(100).select("source", "id", F.col("at").cast("timestamp_ntz").alias("moment"))
+    found, _ = H.problems(pages(spark, sf_dir), runs(spark, sf_dir).withColumn("reason", F.col("seconds").cast("string")), F.col("outcome") == "error", _actions(spark, sf_dir), 100)
+    return found.select("kind", "id", "message", F.col("at").cast("timestamp_ntz").alias("moment"))
+
+
+@query("e11_total", _PROBLEMS + " SELECT count(*) AS total FROM a")
+def e11_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many problems there are in all."""
+    return H.problems(pages(spark, sf_dir), runs(spark, sf_dir).withColumn("reason", F.col("seconds").cast("string")), F.col("outcome") == "error", _actions(spark, sf_dir), 100)[1]
+
+
+_STATES = """st AS (SELECT o_custkey AS page, max(o_orderkey) AS latest, min(o_orderkey) AS baseline FROM orders GROUP BY 1),
+pg AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'changed' WHEN 1 THEN 'error' ELSE 'ok' END AS status, c_custkey % 4 = 0 AS unread, CAST(c_custkey % 6 AS INTEGER) AS errors, latest, baseline FROM customer LEFT JOIN st ON page = c_custkey)"""
+
+
+@query("e21_mark_pages_read", f"""WITH {_STATES} SELECT id, CASE WHEN NOT r THEN status WHEN status = 'changed' THEN 'ok' WHEN status = 'error' THEN CASE WHEN latest IS NULL THEN 'new' ELSE 'ok' END ELSE status END AS status, unread AND NOT r AS unread,
+CASE WHEN r THEN 0 ELSE errors END AS errors, latest, CASE WHEN r THEN latest ELSE baseline END AS baseline, CASE WHEN r THEN latest ELSE baseline END AS anchor, r AND (unread OR baseline IS DISTINCT FROM latest) AS was_unread FROM (SELECT *, id % 5 < 2 AS r FROM pg)""")
+def e21_mark_pages_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of five customers read, orders as versions: pointers, status and counts of all pages."""
+    key = F.col("c_custkey")
+    versions = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page")).agg(F.max("o_orderkey").alias("latest"), F.min("o_orderkey").alias("baseline"))
+    status = F.when(key % 3 == 0, "changed").when(key % 3 == 1, "error").otherwise("ok")
+    own = table(spark, sf_dir, "customer").select(key.alias("id"), status.alias("status"), (key % 4 == 0).alias("unread"), (key % 6).cast("int").alias("errors"))
+    own = own.join(versions, own["id"] == versions["page"], "left").drop("page").withColumn("anchor", F.col("baseline"))
+    return H.mark_pages_read(own, own.where("id % 5 < 2").select(F.col("id").alias("page"))).select("id", "status", "unread", "errors", "latest", "baseline", "anchor", "was_unread")
 
 
 @query("e12_latest_failing_run", f"WITH {RUNS} SELECT page, max_by(seconds, run) AS seconds, max(run) AS run FROM runs_t WHERE outcome = 'error' GROUP BY page")
@@ -246,18 +272,40 @@ def a13_export_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(t, F.col("folder") + 100 == F.col("fid")).select("id", "name", "url", F.col("path").alias("folder_path"), fmt_interval(seconds).alias("interval_text"))
 
 
-@query("a12_import_rows", """SELECT c_custkey AS row, CASE WHEN c_custkey % 9 = 0 THEN 'no address' WHEN c_custkey % 11 = 0 THEN 'bad interval' END AS problem,
-CASE c_custkey % 3 WHEN 0 THEN 900 WHEN 1 THEN 7200 ELSE 60 END * CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 1 END AS seconds FROM customer""")
+@query("a12_import_rows", """SELECT c_custkey AS customer, CASE WHEN c_custkey % 9 = 0 THEN 'no address' WHEN c_custkey % 7 = 0 THEN 'bad address' WHEN c_custkey % 11 = 0 THEN 'bad interval' END AS problem,
+CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CASE c_custkey % 3 WHEN 0 THEN 900 WHEN 1 THEN 7200 ELSE 60 END END AS interval_s, c_mktsegment || '/' || c_nationkey AS folder, CASE WHEN c_custkey % 2 = 0 THEN 'sale' || chr(10) || 'stock' END AS keywords FROM customer""")
 def a12_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as rows of a watch list: interval texts read, faulty rows kept with their problem."""
-    from chronodiff.functions.text import parse_interval
-
+    """Customers as the table of a watch list: every row read, faulty ones with their problem."""
     key = F.col("c_custkey")
+    url = F.when(key % 9 == 0, " ").when(key % 7 == 0, F.concat(F.lit("example "), key.cast("string"))).otherwise(F.concat(F.lit(" https://example.com/"), key.cast("string")))
     text = F.when(key % 11 == 0, "soon").when(key % 3 == 0, "15m").when(key % 3 == 1, "2h").otherwise("30s")
-    url = F.when(key % 9 != 0, F.concat(F.lit("https://example.com/"), key.cast("string")))
-    seconds = parse_interval(text)
-    problem = F.when(url.isNull(), "no address").when(seconds.isNull(), "bad interval")
-    return table(spark, sf_dir, "customer").select(key.alias("row"), problem.alias("problem"), seconds.cast("int").alias("seconds"))
+    folder = F.concat(F.lit(" "), "c_mktsegment", F.lit(" / /"), F.col("c_nationkey").cast("string"))
+    words = F.when(key % 2 == 0, "sale\r\nstock").otherwise(" ")
+    rows = WL.table_rows(table(spark, sf_dir, "customer").select(key.alias("customer"), url.alias("URL"), F.col("c_name").alias("Name"), folder.alias("Folder "), text.alias("inter val"), words.alias("keywords")))
+    return WL.import_rows(rows).select("customer", "problem", F.col("interval_s").cast("int").alias("interval_s"), "folder", "keywords")
+
+
+@query("a12_bookmark_files", """SELECT n_nationkey AS file, c_custkey // 1000 AS part, CAST(row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_mktsegment, c_custkey) AS INTEGER) AS row,
+'https://example.com/?a=1&id=' || c_custkey AS url, c_name || ' & co' AS name, n_name || '/' || c_mktsegment AS folder FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def a12_bookmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as links in bookmark files, a file for each nation and thousand, a folder in a folder for each segment, read back."""
+    key = F.col("c_custkey")
+    link = F.concat(F.lit('<DT><A ADD_DATE="1" HREF="https://example.com/?a=1&amp;id='), key.cast("string"), F.lit('">'), F.col("c_name"), F.lit(" &amp; <b>co</b></A>\n"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.struct(F.col("n_nationkey").alias("file"), F.expr("c_custkey div 1000").alias("part")).alias("f"), "n_name", "c_mktsegment", "c_custkey", link.alias("link"))
+    lists = rows.groupBy("f", "n_name", "c_mktsegment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "link"))), lambda x: x["link"]), "").alias("links"))
+    inner = F.concat(F.lit("<DT><H3>"), "c_mktsegment", F.lit("</H3>\n<DL><p>\n"), "links", F.lit("</DL><p>\n"))
+    files = lists.groupBy("f", "n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", inner.alias("x")))), lambda x: x["x"]), "").alias("body"))
+    html = F.concat(F.lit("<H1>Bookmarks</H1>\n<DL><p>\n<DT><H3 FOLDED>"), "n_name", F.lit("</H3>\n<DL><p>\n"), "body", F.lit("</DL><p>\n</DL><p>"))
+    found = WL.bookmark_rows(files.select("f", html.alias("html")), "f", "html")
+    return found.select("file.file", "file.part", "row", "url", "name", "folder")
+
+
+@query("a13_export_json", f"""WITH {FOLDERS}, {PAGES} SELECT 'folder' AS kind, CAST(id AS VARCHAR) AS id, id AS n, name FROM folders_t UNION ALL SELECT 'page', CAST(id AS VARCHAR), id, name FROM pages_t""")
+def a13_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A watch list as JSON lines, read back."""
+    p = pages(spark, sf_dir).select("id", "name", "url", "folder", F.lit(900).alias("interval_s"), F.lit("sale").alias("keywords"))
+    found = WL.export_json(p, folders(spark, sf_dir))
+    return found.select("kind", "id", F.get_json_object("json", "$.id").cast("long").alias("n"), F.get_json_object("json", "$.name").alias("name"))
 
 
 #: All columns that lists filter and sort by.
@@ -331,7 +379,7 @@ def e10_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, name, "at", outcome, failures FROM pages_t JOIN l ON id = page WHERE outcome = 'error'""")
 def e11_report_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers stand for the watched pages of the users' runs."""
-    return H.report_errors(pages(spark, sf_dir), runs(spark, sf_dir), F.col("outcome") == "error")
+    return H.newest_failures(pages(spark, sf_dir), runs(spark, sf_dir), F.col("outcome") == "error")
 
 
 @query("d17_verdict_hooks", f"""WITH {CHANGES}, c AS (SELECT change, hit, change % 5 AS k, CASE WHEN change % 3 = 0 THEN 'below_threshold' END AS reason, year(moment) AS y FROM changes_t WHERE page % 7 <> 0)

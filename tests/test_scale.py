@@ -87,7 +87,7 @@ def test_regions_over_tiles(spark, monkeypatch):
     for r in raster.raster_regions(frame, 500).collect():
         got.setdefault(r["shot"], []).append(tuple(r)[1:])
     assert {s: sorted(v) for s, v in got.items()} == {s: plain_regions(own) for s, own in shots.items() if own}
-    monkeypatch.setattr(raster, "MAX_GROUPED_CELLS", 100)
+    monkeypatch.setattr(raster, "MAX_GROUPED_CELLS", 50)
     one = raster.raster_regions(frame.where("shot = 1")).collect()
     xs, ys = zip(*shots[1], strict=True)
     assert [tuple(r)[1:] for r in one] == [(min(xs), min(ys), max(xs), max(ys), len(shots[1]))]
