@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from operator import lt
 
 import numpy as np
 import pandas as pd
@@ -80,36 +82,74 @@ def _grown(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
     """(eq | del | ins | rep, a_lo, a_hi, b_lo, b_hi), ends exclusive; a shortest script of insertions and deletions."""
-    number: dict[str, int] = {}
-    x, y = (np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (a, b))
-    lo = 0
-    while lo < min(len(x), len(y)) and x[lo] == y[lo]:
+    n, m = len(a), len(b)
+    lo, least = 0, min(n, m)
+    while lo < least and a[lo] == b[lo]:
         lo += 1
     end = 0
-    while end < min(len(x), len(y)) - lo and x[-1 - end] == y[-1 - end]:
+    while end < least - lo and a[-1 - end] == b[-1 - end]:
         end += 1
-    # what one side alone has can match nothing, and is left out of the search
-    i, j = np.arange(lo, len(x) - end), np.arange(lo, len(y) - end)
-    i, j = i[np.isin(x[i], y[j])], j[np.isin(y[j], x[i])]
-    p, q = common_subsequence(x[i], y[j])
-    tail = np.arange(end)
-    p = np.concatenate([np.arange(lo), i[p], len(x) - end + tail, [len(x)]])
-    q = np.concatenate([np.arange(lo), j[q], len(y) - end + tail, [len(y)]])
-    out, at, to, k = [], 0, 0, 0
-    while k < len(p):
-        u, v = int(p[k]), int(q[k])
+    i, j = _once_each(a, b, lo, n - end, m - end) or _numbered(a, b, lo, n - end, m - end)
+    if not len(i) and not lo and not end:
+        return [("rep" if n and m else "del" if n else "ins", 0, n, 0, m)] if n or m else []
+    p, q = [*range(lo), *i, *range(n - end, n + 1)], [*range(lo), *j, *range(m - end, m + 1)]
+    # runs of pairs that follow each other on both sides, the end of both sides last
+    if len(p) < 512:
+        heads = [0] + [k for k in range(1, len(p)) if p[k] != p[k - 1] + 1 or q[k] != q[k - 1] + 1]
+    else:
+        heads = [0, *(np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1).tolist()]
+    lasts = [k - 1 for k in heads[1:]] + [len(p) - 1]
+    out, at, to = [], 0, 0
+    for first, last in zip(heads, lasts, strict=True):
+        u, v, x, y = p[first], q[first], p[last], q[last]
         if u > at or v > to:
             out.append(("rep" if u > at and v > to else "del" if u > at else "ins", at, u, to, v))
-        run = k
-        while run + 1 < len(p) and p[run + 1] == p[run] + 1 and q[run + 1] == q[run] + 1:
-            run += 1
-        at, to = min(int(p[run]) + 1, len(x)), min(int(q[run]) + 1, len(y))
+        at, to = min(x + 1, n), min(y + 1, m)
         if at > u and to > v:
             out.append(("eq", u, at, v, to))
-        k = run + 1
     return out
 
 
+def _once_each(a: list[str], b: list[str], lo: int, a_end: int, b_end: int) -> tuple[list[int], list[int]] | None:
+    """Pairs of a longest common subsequence where no common text repeats: the longest increasing row of positions."""
+    where = {t: k for k, t in enumerate(b[lo:b_end], lo)}
+    if len(where) < b_end - lo:
+        return None
+    i = [k for k, t in enumerate(a[lo:a_end], lo) if t in where]
+    j = [where[a[k]] for k in i]
+    if all(map(lt, j, j[1:])):
+        return i, j
+    if len(set(j)) < len(j):
+        return None
+    tops: list[int] = []  # the least last position of increasing rows, by their length
+    ends: list[int] = []
+    before = [-1] * len(j)
+    for k, spot in enumerate(j):
+        n = bisect_left(tops, spot)
+        before[k] = ends[n - 1] if n else -1
+        if n == len(tops):
+            tops.append(spot)
+            ends.append(k)
+        else:
+            tops[n], ends[n] = spot, k
+    row, k = [], ends[-1]
+    while k >= 0:
+        row.append(k)
+        k = before[k]
+    row.reverse()
+    return [i[k] for k in row], [j[k] for k in row]
+
+
+def _numbered(a: list[str], b: list[str], lo: int, a_end: int, b_end: int) -> tuple[list[int], list[int]]:
+    """Pairs of a longest common subsequence of texts that may repeat."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (a[lo:a_end], b[lo:b_end]))
+    # what one side alone has can match nothing, and is left out of the search
+    i, j = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
+    p, q = common_subsequence(x[i], y[j])
+    return (lo + i[p]).tolist(), (lo + j[q]).tolist()
+
+
 def word_script(old: str, new: str) -> tuple[list[tuple[str, str]], bool]:
     """(eq | del | ins, text) and whether it is too long for a script: tokens compared without regard to case, texts as they are.
 

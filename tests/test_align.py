@@ -48,7 +48,7 @@ def test_many_edits_are_aligned_exactly():
 def test_huge_pages_are_aligned_and_flagged(monkeypatch):
     monkeypatch.setattr(align, "MAX_BLOCKS", 4)
     got = align.block_script(["a", "b", "c one", "d", "e"], ["a", "b", "c two", "d", "e"])
-    assert [r[0] for r in got] == ["eq", "rep", "eq"] and got[1][8:] == (1, 1, True)
+    assert [r[0] for r in got] == ["eq", "rep", "eq"] and got[1][8:] == (2, 2, True)
 
 
 def test_marks(spark):
