@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronodiff.functions.text import parse_number
+from chronodiff.session import written
 
 RULE_ROWS = "rule string, term string, kind string, negated boolean, page boolean, scope string, near int, op string, value double, gates boolean"
 #: Terms of one automaton, which the driver collects and every task gets; more are searched slice by slice.
@@ -191,7 +192,7 @@ def fired(changes: DataFrame, rules: DataFrame, keys: list[str], block: list[str
     place = [*keys, *block]
     on_change = uses.where(~F.col("page"))
     spans = changes.select(*place, F.explode("spans").alias("x")).select(*place, "x.s", "x.e")
-    hits = overlapping(term_matches(changes, rules.where(~F.col("page")), place), spans, place)
+    hits = written(overlapping(term_matches(changes, rules.where(~F.col("page")), place), spans, place), "hits")
 
     need = uses.where(~F.col("negated") & ~F.col("page")).groupBy("rule").agg(F.countDistinct("term_id").alias("need"), F.first("scope").alias("scope"), F.first("near").alias("near"))
     # a term that several rules have is one row in hits, and one a rule from here on
