@@ -100,10 +100,7 @@ def document_frequencies(rows: DataFrame, text_col: str) -> tuple[np.ndarray, in
         for batch in batches:
             for _, _, buf, off in chunks(batch.column(0), PART):
                 bucket, before, _ = _grams(_texts(buf, off))
-                for a, b in zip(before[:-1], before[1:], strict=True):
-                    seen = np.zeros(DIMS, bool)
-                    seen[bucket[a:b]] = True
-                    counts += seen
+                counts += np.bincount(ftrl.unique_buckets(before, bucket, DIMS)[1], minlength=DIMS)
                 rows += len(off) - 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], rows))], ["bucket", "n"])
@@ -165,8 +162,8 @@ def _take(indptr: np.ndarray, idx: np.ndarray, val: np.ndarray, rows: np.ndarray
 
 
 def _logits(indptr: np.ndarray, idx: np.ndarray, val: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(w[idx] * val[:, None], axis=0)])
-    return total[indptr[1:]] - total[indptr[:-1]] + b
+    """A column a language, one after the other, so that memory is that of one."""
+    return np.stack([segment_sum(w[idx, k] * val, indptr) for k in range(w.shape[1])], axis=1) + b
 
 
 def _calibrate(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
