@@ -168,7 +168,7 @@ def test_two_regions(spark):
     spark.sparkContext.setCheckpointDir(shared_folder(spark))
     cells = [(1, x, y, (x, y) in {(1, 1), (2, 2), (9, 9)}) for x in range(12) for y in range(12)]
     got = raster.raster_regions(spark.createDataFrame(cells, "shot int, x int, y int, differs boolean")).collect()
-    assert sorted((r["x0"], r["y0"], r["x1"], r["y1"]) for r in got) == [(0, 0, 3, 3), (8, 8, 10, 10)]
+    assert sorted((r["x0"], r["y0"], r["x1"], r["y1"]) for r in got) == [(1, 1, 2, 2), (9, 9, 9, 9)]
 
 
 @pytest.mark.parametrize(("old", "new", "config", "verdict"), [
