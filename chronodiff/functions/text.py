@@ -149,6 +149,32 @@ def fmt_interval(col: Column) -> Column:
     return out
 
 
+#: Directives of a date format and the letters that say the same to Spark (fixed values).
+DIRECTIVES = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "j": "DDD", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "p": "a", "z": "xx"}
+
+
+def date_pattern(fmt: str) -> str:
+    """A date format with ``%`` directives as Spark's pattern; unknown directives and an empty format are refused."""
+    if not fmt:
+        raise ValueError("a date needs a format, for example %Y-%m-%d")
+    out, plain = "", ""
+    for literal, directive in [*re.findall(r"([^%]+)|%(.?)", fmt), ("", None)]:
+        if literal or directive == "%":
+            plain += literal or "%"
+            continue
+        if directive is not None and directive not in DIRECTIVES:
+            raise ValueError(f"bad date format {fmt!r}: %{directive}")
+        out += "'" + plain.replace("'", "''") + "'" if plain else ""
+        out, plain = out + DIRECTIVES.get(directive, ""), ""
+    return out
+
+
+def format_date(col: Column, fmt: str, zone: str | None = None) -> Column:
+    """A time as text in a format with ``%`` directives; ``zone`` gives the wall time there."""
+    local = F.from_utc_timestamp(col, zone) if zone else col
+    return F.date_format(local, date_pattern(fmt))
+
+
 #: A name whose last part is so holds something secret; the value follows ``=`` or ``:``, quoted or up to a blank or comma.
 SECRET_NAME = r"(?:[a-z0-9]+[_-])*(?:pass(?:word|phrase|wd)?|secret|token|credentials?|api[_-]?key|private[_-]?key|session[_-]?id)"
 #: (pattern, what stays): header lines first, then schemes in running text, then named values.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from chronodiff.operators import blocks as B
 from chronodiff.operators import dom
 from chronodiff.plans.registry import query
 from chronodiff.plans.sql import norm
-from chronodiff.session import table
+from chronodiff.session import shared_folder, table
 from chronodiff.sources import json_paths as J
 from chronodiff.sources import records as R
+from chronodiff.sources import sinks
 
 
 #: Characters that the test pages name; ``&amp;`` is last, so that nothing is decoded twice there.
@@ -414,3 +416,37 @@ def c13_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.lower(T.normalize_text(T.mask_numbers(F.col("text")))), 256).alias("digest"))
 
 
+
+
+DATE_FORMATS = ("%Y-%m-%d", "%d %b %y, %H:%M:%S", "it's %A, %B %d", "100%% %j %I %p")
+
+
+@query("n2_date_formats", "SELECT o_orderkey, " + ", ".join("strftime(o_orderdate, '{}') AS d{}".format(f.replace("'", "''"), k) for k, f in enumerate(DATE_FORMATS)) + " FROM orders")
+def n2_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[T.format_date(F.col("o_orderdate"), f).alias(f"d{k}") for k, f in enumerate(DATE_FORMATS)])
+
+
+@query("a3_csv_records", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def a3_csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as a CSV table and read back as keyed records."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "customer").write.csv(path, header=True)
+    return R.read_records_csv(spark, path, "c_custkey").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment")
+
+
+@query("a9_change_sink", "SELECT event_id, event_type, CAST(event_id % 3 AS INTEGER) AS batch FROM events")
+def a9_change_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes, written in three batches by kind, one of which comes twice."""
+    path = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    for batch in (0, 1, 2, 1):
+        sinks.write_batch(table(spark, sf_dir, "events").where(F.col("event_id") % 3 == batch).select("event_id", "event_type"), path, batch, ("event_type",))
+    return sinks.read_batches(spark, path).select("event_id", "event_type", "batch")
+
+
+@query("a10_report_csv", "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE c_custkey % 3 WHEN 0 THEN '''=' || c_name WHEN 1 THEN '''-' || c_name ELSE c_name END AS name FROM customer")
+def a10_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report as CSV: names that a spreadsheet would compute stand behind an apostrophe."""
+    path, key = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}", F.col("c_custkey")
+    sign = F.when(key % 3 == 0, "=").when(key % 3 == 1, "-").otherwise("")
+    R.write_report(table(spark, sf_dir, "customer").select(key.alias("id"), F.concat(sign, "c_name").alias("name")), path)
+    return spark.read.csv(path, header=True)

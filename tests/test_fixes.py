@@ -107,3 +107,14 @@ def test_reading_a_page_moves_its_pointers(spark):
     pages = spark.createDataFrame([(1, "changed", True, 3, 9, 5, 7), (2, "error", False, 2, None, None, None), (3, "error", False, 1, 4, 4, 4), (4, "changed", True, 1, 8, 2, 2), (5, "needs_login", False, 0, 6, 6, 1)], "id int, status string, unread boolean, errors int, latest int, baseline int, anchor int")
     got = {r["id"]: tuple(r)[1:] for r in history.mark_pages_read(pages, spark.createDataFrame([(1,), (2,), (3,), (5,), (5,)], "page int")).collect()}
     assert got == {1: ("ok", False, 0, 9, 9, 9, True), 2: ("new", False, 0, None, None, None, False), 3: ("ok", False, 0, 4, 4, 4, False), 4: ("changed", True, 1, 8, 2, 2, False), 5: ("needs_login", False, 0, 6, 6, 6, False)}
+
+
+@pytest.mark.parametrize(("fmt", "shown"), [("%Y-%m-%d", "2024-03-05"), ("it's %H:%M:%S.%f", "it's 07:08:09.123456"), ("%%%y%%", "%24%"), ("%A %B %j %I %p", "Tuesday March 065 07 AM")])
+def test_date_formats(spark, fmt, shown):
+    assert spark.sql("SELECT timestamp'2024-03-05 07:08:09.123456' AS t").select(T.format_date(F.col("t"), fmt).alias("v")).first()["v"] == shown
+
+
+@pytest.mark.parametrize("fmt", ["", "%", "%q"])
+def test_bad_date_formats(fmt):
+    with pytest.raises(ValueError, match="format"):
+        T.date_pattern(fmt)
