@@ -221,8 +221,9 @@ def encode(docs: DataFrame, vocab_file: str, id_col: str = "doc_id", text_col: s
     tokens written in a text get their own ids, as the tokenizers library does.
     No shuffle; a task holds the words of ``PARTITION_BYTES`` of text, or of
     one longer text. Defined cases: null counts as the empty text, which has no
-    ids; rows that repeat are encoded each; an empty table stays empty; other
-    columns are not read.
+    ids; rows that repeat are encoded each, equal texts alike; of pairs of equal
+    rank the left one is merged first; an empty table stays empty; other
+    columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))

@@ -105,8 +105,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``id_col`` and ``score`` (0 to 1) of every whole text; no shuffle.
 
     Defined cases: null counts as the empty text, which gets the score of the
-    bias alone; repeated rows are scored each, and equal texts alike; other
-    columns are not read; a very long text is scored whole, with some 150 bytes
+    bias alone; repeated rows are scored each, and equal texts alike, so that
+    ties stay ties; other columns, whatever their names, are not read; a very long text is scored whole, with some 150 bytes
     of memory a byte of it in its task; an empty table stays empty.
     """
     small_batches(docs.sparkSession)

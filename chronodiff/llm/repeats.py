@@ -630,8 +630,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Defined cases: null is the empty text; texts of fewer than 50 bytes stay;
     rows without id stay whole and count as no document; rows that share an id
-    are one document and do not repeat each other; an empty table stays empty;
-    other columns are not read.
+    are one document and do not repeat each other; of equal documents the
+    smallest id keeps its bytes; a very long text is windowed whole, in the task
+    that has its row; an empty table stays empty; other columns, whatever their
+    names, are not read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
