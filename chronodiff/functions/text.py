@@ -41,25 +41,35 @@ def _entities() -> Column:
     return F.map_from_arrays(names, chars)
 
 
+#: Names that most references have (fixed values).
+COMMON_NAMES = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("copy", "©"), ("middot", "·"))
+
+
 def decode_entities(col: Column) -> Column:
     """Character references, named or numeric, as the characters they stand for, once; unknown ones stay as they are.
 
     Only texts with an ampersand are taken apart.
     """
     names = _entities()
-    parts = F.split(col, "&", -1)
-
     def decoded(part: Column) -> Column:
         ref = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
         rest = F.substring(part, F.char_length(ref) + 2, F.lit(1 << 30))
         number = F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).try_cast("int")
         sound = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        value = F.when(ref.startswith("#"), F.when(sound, char)).when(ref != "", F.try_element_at(names, ref))
+        value = F.when(ref.startswith("#"), F.when(sound, char))
+        for name, common in COMMON_NAMES:  # a map is searched from its start
+            value = value.when(ref == name, common)
+        value = value.when(ref != "", F.try_element_at(names, ref))
         return F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), part))
 
-    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
-    return F.when(F.contains(col, F.lit("&")), whole).otherwise(col)
+    def whole(text: Column) -> Column:
+        parts = F.split(text, "&", -1)
+        joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+        return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+    # bound to a name, so that whatever makes the text is computed once
+    return F.get(F.transform(F.array(col), whole), F.lit(0))
 
 
 def count_words(col: Column) -> Column:

@@ -25,7 +25,6 @@ STEPS: tuple[tuple[str, str], ...] = (
     *((rf"(?is)<{t}(\s[^>]*)?>.*?</{t}\s*>", "") for t in HIDDEN),
     (r"(?i)</t[dh]\s*>\s*<t[dh](\s[^>]*)?>", " | "),
     (rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>", "\x01"),
-    (r"<[A-Za-z/](?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*')*>", ""),
     (r"<[A-Za-z/!?][^>]*>", ""),
 )
 
