@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -166,7 +167,7 @@ def stream_metrics(stream: DataFrame, at: str, name: str, value: str, width: str
 
 
 class _Notices(StatefulProcessor):
-    """Per owner: alerts that wait for their notice. A notice's time runs from its first alert."""
+    """Per owner: alerts that wait for their notice. A notice's time runs from its first alert; only the first of those that wait has a timer."""
 
     def __init__(self, width_us: int):
         self.width = width_us
@@ -178,23 +179,27 @@ class _Notices(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         for frame in rows:
             new = list(zip(frame["us"].astype("int64").tolist(), frame["page"].tolist(), strict=True))
-            self.waiting.appendList(new)
-            for at in {at for at, _ in new}:
-                self.handle.registerTimer(-(-(at + self.width) // 1000))
+            if new:
+                self.waiting.appendList(new)
+                first = min(at for at, _ in new)
+                self.handle.registerTimer(-(-(first + self.width) // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        """No alert before this time can come any more, so windows that end by it are whole."""
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        """No alert before the watermark can come any more, so windows that end by it are whole; what is left gets the next timer."""
+        end = timerValues.getCurrentWatermarkInMs() * 1000
         waiting, out = sorted((int(at), page) for at, page in self.waiting.get()), []
-        while waiting and waiting[0][0] + self.width <= end:
-            first = waiting[0][0]
-            inside = [page for at, page in waiting if at < first + self.width]
-            waiting = waiting[len(inside) :]
+        done = 0
+        while done < len(waiting) and waiting[done][0] + self.width <= end:
+            first = waiting[done][0]
+            past = bisect.bisect_left(waiting, first + self.width, lo=done, key=lambda w: w[0])
+            inside = [page for _, page in waiting[done:past]]
             out.append((key[0], first, len(inside), _notice(inside)))
-        if out:
-            if waiting:
-                self.waiting.put(waiting)
+            done = past
+        if done:
+            if done < len(waiting):
+                self.waiting.put(waiting[done:])
+                self.handle.registerTimer(-(-(waiting[done][0] + self.width) // 1000))
             else:
                 self.waiting.clear()
         yield pd.DataFrame(out, columns=["owner", "us", "n", "notice"])
