@@ -229,13 +229,14 @@ class _Quiet(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         for frame in rows:
             times = sorted(set(frame["us"].astype("int64").tolist()))
-            self.waiting.appendList([(at,) for at in times])
-            for at in times:
-                self.handle.registerTimer(-(-(at + self.quiet) // 1000))
+            if times:
+                self.waiting.appendList([(at,) for at in times])
+                self.handle.registerTimer(-(-(times[0] + self.quiet) // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        """Changes up to the watermark are final; the next timer is for the latest of them, or else for the first that waits."""
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(int(r[0]) for r in self.waiting.get())
         last, told = self.last.get() if self.last.exists() else (None, True)
         out = []
@@ -250,10 +251,15 @@ class _Quiet(StatefulProcessor):
         if last is not None:
             self.last.update((last, told))
         later = [(at,) for at in waiting if at > now]
-        if later:
-            self.waiting.put(later)
-        elif waiting:
-            self.waiting.clear()
+        if len(later) < len(waiting):
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        if not told:
+            self.handle.registerTimer(-(-(last + self.quiet) // 1000))
+        elif later:
+            self.handle.registerTimer(-(-(later[0][0] + self.quiet) // 1000))
         yield pd.DataFrame(out, columns=["page", "us"])
 
     def close(self) -> None:

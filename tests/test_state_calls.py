@@ -82,3 +82,16 @@ def test_waiting_alerts_have_one_timer():
     out = pd.concat(p.handleExpiredTimer(("me",), Now(30 * 3_600_000), Now(3_600_000)))
     assert out["n"].tolist() == [2] * 30 and handle.reads == 1  # all windows that the watermark has passed, at one reading
     assert handle.timers[1:] == [31 * 3_600_000]
+
+
+def test_a_quiet_page_has_one_timer():
+    p, handle = started(S._Quiet(HOUR))
+    times = [k * HOUR // 2 for k in range(100)] + [90 * HOUR]
+    list(p.handleInputRows(("p",), iter([pd.DataFrame({"us": times})]), None))
+    assert handle.timers == [3_600_000]
+    out = pd.concat(p.handleExpiredTimer(("p",), Now(20 * 3_600_000), Now(3_600_000)))
+    assert out.empty and handle.timers[1:] == [21 * 3_600_000]  # the last final change was at 20
+    out = pd.concat(p.handleExpiredTimer(("p",), Now(60 * 3_600_000), Now(21 * 3_600_000)))
+    assert out["us"].tolist() == [99 * HOUR // 2] and handle.timers[2:] == [91 * 3_600_000]
+    out = pd.concat(p.handleExpiredTimer(("p",), Now(91 * 3_600_000), Now(91 * 3_600_000)))
+    assert out["us"].tolist() == [90 * HOUR] and len(handle.timers) == 3
