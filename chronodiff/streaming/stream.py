@@ -107,19 +107,26 @@ class _Records(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         out = []
-        for snap, frame in pd.concat(list(rows)).groupby("snap", sort=True):
-            now = dict(zip(frame["rid"].astype(str), frame["row"], strict=True))
-            before = {k[0]: v[0] for k, v in self.rows.iterator()}
-            if self.begun.exists():
+        snaps: dict[int, dict[str, str]] = {}
+        for frame in rows:
+            for snap, i, row in zip(frame["snap"].tolist(), frame["rid"].astype(str).tolist(), frame["row"].tolist(), strict=True):
+                snaps.setdefault(snap, {})[i] = row
+        kept = before = {k[0]: v[0] for k, v in self.rows.iterator()}  # read once a batch, and written once
+        begun = self.begun.exists()
+        for snap in sorted(snaps):
+            now = snaps[snap]
+            if begun:
                 out += [(key[0], snap, i, "new") for i in now if i not in before]
                 out += [(key[0], snap, i, "changed") for i, row in now.items() if i in before and before[i] != row]
                 out += [(key[0], snap, i, "removed") for i in before if i not in now]
-            for i in before.keys() - now.keys():
-                self.rows.removeKey((i,))
-            for i, row in now.items():
-                if before.get(i) != row:
-                    self.rows.updateValue((i,), (row,))
-            self.begun.update((int(snap),))
+            before, begun = now, True
+        for i in kept.keys() - before.keys():
+            self.rows.removeKey((i,))
+        for i, row in before.items():
+            if i not in kept or kept[i] != row:
+                self.rows.updateValue((i,), (row,))
+        if snaps:
+            self.begun.update((int(max(snaps)),))
         yield pd.DataFrame(out, columns=["source", "snap", "rid", "event"])
 
     def close(self) -> None:

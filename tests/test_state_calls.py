@@ -95,3 +95,14 @@ def test_a_quiet_page_has_one_timer():
     assert out["us"].tolist() == [99 * HOUR // 2] and handle.timers[2:] == [91 * 3_600_000]
     out = pd.concat(p.handleExpiredTimer(("p",), Now(91 * 3_600_000), Now(91 * 3_600_000)))
     assert out["us"].tolist() == [90 * HOUR] and len(handle.timers) == 3
+
+
+def test_snapshots_read_and_write_their_state_once_a_batch():
+    p, handle = started(S._Records())
+    p.rows, p.begun = State(handle), State(handle)
+    rows = [(snap, rid, str(snap)) for snap in range(50) for rid in "ab"] + [(50, "b", "49"), (50, "c", "x")]
+    out = pd.concat(p.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["snap", "rid", "row"])]), None))
+    assert out["event"].value_counts().to_dict() == {"changed": 98, "new": 1, "removed": 1}
+    assert handle.reads == 1 and handle.writes == 3 and p.rows.map == {("b",): ("49",), ("c",): ("x",)} and p.begun.value == (50,)
+    out = pd.concat(p.handleInputRows((7,), iter([pd.DataFrame([(51, "b", "49")], columns=["snap", "rid", "row"])]), None))
+    assert out.values.tolist() == [[7, 51, "c", "removed"]] and p.rows.map == {("b",): ("49",)}
