@@ -321,16 +321,16 @@ class _HookState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         state = {k[0]: v[0] for k, v in self.values.iterator()}
-        out = []
+        kept, wrote, out = set(state), set(), []
         for at, outcome in sorted((pair for frame in rows for pair in zip(frame["at"], frame["outcome"], strict=True)), key=lambda p: p[0]):
             before = dict(state)
             told = self.hook(state, at, outcome)
             out.append((key[0], at, outcome, told))
-            for name in before.keys() - state.keys():
-                self.values.removeKey((name,))
-            for name, value in state.items():
-                if before.get(name) != value:
-                    self.values.updateValue((name,), (str(value),))
+            wrote.update(name for name, value in state.items() if name not in before or before[name] != value)
+        for name in kept - state.keys():
+            self.values.removeKey((name,))
+        for name in wrote & state.keys():  # once a batch, with the last of its values
+            self.values.updateValue((name,), (str(state[name]),))
         yield pd.DataFrame(out, columns=["page", "at", "outcome", "told"])
 
     def close(self) -> None:

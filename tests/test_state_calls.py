@@ -106,3 +106,20 @@ def test_snapshots_read_and_write_their_state_once_a_batch():
     assert handle.reads == 1 and handle.writes == 3 and p.rows.map == {("b",): ("49",), ("c",): ("x",)} and p.begun.value == (50,)
     out = pd.concat(p.handleInputRows((7,), iter([pd.DataFrame([(51, "b", "49")], columns=["snap", "rid", "row"])]), None))
     assert out.values.tolist() == [[7, 51, "c", "removed"]] and p.rows.map == {("b",): ("49",)}
+
+
+def test_a_hook_writes_its_memory_once_a_batch():
+    def hook(state, at, outcome):
+        state["n"] = int(state.get("n", "0")) + 1
+        if at == 3:
+            state["gone"] = "x"
+        if at == 90:
+            del state["gone"], state["old"]
+        return str(state["n"])
+
+    p, handle = started(S._HookState(hook, None))
+    p.values = State(handle)
+    p.values.map[("old",)] = ("1",)
+    out = pd.concat(p.handleInputRows(("p",), iter([pd.DataFrame({"at": range(100), "outcome": "x"})]), None))
+    assert out["told"].tolist() == [str(k + 1) for k in range(100)]
+    assert p.values.map == {("n",): ("100",)} and (handle.reads, handle.writes) == (1, 2)
