@@ -224,7 +224,7 @@ def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of 32 x 16 cells, each of eight embeddings, with cells changed here and there."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
     x, y = (F.col("vec_id") % 4) * 8 + F.col("i") % 8, F.floor((F.col("vec_id") % 8) / 4) * 8 + F.floor(F.col("i") / 8)
-    return rows.select(F.floor(F.col("vec_id") / 8).alias("shot"), x.alias("x"), y.alias("y"), (F.pmod(F.floor(F.col("v") * 10_000), F.lit(31)) == 0).alias("differs"))
+    return rows.select(F.floor(F.col("vec_id") / 8).alias("shot"), x.alias("x"), y.alias("y"), (F.pmod(F.floor(F.col("v") * F.lit(10_000).cast("float")), F.lit(31)) == 0).alias("differs"))
 
 
 @query("c21_raster_regions", """WITH RECURSIVE p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v FROM embeddings),
