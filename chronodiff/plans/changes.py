@@ -137,14 +137,14 @@ def d1_bad_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {TURN_DELTA},
 st AS (SELECT p.conv_id, p.turn, coalesce(sum({words("d.text")} * n_ins), 0) AS aw, coalesce(sum(n_ins), 0) AS i, coalesce(sum(n_del), 0) AS x
        FROM pairs p LEFT JOIN delta d USING (conv_id, turn) GROUP BY ALL)
-SELECT conv_id, turn, CASE WHEN i = 0 AND x = 0 THEN 'reorder_only' WHEN i = 0 THEN 'removed_only' END AS reason FROM st""",
+SELECT conv_id, turn, CASE WHEN i = 0 AND x = 0 THEN 'reorder_only' WHEN i = 0 THEN 'removed_only' WHEN aw < 50 THEN 'below_threshold' END AS reason FROM st""",
 )
 def d2_d5_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reorder-only and removed-only changes; thresholds are on aligned words (``d5_word_threshold``)."""
+    """Reorder-only, removed-only and the threshold on words of added blocks; that on aligned words is ``d5_word_threshold``."""
     old, new = turn_pairs(spark, sf_dir)
     stats = delta.delta_stats(delta.block_delta(old, new, ["conv_id", "turn"]), ["conv_id", "turn"])
     pairs = turn_versions(spark, sf_dir).where("outcome = 'stored'").select("conv_id", "turn")
-    return delta.gate_changes(pairs.join(stats, ["conv_id", "turn"], "left").na.fill(0), 0, ignore_removed=True).select("conv_id", "turn", "reason")
+    return delta.gate_changes(pairs.join(stats, ["conv_id", "turn"], "left").na.fill(0), 50, ignore_removed=True).select("conv_id", "turn", "reason")
 
 
 @query(
