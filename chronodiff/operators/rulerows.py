@@ -23,6 +23,8 @@ from chronodiff.session import written
 RULE_ROWS = "rule string, term string, kind string, negated boolean, page boolean, scope string, near int, op string, value double, gates boolean"
 #: Terms of one automaton, which the driver collects and every task gets; more are searched slice by slice.
 SLICE = 100_000
+#: Matches that are given on at once, with those of one more text.
+GIVEN = 20_000
 #: Characters of a bucket when matches meet changed spans.
 BUCKET = 256
 
@@ -81,18 +83,26 @@ def _finder(sent, width: int, names: list[str]):
             automaton.add_word(text, uses)
         if automaton is not None:
             automaton.make_automaton()
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+        def given(batch: pa.RecordBatch, rows: list[int], out: list[tuple]) -> pa.RecordBatch:
+            kept = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:width]]
+            return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names)
+
         for batch in batches:
             rows, out = [], []
-            for k, text in enumerate(batch.column(width).to_pylist()):
+            for k, text in enumerate(batch.column(width)):
+                text = text.as_py()
                 found = _found(text, automaton, patterns) if text else []
                 if found:
                     starts = [m.start() for m in re.finditer(r"\S+", text)]
                     rows += [k] * len(found)
                     out += [(name, s, e, bisect_right(starts, s), g) for name, s, e, g in found]
-            kept = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:width]]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
+                if len(out) >= GIVEN:
+                    yield given(batch, rows, out)
+                    rows, out = [], []
+            if out:
+                yield given(batch, rows, out)
 
     return work
 
