@@ -19,12 +19,16 @@ from chronodiff.llm.textnum import ALNUM, LOWER, chunks, hash_spans, mix, segmen
 MIN_COUNT = 50
 #: Words on either side that a token is predicted from.
 SIDE = 2
-#: Windows to fit on: SAMPLE * tokens ** (2 / 3), and LEAST at least (fewer tokens are taken whole).
+#: Windows that the driver starts from: SAMPLE * tokens ** (2 / 3), and LEAST at least (fewer tokens are taken whole).
 SAMPLE, LEAST = 6, 200_000
+#: Tokens of a part of the pass over all windows.
+PART = 2_000_000
 #: Names of the neighbours, from the farthest left to the farthest right.
 NEIGHBOURS = [f"l{k}" for k in range(SIDE, 0, -1)] + [f"r{k}" for k in range(1, SIDE + 1)]
 #: Width of the hidden layer, windows of a step, windows that a fit sees at least (in two passes or more), its rate.
 HIDDEN, STEP, SEEN, RATE = 16, 8192, 600_000, 0.1
+#: Columns of a row's change; the last is a node's bias.
+MOVED = [f"x{k}" for k in range(HIDDEN + 1)]
 #: Tokens scored at once.
 SLICE = 4096
 
@@ -142,7 +146,8 @@ class Model:
             own, node, side, before = self.tree.paths(token[part] - 1)
             hidden = _hidden(self.par, around[part])
             logit = np.einsum("ij,ij->i", self.par["U"][node], hidden[own]) + self.par["b"][node]
-            out[part] = segment_sum(-np.logaddexp(0, -side * logit), before)
+            z = side * logit
+            out[part] = segment_sum(np.minimum(z, 0) - np.log(1 + np.exp(-np.abs(z))), before)
         return out
 
     def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,19 +213,41 @@ def fit_spelling(pairs: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum(axis=1, keepdims=True))
 
 
+def _sorted(rows: np.ndarray, size: int) -> np.ndarray:
+    """The order of rows of a table of this size; short numbers sort in linear time."""
+    return np.argsort(rows.astype(np.uint16) if size <= 1 << 16 else rows, kind="stable")
+
+
 def _step(x: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-    """An Adagrad step on the rows that have gradients; equal rows are summed first."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
+    """An Adagrad step on the rows, sorted, that have gradients; equal rows are summed first."""
     head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    g, rows = np.add.reduceat(grad[order], head, axis=0), rows[head]
-    seen[rows] += (g * g).mean(axis=1) if g.ndim > 1 else g * g
+    g, rows = np.add.reduceat(grad, head, axis=0), rows[head]
+    seen[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim > 1 else g * g
     root = np.sqrt(seen[rows]) + 1e-8
     x[rows] -= RATE * g / (root[:, None] if g.ndim > 1 else root)
 
 
-def fit_network(tree: Tree, ids: int, around: np.ndarray, token: np.ndarray, n: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
-    """A network fitted to windows that occur ``n`` times each.
+def _fit_windows(par: dict[str, np.ndarray], seen: dict[str, np.ndarray], tree: Tree, around: np.ndarray, token: np.ndarray, n: np.ndarray) -> None:
+    """One step on windows that occur ``n`` times each; changes ``par`` and ``seen`` (its sums of squared gradients)."""
+    own, node, side, before = tree.paths(token - 1)
+    hidden = _hidden(par, around)
+    u = par["U"][node]
+    logit = np.einsum("ij,ij->i", u, hidden[own]) + par["b"][node]
+    g = (-side * n[own] / (1 + np.exp(np.clip(side * logit, -60, 60)))).astype(np.float32)
+    u *= g[:, None]
+    back = np.add.reduceat(u, before[:-1], axis=0) * (1 - hidden * hidden)
+    order = _sorted(node, len(par["U"]))
+    node, g, own = node[order], g[order], own[order]
+    _step(par["U"], seen["U"], node, g[:, None] * hidden[own])
+    _step(par["b"], seen["b"], node, g)
+    for k, name in enumerate(NEIGHBOURS):
+        order = _sorted(around[:, k], len(par[name]))
+        _step(par[name], seen[name], around[order, k], back[order])
+    _step(par["c"][None], seen["c"], np.zeros(1, np.int64), back.sum(axis=0)[None])
+
+
+def fit_network(tree: Tree, ids: int, around: np.ndarray, token: np.ndarray, n: np.ndarray, seed: int = 3) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """A network fitted to windows that occur ``n`` times each, and its sums of squared gradients.
 
     hidden = tanh(sum of an embedding of each neighbour, one table a place, + c); each node on a token's path decides
     its side by sigmoid(U[node] hidden + b[node]). Biases start from the counts
@@ -233,23 +260,70 @@ def fit_network(tree: Tree, ids: int, around: np.ndarray, token: np.ndarray, n:
     par = {k: x.astype(np.float32) for k, x in par.items()}
     seen = {k: np.full(len(par[k]) if k != "c" else 1, 1e-2, np.float32) for k in par}
     if not nodes or not len(n):
-        return par
+        return par, seen
     for _ in range(max(2, -(-SEEN // len(n)))):
         order = rng.permutation(len(n))
         for lo in range(0, len(n), STEP):
             at = order[lo : lo + STEP]
-            own, node, side, before = tree.paths(token[at] - 1)
-            hidden = _hidden(par, around[at])
-            h, u = hidden[own], par["U"][node]
-            logit = np.einsum("ij,ij->i", u, h) + par["b"][node]
-            g = (-side * n[at][own] / (1 + np.exp(np.clip(side * logit, -60, 60)))).astype(np.float32)
-            back = np.add.reduceat(g[:, None] * u, before[:-1], axis=0) * (1 - hidden * hidden)
-            _step(par["U"], seen["U"], node, g[:, None] * h)
-            _step(par["b"], seen["b"], node, g)
-            for k, name in enumerate(NEIGHBOURS):
-                _step(par[name], seen[name], around[at, k], back)
-            _step(par["c"][None], seen["c"], np.zeros(1, np.int64), back.sum(axis=0)[None])
-    return par
+            _fit_windows(par, seen, tree, around[at], token[at], n[at])
+    return par, seen
+
+
+def _moved(t: int, at: np.ndarray, w: np.ndarray, delta: np.ndarray) -> pa.RecordBatch:
+    """Rows ``at`` of table ``t``, their weights, and their changes times these."""
+    weighted = [pa.array(np.ascontiguousarray(x)) for x in (delta * w[:, None]).T]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at), pa.array(w), *weighted], ["t", "at", "w", *MOVED])
+
+
+def fit_all(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, par: dict[str, np.ndarray], seen: dict[str, np.ndarray], parts: int, text_col: str) -> dict[str, np.ndarray]:
+    """The network after a pass over every window of all texts.
+
+    Texts are dealt to ``parts`` and ordered by their hash, so files' layout does not
+    change the pass; equal texts are one with their number as weight. Each part goes
+    on from the same start, and each row of a table becomes the mean of what the
+    parts made of it, weighted by the windows that moved it there.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, tree, par, seen))
+    names = [*NEIGHBOURS, "U"]  # "U" with "b" as one column more, and "c" as a row of its own after them
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, tree, start, squares = shared.value
+        par, seen = ({k: x.copy() for k, x in d.items()} for d in (start, squares))
+        moved = {k: np.zeros(len(par[k])) for k in names}
+        total, rng = 0.0, np.random.default_rng(5)
+        for batch in batches:
+            for lo, hi, buf, off in chunks(batch.column(0)):
+                h, before = _words(buf, off)
+                around, token = vocabulary.windows(h, before)
+                n = np.repeat(batch.column(1).slice(lo, hi - lo).to_numpy(), np.diff(before)).astype(np.float32)
+                order = rng.permutation(len(token))
+                for at in np.array_split(order, -(-len(order) // STEP)) if len(order) else ():
+                    _fit_windows(par, seen, tree, around[at], token[at], n[at])
+                total += float(n.sum())
+                for k, name in enumerate(NEIGHBOURS):
+                    moved[name] += np.bincount(around[:, k], weights=n, minlength=len(moved[name]))
+                own, node, _, _ = tree.paths(np.arange(len(tree.begin) - 1))
+                moved["U"] += np.bincount(node, weights=np.bincount(token - 1, weights=n, minlength=len(tree.begin) - 1)[own], minlength=len(moved["U"]))
+        for t, name in enumerate(names):
+            at = np.flatnonzero(moved[name])
+            delta = par[name][at] - start[name][at]
+            last = par["b"][at] - start["b"][at] if name == "U" else np.zeros(len(at))
+            yield _moved(t, at, moved[name][at], np.column_stack([delta, last]))
+        if total:
+            yield _moved(len(names), np.zeros(1, np.int64), np.array([total]), np.append(par["c"] - start["c"], 0)[None])
+
+    text = F.col(f"`{text_col}`").alias("text")
+    dealt = docs.select(text).where(F.col("text").isNotNull()).repartition(parts, "text").groupBy("text").agg(F.count("*").alias("n"))
+    rows = dealt.sortWithinPartitions(F.xxhash64("text"), "text").select("text", "n")
+    got = rows.mapInArrow(work, "t int, at long, w double, " + ", ".join(f"{c} double" for c in MOVED))
+    mean = got.groupBy("t", "at").agg(*[(F.sum(c) / F.sum("w")).cast("float").alias(c) for c in MOVED]).toArrow()
+    out = {k: x.copy() for k, x in par.items()}
+    table, at, delta = mean["t"].to_numpy(), mean["at"].to_numpy(), np.stack([mean[c].to_numpy() for c in MOVED], axis=1)
+    for t, name in enumerate(names):
+        out[name][at[table == t]] += delta[table == t, :HIDDEN]
+    out["b"][at[table == len(names) - 1]] += delta[table == len(names) - 1, HIDDEN]
+    out["c"] += delta[table == len(names), :HIDDEN].sum(axis=0)
+    return out
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
@@ -261,8 +335,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     the spelling of all rare words of the corpus, so texts with words never
     seen have a probability too. (Spelling could also give a frequent word, so
     the probabilities of all words sum to a little less than 1.) The driver
-    gathers the vocabulary and a sample of the windows; both grow with the
-    input, more slowly than the input.
+    gathers the vocabulary and makes a start from a sample of the windows; both
+    grow with the input, more slowly than the input. If there are more windows,
+    a pass over all of them follows in tasks (``fit_all``).
     """
     small_batches(docs.sparkSession)
     counted = cut(word_counts(docs, text_col), "words")
@@ -279,7 +354,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     pairs[around[byte, 1], token[byte]] = n[byte]
     order = np.lexsort((token, *around.T))
     order = order[~byte[order]]
-    par = fit_network(tree, vocabulary.rare + 1, around[order], token[order].astype(np.int64), n[order].astype(np.float32))
+    par, seen = fit_network(tree, vocabulary.rare + 1, around[order], token[order].astype(np.int64), n[order].astype(np.float32))
+    if share < 1 and len(tree.bias):
+        par = fit_all(docs, vocabulary, tree, par, seen, -(-total // PART), text_col)
     return Model(vocabulary, tree, par, fit_spelling(pairs))
 
 
