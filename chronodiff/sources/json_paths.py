@@ -64,7 +64,47 @@ def _children(x: Column) -> Column:
 
 
 def _in_order(nodes: Column) -> Column:
-    return F.array_sort(nodes, lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
+    """Nodes by path; the paths are sorted with their places, in Spark's own order, which no function compares."""
+    places = F.array_sort(F.transform(nodes, lambda x, i: F.struct(x["path"].alias("path"), i.alias("i"))))
+    return F.transform(places, lambda p: F.get(nodes, p["i"]))
+
+
+def _direct(name: str | int) -> str | None:
+    """A step to a field or an element as a variant path says it; null if it cannot."""
+    if isinstance(name, int):
+        return f"[{name}]" if name >= 0 else None
+    quote = next((q for q in "'\"" if q not in name), None)
+    return f"[{quote}{name}{quote}]" if name and quote else None
+
+
+def _walk(rows: DataFrame, out: str, path: str, depth: int) -> DataFrame:
+    """``rows`` with ``out``: what the path selects in the variant ``node``, as an array of ``path`` and ``node``."""
+    kind_of = "array<struct<path:array<int>,node:variant>>"
+    there = lambda xs: F.filter(xs, lambda x: x["node"].isNotNull())
+    each = lambda xs, get: there(F.transform(xs, lambda x: F.struct(x["path"].alias("path"), get(x["node"]).alias("node"))))
+    rows = rows.withColumn(out, F.when(F.col("node").isNull(), F.array().cast(kind_of)).otherwise(F.array(F.struct(F.array().cast("array<int>").alias("path"), F.col("node").alias("node")))))
+    found, straight = F.col(out), ""
+    for kind, value in [*path_steps(path), ("end", None)]:
+        step = _direct(value) if kind in ("key", "index") else None
+        if step is not None:
+            straight += step
+            continue
+        if straight:  # fields and elements below each other are one look into the variant
+            found, straight = each(found, lambda n, at=straight: F.try_variant_get(n, "$" + at, "variant")), ""
+        if kind == "key":
+            found = each(found, lambda n, at=value: F.try_element_at(as_map(n), F.lit(at)))
+        elif kind == "index":
+            found = each(found, lambda n, at=value: F.try_element_at(as_list(n), F.lit(at)))
+        elif kind == "wildcard":
+            found = F.flatten(F.transform(found, _children))
+        elif kind == "descend":
+            kept = [c for c in rows.columns if c != out]
+            rows = rows.select(*kept, found.alias("level"), F.array().cast(kind_of).alias(out))
+            match = lambda x, at="$" + _direct(value): F.struct(F.concat(x["path"], F.array(F.lit(-1))).alias("path"), F.try_variant_get(x["node"], at, "variant").alias("node"))
+            for _ in range(depth + 1):  # the match of a node comes before those below it
+                rows = rows.select(*kept, F.concat(out, there(F.transform("level", lambda x: match(x)))).alias(out), F.flatten(F.transform("level", _children)).alias("level"))
+            found = _in_order(F.col(out))
+    return rows.select(*[c for c in rows.columns if c not in (out, "level")], found.alias(out))
 
 
 def selected(df: DataFrame, keys: list[str], json_col: str, path: str, max_depth: int | None = None) -> DataFrame:
@@ -76,33 +116,31 @@ def selected(df: DataFrame, keys: list[str], json_col: str, path: str, max_depth
     or as the deepest document lies, which is then looked for first. A text that
     is no JSON, and null, select nothing.
     """
-    start = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.col("node").alias("node")))
-    rows = df.select(*keys, F.try_parse_json(F.col(json_col)).alias("node")).where("node is not null").select(*keys, start.alias("nodes"))
-    steps = path_steps(path)
-    depth = _depth(df, json_col, max_depth) if any(kind == "descend" for kind, _ in steps) else 0
-    there = lambda xs: F.filter(xs, lambda x: x["node"].isNotNull())
-    for kind, value in steps:
-        if kind == "key":
-            found = there(F.transform("nodes", lambda x: F.struct(x["path"].alias("path"), F.try_element_at(as_map(x["node"]), F.lit(value)).alias("node"))))  # noqa: B023
-        elif kind == "index":
-            at = value + 1 if value >= 0 else value
-            found = there(F.transform("nodes", lambda x: F.struct(x["path"].alias("path"), F.try_element_at(as_list(x["node"]), F.lit(at)).alias("node"))))
-        elif kind == "wildcard":
-            found = F.flatten(F.transform("nodes", _children))
-        else:
-            rows = rows.withColumn("level", F.col("nodes")).withColumn("nodes", F.array().cast("array<struct<path:array<int>,node:variant>>"))
-            for _ in range(depth + 1):  # the match of a node comes before those below it
-                match = lambda x: F.struct(F.concat(x["path"], F.array(F.lit(-1))).alias("path"), F.try_element_at(as_map(x["node"]), F.lit(value)).alias("node"))
-                rows = rows.select(*keys, F.concat("nodes", there(F.transform("level", match))).alias("nodes"), F.flatten(F.transform("level", _children)).alias("level"))
-            found = _in_order(F.col("nodes"))
-        rows = rows.select(*keys, found.alias("nodes"))
-    return rows
+    rows = df.select(*keys, F.try_parse_json(F.col(json_col)).alias("node")).where("node is not null")
+    return _walk(rows, "nodes", path, _deepest(df, json_col, [path], max_depth)).select(*keys, "nodes")
+
+
+def _deepest(df: DataFrame, json_col: str, paths: list[str], max_depth: int | None) -> int:
+    return _depth(df, json_col, max_depth) if any(kind == "descend" for path in paths for kind, _ in path_steps(path)) else 0
+
+
+def json_paths(df: DataFrame, keys: list[str], json_col: str, paths: list[str], max_depth: int | None = None) -> DataFrame:
+    """``keys``, ``path`` (its place in the list), ``pos``, ``node`` (variant): a row for each node that each path selects (see ``selected``).
+
+    A document is read and parsed once for all paths.
+    """
+    depth = _deepest(df, json_col, paths, max_depth)
+    rows = df.select(*keys, F.try_parse_json(F.col(json_col)).alias("node"))
+    for k, path in enumerate(paths):
+        rows = _walk(rows, f"nodes{k}", path, depth)
+    named = lambda k: F.transform(f"nodes{k}", lambda x, i: F.struct(F.lit(k).alias("path"), i.alias("pos"), x["node"].alias("node")))
+    found = rows.select(*keys, F.explode(F.concat(*map(named, range(len(paths))))).alias("x"))
+    return found.select(*keys, "x.path", "x.pos", "x.node")
 
 
 def json_nodes(df: DataFrame, keys: list[str], json_col: str, path: str, max_depth: int | None = None) -> DataFrame:
     """``keys``, ``pos``, ``node`` (variant): a row for each node that the path selects (see ``selected``)."""
-    rows = selected(df, keys, json_col, path, max_depth)
-    return rows.select(*keys, F.posexplode("nodes").alias("pos", "x")).select(*keys, "pos", F.col("x.node").alias("node"))
+    return json_paths(df, keys, json_col, [path], max_depth).select(*keys, "pos", "node")
 
 
 def json_leaves(df: DataFrame, keys: list[str], json_col: str, max_depth: int | None = None) -> DataFrame:
