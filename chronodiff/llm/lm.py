@@ -21,8 +21,8 @@ MIN_COUNT = 50
 SIDE = 2
 #: Windows that the driver starts from: SAMPLE * tokens ** (2 / 3), and LEAST at least (fewer tokens are taken whole).
 SAMPLE, LEAST = 6, 200_000
-#: Tokens of a part of the pass over all windows.
-PART = 2_000_000
+#: Tokens of a part of the pass over all windows, at least; and tokens for each row of the model that the parts move, so that these rows grow no faster than the input.
+PART, PER_ROW = 2_000_000, 16
 #: Names of the neighbours, from the farthest left to the farthest right.
 NEIGHBOURS = [f"l{k}" for k in range(SIDE, 0, -1)] + [f"r{k}" for k in range(1, SIDE + 1)]
 #: Width of the hidden layer, windows of a step, windows that a fit sees at least (in two passes or more), its rate.
@@ -52,9 +52,18 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Hashes of the words of MIN_COUNT or more, sorted. Ids: 0 an edge of a text, words from 1, then any rarer word."""
+    """Hashes of the words of MIN_COUNT or more, sorted, and their ids: 0 is an edge of a text, words count from 1, the most frequent first, then comes any rarer word."""
 
     words: np.ndarray
+    id: np.ndarray
+
+    @staticmethod
+    def of(words: np.ndarray, n: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
+        """The vocabulary of words that occur ``n`` times each, and these numbers by id."""
+        first = np.lexsort((words, -n))
+        words, n = words[first].astype(np.int64), n[first]
+        order = np.argsort(words)
+        return Vocabulary(words[order], order + 1), n
 
     @property
     def rare(self) -> int:
@@ -64,7 +73,7 @@ class Vocabulary:
         if not len(self.words):
             return np.full(len(h), self.rare)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at + 1, self.rare)
+        return np.where(self.words.take(at) == h, self.id.take(at), self.rare)
 
     def windows(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the neighbours of every token (a column for each of ``NEIGHBOURS``), and of the token itself."""
@@ -90,35 +99,59 @@ def spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 @dataclass
 class Tree:
-    """A Huffman tree over words: the path of each from the root, as nodes and the side taken (1 or -1)."""
+    """A Huffman tree over words: the path of each from the root, as nodes and the side taken (1 or -1).
+
+    Codes are canonical: from left to right the leaves lie ever deeper. So of tokens in the order of
+    their leaves (``place``), those that reach a level are the last ones, and those at a node stand together.
+    """
 
     begin: np.ndarray
     node: np.ndarray
     side: np.ndarray
     bias: np.ndarray
+    place: np.ndarray
 
     @staticmethod
     def of(counts: np.ndarray) -> Tree:
         """The tree of these counts; the bias of a node is the log-odds of its sides, so that it alone gives every word its share."""
         n = len(counts)
-        weight = np.concatenate([counts, np.zeros(max(n - 1, 0))])
-        up, side = np.full(len(weight), -1), np.zeros(len(weight), np.int8)
-        heap, bias = [(c, k) for k, c in enumerate(counts.tolist())], np.zeros(max(n - 1, 0))
+        up = np.full(n + max(n - 1, 0), -1)
+        heap = [(c, k) for k, c in enumerate(counts.tolist())]
         heapq.heapify(heap)
         for k in range(n, 2 * n - 1):
             (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            up[i], side[i], up[j], side[j] = k, -1, k, 1
-            bias[k - n] = np.log(b / a)
+            up[i] = up[j] = k
             heapq.heappush(heap, (a + b, k))
-        word, at, steps = np.arange(n), np.arange(n), []
-        while len(word := word[up[at] >= 0]):
-            at = at[up[at] >= 0]
-            steps.append((word, up[at] - n, side[at]))
-            at = up[at]
-        words, nodes, sides = (np.concatenate([np.zeros(0, np.int64), *x]).astype(t) for x, t in zip(list(zip(*steps, strict=True)) or [(), (), ()], (np.int64, np.int32, np.int8), strict=True))
-        order = np.argsort(words, kind="stable")
-        begin = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=n))])
-        return Tree(begin, nodes[order], sides[order], bias)
+        depth, at = np.zeros(n, np.int64), up[:n]
+        while (at >= 0).any():
+            depth += at >= 0
+            at = np.where(at >= 0, up[at], -1)
+        order = np.lexsort((np.arange(n), -counts, depth))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        size, mass = depth[order], counts[order].astype(float)
+        # a code is the sum of the widths of the leaves before it, in units of the deepest level's
+        deepest = int(size.max()) if n else 0
+        code = np.cumsum(1 << (deepest - size)) - (1 << (deepest - size)) if n else size
+        begin = np.concatenate([[0], np.cumsum(depth)])
+        node, side, bias, named = np.zeros(begin[-1], np.int32), np.zeros(begin[-1], np.int8), np.zeros(max(n - 1, 0)), 0
+        for level in range(deepest):
+            low = int(np.searchsorted(size, level, "right"))
+            prefix = code[low:] >> (deepest - level)
+            right = code[low:] >> (deepest - level - 1) & 1
+            own = prefix - prefix[0]
+            step = begin[order[low:]] + level
+            node[step], side[step] = named + own, 2 * right - 1
+            sides = np.bincount(2 * own + right, weights=mass[low:]).reshape(-1, 2)
+            bias[named : named + len(sides)] = np.log(sides[:, 1] / sides[:, 0])
+            named += len(sides)
+        return Tree(begin, node, side, bias, place)
+
+    def in_order(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of words by their leaves, and (in that order) where their paths begin and how long they are."""
+        order = _sorted(self.place.take(word))
+        begin = self.begin[word[order]]
+        return order, begin, self.begin[word[order] + 1] - begin
 
     def paths(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token, node, side) of each step of the words' paths, and steps before each word."""
@@ -143,11 +176,14 @@ class Model:
         out = np.empty(len(token))
         for lo in range(0, len(token), SLICE):
             part = slice(lo, lo + SLICE)
-            own, node, side, before = self.tree.paths(token[part] - 1)
-            hidden = _hidden(self.par, around[part])
-            logit = np.einsum("ij,ij->i", self.par["U"][node], hidden[own]) + self.par["b"][node]
-            z = side * logit
-            out[part] = segment_sum(np.minimum(z, 0) - np.log(1 + np.exp(-np.abs(z))), before)
+            order, begin, size = self.tree.in_order(token[part] - 1)
+            hidden, total = _hidden(self.par, around[part][order]), np.zeros(len(order))
+            for level in range(int(size[-1])):
+                low = int(np.searchsorted(size, level, "right"))
+                node, side = self.tree.node.take(begin[low:] + level), self.tree.side.take(begin[low:] + level)
+                z = side * (np.einsum("ij,ij->i", self.par["U"].take(node, axis=0), hidden[low:]) + self.par["b"].take(node))
+                total[low:] += np.minimum(z, 0) - np.log(1 + np.exp(-np.abs(z)))
+            out[lo + order] = total
         return out
 
     def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,10 +208,11 @@ class Model:
 
 
 def _hidden(par: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
-    total = par["c"] + par[NEIGHBOURS[0]][around[:, 0]]
+    total = par[NEIGHBOURS[0]].take(around[:, 0], axis=0)
+    total += par["c"]
     for k, name in enumerate(NEIGHBOURS[1:], 1):
-        total = total + par[name][around[:, k]]
-    return np.tanh(total)
+        total += par[name].take(around[:, k], axis=0)
+    return np.tanh(total, out=total)
 
 
 def window_counts(docs: DataFrame, vocabulary: Vocabulary, share: float, text_col: str) -> DataFrame:
@@ -213,36 +250,46 @@ def fit_spelling(pairs: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum(axis=1, keepdims=True))
 
 
-def _sorted(rows: np.ndarray, size: int) -> np.ndarray:
-    """The order of rows of a table of this size; short numbers sort in linear time."""
-    return np.argsort(rows.astype(np.uint16) if size <= 1 << 16 else rows, kind="stable")
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """The order of rows, equal ones as they come; numbers sort faster than places."""
+    n = max(len(rows), 1)
+    return np.sort(rows * np.int64(n) + np.arange(len(rows))) % n
 
 
 def _step(x: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     """An Adagrad step on the rows, sorted, that have gradients; equal rows are summed first."""
     head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    g, rows = np.add.reduceat(grad, head, axis=0), rows[head]
-    seen[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim > 1 else g * g
-    root = np.sqrt(seen[rows]) + 1e-8
-    x[rows] -= RATE * g / (root[:, None] if g.ndim > 1 else root)
+    if len(head) < len(rows):
+        rows, grad = rows[head], np.add.reduceat(grad, head, axis=0)
+    now = seen.take(rows) + (np.einsum("ij,ij->i", grad, grad) / grad.shape[1] if grad.ndim > 1 else grad * grad)
+    seen[rows] = now
+    rate = RATE / (np.sqrt(now) + 1e-8)
+    x[rows] = x.take(rows, axis=0) - grad * (rate[:, None] if grad.ndim > 1 else rate)
 
 
 def _fit_windows(par: dict[str, np.ndarray], seen: dict[str, np.ndarray], tree: Tree, around: np.ndarray, token: np.ndarray, n: np.ndarray) -> None:
-    """One step on windows that occur ``n`` times each; changes ``par`` and ``seen`` (its sums of squared gradients)."""
-    own, node, side, before = tree.paths(token - 1)
+    """One step on windows that occur ``n`` times each; changes ``par`` and ``seen`` (its sums of squared gradients).
+
+    The tree is walked level by level, and a node lies on one level, so each level's nodes move as soon as it is done.
+    """
+    order, begin, size = tree.in_order(token - 1)
+    around, n = around.take(order, axis=0), n.take(order)
     hidden = _hidden(par, around)
-    u = par["U"][node]
-    logit = np.einsum("ij,ij->i", u, hidden[own]) + par["b"][node]
-    g = (-side * n[own] / (1 + np.exp(np.clip(side * logit, -60, 60)))).astype(np.float32)
-    u *= g[:, None]
-    back = np.add.reduceat(u, before[:-1], axis=0) * (1 - hidden * hidden)
-    order = _sorted(node, len(par["U"]))
-    node, g, own = node[order], g[order], own[order]
-    _step(par["U"], seen["U"], node, g[:, None] * hidden[own])
-    _step(par["b"], seen["b"], node, g)
+    back = np.zeros_like(hidden)
+    for level in range(int(size[-1])):
+        low = int(np.searchsorted(size, level, "right"))
+        node, side = tree.node.take(begin[low:] + level), tree.side.take(begin[low:] + level)
+        u = par["U"].take(node, axis=0)
+        z = side * (np.einsum("ij,ij->i", u, hidden[low:]) + par["b"].take(node))
+        g = -side * n[low:] / (1 + np.exp(np.minimum(z, 60)))
+        u *= g[:, None]
+        back[low:] += u
+        _step(par["U"], seen["U"], node, g[:, None] * hidden[low:])
+        _step(par["b"], seen["b"], node, g)
+    back *= 1 - hidden * hidden
     for k, name in enumerate(NEIGHBOURS):
-        order = _sorted(around[:, k], len(par[name]))
-        _step(par[name], seen[name], around[order, k], back[order])
+        order = _sorted(around[:, k])
+        _step(par[name], seen[name], around[order, k], back.take(order, axis=0))
     _step(par["c"][None], seen["c"], np.zeros(1, np.int64), back.sum(axis=0)[None])
 
 
@@ -275,11 +322,19 @@ def _moved(t: int, at: np.ndarray, w: np.ndarray, delta: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at), pa.array(w), *weighted], ["t", "at", "w", *MOVED])
 
 
+def _dealt(docs: DataFrame, parts: int, text_col: str) -> DataFrame:
+    """``text`` and ``n`` (rows that have it), in ``parts`` tasks into however many partitions the session deals the texts."""
+    text = F.col(f"`{text_col}`").alias("text")
+    dealt = docs.select(text).where(F.col("text").isNotNull()).repartition(parts, "text").groupBy("text").agg(F.count("*").alias("n"))
+    return dealt.sortWithinPartitions(F.xxhash64("text"), "text").select("text", "n").coalesce(parts)
+
+
 def fit_all(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, par: dict[str, np.ndarray], seen: dict[str, np.ndarray], parts: int, text_col: str) -> dict[str, np.ndarray]:
     """The network after a pass over every window of all texts.
 
     Texts are dealt to ``parts`` and ordered by their hash, so files' layout does not
-    change the pass; equal texts are one with their number as weight. Each part goes
+    change the pass; equal texts are one with their number as weight. A part is one task, as
+    each gives all rows that it moved. Each part goes
     on from the same start, and each row of a table becomes the mean of what the
     parts made of it, weighted by the windows that moved it there.
     """
@@ -312,10 +367,7 @@ def fit_all(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, par: dict[str,
         if total:
             yield _moved(len(names), np.zeros(1, np.int64), np.array([total]), np.append(par["c"] - start["c"], 0)[None])
 
-    text = F.col(f"`{text_col}`").alias("text")
-    dealt = docs.select(text).where(F.col("text").isNotNull()).repartition(parts, "text").groupBy("text").agg(F.count("*").alias("n"))
-    rows = dealt.sortWithinPartitions(F.xxhash64("text"), "text").select("text", "n")
-    got = rows.mapInArrow(work, "t int, at long, w double, " + ", ".join(f"{c} double" for c in MOVED))
+    got = _dealt(docs, parts, text_col).mapInArrow(work, "t int, at long, w double, " + ", ".join(f"{c} double" for c in MOVED))
     mean = got.groupBy("t", "at").agg(*[(F.sum(c) / F.sum("w")).cast("float").alias(c) for c in MOVED]).toArrow()
     out = {k: x.copy() for k, x in par.items()}
     table, at, delta = mean["t"].to_numpy(), mean["at"].to_numpy(), np.stack([mean[c].to_numpy() for c in MOVED], axis=1)
@@ -326,6 +378,12 @@ def fit_all(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, par: dict[str,
     return out
 
 
+def part_count(total: int, vocabulary: Vocabulary) -> int:
+    """Parts of the pass over ``total`` windows: each moves most rows of all tables, so together they are held to a share of the input."""
+    rows = (len(NEIGHBOURS) + 1) * (vocabulary.rare + 1)
+    return max(1, min(-(-total // PART), total // (PER_ROW * rows)))
+
+
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """A network fitted to windows of all texts.
 
@@ -343,10 +401,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     counted = cut(word_counts(docs, text_col), "words")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     top = counted.where(F.col("n") >= MIN_COUNT).toArrow()
-    words, n = top["word"].to_numpy(), top["n"].to_numpy()
-    order = np.argsort(words)
-    vocabulary = Vocabulary(words[order].astype(np.int64))
-    tree = Tree.of(np.append(n[order], max(total - n.sum(), 1)).astype(float))
+    vocabulary, n = Vocabulary.of(top["word"].to_numpy(), top["n"].to_numpy())
+    tree = Tree.of(np.append(n, max(total - n.sum(), 1)).astype(float))
     share = min(1.0, max(LEAST, SAMPLE * total ** (2 / 3)) / max(total, 1))
     got = window_counts(docs, vocabulary, share, text_col).toArrow()
     around, token, n = np.stack([got[c].to_numpy() for c in NEIGHBOURS], axis=1), got["token"].to_numpy(), got["n"].to_numpy()
@@ -356,7 +412,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     order = order[~byte[order]]
     par, seen = fit_network(tree, vocabulary.rare + 1, around[order], token[order].astype(np.int64), n[order].astype(np.float32))
     if share < 1 and len(tree.bias):
-        par = fit_all(docs, vocabulary, tree, par, seen, -(-total // PART), text_col)
+        par = fit_all(docs, vocabulary, tree, par, seen, part_count(total, vocabulary), text_col)
     return Model(vocabulary, tree, par, fit_spelling(pairs))
 
 
