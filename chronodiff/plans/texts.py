@@ -286,7 +286,7 @@ def a2_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a nested JSON document: its key, and its lines with their parts."""
     line = F.struct(F.col("l_linenumber").alias("n"), F.struct(F.col("l_partkey").alias("key")).alias("part"))
-    lines = F.array_sort(F.collect_list(line))
+    lines = F.sort_array(F.collect_list(line))
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines"))
     return rows.select("l_orderkey", F.to_json(F.struct(F.struct("lines", F.col("l_orderkey").alias("key")).alias("order"))).alias("body"))
 

@@ -181,11 +181,11 @@ def json_lines(text: Column) -> Column:
 
     A change of one field is a change of one line. A text that is no JSON gives its own lines.
     """
-    token = r'"(?:[^"\\]|\\.)*"|\{\}|\[\]|[\[\]{},:]|[^\[\]{},:"]+'
-    laid = lambda t: F.when(t.isin("{", "["), F.concat(t, F.lit("\n"))).when(t.isin("}", "]"), F.concat(F.lit("\n"), t)).when(t == ",", ",\n").when(t == ":", ": ").otherwise(t)
-    pretty = F.array_join(F.transform(F.regexp_extract_all(sorted_json(text), F.lit(token), 0), laid), "")
-    lines = F.split(F.coalesce(pretty, text, F.lit("")), "\n", -1)
-    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    line = rf'[}}\]],?|(?:{string}:)?(?:(?:\{{\}}|\[\]|{string}|[^\[\]{{}},:"]++),?|[{{\[])'
+    laid = F.transform(F.regexp_extract_all(sorted_json(text), F.lit(line), 0), lambda x: F.regexp_replace(x, f"^({string}):", "$1: "))
+    own = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    return F.coalesce(laid, own)
 
 
 def deep_merge(base: Column, over: Column, depth: int = 8) -> Column:
