@@ -65,7 +65,7 @@ def _children(x: Column) -> Column:
 
 def _in_order(nodes: Column) -> Column:
     """Nodes by path; the paths are sorted with their places, in Spark's own order, which no function compares."""
-    places = F.array_sort(F.transform(nodes, lambda x, i: F.struct(x["path"].alias("path"), i.alias("i"))))
+    places = F.sort_array(F.transform(nodes, lambda x, i: F.struct(x["path"].alias("path"), i.alias("i"))))
     return F.transform(places, lambda p: F.get(nodes, p["i"]))
 
 
@@ -148,21 +148,22 @@ def json_leaves(df: DataFrame, keys: list[str], json_col: str, max_depth: int |
 
     ``name`` is its path (``a.b[0].c``). An empty object or array is a leaf.
     """
-    kind = "array<struct<path:array<int>,name:string,node:variant>>"
-    start = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit("").alias("name"), F.col("node").alias("node")))
-    rows = df.select(*keys, F.try_parse_json(F.col(json_col)).alias("node")).where("node is not null").select(*keys, start.alias("level"), F.array().cast(kind).alias("leaves"))
-    size = lambda x: F.coalesce(F.size(as_list(x["node"])), F.size(as_map(x["node"])), F.lit(0))
+    start = F.array(F.struct(F.lit("").alias("name"), F.col("node").alias("node"), F.lit(False).alias("leaf")))
+    rows = df.select(*keys, F.try_parse_json(F.col(json_col)).alias("node")).where("node is not null").select(*keys, start.alias("nodes"))
+    some = lambda xs: F.get(F.filter(F.array(xs), lambda own: F.size(own) > 0), 0)
 
     def below(x: Column) -> Column:
+        """A node's fields or elements in its place; a leaf stays."""
         dotted = lambda k: F.when(x["name"] == "", k).otherwise(F.concat(x["name"], F.lit("."), k))
-        step = lambda i, name, node: F.struct(F.concat(x["path"], F.array(i)).alias("path"), name.alias("name"), node.alias("node"))
-        fields = F.transform(F.map_entries(as_map(x["node"])), lambda e, i: step(i, dotted(e["key"]), e["value"]))
-        items = F.transform(as_list(x["node"]), lambda y, i: step(i, F.concat(x["name"], F.lit("["), i.cast("string"), F.lit("]")), y))
-        return F.coalesce(fields, items, F.array().cast(kind))
+        step = lambda name, node: F.struct(name.alias("name"), node.alias("node"), F.lit(False).alias("leaf"))
+        fields = F.transform(F.map_entries(as_map(x["node"])), lambda e: step(dotted(e["key"]), e["value"]))
+        items = F.transform(as_list(x["node"]), lambda y, i: step(F.concat(x["name"], F.lit("["), i.cast("string"), F.lit("]")), y))
+        leaf = F.array(F.struct(x["name"].alias("name"), x["node"].alias("node"), F.lit(True).alias("leaf")))
+        return F.when(x["leaf"], leaf).otherwise(F.coalesce(some(fields), some(items), leaf))
 
     for _ in range(_depth(df, json_col, max_depth) + 1):
-        rows = rows.select(*keys, F.concat("leaves", F.filter("level", lambda x: size(x) <= 0)).alias("leaves"), F.flatten(F.transform("level", below)).alias("level"))
-    rows = rows.select(*keys, F.posexplode(_in_order(F.col("leaves"))).alias("pos", "x"))
+        rows = rows.select(*keys, F.flatten(F.transform("nodes", below)).alias("nodes"))
+    rows = rows.select(*keys, F.posexplode(F.filter("nodes", lambda x: x["leaf"])).alias("pos", "x"))
     return rows.select(*keys, "pos", F.col("x.name").alias("name"), json_text(F.col("x.node")).alias("value"))
 
 
