@@ -13,7 +13,6 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronodiff.llm.ftrl import give_back
 from chronodiff.llm.tables import small_batches
 from chronodiff.llm.textnum import chunks
 
 #: Bytes of text that share one index of pair positions.
-PARTITION_BYTES = 8 << 20
+PARTITION_BYTES = 2 << 20
 #: Words whose ids a task remembers at most; beyond that it forgets all of them.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 #: The split pattern of byte-level pre-tokenisation (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,7 +101,8 @@ class Codec:
         after[-1] = n - 1
         one_sym, one_after, one_before = memoryview(sym), memoryview(after), memoryview(before)
         merged = np.zeros(n, bool)
-        where: dict[int, list[np.ndarray]] = {}
+        many: dict[int, list[np.ndarray]] = {}
+        few: dict[int, list[int]] = {}  # positions that come one by one or by threes; an array of one takes five times the memory
         active: list[int] = []
 
         def add(at: np.ndarray) -> None:
@@ -111,34 +112,37 @@ class Codec:
                 return
             order = np.argsort(ranks, kind="stable")
             at, ranks = at[order], ranks[order]
-            heads = [0, *(np.flatnonzero(np.diff(ranks)) + 1).tolist()]
-            for i, (rank, head) in enumerate(zip(ranks[heads].tolist(), heads, strict=True)):
-                spots = at[head : heads[i + 1] if i + 1 < len(heads) else None]
-                if rank in where:
-                    where[rank].append(spots)
-                else:
-                    where[rank] = [spots]
+            heads = np.concatenate([[0], np.flatnonzero(np.diff(ranks)) + 1, [len(at)]]).tolist()
+            listed = at.tolist()
+            for rank, head, end in zip(ranks[heads[:-1]].tolist(), heads, heads[1:], strict=False):
+                if rank not in few and rank not in many:
                     heappush(active, rank)
+                if end - head > 4:
+                    many.setdefault(rank, []).append(at[head:end])
+                elif rank in few:
+                    few[rank] += listed[head:end]
+                else:
+                    few[rank] = listed[head:end]
 
         def add_one(at: int) -> None:
             rule = self.rule.get(one_sym[at] * 65536 + one_sym[one_after[at]])
             if rule is not None:
-                if rule in where:
-                    where[rule].append(np.array([at]))
-                else:
-                    where[rule] = [np.array([at])]
+                if rule in few:
+                    few[rule].append(at)
+                    return
+                few[rule] = [at]
+                if rule not in many:
                     heappush(active, rule)
 
         add(np.arange(n, dtype=np.int32))
         while active:
             rank = heappop(active)
-            spots = where.pop(rank)
-            spots = spots[0] if len(spots) == 1 else np.concatenate(spots)
+            spots, arrays = few.pop(rank, []), many.pop(rank, [])
             a, b, new = self.rules[rank]
-            if a == b:  # only such pairs overlap, and then the left one is merged
-                spots = np.sort(spots)
-            if len(spots) <= 4:
-                for p in spots.tolist():
+            if not arrays and len(spots) <= 4:
+                if a == b:  # only such pairs overlap, and then the left one is merged
+                    spots.sort()
+                for p in spots:
                     q = one_after[p]
                     if one_sym[p] != a or one_sym[q] != b or p == q:
                         continue
@@ -149,6 +153,9 @@ class Codec:
                         add_one(left)
                     add_one(p)
                 continue
+            spots = np.concatenate([*arrays, np.array(spots, np.int32)])
+            if a == b:
+                spots.sort()
             q = after[spots]
             held = (sym[spots] == a) & (sym[q] == b)
             spots, q = spots[held], q[held]
@@ -175,12 +182,13 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
+        same: dict[str, str] = {}  # equal words are one string, so that a text's list is 8 bytes a word
+        split = [list(map(same.setdefault, words, words)) for words in map(self.pieces, texts)]
         if len(self.known) > CACHED_WORDS:
             self.known = {}
         for t, i in self.special.items():
             self.known[t] = i.to_bytes(4, "little")
-        fresh = set(chain.from_iterable(split)).difference(self.known)
+        fresh = same.keys() - self.known.keys()
         if fresh:
             self.learn(list(fresh))
         get = self.known.__getitem__
@@ -210,6 +218,7 @@ def _round_trip(vocab_file: str, decode: bool):
                 if decode:
                     cols.append(pa.array(own.decode(ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids", "decoded"][: len(cols)])
+        give_back()  # the worker stays, beside the JVM's later work
 
     return work
 
