@@ -30,7 +30,7 @@ HIDDEN, STEP, SEEN, RATE = 16, 8192, 600_000, 0.1
 #: Columns of a row's change; the last is a node's bias.
 MOVED = [f"x{k}" for k in range(HIDDEN + 1)]
 #: Tokens scored at once.
-SLICE = 4096
+SLICE = 16384
 
 
 def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +69,22 @@ class Vocabulary:
     def rare(self) -> int:
         return len(self.words) + 1
 
+    @cached_property
+    def _index(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """A shift that leaves a hash's top bits, the first word of each such bucket, and words and ids with an end; two buckets a word at least, so most hold one or none."""
+        bits = len(self.words).bit_length() + 1
+        edges = np.arange(-(1 << (bits - 1)), 1 << (bits - 1), dtype=np.int64) << (64 - bits)
+        first = np.searchsorted(self.words, edges).astype(np.int32)
+        return 64 - bits, first, np.append(self.words, np.iinfo(np.int64).max), np.append(self.id, self.rare)
+
     def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(h), self.rare)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words.take(at) == h, self.id.take(at), self.rare)
+        shift, first, words, ids = self._index
+        at = first.take((h >> shift) + len(first) // 2)
+        late = np.flatnonzero(words.take(at) < h)
+        while len(late):
+            at[late] += 1
+            late = late[words.take(at[late]) < h[late]]
+        return np.where(words.take(at) == h, ids.take(at), self.rare)
 
     def windows(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the neighbours of every token (a column for each of ``NEIGHBOURS``), and of the token itself."""
@@ -86,6 +97,14 @@ class Vocabulary:
             around[:-k, SIDE + k - 1] = np.where(same, c[k:], 0)
         return around, c
 
+    def near(self, c: np.ndarray, place: np.ndarray, left: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What ``windows`` gives for the neighbours of the tokens ``at``: of ids ``c``, each with ``place`` tokens of its text before it and ``left`` after it."""
+        around = np.zeros((len(at), 2 * SIDE), c.dtype)
+        for k in range(1, SIDE + 1):
+            for column, spots, step in ((SIDE - k, np.flatnonzero(place[at] >= k), -k), (SIDE + k - 1, np.flatnonzero(left[at] >= k), k)):
+                around[spots, column] = c.take(at[spots] + step)
+        return around
+
 
 def spelled(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words' bytes (A-Z lower-cased) with a 0 before, between and after them, and where each word begins."""
@@ -226,14 +245,16 @@ def window_counts(docs: DataFrame, vocabulary: Vocabulary, share: float, text_co
             for _, _, buf, off in chunks(batch.column(0)):
                 starts, ends, before = spans(buf, off, ALNUM)
                 h = hash_spans(buf, starts, ends)
-                near, token = own.windows(h.view(np.int64), before)
+                token = own.ids(h.view(np.int64))
                 rare = token == own.rare
                 raw, _ = spelled(buf, starts[rare], ends[rare])
                 pairs += np.bincount(raw[:-1].astype(np.int64) * 256 + raw[1:], minlength=1 << 16)
-                place = (np.arange(len(h)) - np.repeat(before[:-1], np.diff(before))).astype(np.uint64)
+                size = np.diff(before)
+                place = np.arange(len(h)) - np.repeat(before[:-1], size)
                 around = np.roll(h, 1) * np.uint64(3) + np.roll(h, -1) * np.uint64(5)
-                drawn = (mix(h + around + place * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) < np.uint64(share * 2**53)
-                cols = [x.astype(np.int32) for x in (*near[drawn].T, token[drawn])]
+                drawn = np.flatnonzero((mix(h + around + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) < np.uint64(share * 2**53))
+                near = own.near(token, place, np.repeat(size, size) - 1 - place, drawn)
+                cols = [x.astype(np.int32) for x in (*near.T, token[drawn])]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.ones(len(cols[0]), np.int64))], [*names, "n"])
         at = np.flatnonzero(pairs)
         cols = [np.full(len(at), -1), at >> 8, *[np.zeros(len(at))] * (2 * SIDE - 2), at & 255]
@@ -344,7 +365,7 @@ def fit_all(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, par: dict[str,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, tree, start, squares = shared.value
         par, seen = ({k: x.copy() for k, x in d.items()} for d in (start, squares))
-        moved = {k: np.zeros(len(par[k])) for k in names}
+        moved, said = {k: np.zeros(len(par[k])) for k in NEIGHBOURS}, np.zeros(len(tree.begin) - 1)
         total, rng = 0.0, np.random.default_rng(5)
         for batch in batches:
             for lo, hi, buf, off in chunks(batch.column(0)):
@@ -357,8 +378,9 @@ def fit_all(docs: DataFrame, vocabulary: Vocabulary, tree: Tree, par: dict[str,
                 total += float(n.sum())
                 for k, name in enumerate(NEIGHBOURS):
                     moved[name] += np.bincount(around[:, k], weights=n, minlength=len(moved[name]))
-                own, node, _, _ = tree.paths(np.arange(len(tree.begin) - 1))
-                moved["U"] += np.bincount(node, weights=np.bincount(token - 1, weights=n, minlength=len(tree.begin) - 1)[own], minlength=len(moved["U"]))
+                said += np.bincount(token - 1, weights=n, minlength=len(said))
+        own, node, _, _ = tree.paths(np.arange(len(said)))
+        moved["U"] = np.bincount(node, weights=said[own], minlength=len(par["U"]))
         for t, name in enumerate(names):
             at = np.flatnonzero(moved[name])
             delta = par[name][at] - start[name][at]
