@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,8 @@ RULE_ROWS = "rule string, term string, kind string, negated boolean, page boolea
 SLICE = 100_000
 #: Matches that are given on at once, with those of one more text.
 GIVEN = 20_000
+#: Rules up to which their terms and counts go to every task; more meet the matches in a shuffle by term.
+BROADCAST_RULES = 100_000
 #: Characters of a bucket when matches meet changed spans.
 BUCKET = 256
 
@@ -132,6 +134,7 @@ def term_matches(texts: DataFrame, rules: DataFrame, keys: list[str], text_col:
     if found is None:
         return spark.createDataFrame([], schema).drop("g")
     numbers = terms.where("kind = 'num'").select("term_id", F.col("op").alias("_op"), F.col("value").alias("_value"))
+    numbers = F.broadcast(numbers) if n == 1 else numbers
     found = found.join(numbers, "term_id", "left")
     x, v, op = parse_number(F.col("g")), F.col("_value"), F.col("_op")
     holds = F.when(op == "<", x < v).when(op == "<=", x <= v).when(op == ">", x > v).when(op == ">=", x >= v).otherwise(F.abs(x - v) < 1e-9)
@@ -200,32 +203,35 @@ def fired(changes: DataFrame, rules: DataFrame, keys: list[str], block: list[str
     named = with_ids(rules)
     uses = named.select("rule", "term_id", "negated", "page", "scope", "near")
     place = [*keys, *block]
+    # a shuffle by term would put all matches of a frequent word in one task
+    sent = F.broadcast if rules.count() <= BROADCAST_RULES else lambda df: df
+    changes = written(changes.select(*place, "text", "spans"), "changes")
     on_change = uses.where(~F.col("page"))
     spans = changes.select(*place, F.explode("spans").alias("x")).select(*place, "x.s", "x.e")
     hits = written(overlapping(term_matches(changes, rules.where(~F.col("page")), place), spans, place), "hits")
 
     need = uses.where(~F.col("negated") & ~F.col("page")).groupBy("rule").agg(F.countDistinct("term_id").alias("need"), F.first("scope").alias("scope"), F.first("near").alias("near"))
     # a term that several rules have is one row in hits, and one a rule from here on
-    positive = hits.join(on_change.where(~F.col("negated")).select("rule", "term_id").distinct().join(need, "rule"), "term_id")
+    positive = hits.join(sent(on_change.where(~F.col("negated")).select("rule", "term_id").distinct().join(need, "rule")), "term_id")
     enough = F.col("got") == F.col("need")
     anywhere = positive.where("scope = 'any'").groupBy(*keys, "rule", "need").agg(F.countDistinct("term_id").alias("got")).where(enough)
     together = positive.where("scope = 'block'").groupBy(*place, "rule", "need").agg(F.countDistinct("term_id").alias("got")).where(enough)
-    good = anywhere.select(*keys, "rule").unionByName(together.select(*keys, "rule")).unionByName(_near(changes, positive.where("scope = 'near'"), need, on_change, keys, block))
+    good = anywhere.select(*keys, "rule").unionByName(together.select(*keys, "rule")).unionByName(_near(changes, positive.where("scope = 'near'"), need, on_change, keys, block, sent))
 
-    bad = hits.join(on_change.where("negated").select("rule", "term_id"), "term_id").select(*keys, "rule")
+    bad = hits.join(sent(on_change.where("negated").select("rule", "term_id")), "term_id").select(*keys, "rule")
     good = good.distinct().join(bad.distinct(), [*keys, "rule"], "left_anti")
     if pages is not None:
         seen = term_matches(pages, rules.where("page"), keys).select(*keys, "term_id").distinct()
-        context = seen.join(uses.where("page"), "term_id")
+        context = seen.join(sent(uses.where("page")), "term_id")
         good = good.join(context.where("negated").select(*keys, "rule").distinct(), [*keys, "rule"], "left_anti")
         wanted = uses.where(F.col("page") & ~F.col("negated")).groupBy("rule").agg(F.countDistinct("term_id").alias("wanted"))
         there = context.where(~F.col("negated")).groupBy(*keys, "rule").agg(F.countDistinct("term_id").alias("there"))
-        good = good.join(wanted, "rule", "left").join(there, [*keys, "rule"], "left").where(F.coalesce("there", F.lit(0)) == F.coalesce("wanted", F.lit(0)))
+        good = good.join(sent(wanted), "rule", "left").join(there, [*keys, "rule"], "left").where(F.coalesce("there", F.lit(0)) == F.coalesce("wanted", F.lit(0)))
     flags = rules.groupBy("rule").agg(F.min("gates").alias("gates"))
-    return good.select(*keys, "rule").join(flags, "rule").select(*keys, "rule", "gates")
+    return good.select(*keys, "rule").join(sent(flags), "rule").select(*keys, "rule", "gates")
 
 
-def _near(changes: DataFrame, hits: DataFrame, need: DataFrame, uses: DataFrame, keys: list[str], block: list[str]) -> DataFrame:
+def _near(changes: DataFrame, hits: DataFrame, need: DataFrame, uses: DataFrame, keys: list[str], block: list[str], sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``keys``, ``rule`` whose terms all occur within the rule's words; words are counted through all changed blocks.
 
     Each occurrence meets each term of its rule; the latest occurrence of every
@@ -235,7 +241,7 @@ def _near(changes: DataFrame, hits: DataFrame, need: DataFrame, uses: DataFrame,
     words = changes.select(*keys, *block, F.coalesce(before, F.lit(0)).alias("before"))
     spots = hits.join(words, [*keys, *block]).select(*keys, "rule", "term_id", F.greatest(F.col("before") + F.col("word") - 1, F.lit(0)).alias("i")).distinct()
     terms = uses.where(~F.col("negated")).select("rule", F.col("term_id").alias("term")).distinct().join(need.where("scope = 'near'"), "rule")
-    met = spots.join(terms, "rule").groupBy(*keys, "rule", "need", "near", "term", "i").agg(F.max(F.when(F.col("term_id") == F.col("term"), F.col("i"))).alias("own"))
+    met = spots.join(sent(terms), "rule").groupBy(*keys, "rule", "need", "near", "term", "i").agg(F.max(F.when(F.col("term_id") == F.col("term"), F.col("i"))).alias("own"))
     latest = F.last("own", ignorenulls=True).over(W.partitionBy(*keys, "rule", "term").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     ends = met.withColumn("latest", latest).groupBy(*keys, "rule", "need", "near", "i").agg(F.count("latest").alias("got"), F.min("latest").alias("low"))
     return ends.where((F.col("got") == F.col("need")) & (F.col("i") - F.col("low") <= F.col("near"))).select(*keys, "rule").distinct()

@@ -111,3 +111,27 @@ def test_ten_thousand_rules_are_one_plan(spark, monkeypatch):
     monkeypatch.setattr(rulerows, "SLICE", 3000)
     assert rulerows.term_matches(texts, rulerows.rule_rows(spark, many), ["id"]).count() == 200
     assert rulerows.term_matches(texts, rulerows.rule_rows(spark, []), ["id"]).count() == 0
+
+
+def test_matches_are_not_dealt_by_their_term(spark):
+    """A shuffle by term has all matches of a frequent word in one task, whose memory grows with the input."""
+    import re
+
+    rules = rulerows.rule_rows(spark, [
+        {"rule": "any", "term": "the", "kind": "word"}, {"rule": "near", "term": "the", "kind": "word", "scope": "near", "near": 3},
+        {"rule": "near", "term": "of", "kind": "word", "scope": "near", "near": 3}, {"rule": "not", "term": "the"}, {"rule": "not", "term": "tion", "negated": True},
+        {"rule": "page", "term": "the"}, {"rule": "page", "term": "from", "page": True}, {"rule": "large", "term": r"(\d+)", "kind": "num", "op": ">", "value": 9.0},
+    ])
+    changes = spark.createDataFrame([(k, 0, f"the end of the line {k}", [(0, 30)]) for k in range(20)], "id int, pos int, text string, spans array<struct<s:int,e:int>>")
+    pages = spark.createDataFrame([(k, "from the page") for k in range(0, 20, 2)], "id int, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what Spark takes for large is not left to its estimates
+    try:
+        found = rulerows.fired(changes, rules, ["id"], ["pos"], pages)
+        matches = rulerows.term_matches(changes, rules, ["id"])
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (found, matches)]
+        got = {(r["id"], r["rule"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [x for plan in plans for x in re.findall(r"SortMergeJoin \[term_id#.*", plan)]
+    assert got == {(k, r) for k in range(20) for r in ("any", "near", "not")} | {(k, "page") for k in range(0, 20, 2)} | {(k, "large") for k in range(10, 20)}
